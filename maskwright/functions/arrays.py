@@ -1,69 +1,57 @@
-"""Small array helpers shared by the text, label and perturbation functions."""
+"""SQL expression builders for array work.
 
-from __future__ import annotations
-
-from collections.abc import Callable
+Nested array lambdas are written as Spark SQL text and parsed once with ``F.expr``:
+building the same tree call by call costs seconds on the driver. Arguments named
+``values``, ``text`` and so on are SQL expressions, most often plain column names.
+"""
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from __future__ import annotations
 
 CHUNK = 16
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Evaluate ``value`` once per row and use the result any number of times in ``body``.
+def sql_string(value: str) -> str:
+    """A Spark SQL string literal."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
-    Column expressions are substituted, not stored, so using one several times (or
-    inside a lambda) would evaluate it again each time. Binding it as a lambda
-    variable over a one-element array keeps it to a single evaluation.
-    """
-    return F.element_at(F.transform(F.array(value), body), 1)
 
+def let(name: str, value: str, body: str) -> str:
+    """Evaluate ``value`` once per row and refer to it as ``name`` in ``body``.
 
-def empty(kind: str) -> Column:
-    return F.array().cast(f"array<{kind}>")
-
-
-def zeros(n: Column) -> Column:
-    return F.array_repeat(F.lit(0), n)
+    A column expression used twice, or inside a lambda, is evaluated again each time;
+    a lambda variable over a one-element array is not.
+    """
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
 
 
-def total(values: Column) -> Column:
+def total(values: str) -> str:
     """Sum of an int array (0 when empty)."""
-    return F.aggregate(values, F.lit(0), lambda acc, v: acc + v)
+    return f"aggregate({values}, 0, (tot, add) -> tot + add)"
 
 
-def chunked(values: Column, size: int = CHUNK) -> Column:
+def chunked(values: str, size: int = CHUNK) -> str:
     """Cut a non-empty array into consecutive slices of ``size`` elements."""
-    return F.transform(
-        F.sequence(F.lit(1), F.size(values), F.lit(size)), lambda k: F.slice(values, k, size)
-    )
+    return f"transform(sequence(1, size({values}), {size}), at -> slice({values}, at, {size}))"
 
 
-def _running(values: Column) -> Column:
-    """Inclusive running sums of a short array."""
-    return F.transform(values, lambda _, i: total(F.slice(values, F.lit(1), i + 1)))
+def _running(values: str) -> str:
+    return f"transform({values}, (v, i) -> aggregate(slice({values}, 1, i + 1), 0, (tot, add) -> tot + add))"
 
 
-def prefix_sums(values: Column, levels: int = 2) -> Column:
+def prefix_sums(values: str, levels: int = 2) -> str:
     """Inclusive prefix sums of an int array.
 
     Running sums are taken inside slices of CHUNK elements; the slice totals are
     summed the same way one level up and added back. Work per element is then bound
     by CHUNK, so long documents stay close to linear, and no shuffle is needed.
     """
+    v, local, sums = f"ps{levels}", f"local{levels}", f"sums{levels}"
     if levels == 0:
-        return let(values, _running)
-
-    def over_slices(slices: Column) -> Column:
-        return let(F.transform(slices, _running), lambda local: let(
-            prefix_sums(F.transform(local, lambda part: F.element_at(part, -1)), levels - 1),
-            lambda totals: F.flatten(F.transform(local, lambda part, k: let(
-                F.coalesce(F.get(totals, k - 1), F.lit(0)),
-                lambda base: F.transform(part, lambda v: v + base),
-            ))),
-        ))
-
-    return let(values, lambda v: F.when(F.size(v) == 0, empty("int")).otherwise(
-        let(chunked(v), over_slices)
-    ))
+        return let(v, values, _running(v))
+    added = (
+        f"flatten(transform({local}, (part, k) -> "
+        + let("base", f"coalesce(get({sums}, k - 1), 0)", "transform(part, v -> v + base)") + "))")
+    slices = f"transform({chunked(v)}, piece -> {_running('piece')})"
+    body = let(local, slices, let(
+        sums, prefix_sums(f"transform({local}, part -> element_at(part, -1))", levels - 1), added))
+    return let(v, values, f"case when size({v}) = 0 then cast(array() as array<int>) else {body} end")

@@ -1,129 +1,119 @@
-"""0/1 word labels: spans, projection of spans onto words, comparison."""
+"""0/1 word labels: spans, projection of spans onto words, comparison.
+
+Functions ending in ``_sql`` take and return SQL expressions; the others take column
+names and return Columns.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from maskwright.functions.arrays import chunked, empty, let, total, zeros
+from maskwright.functions.arrays import chunked, let, total
 
 WINDOW = 64
 
 
-def labels_to_spans(labels: Column) -> Column:
+def labels_to_spans_sql(labels: str) -> str:
     """Runs of label 1 as half-open word spans: array<struct<start,end>>."""
-    def runs(l: Column) -> Column:
-        at = F.transform(l, lambda _, i: i)
-        starts = F.filter(at, lambda i: (F.get(l, i) == 1) & (F.coalesce(F.get(l, i - 1), F.lit(0)) == 0))
-        ends = F.filter(at, lambda i: (F.get(l, i) == 1) & (F.coalesce(F.get(l, i + 1), F.lit(0)) == 0))
-        return F.zip_with(starts, ends, lambda s, e: F.struct(s.alias("start"), (e + 1).alias("end")))
-
-    return let(labels, runs)
+    at = "transform(ls, (x, i) -> i)"
+    starts = f"filter({at}, i -> get(ls, i) = 1 and coalesce(get(ls, i - 1), 0) = 0)"
+    ends = f"filter({at}, i -> get(ls, i) = 1 and coalesce(get(ls, i + 1), 0) = 0)"
+    return let("ls", labels, f"zip_with({starts}, {ends}, (s, e) -> named_struct('start', s, 'end', e + 1))")
 
 
-def _overlap(word: Column, span: Column) -> Column:
-    return (word["start"] < span["end"]) & (span["start"] < word["end"])
+_OVERLAP = "(w.start < s.end and s.start < w.end)"
 
 
-def _per_window(offsets: Column, spans: Column, pick) -> Column:
-    """Apply ``pick(word, nearby spans)`` to each word.
+def _per_window(offsets: str, spans: str, pick: str, blank: str) -> str:
+    """Apply ``pick`` (word ``w``, nearby spans ``near``) to each word.
 
     Words are cut into windows and the span list is narrowed to each window first, so
     a document with many words and many spans does not compare all against all.
     """
-    def over(args: Column) -> Column:
-        return F.flatten(F.transform(chunked(args["w"], WINDOW), lambda part: let(
-            F.filter(args["s"], lambda s: (
-                s["end"] > F.element_at(part, 1)["start"]) & (s["start"] < F.element_at(part, -1)["end"])),
-            lambda near: F.transform(part, lambda w: pick(w, near)),
-        )))
+    near = "filter(sp, s -> s.end > element_at(part, 1).start and s.start < element_at(part, -1).end)"
+    body = (f"flatten(transform({chunked('wo', WINDOW)}, part -> "
+            + let("near", near, f"transform(part, w -> {pick})") + "))")
+    return let("sp", spans, let("wo", offsets, f"case when size(sp) = 0 or size(wo) = 0 then {blank} else {body} end"))
 
-    return let(F.struct(offsets.alias("w"), spans.alias("s")), over)
 
-
-def label_words(offsets: Column, spans: Column) -> Column:
+def label_words_sql(offsets: str, spans: str) -> str:
     """1 for every word that shares a character with a span."""
-    return F.when((F.size(spans) == 0) | (F.size(offsets) == 0), zeros(F.size(offsets))).otherwise(
-        _per_window(offsets, spans, lambda w, near: F.exists(near, lambda s: _overlap(w, s)).cast("int"))
-    )
+    return _per_window(offsets, spans, f"cast(exists(near, s -> {_OVERLAP}) as int)", "array_repeat(0, size(wo))")
 
 
-def type_words(offsets: Column, spans: Column) -> Column:
+def type_words_sql(offsets: str, spans: str) -> str:
     """Type of the first span in list order that overlaps each word, else ``O``."""
-    first = lambda w, near: F.coalesce(F.get(F.filter(near, lambda s: _overlap(w, s)), F.lit(0))["type"], F.lit("O"))
-    return F.when(
-        (F.size(spans) == 0) | (F.size(offsets) == 0), F.array_repeat(F.lit("O"), F.size(offsets))
-    ).otherwise(_per_window(offsets, spans, first))
+    return _per_window(offsets, spans, f"coalesce(get(filter(near, s -> {_OVERLAP}), 0).type, 'O')",
+                       "array_repeat('O', size(wo))")
+
+
+def target_words_sql(offsets: str, gold: str, start: str, end: str) -> str:
+    """Indices of the gold words that overlap a target."""
+    marked = (f"transform({offsets}, (w, i) -> case when get(go, i) = 1 and w.start < {end} and {start} < w.end then i end)")
+    return let("go", gold, f"filter({marked}, i -> i is not null)")
+
+
+def labels_to_spans(labels: str) -> Column:
+    return F.expr(labels_to_spans_sql(labels))
 
 
-def sensitive_spans(offsets: Column, labels: Column) -> Column:
+def label_words(offsets: str, spans: str) -> Column:
+    return F.expr(label_words_sql(offsets, spans))
+
+
+def type_words(offsets: str, spans: str) -> Column:
+    return F.expr(type_words_sql(offsets, spans))
+
+
+def target_words(offsets: str, gold: str, start: str, end: str) -> Column:
+    return F.expr(target_words_sql(offsets, gold, start, end))
+
+
+def sensitive_spans(offsets: str, labels: str) -> Column:
     """Character intervals of the label-1 words."""
-    return F.filter(
-        F.zip_with(offsets, labels, lambda w, l: F.when(l == 1, F.struct(w["start"].alias("start"), w["end"].alias("end")))),
-        lambda s: s.isNotNull(),
-    )
+    return F.expr(
+        f"filter(zip_with({offsets}, {labels}, (w, l) -> case when l = 1 then "
+        "named_struct('start', w.start, 'end', w.end) end), s -> s is not null)")
 
 
-def combine(left: Column, right: Column, mode: str) -> Column:
+def combine(left: str, right: str, mode: str) -> Column:
     """Word-wise OR / AND of two label arrays; lengths must agree."""
     if mode not in ("or", "and"):
         raise ValueError(f"unsupported combination mode: {mode}")
-    merge = F.greatest if mode == "or" else F.least
-    return F.when(F.size(left) == F.size(right), F.zip_with(left, right, merge)).otherwise(
-        F.raise_error(F.lit("cannot combine masks with different lengths")).cast("array<int>")
-    )
+    merge = "greatest" if mode == "or" else "least"
+    return F.expr(
+        f"case when size({left}) = size({right}) then zip_with({left}, {right}, (a, b) -> {merge}(a, b)) "
+        "else cast(raise_error('cannot combine masks with different lengths') as array<int>) end")
 
 
-def confusion(gold: Column, pred: Column) -> Column:
+def confusion(gold: str, pred: str) -> Column:
     """struct<tp,fp,fn,tn> of two equally long label arrays."""
-    sums = F.struct(
-        total(F.zip_with(gold, pred, lambda g, p: g * p)).alias("tp"),
-        total(gold).alias("gold"), total(pred).alias("pred"), F.size(gold).alias("n"),
-    )
-    return let(sums, lambda s: F.struct(
-        s["tp"].cast("bigint").alias("tp"),
-        (s["pred"] - s["tp"]).cast("bigint").alias("fp"),
-        (s["gold"] - s["tp"]).cast("bigint").alias("fn"),
-        (s["n"] - s["gold"] - s["pred"] + s["tp"]).cast("bigint").alias("tn"),
-    ))
-
-
-def target_words(offsets: Column, gold: Column, target_start: Column, target_end: Column) -> Column:
-    """Indices of the gold words that overlap a target."""
-    marked = F.zip_with(F.transform(offsets, lambda w, i: F.struct(
-        i.alias("i"), w["start"].alias("start"), w["end"].alias("end"))), gold,
-        lambda w, g: F.struct(w["i"].alias("i"), ((g == 1) & (w["start"] < target_end) & (target_start < w["end"])).alias("hit")))
-    return F.transform(F.filter(marked, lambda m: m["hit"]), lambda m: m["i"])
+    sums = (f"named_struct('tp', {total(f'zip_with({gold}, {pred}, (g, p) -> g * p)')}, 'g', {total(gold)}, "
+            f"'p', {total(pred)}, 'n', size({gold}))")
+    return F.expr(let("cs", sums, (
+        "named_struct('tp', cast(cs.tp as bigint), 'fp', cast(cs.p - cs.tp as bigint), "
+        "'fn', cast(cs.g - cs.tp as bigint), 'tn', cast(cs.n - cs.g - cs.p + cs.tp as bigint))")))
 
 
-def detected(indices: Column, pred: Column) -> Column:
+def detected(indices: str, pred: str) -> Column:
     """A target is detected when it has gold words and all of them are predicted."""
-    return (F.size(indices) > 0) & F.forall(indices, lambda i: F.get(pred, i) == 1)
+    return F.expr(f"size({indices}) > 0 and forall({indices}, i -> get({pred}, i) = 1)")
 
 
-def label_error(words: Column, labels: Column) -> Column:
+def label_error(words: str, labels: str) -> Column:
     """Why labels are unusable (null when fine)."""
-    return (
-        F.when(labels.isNull(), F.lit("labels missing"))
-        .when(F.size(words) != F.size(labels), F.concat(
-            F.lit("expected "), F.size(words).cast("string"), F.lit(" labels, got "), F.size(labels).cast("string")))
-        .when(~F.forall(labels, lambda l: F.coalesce(l.isin(0, 1), F.lit(False))), F.lit("every label must be integer 0 or 1"))
-    )
+    return F.expr(
+        f"case when {labels} is null then 'labels missing' "
+        f"when size({words}) <> size({labels}) then concat('expected ', size({words}), ' labels, got ', size({labels})) "
+        f"when not forall({labels}, l -> coalesce(l in (0, 1), false)) then 'every label must be integer 0 or 1' end")
 
 
-def outcome(gold: Column, pred: Column) -> Column:
+def outcome(gold: str, pred: str) -> Column:
     """Disagreement class of one example; a null prediction means truncated."""
-    bits = F.zip_with(gold, pred, lambda g, p: F.when(p.isNull(), 4).when((g == 1) & (p == 0), 1).when((g == 0) & (p == 1), 2).otherwise(0))
-    return let(bits, lambda b: (
-        F.when(F.array_contains(b, 4), "truncated")
-        .when(F.array_contains(b, 1) & F.array_contains(b, 2), "missed+overmask")
-        .when(F.array_contains(b, 1), "missed")
-        .when(F.array_contains(b, 2), "overmask")
-        .otherwise("agreement")
-    ))
-
-
-__all__ = [
-    "combine", "confusion", "detected", "empty", "label_error", "label_words", "labels_to_spans",
-    "outcome", "sensitive_spans", "target_words", "type_words",
-]
+    bits = (f"zip_with({gold}, {pred}, (g, p) -> case when p is null then 4 when g = 1 and p = 0 then 1 "
+            "when g = 0 and p = 1 then 2 else 0 end)")
+    return F.expr(let("bits", bits, (
+        "case when array_contains(bits, 4) then 'truncated' "
+        "when array_contains(bits, 1) and array_contains(bits, 2) then 'missed+overmask' "
+        "when array_contains(bits, 1) then 'missed' when array_contains(bits, 2) then 'overmask' else 'agreement' end")))

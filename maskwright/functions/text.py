@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from maskwright.functions.arrays import let, prefix_sums
+from maskwright.functions.arrays import let, prefix_sums, sql_string
 
 # The word and space classes spelled out, so that the result does not
 # depend on a regex engine's Unicode flags.
@@ -20,53 +20,52 @@ SPACED_TOKEN = rf"[{SPACE}]*(?:{TOKEN})"
 MASK = "[REDACTED]"
 PAIR_SEPARATOR = "[PAIR]"
 
-SPAN_TYPE = "struct<word:string,start:int,end:int>"
 
+def words_sql(text: str) -> str:
+    return f"regexp_extract_all({text}, {sql_string(TOKEN)}, 0)"
 
-def words(text: Column) -> Column:
-    """Words of a text: letter/digit runs joined by ' ’ or -, or one other visible character."""
-    return F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
 
+def tiled_spans_sql(hits: str, gaps: str) -> str:
+    """Offsets of matches from the gaps between them: array<struct<word,start,end>>.
 
-def regex_spans(text: Column, pattern: str) -> Column:
-    """All matches with half-open code-point offsets: array<struct<word,start,end>>.
-
-    The gaps (``split``) and the matches (``regexp_extract_all``) tile the text, so a
-    match ends at the prefix sum of gap and match lengths up to it.
+    Gaps and matches tile the text, so a match ends at the prefix sum of gap and match
+    lengths up to it.
     """
-    parts = F.struct(
-        F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hits"),
-        F.split(text, pattern, -1).alias("gaps"),
-    )
-    return let(parts, lambda p: F.zip_with(
-        p["hits"],
-        prefix_sums(F.zip_with(
-            p["hits"],
-            F.slice(p["gaps"], F.lit(1), F.size(p["hits"])),
-            lambda hit, gap: F.length(hit) + F.length(gap),
-        )),
-        lambda hit, end: F.struct(
-            hit.alias("word"), (end - F.length(hit)).alias("start"), end.alias("end")
-        ),
-    ))
-
-
-def word_offsets(text: Column) -> Column:
-    """Words with half-open code-point offsets.
+    lengths = f"zip_with({hits}, slice({gaps}, 1, size({hits})), (hit, gap) -> length(hit) + length(gap))"
+    return (f"zip_with({hits}, {prefix_sums(lengths)}, "
+            "(hit, stop) -> named_struct('word', hit, 'start', stop - length(hit), 'end', stop))")
+
+
+def regex_spans_sql(text: str, pattern: str) -> str:
+    """All matches of a pattern with half-open code-point offsets."""
+    p = sql_string(pattern)
+    return let("hits", f"regexp_extract_all({text}, {p}, 0)",
+               let("gaps", f"split({text}, {p}, -1)", tiled_spans_sql("hits", "gaps")))
+
+
+def word_offsets_sql(text: str) -> str:
+    """Words with offsets: array<struct<word,start,end>>.
 
     Only whitespace lies between words, so matching each word together with the
     whitespace before it gives the lengths to sum, without a split.
     """
-    parts = F.struct(
-        words(text).alias("hits"),
-        F.transform(F.regexp_extract_all(text, F.lit(SPACED_TOKEN), F.lit(0)), F.length).alias("lengths"),
-    )
-    return let(parts, lambda p: F.zip_with(
-        p["hits"], prefix_sums(p["lengths"]),
-        lambda hit, end: F.struct(
-            hit.alias("word"), (end - F.length(hit)).alias("start"), end.alias("end")
-        ),
-    ))
+    lengths = f"transform(regexp_extract_all({text}, {sql_string(SPACED_TOKEN)}, 0), x -> length(x))"
+    return (f"zip_with({words_sql(text)}, {prefix_sums(lengths)}, "
+            "(hit, stop) -> named_struct('word', hit, 'start', stop - length(hit), 'end', stop))")
+
+
+def words(text: Column) -> Column:
+    """Words of a text: letter/digit runs joined by ' ’ or -, or one other visible character."""
+    return F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
+
+
+def word_offsets(text: str) -> Column:
+    """Words with half-open code-point offsets of a column (or SQL expression)."""
+    return F.expr(word_offsets_sql(text))
+
+
+def regex_spans(text: str, pattern: str) -> Column:
+    return F.expr(regex_spans_sql(text, pattern))
 
 
 def join_words(tokens: Column) -> Column:

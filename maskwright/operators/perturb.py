@@ -16,9 +16,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskwright.functions import predicates as P
-from maskwright.functions.arrays import let
-from maskwright.functions.text import code_point, word_offsets, words
+from maskwright.functions.arrays import let, sql_string
+from maskwright.functions.lexicons import DOSAGE_UNITS
+from maskwright.functions.predicates import DIGIT
+from maskwright.functions.text import code_point, word_offsets_sql, words
 
 
 @dataclass(frozen=True)
@@ -90,95 +91,68 @@ def catalog_mismatches(registry: DataFrame, documented: DataFrame) -> DataFrame:
         F.col("registered").isNull() | F.col("documented").isNull())
 
 
-def _first(values: Column) -> Column:
-    return F.get(values, F.lit(0))
-
-
-def _sites(text: Column, labels: Column, families: set[str]) -> Column:
-    """First eligible site per family: array<struct<family, cut, target, run>> without gaps."""
-
-    def find(t: Column) -> Column:
-        n = F.size(t)
-        # each word with its follower (the last word has a null follower)
-        steps = F.zip_with(t, F.slice(t, F.lit(2), n), lambda x, y: F.struct(x.alias("x"), y.alias("y")))
-        spaced = lambda p: (p["x"]["l"] == 1) & (p["y"]["l"] == 1) & (p["y"]["start"] > p["x"]["end"])
-
-        def site(family: str, found: Column, last: Column, cut_start: Column, cut_end: Column,
-                 t_start: Column, t_end: Column, edit: Column) -> Column:
-            return F.when(found.isNotNull(), F.struct(
-                F.lit(family).alias("family"), found["i"].alias("first"), last["i"].alias("last"),
-                cut_start.alias("cut_start"), cut_end.alias("cut_end"),
-                t_start.alias("target_start"), t_end.alias("target_end"), edit.alias("edit")))
-
-        def space() -> Column:
-            return let(_first(F.filter(steps, spaced)), lambda p: site(
-                "space", p["x"], p["y"], p["x"]["end"], p["y"]["start"], p["x"]["start"], p["y"]["end"],
-                F.create_map(F.lit("old"), F.substring(text, p["x"]["end"] + 1, p["y"]["start"] - p["x"]["end"]))))
-
-        def dosage() -> Column:
-            hit = lambda p: spaced(p) & P.is_number(p["x"]["word"]) & P.is_dosage_unit(p["y"]["word"])
-            return let(_first(F.filter(steps, hit)), lambda p: site(
-                "dosage", p["x"], p["y"], p["x"]["end"], p["y"]["start"], p["x"]["start"], p["y"]["end"],
-                F.create_map(F.lit("number"), p["x"]["word"], F.lit("unit"), F.rtrim(F.lower(p["y"]["word"]), F.lit(".")))))
-
-        def apostrophe() -> Column:
-            hit = lambda w: (w["l"] == 1) & w["word"].rlike("['’]")
-
-            def build(w: Column) -> Column:
-                at = w["start"] + F.regexp_instr(w["word"], F.lit("['’]")) - 1
-                return site("apostrophe", w, w, at, at + 1, w["start"], w["end"], F.create_map(
-                    F.lit("word_index"), w["i"].cast("string"), F.lit("old"), F.substring(text, at + 1, F.lit(1))))
-            return let(_first(F.filter(t, hit)), build)
-
-        def punctuation() -> Column:
-            marked = lambda p: (p["y"]["start"] == p["x"]["end"]) & p["y"]["word"].isin(",", ";", ":")
-            hit = lambda p: (p["x"]["l"] == 1) & P.has_digit(p["x"]["word"]) & ~F.coalesce(marked(p), F.lit(False))
-            return let(_first(F.filter(steps, hit)), lambda p: site(
-                "punctuation", p["x"], p["x"], p["x"]["end"], p["x"]["end"], p["x"]["start"], p["x"]["end"],
-                F.create_map(F.lit("word_index"), p["x"]["i"].cast("string"))))
-
-        def inside() -> Column:
-            hit = lambda w: (w["l"] == 1) & P.is_long_word(w["word"])
-
-            def build(w: Column) -> Column:
-                at = w["start"] + F.floor(F.length(w["word"]) / 2).cast("int")
-                return site("inside", w, w, at, at, w["start"], w["end"],
-                            F.create_map(F.lit("word_index"), w["i"].cast("string")))
-            return let(_first(F.filter(t, hit)), build)
-
-        makers = {"space": space, "apostrophe": apostrophe, "dosage": dosage,
-                  "punctuation": punctuation, "inside": inside}
-        found = F.filter(F.array(*[make() for name, make in makers.items() if name in families]), lambda s: s.isNotNull())
-        # word positions that start a whitespace-delimited run
-        breaks = F.filter(F.transform(t, lambda w, i: F.when(
-            (i == 0) | (w["start"] > F.get(t, i - 1)["end"]), i)), lambda i: i.isNotNull())
-
-        def with_run(b: Column) -> Column:
-            def add(s: Column) -> Column:
-                lo = F.array_max(F.filter(b, lambda k: k <= s["first"]))
-                hi = F.coalesce(F.array_min(F.filter(b, lambda k: k > s["last"])), n) - 1
-                return let(F.struct(lo.alias("lo"), hi.alias("hi")), lambda r: F.struct(
-                    *[s[f].alias(f) for f in ("family", "first", "last", "cut_start", "cut_end",
-                                              "target_start", "target_end", "edit")],
-                    r["lo"].alias("lo"), r["hi"].alias("hi"),
-                    F.get(t, r["lo"])["start"].alias("run_start"), F.get(t, r["hi"])["end"].alias("run_end"),
-                    F.transform(F.filter(F.slice(t, r["lo"] + 1, r["hi"] - r["lo"] + 1), lambda w: w["l"] == 1),
-                                lambda w: F.struct(w["start"].alias("start"), w["end"].alias("end"))).alias("masked_spans"),
-                ))
-            return F.transform(found, add)
-
-        return let(breaks, with_run)
-
-    tokens = let(word_offsets(text), lambda w: F.zip_with(
-        F.transform(w, lambda x, i: F.struct(i.alias("i"), x.alias("w"))), labels, lambda x, l: F.struct(
-            x["i"].alias("i"), x["w"]["word"].alias("word"), x["w"]["start"].alias("start"),
-            x["w"]["end"].alias("end"), l.alias("l"))))
-    # rows without a sensitive word have no site and skip the offsets
-    return F.when(F.exists(labels, lambda l: l == 1), let(tokens, find))
-
-
-def _touch(lo: Column, hi: Column, spans: Column) -> Column:
-    return (lo < hi) & F.exists(spans, lambda s: (s["start"] < hi) & (lo < s["end"]))
+# A word of the row being edited, a word with its follower, and what makes a site.
+_SENSITIVE = "w.l = 1"
+_BOTH = "p.x.l = 1 and p.y.l = 1 and p.y.start > p.x.end"
+_UNITS = ", ".join(f"'{u}'" for u in DOSAGE_UNITS)
+_NUMBER = sql_string(r"^\p{Nd}+$")
+_LONG = sql_string(r"^\p{L}{5,}$")
+_DIGIT = sql_string(f"[{DIGIT}]")
+_MARK = "coalesce(p.y.start = p.x.end and p.y.word in (',', ';', ':'), false)"
+
+
+def _site(family: str, first: str, last: str, cut: tuple[str, str], edit: str) -> str:
+    return (
+        f"named_struct('family', '{family}', 'first', {first}.i, 'last', {last}.i, 'cut_start', {cut[0]}, 'cut_end', {cut[1]}, "
+        f"'target_start', {first}.start, 'target_end', {last}.end, 'edit', {edit})")
+
+
+def _site_sql(family: str) -> str:
+    """First eligible site of a family (null when there is none), over words ``t`` and steps ``st``."""
+    gap = ("p.x.end", "p.y.start")
+    word_index = "map('word_index', cast(w.i as string))"
+    if family == "space":
+        return _pick("st", "p", _BOTH, _site("space", "p.x", "p.y", gap, "map('old', substring(txt, p.x.end + 1, p.y.start - p.x.end))"))
+    if family == "dosage":
+        unit = "trim(trailing '.' from lower(p.y.word))"
+        return _pick("st", "p", f"{_BOTH} and rlike(p.x.word, {_NUMBER}) and {unit} in ({_UNITS})",
+                     _site("dosage", "p.x", "p.y", gap, f"map('number', p.x.word, 'unit', {unit})"))
+    if family == "punctuation":
+        return _pick("st", "p", f"p.x.l = 1 and rlike(p.x.word, {_DIGIT}) and not {_MARK}",
+                     _site("punctuation", "p.x", "p.x", ("p.x.end", "p.x.end"), "map('word_index', cast(p.x.i as string))"))
+    if family == "apostrophe":
+        at = """(w.start + regexp_instr(w.word, "['’]") - 1)"""
+        edit = f"map('word_index', cast(w.i as string), 'old', substring(txt, {at} + 1, 1))"
+        return _pick("t", "w", f"""{_SENSITIVE} and rlike(w.word, "['’]")""", _site("apostrophe", "w", "w", (at, f"{at} + 1"), edit))
+    at = "(w.start + cast(floor(length(w.word) / 2) as int))"
+    return _pick("t", "w", f"{_SENSITIVE} and rlike(w.word, {_LONG})", _site("inside", "w", "w", (at, at), word_index))
+
+
+def _pick(source: str, name: str, test: str, made: str) -> str:
+    return let(name, f"get(filter({source}, {name} -> {test}), 0)", f"case when {name} is not null then {made} end")
+
+
+def _sites_sql(text: str, labels: str, families: set[str]) -> str:
+    """First eligible site per family, with the whitespace-delimited run around it.
+
+    Rows without a sensitive word have no site and skip the offsets.
+    """
+    tokens = let("lb", labels, (
+        f"transform({word_offsets_sql('txt')}, (w, i) -> named_struct('i', i, 'word', w.word, 'start', w.start, 'end', w.end, 'l', get(lb, i)))"))
+    steps = "zip_with(t, slice(t, 2, size(t)), (x, y) -> named_struct('x', x, 'y', y))"
+    found = f"filter(array({', '.join(_site_sql(f) for f in sorted(families))}), f -> f is not null)"
+    # word positions that start a run
+    breaks = "filter(transform(t, (w, i) -> case when i = 0 or w.start > get(t, i - 1).end then i end), i -> i is not null)"
+    fields = ("family", "first", "last", "cut_start", "cut_end", "target_start", "target_end", "edit")
+    lo = "array_max(filter(br, k -> k <= f.first))"
+    hi = "coalesce(array_min(filter(br, k -> k > f.last)), size(t)) - 1"
+    masked = ("transform(filter(slice(t, r.lo + 1, r.hi - r.lo + 1), w -> w.l = 1), "
+              "w -> named_struct('start', w.start, 'end', w.end))")
+    full = let("r", f"named_struct('lo', {lo}, 'hi', {hi})", (
+        "named_struct(" + ", ".join(f"'{n}', f.{n}" for n in fields)
+        + f", 'lo', r.lo, 'hi', r.hi, 'run_start', get(t, r.lo).start, 'run_end', get(t, r.hi).end, 'masked_spans', {masked})"))
+    body = let("t", tokens, let("st", steps, let("br", breaks, f"transform({found}, f -> {full})")))
+    return f"case when exists({labels}, v -> v = 1) then {let('txt', text, body)} end"
 
 
 def variants(rows: DataFrame, chosen: tuple[Noise, ...], keep: list[str]) -> DataFrame:
@@ -188,62 +162,48 @@ def variants(rows: DataFrame, chosen: tuple[Noise, ...], keep: list[str]) -> Dat
     Words and labels of the input appear as clean_words and clean_labels.
     """
     families = {n.family for n in chosen}
-    by_family = F.create_map(*[part for family in sorted(families) for part in (
-        F.lit(family), F.array(*[F.struct(
-            F.lit(n.name).alias("noise_type"), F.lit(n.group).alias("noise_group"),
-            F.lit(n.replacement).alias("replacement"), F.lit(n.masked).alias("masked"),
-        ) for n in chosen if n.family == family]))])
-    site = rows.select(
+    kinds = ", ".join(
+        f"'{family}', array(" + ", ".join(
+            f"named_struct('noise_type', '{n.name}', 'noise_group', '{n.group}', 'replacement', {sql_string(n.replacement)}, 'masked', {n.masked})"
+            for n in chosen if n.family == family) + ")" for family in sorted(families))
+    found = rows.select(
         *keep, F.col("text").alias("clean_text"), F.col("words").alias("clean_words"),
-        F.col("labels").alias("clean_labels"),
-        F.explode(_sites(F.col("text"), F.col("labels"), families)).alias("s"))
-    edited = site.select("*", F.inline(by_family[F.col("s.family")])).select(
+        F.col("labels").alias("clean_labels"), F.expr(f"explode({_sites_sql('text', 'labels', families)}) as site"))
+    edited = found.select("*", F.expr(f"inline(element_at(map({kinds}), site.family))")).select(
         "*",
-        F.concat(
-            F.substring("clean_text", F.lit(1), F.col("s.cut_start")), F.col("replacement"),
-            F.expr("substring(clean_text, s.cut_end + 1)")).alias("text"),
-        F.length("replacement").alias("_added"),
-        (F.length("replacement") - (F.col("s.cut_end") - F.col("s.cut_start"))).alias("_shift"),
-    )
-    fresh_end = F.col("s.cut_start") + F.col("_added")
-    shift = F.col("_shift")
-
-    def project(word: Column) -> Column:
-        start, end = word["start"] + F.col("s.run_start"), word["end"] + F.col("s.run_start")
-        spans = F.col("s.masked_spans")
-        hit = (
-            _touch(start, F.least(end, F.col("s.cut_start")), spans)
-            | ((F.col("masked") == 1) & (start < fresh_end) & (F.col("s.cut_start") < end))
-            | _touch(F.greatest(start, fresh_end) - shift, end - shift, spans)
-        )
-        return F.struct(word["word"].alias("word"), start.alias("start"), end.alias("end"), hit.cast("int").alias("label"))
-
-    run = F.substring(F.col("text"), F.col("s.run_start") + 1, F.col("s.run_end") - F.col("s.run_start") + shift)
-    stretched = F.col("s.cut_start") < F.col("s.target_end")
-    spliced = edited.select(
+        F.expr("concat(substring(clean_text, 1, site.cut_start), replacement, substring(clean_text, site.cut_end + 1))").alias("text"),
+        F.expr("length(replacement) - (site.cut_end - site.cut_start)").alias("_shift"),
+        F.expr("site.cut_start + length(replacement)").alias("_fresh_end"))
+    windowed = edited.select(
         "*",
-        F.transform(word_offsets(run), project).alias("_run"),
-        F.when(stretched, F.col("s.target_end") + shift).otherwise(F.col("s.target_end")).alias("_noisy_end"),
-    )
+        F.expr("substring(text, site.run_start + 1, site.run_end - site.run_start + _shift)").alias("_run_text"),
+        F.expr("site.target_end + case when site.cut_start < site.target_end then _shift else 0 end").alias("_noisy_end"))
+    # a character of the new text is sensitive when it comes from a sensitive character
+    # before or after the cut, or from a replacement that counts as sensitive
+    touch = lambda lo, hi: f"({lo} < {hi} and exists(site.masked_spans, m -> m.start < {hi} and {lo} < m.end))"
+    label = (
+        f"{touch('w.start', 'least(w.end, site.cut_start)')} "
+        "or (masked = 1 and w.start < _fresh_end and site.cut_start < w.end) "
+        f"or {touch('(greatest(w.start, _fresh_end) - _shift)', '(w.end - _shift)')}")
+    moved = (f"transform({word_offsets_sql('_run_text')}, w -> named_struct('word', w.word, "
+             "'start', w.start + site.run_start, 'end', w.end + site.run_start))")
+    spliced = windowed.withColumn("_run", F.expr(
+        f"transform({moved}, w -> named_struct('word', w.word, 'start', w.start, 'end', w.end, 'label', cast({label} as int)))"))
 
     def splice(before: str, middle: str) -> Column:
-        return F.concat(
-            F.slice(before, F.lit(1), F.col("s.lo")),
-            F.transform("_run", lambda w: w[middle]),
-            F.slice(before, F.col("s.hi") + 2, F.size(before) - F.col("s.hi") - 1))
-
-    numbered = F.transform("_run", lambda w, i: F.when(
-        (w["label"] == 1) & (w["start"] < F.col("_noisy_end")) & (F.col("s.target_start") < w["end"]), i + F.col("s.lo")))
-    shown = F.when(F.col("s.family") == "inside", code_point(F.col("replacement"))).otherwise(F.col("replacement"))
+        return F.expr(f"concat(slice({before}, 1, site.lo), transform(_run, w -> w.{middle}), "
+                      f"slice({before}, site.hi + 2, size({before}) - site.hi - 1))")
+
+    hit = "case when w.label = 1 and w.start < _noisy_end and site.target_start < w.end then i + site.lo end"
+    shown = F.when(F.col("site.family") == "inside", code_point(F.col("replacement"))).otherwise(F.col("replacement"))
     return spliced.select(
         *keep, "noise_type", "noise_group", "clean_text", "clean_words", "clean_labels",
-        F.struct(F.col("s.target_start").alias("start"), F.col("s.target_end").alias("end")).alias("clean_target"),
-        F.sequence("s.first", "s.last").alias("clean_target_words"),
+        F.expr("named_struct('start', site.target_start, 'end', site.target_end)").alias("clean_target"),
+        F.sequence("site.first", "site.last").alias("clean_target_words"),
         "text", splice("clean_words", "word").alias("words"), splice("clean_labels", "label").alias("labels"),
-        F.struct(F.col("s.target_start").alias("start"), F.col("_noisy_end").alias("end")).alias("noisy_target"),
-        F.filter(numbered, lambda i: i.isNotNull()).alias("target_words"),
-        F.map_concat(F.create_map(F.lit("kind"), F.col("noise_type"), F.lit("new"), shown), F.col("s.edit")).alias("edit"),
-    )
+        F.expr("named_struct('start', site.target_start, 'end', _noisy_end)").alias("noisy_target"),
+        F.expr(f"filter(transform(_run, (w, i) -> {hit}), i -> i is not null)").alias("target_words"),
+        F.map_concat(F.create_map(F.lit("kind"), F.col("noise_type"), F.lit("new"), shown), F.col("site.edit")).alias("edit"))
 
 
 def build_pairs(rows: DataFrame, group: str = "all", dataset: str = "dataset_name") -> DataFrame:

@@ -9,9 +9,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from maskwright.functions import labels as L
+from maskwright.functions import lexicons as lx
 from maskwright.functions import predicates as P
-from maskwright.functions.arrays import empty, let
-from maskwright.functions.text import SPACE, SPACED_TOKEN, WORD, regex_spans, word_offsets, words
+from maskwright.functions.arrays import let, sql_string
+from maskwright.functions.text import SPACE, SPACED_TOKEN, WORD, tiled_spans_sql, word_offsets_sql, words, words_sql
 
 SPAN = "struct<start:int,end:int,type:string,hit:string>"
 
@@ -35,8 +36,9 @@ class Rule:
     guard: str
     guard_is_pattern: bool = True
 
-    def applies(self, text: Column) -> Column:
-        return text.rlike(self.guard) if self.guard_is_pattern else F.contains(text, F.lit(self.guard))
+    def applies(self, text: str) -> str:
+        test = "rlike" if self.guard_is_pattern else "contains"
+        return f"{test}({text}, {sql_string(self.guard)})"
 
 
 # The nine rules and the version that added each.
@@ -79,40 +81,49 @@ def named_rules(*names: str) -> tuple[Rule, ...]:
     return tuple(r for r in RULES if r.name in names)
 
 
-def rule_spans(text: Column, rules: tuple[Rule, ...] = RULES) -> Column:
-    """Spans of all rules, in rule order: array<struct<start,end,type,hit>>."""
+def rule_spans_sql(text: str, rules: tuple[Rule, ...] = RULES) -> str:
+    """Spans of all rules, in rule order: array<struct<start,end,type,hit>>.
+
+    Each rule contributes its matches and the gaps between them; the offsets are then
+    worked out by one shared expression, only for rules that matched.
+    """
     if not rules:
-        return empty(SPAN)
+        return f"cast(array() as array<{SPAN}>)"
+    scans = ", ".join(
+        f"case when {r.applies(text)} then named_struct('type', '{r.name}', "
+        f"'hits', regexp_extract_all({text}, {sql_string(r.pattern)}, 0), 'gaps', split({text}, {sql_string(r.pattern)}, -1)) end"
+        for r in rules)
+    typed = "m -> named_struct('start', m.start, 'end', m.end, 'type', rule.type, 'hit', m.word)"
+    return (f"flatten(transform(filter(array({scans}), rule -> size(rule.hits) > 0), "
+            f"rule -> transform({tiled_spans_sql('rule.hits', 'rule.gaps')}, {typed})))")
 
-    def spans(rule: Rule) -> Column:
-        return F.when(rule.applies(text), F.transform(regex_spans(text, rule.pattern), lambda m: F.struct(
-            m["start"].alias("start"), m["end"].alias("end"),
-            F.lit(rule.name).alias("type"), m["word"].alias("hit")))).otherwise(empty(SPAN))
 
-    return F.concat(*[spans(rule) for rule in rules])
+def rule_labels_sql(text: str, rules: tuple[Rule, ...] = RULES, spans: str | None = None) -> str:
+    """Labels from rule spans; offsets are only computed for texts in which some rule fires."""
+    return let("rs", spans or rule_spans_sql(text, rules), (
+        f"case when size(rs) = 0 then transform({words_sql(text)}, x -> 0) "
+        f"else {L.label_words_sql(word_offsets_sql(text), 'rs')} end"))
 
 
-def rule_counts(text: Column, rules: tuple[Rule, ...] = RULES) -> dict[str, Column]:
-    """Number of matches per rule."""
-    return {
-        r.name: F.when(r.applies(text), F.regexp_count(text, F.lit(r.pattern))).otherwise(0) for r in rules
-    }
+def rule_spans(text: str, rules: tuple[Rule, ...] = RULES) -> Column:
+    return F.expr(rule_spans_sql(text, rules))
 
 
-def rule_labels(text: Column, rules: tuple[Rule, ...] = RULES) -> Column:
-    """Word labels of a text under a set of rules, one label per word of the text.
+def rule_counts(text: str, rules: tuple[Rule, ...] = RULES) -> dict[str, Column]:
+    """Number of matches per rule."""
+    return {r.name: F.expr(f"case when {r.applies(text)} then regexp_count({text}, {sql_string(r.pattern)}) else 0 end")
+            for r in rules}
 
-    Offsets are only computed for texts in which some rule fires.
-    """
-    return let(rule_spans(text, rules), lambda s: F.when(
-        F.size(s) == 0, F.transform(words(text), lambda _: F.lit(0))
-    ).otherwise(L.label_words(word_offsets(text), s)))
+
+def rule_labels(text: str, rules: tuple[Rule, ...] = RULES) -> Column:
+    """Word labels of a text under a set of rules, one label per word of the text."""
+    return F.expr(rule_labels_sql(text, rules))
 
 
-def rule_types(text: Column, rules: tuple[Rule, ...] = RULES) -> Column:
-    return let(rule_spans(text, rules), lambda s: F.when(
-        F.size(s) == 0, F.transform(words(text), lambda _: F.lit("O"))
-    ).otherwise(L.type_words(word_offsets(text), s)))
+def rule_types(text: str, rules: tuple[Rule, ...] = RULES) -> Column:
+    return F.expr(let("rs", rule_spans_sql(text, rules), (
+        f"case when size(rs) = 0 then transform({words_sql(text)}, x -> 'O') "
+        f"else {L.type_words_sql(word_offsets_sql(text), 'rs')} end")))
 
 
 def policy_id(masker: str, version: str) -> str:
@@ -135,8 +146,8 @@ def annotate(docs: DataFrame, version: str = "1.4", masker: str = "pattern", tas
     return docs.select(
         "*",
         words(F.col("text")).alias("words"),
-        rule_labels(F.col("text"), rules).alias("labels"),
-        rule_types(F.col("text"), rules).alias("types"),
+        rule_labels("text", rules).alias("labels"),
+        rule_types("text", rules).alias("types"),
         F.lit(policy_id(masker, version)).alias("teacher_policy"),
         rule_manifest(masker, version, task).alias("rule_manifest"),
     )
@@ -152,31 +163,30 @@ def normalise_c1(text: Column) -> Column:
     return F.translate(text, C1_CHARACTERS, C1_ASCII)
 
 
-def expand_quantities(tokens: Column, labels: Column, steps: int = 2) -> Column:
-    """Extend a mask to adjacent numbers and units, at most ``steps`` words away."""
-    def mark(args: Column) -> Column:
-        def reach(i: Column) -> Column:
-            hit = F.get(args["l"], i) == 1
-            for side in (-1, 1):
-                chain = F.lit(True)
-                for step in range(1, steps + 1):
-                    # every word between the masked one and this one must be a quantity too
-                    hit = hit | (chain & (F.coalesce(F.get(args["l"], i + side * step), F.lit(0)) == 1)
-                                 & F.get(args["q"], i))
-                    chain = chain & F.coalesce(F.get(args["q"], i + side * step), F.lit(False))
-            return hit.cast("int")
-        return F.transform(args["l"], lambda _, i: reach(i))
-
-    quantity = F.transform(tokens, lambda w: P.is_number(w) | P.is_dosage_unit(w))
-    return let(F.struct(labels.alias("l"), quantity.alias("q")), mark)
+def expand_quantities(tokens: str, labels: str, steps: int = 2) -> Column:
+    """Extend a mask to adjacent numbers and units, at most ``steps`` words away.
 
-
-def symmetrise(tokens: Column, labels: Column) -> Column:
+    Every word between the masked one and the one reached must be a quantity too.
+    """
+    units = ", ".join(f"'{u}'" for u in lx.DOSAGE_UNITS)
+    quantity = f"transform({tokens}, w -> rlike(w, '^\\\\p{{Nd}}+$') or trim(trailing '.' from lower(w)) in ({units}))"
+    near = []
+    for side in (-1, 1):
+        for step in range(1, steps + 1):
+            between = [f"coalesce(get(q, i + {side * k}), false)" for k in range(1, step)]
+            near.append(" and ".join([f"coalesce(get(l, i + {side * step}), 0) = 1", *between]))
+    reached = " or ".join(f"({n})" for n in near)
+    return F.expr(let("q", quantity, let(
+        "l", labels, f"transform(l, (x, i) -> cast(x = 1 or (get(q, i) and ({reached})) as int))")))
+
+
+def symmetrise(tokens: str, labels: str) -> Column:
     """A surface form masked once is masked everywhere in the document."""
-    masked = F.array_distinct(F.filter(
-        F.zip_with(tokens, labels, lambda w, l: F.when(l == 1, F.lower(w))), lambda w: w.isNotNull()))
-    return let(masked, lambda m: F.when(F.size(m) == 0, labels).otherwise(
-        F.transform(tokens, lambda w: F.array_contains(m, F.lower(w)).cast("int"))))
+    masked = (f"array_distinct(filter(zip_with({tokens}, {labels}, (w, l) -> case when l = 1 then lower(w) end), "
+              "w -> w is not null))")
+    return F.expr(let("masked", masked, (
+        f"case when size(masked) = 0 then {labels} "
+        f"else transform({tokens}, w -> cast(array_contains(masked, lower(w)) as int)) end")))
 
 
 def drop_excluded(tokens: Column, labels: Column) -> Column:
@@ -184,20 +194,22 @@ def drop_excluded(tokens: Column, labels: Column) -> Column:
     return F.zip_with(tokens, labels, lambda w, l: F.when(P.rule_exclusion(w), 0).otherwise(l))
 
 
-def possessive_pass(text: Column, rules: tuple[Rule, ...] = RULES) -> Column:
+def _second_look(text: str, changed: str, rules: tuple[Rule, ...]) -> Column:
+    """Labels of the text OR of an equally long variant of it."""
+    both = f"concat({rule_spans_sql(text, rules)}, case when alt = {text} then cast(array() as array<{SPAN}>) else {rule_spans_sql('alt', rules)} end)"
+    return F.expr(let("alt", changed, rule_labels_sql(text, rules, both)))
+
+
+def possessive_pass(text: str, rules: tuple[Rule, ...] = RULES) -> Column:
     """Labels of the text OR of the text with 's blanked out (same offsets)."""
-    stripped = F.regexp_replace(text, r"['’]s(?![\p{L}\p{N}_])", "  ")
-    return F.when(stripped == text, rule_labels(text, rules)).otherwise(
-        let(F.concat(rule_spans(text, rules), rule_spans(stripped, rules)),
-            lambda s: L.label_words(word_offsets(text), s)))
+    pattern = sql_string(rf"['’]s(?![{WORD}])")
+    return _second_look(text, f"regexp_replace({text}, {pattern}, '  ')", rules)
 
 
-def hyphen_union(text: Column, rules: tuple[Rule, ...] = RULES) -> Column:
+def hyphen_union(text: str, rules: tuple[Rule, ...] = RULES) -> Column:
     """Labels of the text OR of the text with inner hyphens turned to spaces (same offsets)."""
-    split = F.regexp_replace(text, r"(?<=[\p{L}\p{N}_])-(?=[\p{L}\p{N}_])", " ")
-    return F.when(split == text, rule_labels(text, rules)).otherwise(
-        let(F.concat(rule_spans(text, rules), rule_spans(split, rules)),
-            lambda s: L.label_words(word_offsets(text), s)))
+    pattern = sql_string(rf"(?<=[{WORD}])-(?=[{WORD}])")
+    return _second_look(text, f"regexp_replace({text}, {pattern}, ' ')", rules)
 
 
 def split_run_on(text: Column) -> Column:
@@ -210,36 +222,39 @@ def squeeze_spaces(text: Column) -> Column:
     return F.regexp_replace(text, r" +(?= )", "")
 
 
-def merge_spans(spans: Column) -> Column:
+def merge_spans_sql(spans: str) -> str:
     """Union of overlapping or touching character spans, sorted: array<struct<start,end>>."""
-    pairs = F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
-    def step(acc: Column, s: Column) -> Column:
-        last = F.element_at(acc, -1)
-        joined = F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"))
-        return F.when((F.size(acc) > 0) & (F.get(acc, F.size(acc) - 1)["end"] >= s["start"]),
-                      F.concat(F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))), F.array(joined))
-                      ).otherwise(F.concat(acc, F.array(s)))
-    return F.aggregate(F.array_sort(pairs), empty("struct<start:int,end:int>"), step)
+    pair = "struct<start:int,end:int>"
+    pairs = f"array_sort(transform({spans}, s -> cast(named_struct('start', s.start, 'end', s.end) as {pair})))"
+    step = (
+        "case when size(acc) > 0 and get(acc, size(acc) - 1).end >= s.start then concat(slice(acc, 1, greatest(size(acc) - 1, 0)), "
+        f"array(cast(named_struct('start', get(acc, size(acc) - 1).start, 'end', greatest(get(acc, size(acc) - 1).end, s.end)) as {pair}))) "
+        "else concat(acc, array(s)) end")
+    return f"aggregate({pairs}, cast(array() as array<{pair}>), (acc, s) -> {step})"
+
+
+def merge_spans(spans: str) -> Column:
+    return F.expr(merge_spans_sql(spans))
 
 
-def char_confusion(gold: Column, pred: Column) -> Column:
+def char_confusion(gold: str, pred: str) -> Column:
     """Character-level tp/fp/fn of two merged span lists (|A∩B| = |A| + |B| - |A∪B|)."""
-    size = lambda spans: F.aggregate(spans, F.lit(0), lambda a, s: a + s["end"] - s["start"])
-    sizes = F.struct(size(gold).alias("g"), size(pred).alias("p"), size(merge_spans(F.concat(gold, pred))).alias("u"))
-    return let(sizes, lambda s: F.struct(
-        (s["g"] + s["p"] - s["u"]).cast("bigint").alias("tp"),
-        (s["u"] - s["g"]).cast("bigint").alias("fp"),
-        (s["u"] - s["p"]).cast("bigint").alias("fn")))
+    size = lambda spans: f"aggregate({spans}, 0, (a, s) -> a + s.end - s.start)"
+    sizes = (f"named_struct('g', {size(gold)}, 'p', {size(pred)}, "
+             f"'u', {size(merge_spans_sql(f'concat({gold}, {pred})'))})")
+    return F.expr(let("z", sizes, (
+        "named_struct('tp', cast(z.g + z.p - z.u as bigint), 'fp', cast(z.u - z.g as bigint), 'fn', cast(z.u - z.p as bigint))")))
 
 
-def visible_text(text: Column, labels: Column, cover: str = "█") -> Column:
+def visible_text(text: str, labels: str, cover: str = "█") -> Column:
     """The text with masked words covered and everything between words kept as it is."""
-    spaced = F.regexp_extract_all(text, F.lit(SPACED_TOKEN), F.lit(0))
-    masked = F.zip_with(words(text), labels, lambda w, l: F.when(l == 1, w))
-    return F.array_join(F.zip_with(spaced, masked, lambda t, w: F.when(w.isNull(), t).otherwise(
-        F.concat(F.left(t, F.length(t) - F.length(w)), F.lit(cover)))), "")
+    masked = f"zip_with({words_sql(text)}, {labels}, (w, l) -> case when l = 1 then w end)"
+    return F.expr(
+        f"array_join(zip_with(regexp_extract_all({text}, {sql_string(SPACED_TOKEN)}, 0), {masked}, (t, w) -> "
+        f"case when w is null then t else concat(left(t, length(t) - length(w)), '{cover}') end), '')")
 
 
-def leak_hits(text: Column, labels: Column, rules: tuple[Rule, ...] = RULES) -> Column:
-    """Rule matches still found in the text that masking leaves visible (should be 0)."""
-    return let(visible_text(text, labels), lambda shown: sum(rule_counts(shown, rules).values(), F.lit(0)))
+def leak_hits(docs: DataFrame, text: str = "text", labels: str = "labels", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """Add ``leaks``: rule matches still found in the text that masking leaves visible (should be 0)."""
+    shown = docs.withColumn("visible", visible_text(text, labels))
+    return shown.withColumn("leaks", sum(rule_counts("visible", rules).values(), F.lit(0)))
