@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from maskwright.functions import labels as L
+from maskwright.functions.arrays import total
 from maskwright.functions.text import selected_words
+from maskwright.session import with_once
 from maskwright.operators.sampling import light_heavy_sample, per_outcome_sample
 
 ZERO_TYPES = lambda column: F.transform(column, lambda _: F.lit("O"))
@@ -29,7 +31,7 @@ def editable_copy(rows: DataFrame) -> DataFrame:
 
 def rule_review(rows: DataFrame, count: int, seed: int, dataset: str = "dataset") -> DataFrame:
     """A light/heavy sample per dataset as review rows."""
-    masked = rows.withColumn("_k", F.aggregate("labels", F.lit(0), lambda a, l: a + l))
+    masked = with_once(rows, _k=F.expr(total("labels")))
     chosen = light_heavy_sample(masked, "_k", count, seed, [dataset]).drop("_k")
     return chosen.select(
         "id", dataset, "text", "words", F.col("labels").alias("rule_labels"),
@@ -77,7 +79,7 @@ def review_progress(rows: DataFrame, dataset: str = "dataset") -> DataFrame:
 def disagreement_examples(rows: DataFrame, per_outcome: int, seed: int, by: Sequence[str] = (), longest: int = 256) -> DataFrame:
     """Examples with a sensitive word and at most ``longest`` words, sampled per outcome (gold: labels, pred)."""
     eligible = rows.filter((F.array_max("labels") == 1) & (F.size("words") <= longest))
-    typed = eligible.withColumn("outcome", L.outcome("labels", "pred"))
+    typed = with_once(eligible, outcome=L.outcome("labels", "pred"))
     return per_outcome_sample(typed, by, per_outcome, seed).select(
         "*", selected_words(F.col("words"), F.col("labels")).alias("rule_selected_words"),
         selected_words(F.col("words"), F.transform("pred", lambda p: F.coalesce(p, F.lit(0)))).alias("student_selected_words"))

@@ -12,6 +12,7 @@ from maskwright.functions import labels as L
 from maskwright.functions import lexicons as lx
 from maskwright.functions import predicates as P
 from maskwright.functions.arrays import let, sql_string
+from maskwright.session import with_once
 from maskwright.functions.text import SPACE, SPACED_TOKEN, WORD, tiled_spans_sql, word_offsets_sql, words, words_sql
 
 SPAN = "struct<start:int,end:int,type:string,hit:string>"
@@ -140,17 +141,16 @@ def rule_manifest(masker: str, version: str, task: str, max_length: int = 256) -
     )
 
 
-def annotate(docs: DataFrame, version: str = "1.4", masker: str = "pattern", task: str = "text") -> DataFrame:
-    """Add words, labels and types of the rules in force, and the policy that made them."""
+def annotate(docs: DataFrame, version: str = "1.4", masker: str = "pattern", task: str = "text",
+             types: bool = False) -> DataFrame:
+    """Add words, labels (and types) of the rules in force, and the policy that made them."""
     rules = rules_as_of(version)
-    return docs.select(
-        "*",
-        words(F.col("text")).alias("words"),
-        rule_labels("text", rules).alias("labels"),
-        rule_types("text", rules).alias("types"),
-        F.lit(policy_id(masker, version)).alias("teacher_policy"),
-        rule_manifest(masker, version, task).alias("rule_manifest"),
-    )
+    made = {"words": words(F.col("text")), "labels": rule_labels("text", rules)}
+    if types:
+        made["types"] = rule_types("text", rules)
+    return with_once(docs, **made).select(
+        "*", F.lit(policy_id(masker, version)).alias("teacher_policy"),
+        rule_manifest(masker, version, task).alias("rule_manifest"))
 
 
 # Broken control characters U+0091..U+0097 and what they stand for.

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from maskwright.functions import labels as L
+from maskwright.session import with_once
 
 
 def requests(rows: DataFrame, system_prompt: str) -> DataFrame:
@@ -47,7 +47,7 @@ def validate_responses(requests_: DataFrame, responses: DataFrame) -> tuple[Data
     response are rejected as missing. ``labels`` is the raw JSON text of that field.
     """
     reply = F.coalesce(*[F.nullif(F.col(c), F.lit("")) for c in ("response", "output", "content")])
-    parsed = responses.select("id", "line", "model", parse_response(F.col("labels"), reply).alias("p"))
+    parsed = with_once(responses, p=parse_response(F.col("labels"), reply)).select("id", "line", "model", "p")
     asked = requests_.select("id", F.size("words").alias("_n"))
     known = parsed.join(asked, "id", "left")
     fault = (

@@ -13,6 +13,7 @@ from maskwright.operators.bootstrap import cluster_mean_delta
 from maskwright.operators.metrics import confusion_sums, with_scores
 from maskwright.operators.rules import RULES, named_rules, rule_spans
 from maskwright.operators.sampling import first_n
+from maskwright.session import with_once
 
 
 def scan_candidates(docs: DataFrame, defects: Sequence[str], dataset: str = "corpus") -> DataFrame:
@@ -58,7 +59,7 @@ def validated_targets(candidates: DataFrame) -> DataFrame:
 
     Needs old_labels, latest_labels and student_labels.
     """
-    indexed = candidates.withColumn("_at", L.target_words(
+    indexed = with_once(candidates, _at=L.target_words(
         word_offsets_sql("text"), "latest_labels", "target.start", "target.end"))
     hit = lambda c: L.detected("_at", c).cast("int")
     return indexed.filter(F.size("_at") > 0).select(

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -23,3 +24,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def size_in_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of a plan, used to decide whether a side may be broadcast."""
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().longValue())
+
+
+def with_once(rows: DataFrame, **columns: Column) -> DataFrame:
+    """Add costly columns so that each is computed exactly once per row.
+
+    A projected expression may be copied into filters, inferred null checks and later
+    projections. Passed through a generator it becomes a plain value that the optimizer
+    leaves alone.
+    """
+    return rows.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))

@@ -67,5 +67,5 @@ def reconcile(inputs: DataFrame, outputs: DataFrame, key: str = "id") -> DataFra
     """One row: input rows, output rows, distinct keys of both."""
     both = inputs.select(key, F.lit("in").alias("side")).unionByName(outputs.select(key, F.lit("out").alias("side")))
     per_key = both.groupBy(key).agg(F.count_if(F.col("side") == "in").alias("i"), F.count_if(F.col("side") == "out").alias("o"))
-    return per_key.agg(F.sum("i").alias("inputs"), F.sum("o").alias("outputs"), F.count_if("o = 0").alias("missing"),
-                       F.count_if("i = 0").alias("unknown"), F.count_if("o > 1").alias("repeated"))
+    return per_key.agg(F.sum("i").alias("inputs"), F.sum("o").alias("outputs"), F.count_if(F.expr("o = 0")).alias("missing"),
+                       F.count_if(F.expr("i = 0")).alias("unknown"), F.count_if(F.expr("o > 1")).alias("repeated"))
