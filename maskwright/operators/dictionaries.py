@@ -10,9 +10,6 @@ from pyspark.sql import functions as F
 from maskwright.functions import lexicons as lx
 from maskwright.functions.arrays import let, sql_string
 from maskwright.functions.text import words
-from maskwright.session import size_in_bytes
-
-BROADCAST_BYTES = 64 << 20
 
 
 def lexicon_labels(tokens: str) -> Column:
@@ -46,14 +43,12 @@ def rare_terms(terms: DataFrame, frequencies: DataFrame, below: float = 3.8) ->
 def label_by_dictionary(docs: DataFrame, terms: DataFrame, id_col: str = "id", text: str = "text") -> DataFrame:
     """Add words and labels, 1 where the lower-case word is a dictionary term (column word).
 
-    Every distinct word of a document is looked up once; only hits are regrouped. The
-    dictionary is broadcast while its estimated size is small, otherwise the lookup is a
-    shuffled join, with frequent words already thinned to one per document.
+    Every distinct word of a document is looked up once, so a frequent word costs one row
+    per document, and only hits are regrouped. Spark broadcasts the dictionary when it
+    measures it as small; a large one is a shuffled join whose hot words AQE splits.
     """
     tokens = docs.withColumn("words", words(F.col(text)))
     lookup = terms.select("word").distinct()
-    if size_in_bytes(lookup) <= BROADCAST_BYTES:
-        lookup = F.broadcast(lookup)
     distinct = tokens.select(id_col, F.explode(F.array_distinct(F.transform("words", F.lower))).alias("word"))
     hits = distinct.join(lookup, "word", "left_semi").groupBy(id_col).agg(F.collect_list("word").alias("_hits"))
     return tokens.join(hits, id_col, "left").withColumn("labels", F.expr(

@@ -21,16 +21,17 @@ def conditions(rows: DataFrame, trials: int, seed: int, replacement: str | None
 
     ``replacement`` None deletes masked words. Everything happens inside the row.
     """
-    def shown(mask: Column) -> Column:
-        return redact(F.col("words"), mask, replacement)
+    def shown(mask: str) -> Column:
+        return redact(F.col("words"), F.col(mask), replacement)
+
+    def version(name: str, text: Column) -> Column:
+        return F.struct(F.lit(name).alias("condition"), F.lit(0).alias("trial"), text.alias("text"))
 
     fixed = rows.select("id", *carry, F.inline(F.array(
-        F.struct(F.lit("original").alias("condition"), F.lit(0).alias("trial"), join_words(F.col("words")).alias("text")),
-        F.struct(F.lit("teacher"), F.lit(0), shown(F.col(teacher))),
-        F.struct(F.lit("student"), F.lit(0), shown(F.col(student))))))
+        version("original", join_words(F.col("words"))), version("teacher", shown(teacher)), version("student", shown(student)))))
     drawn = [
         random_masks(rows, F.expr(total(budget)), trials, seed).select(
-            "id", *carry, F.lit(f"random_{name}_budget").alias("condition"), "trial", shown(F.col("mask")).alias("text"))
+            "id", *carry, F.lit(f"random_{name}_budget").alias("condition"), "trial", shown("mask").alias("text"))
         for name, budget in (("teacher", teacher), ("student", student))]
     return fixed.unionByName(drawn[0]).unionByName(drawn[1])
 
@@ -53,9 +54,10 @@ def leakage_scores(predictions: DataFrame) -> DataFrame:
         F.sum("was_right").alias("originally_correct_examples"),
         ratio(F.sum(F.when(hit, F.col("was_right")).otherwise(0)), F.sum("was_right")).alias("accuracy_on_originally_correct"),
         ratio(F.sum("changed"), F.sum("n")).alias("prediction_change_rate"))
+    # every cell counts for its gold class and for its predicted class
+    side = lambda cls, tp: F.struct(F.col(cls).alias("cls"), tp.cast("bigint").alias("tp"), F.col("n").alias("seen"))
     sides = cells.select("condition", "trial", F.inline(F.array(
-        F.struct(F.col("gold").alias("cls"), F.when(hit, F.col("n")).otherwise(0).alias("tp"), F.col("n").alias("seen")),
-        F.struct(F.col("predicted"), F.lit(0).cast("bigint"), F.col("n")))))
+        side("gold", F.when(hit, F.col("n")).otherwise(0)), side("predicted", F.lit(0)))))
     per_class = sides.groupBy("condition", "trial", "cls").agg(ratio(2 * F.sum("tp"), F.sum("seen")).alias("f1"))
     macro = per_class.groupBy("condition", "trial").agg(F.avg("f1").alias("macro_f1"))
     return overall.join(macro, ["condition", "trial"])

@@ -12,10 +12,8 @@ from maskwright.functions import labels as L
 from maskwright.functions import lexicons as lx
 from maskwright.functions import predicates as P
 from maskwright.functions.text import selected_words, word_offsets, word_offsets_sql
-from maskwright.session import size_in_bytes
 
 ENTITY_SPAN = "struct<start:int,end:int,type:string>"
-BROADCAST_BYTES = 64 << 20
 
 
 @dataclass(frozen=True)
@@ -42,12 +40,10 @@ POLICIES = {
 def link_concepts(spans: DataFrame, concepts: DataFrame, types: Sequence[str] = lx.SENSITIVE_CONCEPT_TYPES) -> DataFrame:
     """Spans (…, term) whose concept (term, types ARRAY) has a sensitive type, typed MEDICAL.
 
-    The concept table is reduced to sensitive terms first and only broadcast while
-    Catalyst's estimate stays small; beyond that it is an ordinary shuffled join.
+    The concept table is reduced to distinct sensitive terms first. Whether that list is
+    broadcast is left to Spark, which measures it (autoBroadcastJoinThreshold, AQE).
     """
     wanted = concepts.filter(F.arrays_overlap("types", F.array(*[F.lit(t) for t in types]))).select("term").distinct()
-    if size_in_bytes(wanted) <= BROADCAST_BYTES:
-        wanted = F.broadcast(wanted)
     return spans.join(wanted, "term", "left_semi").withColumn("type", F.lit("MEDICAL"))
 
 

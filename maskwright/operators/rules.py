@@ -19,6 +19,7 @@ SPAN = "struct<start:int,end:int,type:string,hit:string>"
 
 # \b, \w and \d written out for Unicode, independent of the JVM version.
 _B = rf"(?:(?<=[{WORD}])(?![{WORD}])|(?<![{WORD}])(?=[{WORD}]))"
+_START, _END = rf"(?<![{WORD}])", rf"(?![{WORD}])"  # \b next to a letter or digit
 _W = rf"[{WORD}.+-]"
 _D = r"\p{Nd}"
 
@@ -45,20 +46,20 @@ class Rule:
 # The nine rules and the version that added each.
 RULES = (
     Rule("glued_dosage", "1.3",
-         rf"(?i){_B}{_D}+(?:[.,]{_D}+)?(?:mg|mcg|ug|ml|l|g|kg|cc|units?|iu|mmol|meq|%|mmhg|bpm|cm|mm){_B}",
+         rf"(?i){_START}{_D}+(?:[.,]{_D}+)?(?:mg|mcg|ug|ml|l|g|kg|cc|units?|iu|mmol|meq|%|mmhg|bpm|cm|mm){_B}",
          rf"{_D}[a-zA-Z%]"),
     Rule("c1_control", "1.3", rf"[^{SPACE}]*[\x80-\x9f][^{SPACE}]*", r"[\x80-\x9f]"),
-    Rule("possessive", "1.3", rf"{_B}[A-Z][A-Za-z-]+(?:['’]{{1,2}}s){_B}", r"['’]s"),
+    Rule("possessive", "1.3", rf"{_START}[A-Z][A-Za-z-]+(?:['’]{{1,2}}s){_END}", r"['’]s"),
     Rule("long_identifier", "1.3",
-         rf"{_B}(?:{_D}{{7,}}|{_D}{{3}}-{_D}{{4}}|{_D}{{3}}-{_D}{{3}}-{_D}{{4}}|{_D}{{3}}\.{_D}{{3}}\.{_D}{{4}}"
-         rf"|{_D}{{3}}-{_D}{{2}}-{_D}{{4}}|{_D}{{2,3}}-{_D}{{2,3}}-{_D}{{2,3}}){_B}",
+         rf"{_START}(?:{_D}{{7,}}|{_D}{{3}}-{_D}{{4}}|{_D}{{3}}-{_D}{{3}}-{_D}{{4}}|{_D}{{3}}\.{_D}{{3}}\.{_D}{{4}}"
+         rf"|{_D}{{3}}-{_D}{{2}}-{_D}{{4}}|{_D}{{2,3}}-{_D}{{2,3}}-{_D}{{2,3}}){_END}",
          rf"{_D}{{7}}|{_D}{{2}}[-.]{_D}{{2}}"),
     Rule("email", "1.4", rf"{_W}+@[{WORD}-]+\.[A-Za-z]{{2,}}", "@", False),
     Rule("url", "1.4", rf"(?i)(?:https?://|www\.)[{WORD}./%\-?=&#+~]+", r"(?i)http|www"),
     Rule("social_handle", "1.4", rf"(?<![{WORD}.@])@[A-Za-z][{WORD}.]{{2,}}", "@", False),
-    Rule("zip4", "1.4", rf"{_B}{_D}{{5}}-{_D}{{4}}{_B}", rf"{_D}-{_D}"),
+    Rule("zip4", "1.4", rf"{_START}{_D}{{5}}-{_D}{{4}}{_END}", rf"{_D}-{_D}"),
     Rule("numeric_date", "1.4",
-         rf"{_B}(?:0?[1-9]|[12]{_D}|3[01])[/.-](?:0?[1-9]|[12]{_D}|3[01])[/.-](?:{_D}{{4}}|{_D}{{2}}){_B}",
+         rf"{_START}(?:0?[1-9]|[12]{_D}|3[01])[/.-](?:0?[1-9]|[12]{_D}|3[01])[/.-](?:{_D}{{4}}|{_D}{{2}}){_END}",
          rf"{_D}[/.-]{_D}"),
 )
 

@@ -21,11 +21,6 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def size_in_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of a plan, used to decide whether a side may be broadcast."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().longValue())
-
-
 def with_once(rows: DataFrame, **columns: Column) -> DataFrame:
     """Add costly columns so that each is computed exactly once per row.
 

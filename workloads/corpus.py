@@ -228,7 +228,7 @@ def rule_versions(spark, folder):
 def compare_labels(spark, folder):
     new, old = rule_versions(spark, folder)
     got = A.compare_labels(new, old)
-    n = new.join(old.select("id"), "id").select(F.count(F.lit(1))).scalar()
+    n = T.order_notes(spark, folder).select(F.count(F.lit(1))).scalar()
     return got.select(n.alias("examples"), F.round("accuracy", 9).alias("accuracy"), "tokens", *[F.round(m, 9).alias(m) for m in (
         "precision", "recall", "f1", "f2", "gold_mask_rate", "predicted_mask_rate", "residual_sensitive_rate", "overmask_rate")])
 
