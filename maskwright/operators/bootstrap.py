@@ -126,6 +126,36 @@ def shared_robustness(flags: DataFrame, repeats: int = 2000, seed: int = 42, by:
         c: F.coalesce(F.col(c), F.lit(0.0)) for c in ("ci_low", "ci_high")})
 
 
+def shared_by_noise(flags: DataFrame, noise_types: Sequence[str], repeats: int = 2000, seed: int = 42) -> DataFrame:
+    """``shared_robustness`` per noise type.
+
+    The noise types are known, so each becomes a few columns of its source's row: a
+    source draws its weights once for all of them instead of once per noise type.
+    """
+    both = (F.col("rule_clean") == 1) & (F.col("student_clean") == 1)
+    values, names = {}, []
+    for i, noise in enumerate(noise_types):
+        hit = both & (F.col("noise_type") == noise)
+        values |= {f"n{i}": hit.cast("int"), f"r{i}": F.when(hit, F.col("rule_noisy")).otherwise(0),
+                   f"s{i}": F.when(hit, F.col("student_noisy")).otherwise(0)}
+        names += [f"n{i}", f"r{i}", f"s{i}"]
+    totals = cluster_totals(flags, "source_id", values)
+
+    def long(df: DataFrame, *keep: str) -> DataFrame:
+        return df.select(*keep, F.inline(F.array(*[F.struct(
+            F.lit(noise).alias("noise_type"), F.col(f"n{i}").alias("n"), F.col(f"r{i}").alias("r"), F.col(f"s{i}").alias("s"))
+            for i, noise in enumerate(noise_types)])))
+
+    n = F.col("n")
+    point = long(totals.agg(*[F.sum(c).alias(c) for c in names])).select(
+        "noise_type", n.alias("eligible_shared_clean_targets"), ratio(F.col("r"), n).alias("rule_span_survival_rate"),
+        ratio(F.col("s"), n).alias("student_span_survival_rate"), ratio(F.col("s") - F.col("r"), n).alias("student_minus_rule"))
+    samples = long(bootstrap_sums(totals, names, repeats, seed))
+    ci = percentile_ci(samples, F.try_divide(F.col("s") - F.col("r"), n), ["noise_type"], "ci").drop("ci_mean")
+    return point.filter(F.col("eligible_shared_clean_targets").isNotNull()).join(ci, "noise_type", "left").withColumns(
+        {c: F.coalesce(F.col(c), F.lit(0.0)) for c in ("ci_low", "ci_high")})
+
+
 def _f2(tp: Column, fp: Column, fn: Column) -> Column:
     return ratio(5 * tp, 5 * tp + fp + 4 * fn)
 

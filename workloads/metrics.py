@@ -156,7 +156,7 @@ _ANSWER = "length(text) % 3"
         select j.id, 'random_teacher_budget', t.trial, j.pos, case when m.pos is not null then '[MASK]' else word end from j cross join range(3) t(trial) left join m on m.id = j.id and m.trial = t.trial and m.pos = j.pos union all
         select j.id, 'random_student_budget', t.trial, j.pos, case when m2.pos is not null then '[MASK]' else word end from j cross join range(3) t(trial) left join m2 on m2.id = j.id and m2.trial = t.trial and m2.pos = j.pos),
     txt as (select id, condition, trial, {Q.render("string_agg(w, ' ' order by pos)")} as text from cond group by all),
-    ans as (select txt.id, condition, trial, case task_label when 'F' then 0 when 'O' then 1 else 2 end as gold, {_ANSWER} as predicted, length(txt.text) as n
+    ans as (select txt.id, condition, trial, case task_label when 'F' then 0 when 'O' then 1 else 2 end as gold, {_ANSWER.replace('text', 'txt.text')} as predicted, length(txt.text) as n
             from txt join ({Q.NOTES}) q on q.id = txt.id),
     org as (select id, predicted as original_predicted from ans where condition = 'original'),
     a as (select *, 1.0 / (1 + n % 7) as p_gold from ans join org using (id)),

@@ -1 +1,369 @@
-"""Registered later."""
+"""Clean/noisy pairs, their scores, intervals and gates; augmentation; rule-version replay."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from maskwright.functions import predicates as P
+from maskwright.functions import text as X
+from maskwright.operators import augment as AU
+from maskwright.operators import bootstrap as B
+from maskwright.operators import perturb as N
+from maskwright.operators import robustness as RB
+from maskwright.operators import rules as R
+from maskwright.operators import temporal as TM
+from maskwright.session import with_once
+from maskwright.sources import tables as T
+from workloads import sqlparts as Q
+from workloads.registry import query
+
+c = F.col
+rounded = lambda *names: [F.round(n, 9).alias(n) for n in names]
+SCORES = ("precision", "recall", "f1", "f2", "gold_mask_rate", "predicted_mask_rate", "residual_sensitive_rate", "overmask_rate")
+
+# The rule system of these queries: the nine patterns plus a phrase list and spaced doses.
+NAMES = ("Andrew", "Bianca", "Miriam", "Thomas", "Yolanda")
+GOODS = ("Velvet Copper", "Silver Walnut", "crimson basil", "Amber Resin")
+_PHRASES = "|".join(NAMES + GOODS)
+PHRASES = R.Rule("phrases", "1.0", rf"(?<![{X.WORD}])(?:{_PHRASES})(?![{X.WORD}])", "[A-Za-z]")
+DOSES = R.Rule("doses", "1.0", rf"(?<![{X.WORD}])\p{{Nd}}+ (?:mg|kg|units)(?![{X.WORD}])", r"\p{Nd} ")
+SYSTEM = (*R.RULES, PHRASES, DOSES)
+EXTRA = {"phrases": rf"\b(?:{_PHRASES})\b", "doses": r"\b\d+ (?:mg|kg|units)\b"}
+# The student of these queries looks at single words only.
+TERMS = tuple(sorted({w.lower() for phrase in NAMES + GOODS for w in phrase.split()} | {"mg", "kg", "units"}))
+
+
+def student_labels(words: str):
+    return F.transform(words, lambda w: (F.lower(w).isin(*TERMS) | P.has_digit(w)).cast("int"))
+
+
+def labelled_notes(spark, folder):
+    notes = T.order_notes(spark, folder)
+    return with_once(notes, words=X.words(c("text")), labels=R.rule_labels("text", SYSTEM))
+
+
+def notes_pairs(spark, folder, group):
+    return N.build_pairs(labelled_notes(spark, folder), group)
+
+
+_SYSTEM_LABELS = lambda source, key, tok: Q.labelled(source, "1.4", key, tok, EXTRA)
+# U+02BC counts as a letter; this engine's \b knows ASCII only, so it is shown an underscore instead
+_SAFE = "(select {key}, replace(text, chr(700), '_') as text from {src})"
+
+_SITES = rf"""
+    tok as ({Q.tokens(Q.NOTES)}), lab as ({_SYSTEM_LABELS(Q.NOTES, 'id', 'tok')}),
+    st as (select *, lead(label) over w as l2, lead(s) over w as s2, lead(e) over w as e2, lead(word) over w as w2 from lab window w as (partition by id order by pos)),
+    cand as (
+        select id, pos, 'space' as family, e as cs, s2 as ce, s as ts, e2 as te from st where label = 1 and l2 = 1 and s2 > e union all
+        select id, pos, 'dosage', e, s2, s, e2 from st where label = 1 and l2 = 1 and s2 > e and regexp_matches(word, '^\d+$') and rtrim(lower(w2), '.') in ('{"', '".join(P.lx.DOSAGE_UNITS)}') union all
+        select id, pos, 'punctuation', e, e, s, e from st where label = 1 and regexp_matches(word, '\d') and not coalesce(s2 = e and w2 in (',', ';', ':'), false) union all
+        select id, pos, 'apostrophe', s + length(regexp_extract(word, '^[^''’]*')), s + length(regexp_extract(word, '^[^''’]*')) + 1, s, e from st where label = 1 and regexp_matches(word, '[''’]') union all
+        select id, pos, 'inside', s + length(word) // 2, s + length(word) // 2, s, e from st where label = 1 and regexp_matches(word, '^\p{{L}}{{5,}}$')),
+    site as (select * from (select *, row_number() over (partition by id, family order by pos) as r from cand) where r = 1)""".replace('", "', "', '")
+
+
+def _pairs_sql(group: str) -> str:
+    return rf"""{_SITES},
+    pr as (select site.id || '::' || noise_type as pair_id, site.id, z.noise_type, z.noise_group, masked, cs, ce, ts, te, length(repl) as rl,
+                  length(repl) - (ce - cs) as d, substr(n.text, 1, cast(cs as int)) || repl || substr(n.text, cast(ce + 1 as int)) as text,
+                  te + case when cs < te then length(repl) - (ce - cs) else 0 end as nte, n.text as clean_text, n.dataset_name
+           from site join {Q.noise_values(group)} using (family) join ({Q.NOTES}) n using (id)),
+    nt as ({Q.tokens('select pair_id, text from pr', 'pair_id')}),
+    nl as (select nt.pair_id, nt.pos, nt.word, nt.s, nt.e, cast(bool_or(
+               (nt.s < least(nt.e, cs) and g.s < least(nt.e, cs) and nt.s < g.e) or (masked = 1 and nt.s < cs + rl and cs < nt.e)
+               or (greatest(nt.s, cs + rl) - d < nt.e - d and g.s < nt.e - d and greatest(nt.s, cs + rl) - d < g.e)) as bigint) as label
+           from nt join pr using (pair_id) join lab g on g.id = pr.id and g.label = 1 group by all)"""
+
+
+def _pairs_query(name: str, group: str, families: tuple[str, ...]):
+    listed = "', '".join(n.name for n in N.NOISES if n.family in families)
+
+    @query(f"""with {_pairs_sql(group)}
+        select pair_id, noise_type, noise_group, pr.text, string_agg(word, '|' order by pos) as words, string_agg(label, '' order by pos) as labels,
+               ts as clean_start, te as clean_end, ts as noisy_start, cast(nte as bigint) as noisy_end
+        from pr join nl using (pair_id) where noise_type in ('{listed}') group by all""", name=name)
+    def run(spark, folder):
+        pairs = notes_pairs(spark, folder, group).filter(c("noise_type").isin(*listed.split("', '")))
+        at = lambda f: c(f).cast("bigint")
+        return pairs.select("pair_id", "noise_type", "noise_group", "text", F.array_join("words", "|").alias("words"),
+                            F.array_join(c("labels").cast("array<string>"), "").alias("labels"),
+                            at("clean_target.start").alias("clean_start"), at("clean_target.end").alias("clean_end"),
+                            at("noisy_target.start").alias("noisy_start"), at("noisy_target.end").alias("noisy_end"))
+
+
+for _family in ("space", "apostrophe", "dosage", "punctuation", "inside"):
+    _pairs_query(f"pairs_{_family}", "all", (_family,))
+_pairs_query("pairs_future", "future", ("space", "apostrophe", "dosage", "punctuation", "inside"))
+
+
+@query(f"with {_pairs_sql('all')} select noise_type, count(*) as pairs, count(distinct id) as unique_sources from pr group by rollup (noise_type)")
+def pair_summary(spark, folder):
+    return N.pair_summary(notes_pairs(spark, folder, "all"))
+
+
+@query(f"with {_pairs_sql('all')} select pair_id, noise_type from (select *, row_number() over (partition by noise_type order by id) as r from pr) where r <= 100")
+def noise_cap(spark, folder):
+    return N.cap_per_noise(notes_pairs(spark, folder, "all"), 100, "source_id").select("pair_id", "noise_type")
+
+
+@query(f"with {_pairs_sql('all')} select noise_type, min(pair_id) as pair_id from pr group by 1")
+def noise_examples(spark, folder):
+    return N.examples(notes_pairs(spark, folder, "all")).select("noise_type", "pair_id")
+
+
+def _seen(spark, folder):
+    return labelled_notes(spark, folder), N.variants(labelled_notes(spark, folder), N.noises("seen"), ["id"])
+
+
+@query(f"""with {_pairs_sql('seen')}
+    select id || '::aug::' || noise_type as id, noise_type from (select *, row_number() over (partition by id order by sha256(id || '::' || noise_type)) as r from pr) where r <= 2""")
+def augment_hash(spark, folder):
+    return AU.select_by_hash(_seen(spark, folder)[1], 2).select(
+        F.concat_ws("::", "id", F.lit("aug"), "noise_type").alias("id"), "noise_type")
+
+
+@query()
+def augment_balanced(spark, folder):
+    rows, made = _seen(spark, folder)
+    out = AU.augmented_rows(rows, AU.select_balanced(made, 1), clean=False)
+    return out.groupBy(c("augmentation.noise_type").alias("noise_type")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""with {_pairs_sql('seen')}, k as (select *, row_number() over (partition by id order by sha256(id || '::' || noise_type)) as r from pr)
+    select noise_type, count(*) as eligible, count_if(r = 1) as selected from k group by 1""")
+def augment_summary(spark, folder):
+    made = _seen(spark, folder)[1]
+    return AU.augment_summary(made, AU.select_by_hash(made, 1))
+
+
+# --- scoring -----------------------------------------------------------------------------
+
+_TERMS_SQL = "', '".join(TERMS)
+_STUDENT = rf"cast(lower(word) in ('{_TERMS_SQL}') or regexp_matches(word, '\d') as bigint)"
+
+
+def _scored_sql(group: str) -> str:
+    """flags per pair: rc, rn, sc, sn (rule/student, clean/noisy) and token counts."""
+    return rf"""{_pairs_sql(group)},
+    nr as ({_SYSTEM_LABELS(_SAFE.format(key='pair_id', src='pr'), 'pair_id', 'nt')}),
+    noisy as (select nl.*, nr.label as rule, {_STUDENT.replace('word', 'nl.word')} as student from nl join nr using (pair_id, pos)),
+    clean as (select lab.*, lab.label as rule, {_STUDENT} as student from lab),
+    fn as (select pair_id, bool_and(rule = 1) as rn, bool_and(student = 1) as sn, bool_and(rule = 1 or student = 1) as orn, bool_and(rule = 1 and student = 1) as an
+           from noisy join pr using (pair_id) where label = 1 and noisy.s < nte and ts < noisy.e group by 1),
+    fc as (select pair_id, bool_and(rule = 1) as rc, bool_and(student = 1) as sc, bool_and(rule = 1 or student = 1) as oc, bool_and(rule = 1 and student = 1) as ac
+           from clean join pr using (id) where label = 1 and clean.s < te and ts < clean.e group by 1),
+    fl as (select pr.pair_id, pr.id as source_id, pr.noise_type, {', '.join(f'cast(coalesce({x}, false) as int) as {x}' for x in ('rc', 'rn', 'sc', 'sn', 'oc', 'orn', 'ac', 'an'))}
+           from pr left join fn using (pair_id) left join fc using (pair_id))"""
+
+
+def predicted_pairs(spark, folder, group="all"):
+    pairs = notes_pairs(spark, folder, group)
+    return with_once(pairs, rule_noisy_labels=R.rule_labels("text", SYSTEM)).select(
+        "*", student_labels("clean_words").alias("student_clean_labels"), student_labels("words").alias("student_noisy_labels"))
+
+
+def scored_pairs(spark, folder, group="all"):
+    pairs = RB.with_combinations(predicted_pairs(spark, folder, group), ("clean_labels", "rule_noisy_labels"), ("student_clean_labels", "student_noisy_labels"))
+    return RB.score_pairs(pairs, {
+        "rule": ("clean_labels", "rule_noisy_labels"), "student": ("student_clean_labels", "student_noisy_labels"),
+        "or": ("or_clean_labels", "or_noisy_labels"), "and": ("and_clean_labels", "and_noisy_labels")})
+
+
+_SYSTEMS = (("rule", "rc", "rn"), ("student", "sc", "sn"), ("or", "oc", "orn"), ("and", "ac", "an"))
+_LONG = " union all ".join(f"select '{n}' as system, noise_type, {a} as c, {b} as n from fl" for n, a, b in _SYSTEMS)
+
+
+@query(f"""with {_scored_sql('all')}, l as ({_LONG})
+    select system, round(avg(c), 9) as clean_target_detection, round(avg(n), 9) as noisy_target_detection, cast(sum(c) as bigint) as eligible_clean_targets,
+           round(coalesce(sum(c * n)::double / nullif(sum(c), 0), 0), 9) as span_survival_rate, round(1 - coalesce(sum(c * n)::double / nullif(sum(c), 0), 0), 9) as newly_leaked_span_rate
+    from l group by 1""")
+def system_robustness(spark, folder):
+    long = RB.system_long(scored_pairs(spark, folder), ["rule", "student", "or", "and"])
+    return RB.survival(long).select("system", "eligible_clean_targets", *rounded(
+        "clean_target_detection", "noisy_target_detection", "span_survival_rate", "newly_leaked_span_rate"))
+
+
+_PRED = {"rule": "rule", "student": "student", "or": "greatest(rule, student)", "and": "least(rule, student)"}
+_NOISY_LONG = " union all ".join(f"select '{n}' as system, noise_type, label as gold, {p} as pred from noisy join pr using (pair_id)" for n, p in _PRED.items())
+
+
+@query(f"with {_scored_sql('all')}, l as ({_NOISY_LONG}), k as (select system, noise_type, {Q.confusion('gold', 'pred')} from l group by grouping sets ((system), (system, noise_type))) select system, noise_type, {Q.scores()} from k")
+def combine_or_and_by_noise(spark, folder):
+    long = RB.system_long(scored_pairs(spark, folder), ["rule", "student", "or", "and"])
+    return RB.noisy_scores_by_noise(long).select("system", "noise_type", "tokens", *rounded(*SCORES))
+
+
+def _flags(spark, folder, group="all"):
+    return scored_pairs(spark, folder, group).select("source_id", "noise_type", "rule_clean", "rule_noisy", "student_clean", "student_noisy")
+
+
+def _draws(clusters: str, repeats: int, seed: int = 42) -> str:
+    """(cluster, b, w): Poisson weights of every cluster and repeat."""
+    steps = B.poisson_steps()
+    weight = "case " + " ".join(f"when x < {s} then {k}" for k, s in enumerate(steps)) + f" else {len(steps)} end"
+    word = "('0x' || substr(h, 15 * (k // 3) + 1, 15))::ubigint"
+    return f"""
+        select cluster, blk * 12 + k as b, {weight} as w from (
+            select cluster, blk, k, ({word} >> cast(20 * (k % 3) as ubigint)) & 1048575 as x from (
+                select cluster, blk, sha256('{seed}::' || cluster || '::' || blk) as h from ({clusters}), range({-(-repeats // 12)}) z(blk)), range(12) y(k))
+        where blk * 12 + k < {repeats}"""
+
+
+_CI = lambda value, name: f"round(quantile_cont({value}, 0.025), 9) as {name}_low, round(quantile_cont({value}, 0.975), 9) as {name}_high"
+REPEATS = 2000
+
+
+@query(f"""with {_scored_sql('all')}, t as (select source_id as cluster, sum(sn - rn) as d, sum(rc - rn - sc + sn) as p, count(*) as n from fl group by 1),
+    bs as (select b, sum(w * d)::double / sum(w * n) as d, sum(w * p)::double / sum(w * n) as p from ({_draws('select cluster from t', REPEATS)}) join t using (cluster) group by b),
+    ci as (select {_CI('d', 'student_minus_rule_noisy')}, {_CI('p', 'student_drop_advantage')} from bs)
+    select count(*) as target_pairs, count(distinct source_id) as unique_source_rows, round(avg(rc), 9) as rule_clean_target_detection, round(avg(rn), 9) as rule_noisy_target_detection,
+           round(avg(rc) - avg(rn), 9) as rule_detection_drop, round(avg(sc), 9) as student_clean_target_detection, round(avg(sn), 9) as student_noisy_target_detection,
+           round(avg(sc) - avg(sn), 9) as student_detection_drop, round(avg(sn - rn), 9) as student_minus_rule_noisy, round(avg(rc - rn - sc + sn), 9) as student_drop_advantage,
+           any_value(student_minus_rule_noisy_low) as student_minus_rule_noisy_low, any_value(student_minus_rule_noisy_high) as student_minus_rule_noisy_high,
+           any_value(student_drop_advantage_low) as student_drop_advantage_low, any_value(student_drop_advantage_high) as student_drop_advantage_high
+    from fl, ci""")
+def absolute_ci(spark, folder):
+    got = B.absolute_robustness(_flags(spark, folder), REPEATS)
+    return got.select("target_pairs", "unique_source_rows", *rounded(*[x for x in got.columns if x not in ("target_pairs", "unique_source_rows")]))
+
+
+_SHARED = """n::bigint as eligible_shared_clean_targets, round(coalesce(r::double / nullif(n, 0), 0), 9) as rule_span_survival_rate,
+    round(coalesce(s::double / nullif(n, 0), 0), 9) as student_span_survival_rate, round(coalesce((s - r)::double / nullif(n, 0), 0), 9) as student_minus_rule"""
+
+
+@query(f"""with {_scored_sql('all')}, t as (select source_id as cluster, sum(rc * sc) as n, sum(rc * sc * rn) as r, sum(rc * sc * sn) as s from fl group by 1),
+    bs as (select b, sum(w * (s - r))::double / sum(w * n) as x from ({_draws('select cluster from t where n > 0', REPEATS)}) join t using (cluster) group by b),
+    p as (select sum(n) as n, sum(r) as r, sum(s) as s from t) select {_SHARED}, (select round(quantile_cont(x, 0.025), 9) from bs) as ci_low, (select round(quantile_cont(x, 0.975), 9) from bs) as ci_high from p""")
+def shared_ci(spark, folder):
+    got = B.shared_robustness(_flags(spark, folder), REPEATS)
+    return got.select("eligible_shared_clean_targets", *rounded(*[x for x in got.columns if x != "eligible_shared_clean_targets"]))
+
+
+@query(f"""with {_scored_sql('all')}, t as (select noise_type, source_id as cluster, rc * sc as n, rc * sc * rn as r, rc * sc * sn as s from fl where rc * sc = 1),
+    g as (select noise_type, b, sum(w * (s - r)) as x, sum(w * n) as n from ({_draws('select distinct cluster from t', REPEATS)}) join t using (cluster) where w > 0 group by all),
+    ci as (select noise_type, {_CI('x::double / n', 'ci')} from g group by 1),
+    p as (select noise_type, sum(rc * sc) as n, sum(rc * sc * rn) as r, sum(rc * sc * sn) as s from fl group by 1)
+    select noise_type, {_SHARED}, coalesce(ci_low, 0) as ci_low, coalesce(ci_high, 0) as ci_high from p left join ci using (noise_type)""")
+def shared_ci_by_noise(spark, folder):
+    got = B.shared_by_noise(_flags(spark, folder), [n.name for n in N.noises("all")], REPEATS)
+    return got.select("noise_type", "eligible_shared_clean_targets", *rounded(
+        "rule_span_survival_rate", "student_span_survival_rate", "student_minus_rule", "ci_low", "ci_high"))
+
+
+_COUNT = lambda p, x: ", ".join(f"count_if(label = {a} and {p} = {b}) as {x}_{n}" for n, a, b in (("tp", 1, 1), ("fp", 0, 1), ("fn", 1, 0)))
+_F2 = lambda x: f"coalesce(5.0 * sum(w * {x}_tp)::double / nullif(5 * sum(w * {x}_tp) + sum(w * {x}_fp) + 4 * sum(w * {x}_fn), 0), 0)"
+
+
+@query(f"""with {_scored_sql('all')}, t as (select id as cluster, {_COUNT('rule', 'r')}, {_COUNT('student', 's')} from noisy join pr using (pair_id) group by 1),
+    bs as (select b, {_F2('s')} - {_F2('r')} as x from ({_draws('select cluster from t', REPEATS)}) join t using (cluster) group by b)
+    select {_CI('x', 'delta_f2')}, round(avg(x), 9) as delta_f2_mean from bs""")
+def delta_f2_ci(spark, folder):
+    counts = scored_pairs(spark, folder).select("source_id", *[
+        c(f"{s}_n.{k}").alias(f"{s[0]}_{k}") for s in ("rule", "student") for k in ("tp", "fp", "fn")])
+    return B.paired_delta_f2(counts, REPEATS).select(*rounded("delta_f2_low", "delta_f2_high", "delta_f2_mean"))
+
+
+def gate_metrics(spark, folder):
+    """Everything the gates need, one row per dataset (order priority)."""
+    pairs = RB.with_combinations(predicted_pairs(spark, folder), ("clean_labels", "rule_noisy_labels"), ("student_clean_labels", "student_noisy_labels"))
+    scored = RB.score_pairs(pairs.withColumn("dataset", c("dataset_name")), {
+        "rule": ("clean_labels", "rule_noisy_labels"), "student": ("student_clean_labels", "student_noisy_labels")}, ["dataset"])
+    long = RB.system_long(scored, ["rule", "student"], ["dataset"])
+    by = ["dataset", "system"]
+    joined = RB.token_scores(long, "c", by).select(*by, c("f1").alias("cf1"), c("f2").alias("cf2"), c("recall").alias("cr")).join(
+        RB.token_scores(long, "n", by).select(*by, c("f2").alias("nf2"), c("predicted_mask_rate").alias("nm")), by).join(
+        RB.survival(long, by).select(*by, "newly_leaked_span_rate"), by)
+    pick = lambda f, s: F.max(F.when(c("system") == s, c(f)))
+    wide = joined.groupBy("dataset").agg(
+        pick("cf1", "student").alias("clean_f1"), pick("cf2", "student").alias("clean_f2"), pick("cr", "student").alias("clean_recall"),
+        pick("nf2", "student").alias("noisy_f2"), pick("nm", "student").alias("noisy_mask_rate"), pick("newly_leaked_span_rate", "student").alias("newly_leaked"),
+        pick("nf2", "rule").alias("rule_noisy_f2"), pick("nm", "rule").alias("rule_noisy_mask_rate"), pick("newly_leaked_span_rate", "rule").alias("rule_newly_leaked"))
+    flags = scored.select("dataset", "source_id", "noise_type", "rule_clean", "rule_noisy", "student_clean", "student_noisy")
+    counts = scored.select("dataset", "source_id", *[c(f"{s}_n.{k}").alias(f"{s[0]}_{k}") for s in ("rule", "student") for k in ("tp", "fp", "fn")])
+    absolute = B.absolute_robustness(flags, 300, 42, ["dataset"]).select(
+        "dataset", c("student_minus_rule_noisy_low").alias("absolute_low"), c("student_drop_advantage_low").alias("drop_advantage_low"))
+    shared = B.shared_robustness(flags, 300, 42, ["dataset"]).select("dataset", c("student_minus_rule").alias("shared_delta"), c("ci_low").alias("shared_low"))
+    delta = B.paired_delta_f2(counts, 300, 42, ["dataset"]).select("dataset", "delta_f2_low")
+    return wide.join(absolute, "dataset").join(shared, "dataset").join(delta, "dataset")
+
+
+_CLEAN_BY_PAIR = "select pr.dataset_name as dataset, clean.label, clean.student from pr join clean using (id)"
+
+
+@query(f"""with {_scored_sql('all')},
+    fd as (select fl.*, pr.dataset_name as dataset from fl join pr using (pair_id)),
+    ck as (select dataset, {Q.confusion('label', 'student')} from ({_CLEAN_BY_PAIR}) group by 1),
+    nk as (select dataset_name as dataset, {_COUNT('rule', 'r')}, {_COUNT('student', 's')}, count(*) as n from noisy join pr using (pair_id) group by 1),
+    sv as (select dataset, 1 - coalesce(sum(sc * sn)::double / nullif(sum(sc), 0), 0) as sl, 1 - coalesce(sum(rc * rn)::double / nullif(sum(rc), 0), 0) as rl from fd group by 1),
+    t as (select dataset, source_id as cluster, sum(sn - rn) as d, sum(rc - rn - sc + sn) as p, count(*) as n, sum(rc * sc) as en, sum(rc * sc * (sn - rn)) as ed from fd group by all),
+    tc as (select dataset_name as dataset, id as cluster, {_COUNT('rule', 'r')}, {_COUNT('student', 's')} from noisy join pr using (pair_id) group by all),
+    dr as ({_draws('select distinct cluster from t', 300)}),
+    b1 as (select dataset, b, sum(w * d)::double / nullif(sum(w * n), 0) as d, sum(w * p)::double / nullif(sum(w * n), 0) as p, sum(w * ed)::double / nullif(sum(w * en), 0) as e from dr join t using (cluster) group by all),
+    b2 as (select dataset, b, {_F2('s')} - {_F2('r')} as x from dr join tc using (cluster) group by all),
+    q1 as (select dataset, quantile_cont(d, 0.025) as al, quantile_cont(p, 0.025) as pl, coalesce(quantile_cont(e, 0.025), 0) as el from b1 group by 1),
+    q2 as (select dataset, quantile_cont(x, 0.025) as fl from b2 group by 1), sd as (select dataset, coalesce(sum(ed)::double / nullif(sum(en), 0), 0) as sd from t group by 1),
+    m as (select ck.dataset, 2.0 * tp / (2 * tp + fp + fn) as cf1, 5.0 * tp / (5 * tp + 4 * fn + fp) as cf2, tp::double / (tp + fn) as cr,
+                 5.0 * s_tp / (5 * s_tp + 4 * s_fn + s_fp) as nf2, 5.0 * r_tp / (5 * r_tp + 4 * r_fn + r_fp) as rf2, (s_tp + s_fp)::double / n as nm, (r_tp + r_fp)::double / n as rm,
+                 sl, rl, al, pl, el, q2.fl as f2l, sd from ck join nk using (dataset) join sv using (dataset) join q1 using (dataset) join q2 using (dataset) join sd using (dataset))
+    select dataset, gate, ok as pass, round(value, 9) as value from m, lateral (values
+        ('final_student_quality', cf1 >= 0.85 and cf2 >= 0.9 and cr >= 0.9, cf2), ('matched_budget', abs(nm - rm) <= 0.01, abs(nm - rm)),
+        ('robustness_superiority', nf2 > rf2 and sl < rl and f2l > 0, f2l), ('absolute_target_robustness', al > 0 and pl > 0, al),
+        ('conditional_surface_robustness', el > 0 and sd >= 0.05, sd), ('pilot_quality', cf2 >= 0.8 and cr >= 0.85, cf2)) v(gate, ok, value)""")
+def acceptance_gates(spark, folder):
+    return RB.acceptance(gate_metrics(spark, folder)).select("dataset", "gate", "pass", F.round("value", 9).alias("value"))
+
+
+# --- rule-version replay -----------------------------------------------------------------
+
+_DEFECTS = R.CLINICAL_DEFECTS + R.BIOGRAPHY_DEFECTS
+_CAND = f"""select id || '::temporal::' || rule || '::' || s || '::' || occurrence as id, id as source_id, rule as temporal_defect, introduced_in, s, e, hit
+    from ({Q.spans(Q.NOTES, names=tuple(_DEFECTS))})"""
+
+
+@query(f"select id, source_id, temporal_defect, introduced_in, s as target_start, e as target_end, hit as target_text from (select *, row_number() over (partition by temporal_defect order by sha256(id || '::' || hit), id) as r from ({_CAND})) where r <= 200")
+def temporal_candidates(spark, folder):
+    found = TM.cap_candidates(TM.scan_candidates(T.order_notes(spark, folder), _DEFECTS), 200)
+    return found.select("id", "source_id", "temporal_defect", "introduced_in", c("target.start").cast("bigint").alias("target_start"),
+                        c("target.end").cast("bigint").alias("target_end"), "target_text")
+
+
+@query(f"select temporal_defect, count(*) as available, least(count(*), 200) as selected from ({_CAND}) group by 1")
+def temporal_counts(spark, folder):
+    return TM.candidate_counts(TM.scan_candidates(T.order_notes(spark, folder), _DEFECTS), 200)
+
+
+def replay(spark, folder):
+    """All candidates with the labels of the oldest rules, the latest rules and the word-level student."""
+    found = TM.scan_candidates(T.order_notes(spark, folder), _DEFECTS)
+    return TM.validated_targets(with_once(
+        found, old_labels=R.rule_labels("text", R.rules_as_of("1.3")), latest_labels=R.rule_labels("text"),
+        student_labels=student_labels(X.words(c("text")))))
+
+
+_REPLAY = f"""
+    tok as ({Q.tokens(Q.NOTES)}), new as ({Q.labelled(Q.NOTES, '1.4', tok='tok')}), old as ({Q.labelled(Q.NOTES, '1.3', tok='tok')}),
+    w as (select new.id, new.pos, new.s, new.e, new.label as latest, old.label as old, {_STUDENT.replace('word', 'new.word')} as student from new join old using (id, pos)),
+    cand as ({_CAND}),
+    fl as (select cand.id, source_id, temporal_defect, introduced_in, cast(bool_and(old = 1) as int) as o, cast(bool_and(student = 1) as int) as st
+           from cand join w on w.id = cand.source_id and w.latest = 1 and w.s < cand.e and cand.s < w.e group by all),
+    a as (select temporal_defect, source_id, introduced_in, o, st from fl union all select 'all', source_id, introduced_in, o, st from fl)"""
+
+
+@query(f"""with {_REPLAY}, t as (select temporal_defect, source_id as cluster, avg(st - o) as d from a group by all),
+    bs as (select temporal_defect, b, sum(w * d) / sum(w) as x from ({_draws('select distinct cluster from t', REPEATS)}) join t using (cluster) group by all having sum(w) > 0),
+    ci as (select temporal_defect, {_CI('x', 'delta')}, round(avg(x), 9) as delta_mean from bs group by 1)
+    select temporal_defect, min(introduced_in) as introduced_in, count(*) as targets, count(distinct source_id) as unique_sources, round(avg(o), 9) as past_rule_detection,
+           round(avg(st), 9) as past_student_detection, cast(1.0 as double) as latest_rule_detection, round(avg(st - o), 9) as student_minus_rule,
+           any_value(delta_low) as delta_low, any_value(delta_high) as delta_high, any_value(delta_mean) as delta_mean
+    from a join ci using (temporal_defect) group by 1""")
+def temporal_eval(spark, folder):
+    got = TM.by_defect(replay(spark, folder), REPEATS)
+    return got.select("temporal_defect", "introduced_in", "targets", "unique_sources", *rounded(
+        "past_rule_detection", "past_student_detection", "latest_rule_detection", "student_minus_rule", "delta_low", "delta_high", "delta_mean"))
+
+
+@query(f"""with {_REPLAY}, j as (select w.* from fl join w on w.id = fl.source_id),
+    k as (select 'old' as system, {Q.confusion('latest', 'old')} from j union all select 'student', {Q.confusion('latest', 'student')} from j union all select 'latest', {Q.confusion('latest', 'latest')} from j)
+    select system, {Q.scores()} from k""")
+def temporal_token_audit(spark, folder):
+    return TM.token_audit(replay(spark, folder)).select("system", "tokens", *rounded(*SCORES))

@@ -42,10 +42,12 @@ def tokens(source: str, key: str = "id", text: str = "text") -> str:
                 from ({source})))"""
 
 
-def spans(source: str, version: str = "1.4", names: tuple[str, ...] | None = None, key: str = "id") -> str:
+def spans(source: str, version: str = "1.4", names: tuple[str, ...] | None = None, key: str = "id",
+          extra: dict[str, str] | None = None) -> str:
     """(key, rule, introduced_in, hit, occurrence, s, e) of the pattern rules up to a version."""
     chosen = [(n, v, p) for n, (v, p) in PATTERNS.items()
               if (n in names if names else v <= version)]
+    chosen += [(n, "1.0", p) for n, p in (extra or {}).items()]
     parts = []
     for name, introduced, pattern in chosen:
         # a social handle is matched with the character before it, which is then dropped
@@ -61,13 +63,13 @@ def spans(source: str, version: str = "1.4", names: tuple[str, ...] | None = Non
     return " union all ".join(parts)
 
 
-def labelled(source: str, version: str = "1.4", key: str = "id", tok: str | None = None) -> str:
+def labelled(source: str, version: str = "1.4", key: str = "id", tok: str | None = None, extra: dict[str, str] | None = None) -> str:
     """(key, pos, word, s, e, label) under the rules up to a version."""
     tok = tok or f"({tokens(source, key)})"
     return f"""
         select t.{key}, t.pos, t.word, t.s, t.e, cast(x.pos is not null as bigint) as label
         from {tok} t left join (
-            select distinct t.{key}, t.pos from {tok} t join ({spans(source, version, key=key)}) r
+            select distinct t.{key}, t.pos from {tok} t join ({spans(source, version, key=key, extra=extra)}) r
             on r.{key} = t.{key} and t.s < r.e and r.s < t.e) x
         on x.{key} = t.{key} and x.pos = t.pos"""
 
