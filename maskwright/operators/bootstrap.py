@@ -14,7 +14,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from maskwright.operators.metrics import ratio
 
 DRAWS = 12  # 20-bit draws taken from one SHA-256
 BITS = 20
@@ -46,38 +45,60 @@ def cluster_totals(rows: DataFrame, cluster: str, values: dict[str, Column], by:
 
 
 def bootstrap_sums(totals: DataFrame, names: Sequence[str], repeats: int, seed: int, by: Sequence[str] = ()) -> DataFrame:
-    """Resampled sums per (by, repeat)."""
+    """Weighted sums per (by, repeat); repeat -1 holds the unweighted sums.
+
+    Cluster totals are few bytes but stand for ``repeats`` times the work, so they are
+    spread over all cores first; a size-based coalesce would put them into one task.
+    """
+    spark = totals.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    spread = totals.select(*by, *names, "cluster").repartition(tasks, *by, "cluster")
     blocks = -(-repeats // DRAWS)
-    hashed = totals.select(*by, *names, "cluster", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_block")).select(
+    hashed = spread.select(*by, *names, "cluster", F.explode(F.sequence(F.lit(-1), F.lit(blocks - 1))).alias("_block")).select(
         *by, *names, "_block",
         F.sha2(F.concat_ws("::", F.lit(str(seed)), F.col("cluster").cast("string"), F.col("_block").cast("string")), 256).alias("_h"))
     words = hashed.select(*by, *names, "_block", *[
         F.conv(F.substring("_h", 15 * g + 1, 15), 16, 10).cast("bigint").alias(f"_w{g}") for g in range(4)])
-    mask = (1 << BITS) - 1
-    draws = F.array(*[F.shiftright(F.col(f"_w{g}"), BITS * k).bitwiseAND(F.lit(mask).cast("bigint"))
-                      for g in range(4) for k in range(3)])
-    weighted = words.select(*by, *names, "_block", F.posexplode(draws).alias("_k", "_draw")).select(
-        *by, *names, (F.col("_block") * DRAWS + F.col("_k")).alias("repeat"), _weight(F.col("_draw")).alias("_weight")
-    ).filter(F.col("repeat") < repeats)
+    mask = F.lit((1 << BITS) - 1).cast("bigint")
+    draws = F.array(*[F.shiftright(F.col(f"_w{g}"), BITS * k).bitwiseAND(mask) for g in range(4) for k in range(3)])
+    once = F.array(F.lit(poisson_steps()[0]).cast("bigint"))  # a draw of weight 1
+    drawn = words.select(*by, *names, "_block", F.posexplode(F.when(F.col("_block") < 0, once).otherwise(draws)).alias("_k", "_draw"))
+    weighted = drawn.select(
+        *by, *names, F.when(F.col("_block") < 0, -1).otherwise(F.col("_block") * DRAWS + F.col("_k")).alias("repeat"),
+        _weight(F.col("_draw")).alias("_weight")).filter(f"repeat < {repeats} and _weight > 0")
     return weighted.groupBy(*by, "repeat").agg(*[F.sum(F.col("_weight") * F.col(n)).alias(n) for n in names])
 
 
-def percentile_ci(samples: DataFrame, value: Column, by: Sequence[str] = (), name: str = "value") -> DataFrame:
-    """2.5 and 97.5 percentiles (linear interpolation) and mean over the repeats."""
-    picked = samples.select(*by, value.alias("_v"))
-    return picked.groupBy(*by).agg(
-        F.percentile("_v", F.array(F.lit(0.025), F.lit(0.975))).alias("_ci"), F.avg("_v").alias(f"{name}_mean")
-    ).select(*by, F.col("_ci")[0].alias(f"{name}_low"), F.col("_ci")[1].alias(f"{name}_high"), f"{name}_mean")
+def summarise(samples: DataFrame, points: dict[str, Column], intervals: dict[str, Column], by: Sequence[str] = (),
+              means: bool = False) -> DataFrame:
+    """Point values from the unweighted sums and 2.5/97.5 percentiles over the repeats, in one pass.
+
+    ``samples`` holds groups x (repeats + 1) rows. A repeat whose denominator is zero
+    gives null and is left out, as is a group without any repeat.
+    """
+    point = F.col("repeat") == -1
+    aggregates = [F.max(F.when(point, v)).alias(n) for n, v in points.items()]
+    for name, value in intervals.items():
+        ci = F.percentile(F.when(~point, value), F.array(F.lit(0.025), F.lit(0.975)))
+        aggregates += [ci.alias(name)] + ([F.avg(F.when(~point, value)).alias(f"{name}_mean")] if means else [])
+    out = samples.groupBy(*by).agg(*aggregates)
+    return out.select(*by, *points, *[c for n in intervals for c in (
+        F.col(n)[0].alias(f"{n}_low"), F.col(n)[1].alias(f"{n}_high"), *([f"{n}_mean"] if means else []))])
+
+
+FLAGS = ("rule_clean", "rule_noisy", "student_clean", "student_noisy")
+ABSOLUTE = {
+    "target_pairs": "n", "unique_source_rows": "sources",
+    "rule_clean_target_detection": "rule_clean / n", "rule_noisy_target_detection": "rule_noisy / n",
+    "rule_detection_drop": "(rule_clean - rule_noisy) / n", "student_clean_target_detection": "student_clean / n",
+    "student_noisy_target_detection": "student_noisy / n", "student_detection_drop": "(student_clean - student_noisy) / n",
+    "student_minus_rule_noisy": "(student_noisy - rule_noisy) / n",
+    "student_drop_advantage": "(rule_clean - rule_noisy - student_clean + student_noisy) / n",
+}
 
 
-def _attach(point: DataFrame, intervals: list[DataFrame], by: Sequence[str]) -> DataFrame:
-    """Join one-row-per-group summaries (a constant key when there are no groups)."""
-    keys = list(by) or ["_one"]
-    lift = lambda df: df if by else df.withColumn("_one", F.lit(1))
-    out = lift(point)
-    for df in intervals:
-        out = out.join(lift(df), keys, "left")
-    return out if by else out.drop("_one")
+def _exprs(named: dict[str, str]) -> dict[str, Column]:
+    return {name: F.expr(text) for name, text in named.items()}
 
 
 def absolute_robustness(flags: DataFrame, repeats: int = 2000, seed: int = 42, by: Sequence[str] = ()) -> DataFrame:
@@ -85,45 +106,32 @@ def absolute_robustness(flags: DataFrame, repeats: int = 2000, seed: int = 42, b
 
     ``flags`` holds source_id and 0/1 columns rule_clean, rule_noisy, student_clean, student_noisy.
     """
-    delta = F.col("student_noisy") - F.col("rule_noisy")
-    drop = F.col("rule_clean") - F.col("rule_noisy") - F.col("student_clean") + F.col("student_noisy")
-    totals = cluster_totals(flags, "source_id", {
-        "delta": delta, "drop": drop, "n": F.lit(1),
-        **{c: F.col(c) for c in ("rule_clean", "rule_noisy", "student_clean", "student_noisy")}}, by)
-    n = F.sum("n")
-    point = totals.groupBy(*by).agg(
-        n.alias("target_pairs"), F.count(F.lit(1)).alias("unique_source_rows"),
-        (F.sum("rule_clean") / n).alias("rule_clean_target_detection"),
-        (F.sum("rule_noisy") / n).alias("rule_noisy_target_detection"),
-        ((F.sum("rule_clean") - F.sum("rule_noisy")) / n).alias("rule_detection_drop"),
-        (F.sum("student_clean") / n).alias("student_clean_target_detection"),
-        (F.sum("student_noisy") / n).alias("student_noisy_target_detection"),
-        ((F.sum("student_clean") - F.sum("student_noisy")) / n).alias("student_detection_drop"),
-        (F.sum("delta") / n).alias("student_minus_rule_noisy"), (F.sum("drop") / n).alias("student_drop_advantage"))
-    samples = bootstrap_sums(totals, ["delta", "drop", "n"], repeats, seed, by)
-    two = samples.groupBy(*by).agg(*[
-        F.percentile(F.try_divide(F.col(c), F.col("n")), F.array(F.lit(0.025), F.lit(0.975))).alias(c) for c in ("delta", "drop")
-    ]).select(*by, F.col("delta")[0].alias("student_minus_rule_noisy_low"), F.col("delta")[1].alias("student_minus_rule_noisy_high"),
-              F.col("drop")[0].alias("student_drop_advantage_low"), F.col("drop")[1].alias("student_drop_advantage_high"))
-    return _attach(point, [two], by)
+    totals = cluster_totals(flags, "source_id", {"n": F.lit(1), **{c: F.col(c) for c in FLAGS}}, by).withColumn("sources", F.lit(1))
+    samples = bootstrap_sums(totals, ["n", "sources", *FLAGS], repeats, seed, by)
+    intervals = {k: ABSOLUTE[k] for k in ("student_minus_rule_noisy", "student_drop_advantage")}
+    points = summarise(samples, _exprs(ABSOLUTE), {f"{k}_ci": F.expr(v) for k, v in intervals.items()}, by)
+    return points.withColumnsRenamed({f"{k}_ci_{end}": f"{k}_{end}" for k in intervals for end in ("low", "high")})
+
+
+def _shared_values() -> dict[str, Column]:
+    both = (F.col("rule_clean") == 1) & (F.col("student_clean") == 1)
+    return {"n": both.cast("int"), "r": F.when(both, F.col("rule_noisy")).otherwise(0),
+            "s": F.when(both, F.col("student_noisy")).otherwise(0)}
+
+
+def _shared_summary(samples: DataFrame, by: Sequence[str]) -> DataFrame:
+    zero = lambda text: F.coalesce(F.expr(text), F.lit(0.0))
+    points = {
+        "eligible_shared_clean_targets": F.col("n"), "rule_span_survival_rate": zero("try_divide(r, n)"),
+        "student_span_survival_rate": zero("try_divide(s, n)"), "student_minus_rule": zero("try_divide(s - r, n)")}
+    return summarise(samples, points, {"ci": F.expr("try_divide(s - r, n)")}, by).withColumns(
+        {c: F.coalesce(F.col(c), F.lit(0.0)) for c in ("ci_low", "ci_high")})
 
 
 def shared_robustness(flags: DataFrame, repeats: int = 2000, seed: int = 42, by: Sequence[str] = ()) -> DataFrame:
     """Survival on pairs both systems detect when clean; zeros when there are none."""
-    both = (F.col("rule_clean") == 1) & (F.col("student_clean") == 1)
-    totals = cluster_totals(flags, "source_id", {
-        "n": both.cast("int"), "rule": F.when(both, F.col("rule_noisy")).otherwise(0),
-        "student": F.when(both, F.col("student_noisy")).otherwise(0)}, by)
-    n = F.sum("n")
-    rate = lambda c: ratio(F.sum(c), n)
-    point = totals.groupBy(*by).agg(
-        n.alias("eligible_shared_clean_targets"), rate("rule").alias("rule_span_survival_rate"),
-        rate("student").alias("student_span_survival_rate"),
-        ratio(F.sum("student") - F.sum("rule"), n).alias("student_minus_rule"))
-    samples = bootstrap_sums(totals.filter("n > 0"), ["n", "rule", "student"], repeats, seed, by)
-    ci = percentile_ci(samples, F.try_divide(F.col("student") - F.col("rule"), F.col("n")), by, "ci")
-    return _attach(point, [ci.drop("ci_mean")], by).withColumns({
-        c: F.coalesce(F.col(c), F.lit(0.0)) for c in ("ci_low", "ci_high")})
+    totals = cluster_totals(flags, "source_id", _shared_values(), by)
+    return _shared_summary(bootstrap_sums(totals, ["n", "r", "s"], repeats, seed, by), by)
 
 
 def shared_by_noise(flags: DataFrame, noise_types: Sequence[str], repeats: int = 2000, seed: int = 42) -> DataFrame:
@@ -132,32 +140,21 @@ def shared_by_noise(flags: DataFrame, noise_types: Sequence[str], repeats: int =
     The noise types are known, so each becomes a few columns of its source's row: a
     source draws its weights once for all of them instead of once per noise type.
     """
-    both = (F.col("rule_clean") == 1) & (F.col("student_clean") == 1)
     values, names = {}, []
     for i, noise in enumerate(noise_types):
-        hit = both & (F.col("noise_type") == noise)
-        values |= {f"n{i}": hit.cast("int"), f"r{i}": F.when(hit, F.col("rule_noisy")).otherwise(0),
-                   f"s{i}": F.when(hit, F.col("student_noisy")).otherwise(0)}
-        names += [f"n{i}", f"r{i}", f"s{i}"]
-    totals = cluster_totals(flags, "source_id", values)
-
-    def long(df: DataFrame, *keep: str) -> DataFrame:
-        return df.select(*keep, F.inline(F.array(*[F.struct(
-            F.lit(noise).alias("noise_type"), F.col(f"n{i}").alias("n"), F.col(f"r{i}").alias("r"), F.col(f"s{i}").alias("s"))
-            for i, noise in enumerate(noise_types)])))
-
-    n = F.col("n")
-    point = long(totals.agg(*[F.sum(c).alias(c) for c in names])).select(
-        "noise_type", n.alias("eligible_shared_clean_targets"), ratio(F.col("r"), n).alias("rule_span_survival_rate"),
-        ratio(F.col("s"), n).alias("student_span_survival_rate"), ratio(F.col("s") - F.col("r"), n).alias("student_minus_rule"))
-    samples = long(bootstrap_sums(totals, names, repeats, seed))
-    ci = percentile_ci(samples, F.try_divide(F.col("s") - F.col("r"), n), ["noise_type"], "ci").drop("ci_mean")
-    return point.filter(F.col("eligible_shared_clean_targets").isNotNull()).join(ci, "noise_type", "left").withColumns(
-        {c: F.coalesce(F.col(c), F.lit(0.0)) for c in ("ci_low", "ci_high")})
+        for key, value in _shared_values().items():
+            values[f"{key}{i}"] = F.when(F.col("noise_type") == noise, value).otherwise(0)
+            names.append(f"{key}{i}")
+    present = flags.select("source_id", "noise_type", *FLAGS)
+    samples = bootstrap_sums(cluster_totals(present, "source_id", values), names, repeats, seed)
+    long = samples.select("repeat", F.inline(F.array(*[F.struct(
+        F.lit(noise).alias("noise_type"), *[F.col(f"{k}{i}").alias(k) for k in ("n", "r", "s")]) for i, noise in enumerate(noise_types)])))
+    return _shared_summary(long, ["noise_type"])
 
 
-def _f2(tp: Column, fp: Column, fn: Column) -> Column:
-    return ratio(5 * tp, 5 * tp + fp + 4 * fn)
+def f2_text(prefix: str) -> str:
+    top = f"5 * {prefix}_tp"
+    return f"coalesce(try_divide({top}, {top} + {prefix}_fp + 4 * {prefix}_fn), 0D)"
 
 
 def paired_delta_f2(counts: DataFrame, repeats: int = 2000, seed: int = 42, by: Sequence[str] = ()) -> DataFrame:
@@ -165,8 +162,7 @@ def paired_delta_f2(counts: DataFrame, repeats: int = 2000, seed: int = 42, by:
     names = [f"{s}_{c}" for s in "rs" for c in ("tp", "fp", "fn")]
     totals = cluster_totals(counts, "source_id", {n: F.col(n) for n in names}, by)
     samples = bootstrap_sums(totals, names, repeats, seed, by)
-    f2 = {s: _f2(F.col(f"{s}_tp"), F.col(f"{s}_fp"), F.col(f"{s}_fn")) for s in "rs"}
-    return percentile_ci(samples, f2["s"] - f2["r"], by, "delta_f2")
+    return summarise(samples, {}, {"delta_f2": F.expr(f"{f2_text('s')} - {f2_text('r')}")}, by, means=True)
 
 
 def cluster_mean_delta(flags: DataFrame, left: str, right: str, repeats: int = 2000, seed: int = 42,
@@ -175,4 +171,36 @@ def cluster_mean_delta(flags: DataFrame, left: str, right: str, repeats: int = 2
     means = flags.groupBy(*by, F.col("source_id").alias("cluster")).agg(
         F.avg(F.col(right) - F.col(left)).alias("delta"), F.lit(1).alias("n"))
     samples = bootstrap_sums(means, ["delta", "n"], repeats, seed, by)
-    return percentile_ci(samples, F.try_divide(F.col("delta"), F.col("n")), by, "delta")
+    return summarise(samples, {}, {"delta": F.expr("try_divide(delta, n)")}, by, means=True)
+
+
+def evaluate_pairs(scored: DataFrame, repeats: int = 2000, seed: int = 42, by: Sequence[str] = ()) -> DataFrame:
+    """Everything the acceptance gates need, from one pass over scored pairs.
+
+    Every figure is a ratio of sums over sources, so one table of totals per source and
+    one set of weighted sums give token quality, survival, mask rates and all intervals.
+    ``scored`` is the output of ``score_pairs`` for the systems ``rule`` and ``student``.
+    """
+    both = (F.col("rule_clean") == 1) & (F.col("student_clean") == 1)
+    values = {
+        "n": F.lit(1), **{c: F.col(c) for c in FLAGS}, "both_n": both.cast("int"),
+        "both_r": F.when(both, F.col("rule_noisy")).otherwise(0), "both_s": F.when(both, F.col("student_noisy")).otherwise(0),
+        "kept_r": F.col("rule_clean") * F.col("rule_noisy"), "kept_s": F.col("student_clean") * F.col("student_noisy"),
+        **{f"{p}_{k}": F.col(f"{column}.{k}") for p, column in (("r", "rule_n"), ("s", "student_n"), ("c", "student_c"))
+           for k in ("tp", "fp", "fn", "tn")}}
+    samples = bootstrap_sums(cluster_totals(scored, "source_id", values, by), list(values), repeats, seed, by)
+    share = lambda top, bottom: f"coalesce(try_divide({top}, {bottom}), 0D)"
+    mask = lambda p: share(f"{p}_tp + {p}_fp", f"{p}_tp + {p}_fp + {p}_fn + {p}_tn")
+    points = _exprs({
+        "pairs": "n", "clean_f1": share("2 * c_tp", "2 * c_tp + c_fp + c_fn"), "clean_f2": f2_text("c"),
+        "clean_recall": share("c_tp", "c_tp + c_fn"), "noisy_f2": f2_text("s"), "rule_noisy_f2": f2_text("r"),
+        "noisy_mask_rate": mask("s"), "rule_noisy_mask_rate": mask("r"),
+        "newly_leaked": f"1 - {share('kept_s', 'student_clean')}", "rule_newly_leaked": f"1 - {share('kept_r', 'rule_clean')}",
+        "shared_delta": share("both_s - both_r", "both_n"),
+        "student_minus_rule_noisy": "(student_noisy - rule_noisy) / n",
+        "student_drop_advantage": "(rule_clean - rule_noisy - student_clean + student_noisy) / n"})
+    intervals = _exprs({
+        "absolute": "(student_noisy - rule_noisy) / n", "drop_advantage": ABSOLUTE["student_drop_advantage"],
+        "shared": "try_divide(both_s - both_r, both_n)", "delta_f2": f"{f2_text('s')} - {f2_text('r')}"})
+    out = summarise(samples, points, intervals, by)
+    return out.withColumns({c: F.coalesce(F.col(c), F.lit(0.0)) for c in ("shared_low", "shared_high")})

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from maskwright.functions.arrays import total
-from maskwright.functions.text import join_words, redact
+from maskwright.functions.text import redact
 from maskwright.operators.metrics import ratio
-from maskwright.operators.sampling import random_masks
+from maskwright.operators.sampling import random_mask_sql
 
 MASK_TOKEN = "[MASK]"
 
@@ -19,21 +19,23 @@ def conditions(rows: DataFrame, trials: int, seed: int, replacement: str | None
                teacher: str = "labels", student: str = "pred", carry: Sequence[str] = ("task_label",)) -> DataFrame:
     """(id, condition, trial, text): original, teacher, student and rate-matched random masks.
 
-    ``replacement`` None deletes masked words. Everything happens inside the row.
+    ``replacement`` None deletes masked words. All versions of a text are made in one
+    pass over its row: first the masks, then one expression that shows each of them.
     """
-    def shown(mask: str) -> Column:
-        return redact(F.col("words"), F.col(mask), replacement)
+    blank = "transform(words, w -> 0)"
+    entry = lambda name, trial, mask: f"named_struct('condition', '{name}', 'trial', {trial}, 'mask', {mask})"
+    drawn = [
+        f"transform(sequence(0, {trials - 1}), trial -> {entry(f'random_{name}_budget', 'trial', random_mask_sql(total(mask), seed))})"
+        for name, mask in (("teacher", teacher), ("student", student))]
+    fixed = ", ".join(entry(n, 0, m) for n, m in (("original", blank), ("teacher", teacher), ("student", student)))
+    masks = rows.select("id", *carry, "words", F.expr(f"inline(concat(array({fixed}), {', '.join(drawn)}))"))
+    return masks.select("id", *carry, "condition", "trial", redact(F.col("words"), F.col("mask"), replacement).alias("text"))
 
-    def version(name: str, text: Column) -> Column:
-        return F.struct(F.lit(name).alias("condition"), F.lit(0).alias("trial"), text.alias("text"))
 
-    fixed = rows.select("id", *carry, F.inline(F.array(
-        version("original", join_words(F.col("words"))), version("teacher", shown(teacher)), version("student", shown(student)))))
-    drawn = [
-        random_masks(rows, F.expr(total(budget)), trials, seed).select(
-            "id", *carry, F.lit(f"random_{name}_budget").alias("condition"), "trial", shown("mask").alias("text"))
-        for name, budget in (("teacher", teacher), ("student", student))]
-    return fixed.unionByName(drawn[0]).unionByName(drawn[1])
+def with_original_answer(answers: DataFrame) -> DataFrame:
+    """Add the answer on the untouched text. A window group is the versions of one text."""
+    original = F.max(F.when(F.col("condition") == "original", F.col("predicted")))
+    return answers.withColumn("original_predicted", original.over(Window.partitionBy("id")))
 
 
 def leakage_scores(predictions: DataFrame) -> DataFrame:

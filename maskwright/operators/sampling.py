@@ -171,9 +171,8 @@ def evenly_spaced(rows: DataFrame, order: str, k: int) -> DataFrame:
     return numbered.filter((n <= k) | ((i <= k - 1) & lands)).drop("row_index", "total_rows")
 
 
-def random_masks(rows: DataFrame, budget: Column, trials: int, seed: int, lexical_only: bool = True,
-                 id_col: str = "id") -> DataFrame:
-    """Per trial a mask with as many words as ``budget``, at random positions of the same row.
+def random_mask_sql(budget: str, seed: int, lexical_only: bool = True, id_col: str = "id") -> str:
+    """A mask over ``words`` for ``trial`` with ``budget`` words at random positions.
 
     Positions are ordered by digest and cut at the budget; the cut is a digest value,
     so marking the chosen words takes one pass.
@@ -181,8 +180,13 @@ def random_masks(rows: DataFrame, budget: Column, trials: int, seed: int, lexica
     eligible = r"rlike(w, '[\\p{L}\\p{N}]')" if lexical_only else "true"
     hashes = (f"transform(words, (w, i) -> case when {eligible} then "
               f"sha2(concat_ws('::', '{seed}', trial, {id_col}, i), 256) end)")
-    cut = "get(ordered, least(_budget, size(ordered)) - 1)"
-    mask = let("h", hashes, let("ordered", "array_sort(filter(h, x -> x is not null))", let(
+    cut = f"get(ordered, least({budget}, size(ordered)) - 1)"
+    return let("h", hashes, let("ordered", "array_sort(filter(h, x -> x is not null))", let(
         "top", cut, "transform(h, x -> cast(coalesce(x <= top, false) as int))")))
-    return rows.withColumn("_budget", budget.cast("int")).withColumn(
-        "trial", F.explode(F.sequence(F.lit(0), F.lit(trials - 1)))).withColumn("mask", F.expr(mask)).drop("_budget")
+
+
+def random_masks(rows: DataFrame, budget: str, trials: int, seed: int, lexical_only: bool = True,
+                 id_col: str = "id") -> DataFrame:
+    """Per trial (column trial) a random mask with as many words as ``budget`` (an SQL expression)."""
+    per_trial = rows.withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(trials - 1))))
+    return per_trial.withColumn("mask", F.expr(random_mask_sql(budget, seed, lexical_only, id_col)))

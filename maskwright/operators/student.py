@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from maskwright.functions.text import redact, words
+from maskwright.operators.leakage import with_original_answer
 from maskwright.operators.metrics import class_weight, operating_points, threshold_sweep
 
 
@@ -110,5 +111,4 @@ def attack(model: PipelineModel, texts: DataFrame, label: str = "task_label") ->
         *keys, F.col(label).cast("int").alias("gold"), F.col("prediction").cast("int").alias("predicted"),
         vector_to_array("probability").alias("_p")).withColumn(
         "p_gold", F.element_at("_p", F.col("gold") + 1)).drop("_p")
-    original = answers.filter("condition = 'original'").select("id", F.col("predicted").alias("original_predicted"))
-    return answers.join(original, "id")
+    return with_original_answer(answers)

@@ -2,22 +2,28 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Checkpoint to the shared folder the cluster names in ``spark.checkpoint.dir``.
+    """Run the plan once and checkpoint it, so that later steps start from its rows.
 
-    Runs the plan once. A checkpoint survives the loss of executors; where no folder
-    is configured the plan is returned as it is and is simply evaluated again.
+    The folder is the shared one the cluster names in ``spark.checkpoint.dir``, and the
+    copy survives the loss of executors. Where none is named, a local session (tests)
+    gets its own folder and a cluster evaluates the plan again instead.
     """
     spark: SparkSession = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        return df
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not context.master.startswith("local"):
+                return df
+            folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
 
 

@@ -137,7 +137,7 @@ _RANDOM = """
     select id, trial, coalesce(string_agg(pos, ',' order by pos), '') as positions from m group by all""")
 def random_masks(spark, folder):
     rows = versions(spark, folder)
-    drawn = S.random_masks(rows, F.expr(total("labels")), 3, 42)
+    drawn = S.random_masks(rows, total("labels"), 3, 42)
     return drawn.select("id", c("trial").cast("bigint").alias("trial"), F.array_join(F.expr(
         "filter(transform(mask, (x, i) -> case when x = 1 then cast(i as string) end), i -> i is not null)"), ",").alias("positions")).filter("positions <> ''")
 
@@ -175,8 +175,7 @@ def leakage_table(spark, folder):
     answers = texts.select(
         "id", "condition", "trial", F.expr("case task_label when 'F' then 0 when 'O' then 1 else 2 end").alias("gold"),
         F.expr(_ANSWER).alias("predicted"), (F.lit(1.0) / (1 + F.length("text") % 7)).alias("p_gold"))
-    original = answers.filter("condition = 'original'").select("id", c("predicted").alias("original_predicted"))
-    table = LK.leakage_table(LK.leakage_scores(answers.join(original, "id")))
+    table = LK.leakage_table(LK.leakage_scores(LK.with_original_answer(answers)))
     return table.select("condition", "trials", *rounded(*[f"{f}_{s}" for f in LK.LEAKAGE_FIELDS for s in ("mean", "std")], "accuracy_drop"))
 
 

@@ -29,6 +29,7 @@ PHRASES = R.Rule("phrases", "1.0", rf"(?<![{X.WORD}])(?:{_PHRASES})(?![{X.WORD}]
 DOSES = R.Rule("doses", "1.0", rf"(?<![{X.WORD}])\p{{Nd}}+ (?:mg|kg|units)(?![{X.WORD}])", r"\p{Nd} ")
 SYSTEM = (*R.RULES, PHRASES, DOSES)
 EXTRA = {"phrases": rf"\b(?:{_PHRASES})\b", "doses": r"\b\d+ (?:mg|kg|units)\b"}
+REPEATS = 2000
 # The student of these queries looks at single words only.
 TERMS = tuple(sorted({w.lower() for phrase in NAMES + GOODS for w in phrase.split()} | {"mg", "kg", "units"}))
 
@@ -210,7 +211,6 @@ def _draws(clusters: str, repeats: int, seed: int = 42) -> str:
 
 
 _CI = lambda value, name: f"round(quantile_cont({value}, 0.025), 9) as {name}_low, round(quantile_cont({value}, 0.975), 9) as {name}_high"
-REPEATS = 2000
 
 
 @query(f"""with {_scored_sql('all')}, t as (select source_id as cluster, sum(sn - rn) as d, sum(rc - rn - sc + sn) as p, count(*) as n from fl group by 1),
@@ -265,26 +265,10 @@ def delta_f2_ci(spark, folder):
 
 def gate_metrics(spark, folder):
     """Everything the gates need, one row per dataset (order priority)."""
-    pairs = RB.with_combinations(predicted_pairs(spark, folder), ("clean_labels", "rule_noisy_labels"), ("student_clean_labels", "student_noisy_labels"))
-    scored = RB.score_pairs(pairs.withColumn("dataset", c("dataset_name")), {
+    pairs = predicted_pairs(spark, folder).withColumn("dataset", c("dataset_name"))
+    scored = RB.score_pairs(pairs, {
         "rule": ("clean_labels", "rule_noisy_labels"), "student": ("student_clean_labels", "student_noisy_labels")}, ["dataset"])
-    long = RB.system_long(scored, ["rule", "student"], ["dataset"])
-    by = ["dataset", "system"]
-    joined = RB.token_scores(long, "c", by).select(*by, c("f1").alias("cf1"), c("f2").alias("cf2"), c("recall").alias("cr")).join(
-        RB.token_scores(long, "n", by).select(*by, c("f2").alias("nf2"), c("predicted_mask_rate").alias("nm")), by).join(
-        RB.survival(long, by).select(*by, "newly_leaked_span_rate"), by)
-    pick = lambda f, s: F.max(F.when(c("system") == s, c(f)))
-    wide = joined.groupBy("dataset").agg(
-        pick("cf1", "student").alias("clean_f1"), pick("cf2", "student").alias("clean_f2"), pick("cr", "student").alias("clean_recall"),
-        pick("nf2", "student").alias("noisy_f2"), pick("nm", "student").alias("noisy_mask_rate"), pick("newly_leaked_span_rate", "student").alias("newly_leaked"),
-        pick("nf2", "rule").alias("rule_noisy_f2"), pick("nm", "rule").alias("rule_noisy_mask_rate"), pick("newly_leaked_span_rate", "rule").alias("rule_newly_leaked"))
-    flags = scored.select("dataset", "source_id", "noise_type", "rule_clean", "rule_noisy", "student_clean", "student_noisy")
-    counts = scored.select("dataset", "source_id", *[c(f"{s}_n.{k}").alias(f"{s[0]}_{k}") for s in ("rule", "student") for k in ("tp", "fp", "fn")])
-    absolute = B.absolute_robustness(flags, 300, 42, ["dataset"]).select(
-        "dataset", c("student_minus_rule_noisy_low").alias("absolute_low"), c("student_drop_advantage_low").alias("drop_advantage_low"))
-    shared = B.shared_robustness(flags, 300, 42, ["dataset"]).select("dataset", c("student_minus_rule").alias("shared_delta"), c("ci_low").alias("shared_low"))
-    delta = B.paired_delta_f2(counts, 300, 42, ["dataset"]).select("dataset", "delta_f2_low")
-    return wide.join(absolute, "dataset").join(shared, "dataset").join(delta, "dataset")
+    return B.evaluate_pairs(scored, REPEATS, 42, ["dataset"])
 
 
 _CLEAN_BY_PAIR = "select pr.dataset_name as dataset, clean.label, clean.student from pr join clean using (id)"
@@ -297,7 +281,7 @@ _CLEAN_BY_PAIR = "select pr.dataset_name as dataset, clean.label, clean.student
     sv as (select dataset, 1 - coalesce(sum(sc * sn)::double / nullif(sum(sc), 0), 0) as sl, 1 - coalesce(sum(rc * rn)::double / nullif(sum(rc), 0), 0) as rl from fd group by 1),
     t as (select dataset, source_id as cluster, sum(sn - rn) as d, sum(rc - rn - sc + sn) as p, count(*) as n, sum(rc * sc) as en, sum(rc * sc * (sn - rn)) as ed from fd group by all),
     tc as (select dataset_name as dataset, id as cluster, {_COUNT('rule', 'r')}, {_COUNT('student', 's')} from noisy join pr using (pair_id) group by all),
-    dr as ({_draws('select distinct cluster from t', 300)}),
+    dr as ({_draws('select distinct cluster from t', REPEATS)}),
     b1 as (select dataset, b, sum(w * d)::double / nullif(sum(w * n), 0) as d, sum(w * p)::double / nullif(sum(w * n), 0) as p, sum(w * ed)::double / nullif(sum(w * en), 0) as e from dr join t using (cluster) group by all),
     b2 as (select dataset, b, {_F2('s')} - {_F2('r')} as x from dr join tc using (cluster) group by all),
     q1 as (select dataset, quantile_cont(d, 0.025) as al, quantile_cont(p, 0.025) as pl, coalesce(quantile_cont(e, 0.025), 0) as el from b1 group by 1),
