@@ -48,11 +48,12 @@ def bootstrap_sums(totals: DataFrame, names: Sequence[str], repeats: int, seed:
     """Weighted sums per (by, repeat); repeat -1 holds the unweighted sums.
 
     Cluster totals are few bytes but stand for ``repeats`` times the work, so they are
-    spread over all cores first; a size-based coalesce would put them into one task.
+    spread over all cores first (by a hash, so that the exchange is not merged with the
+    aggregate's own); a size-based coalesce would put them into one task.
     """
     spark = totals.sparkSession
     tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    spread = totals.select(*by, *names, "cluster").repartition(tasks, *by, "cluster")
+    spread = totals.select(*by, *names, "cluster").repartition(tasks, F.xxhash64(*by, "cluster"))
     blocks = -(-repeats // DRAWS)
     hashed = spread.select(*by, *names, "cluster", F.explode(F.sequence(F.lit(-1), F.lit(blocks - 1))).alias("_block")).select(
         *by, *names, "_block",
