@@ -1 +1,50 @@
-"""Registered later."""
+"""Queries that train or apply Spark ML models, and streaming twins (rows-only checks)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from maskwright.functions import text as X
+from maskwright.operators import leakage as LK
+from maskwright.operators import metrics as M
+from maskwright.operators import rules as R
+from maskwright.operators import student as ST
+from maskwright.session import cut_lineage, with_once
+from maskwright.sources import tables as T
+from workloads.registry import query
+
+c = F.col
+
+
+def _labelled(spark, folder):
+    notes = T.order_notes(spark, folder)
+    return with_once(notes, words=X.words(c("text")), labels=R.rule_labels("text")).withColumn(
+        "split", F.expr("case when source_index % 10 < 8 then 'train' when source_index % 10 = 8 then 'validation' else 'test' end"))
+
+
+@query()
+def student_scores(spark, folder):
+    rows = cut_lineage(_labelled(spark, folder))
+    model = ST.fit_student(rows.filter("split = 'train'"), iterations=10)
+    scored = cut_lineage(ST.score_words(model, rows.filter("split <> 'train'"), labels="labels", max_length=256, carry=("split",)))
+    points = M.operating_points(M.threshold_sweep(scored.filter("split = 'validation'"), ["model"]), ["model"])
+    return M.at_threshold(scored.filter("split = 'test'"), points, ["model"]).select("model", "mode", "threshold", "tokens", "f1", "f2", "recall")
+
+
+@query()
+def student_redaction(spark, folder):
+    rows = cut_lineage(_labelled(spark, folder))
+    model = ST.fit_student(rows.filter("split = 'train'"), iterations=10)
+    return ST.predict_text(model, rows.filter("split = 'test'").select("id", "text"), 0.5).select("id", "redacted", F.expr(
+        "aggregate(pred, 0L, (a, x) -> a + coalesce(x, 0))").alias("masked"))
+
+
+@query()
+def attacker_scores(spark, folder):
+    docs = T.labelled_documents(spark, folder).withColumn("source_index", c("id"))
+    teacher = docs.filter("id % 10 = 3").select(F.concat(F.lit("corpus-train-"), c("id")).alias("id"))
+    train = ST.attacker_rows(docs, ST.teacher_indices(teacher, r"^corpus-train-(\d+)$"))
+    model = ST.fit_attacker(train, iterations=10)
+    held = with_once(docs.filter("id % 10 = 3"), words=X.words(c("text")), labels=R.rule_labels("text"), pred=R.rule_labels("text", R.rules_as_of("1.3")))
+    answers = ST.attack(model, LK.conditions(held, 3, 42))
+    return LK.leakage_table(LK.leakage_scores(answers))
