@@ -16,20 +16,24 @@ from maskwright.operators.sampling import first_n
 from maskwright.session import with_once
 
 
-def scan_candidates(docs: DataFrame, defects: Sequence[str], dataset: str = "corpus") -> DataFrame:
-    """Every match of the listed rules, one row each. Works inside each document."""
+def scan_candidates(docs: DataFrame, defects: Sequence[str], dataset: str = "corpus", carry: Sequence[str] = ()) -> DataFrame:
+    """Every match of the listed rules, one row each. Works inside each document.
+
+    ``carry`` names document columns to keep, for example labels worked out once per
+    document and shared by all of its candidates.
+    """
     rules = named_rules(*defects)
     versions = F.create_map(*[F.lit(x) for r in RULES for x in (r.name, r.introduced_in)])
     optional = {"task_label": None, "source": dataset, "source_split": "test"}
     extra = [F.col(c) if c in docs.columns else F.lit(v).cast("string").alias(c) for c, v in optional.items()]
     per_rule = F.array(*[rule_spans("text", (r,)) for r in rules])
     found = docs.select(
-        F.col("id").cast("string").alias("source_id"), "text", *extra, F.explode(per_rule).alias("_spans")
+        F.col("id").cast("string").alias("source_id"), "text", *extra, *carry, F.explode(per_rule).alias("_spans")
     ).select("*", F.posexplode("_spans").alias("occurrence", "_s"))
     return found.select(
         F.concat_ws("::", "source_id", F.lit("temporal"), F.col("_s.type"), F.col("_s.start").cast("string"),
                     F.col("occurrence").cast("string")).alias("id"),
-        "source_id", "text", "task_label", "source", "source_split",
+        "source_id", "text", "task_label", "source", "source_split", *carry,
         F.col("_s.type").alias("temporal_defect"), versions[F.col("_s.type")].alias("introduced_in"),
         F.struct(F.col("_s.start").alias("start"), F.col("_s.end").alias("end")).alias("target"),
         F.col("_s.hit").alias("target_text"))

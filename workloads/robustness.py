@@ -318,10 +318,10 @@ def temporal_counts(spark, folder):
 
 def replay(spark, folder):
     """All candidates with the labels of the oldest rules, the latest rules and the word-level student."""
-    found = TM.scan_candidates(T.order_notes(spark, folder), _DEFECTS)
-    return TM.validated_targets(with_once(
-        found, old_labels=R.rule_labels("text", R.rules_as_of("1.3")), latest_labels=R.rule_labels("text"),
-        student_labels=student_labels(X.words(c("text")))))
+    labelled = with_once(
+        T.order_notes(spark, folder), old_labels=R.rule_labels("text", R.rules_as_of("1.3")), latest_labels=R.rule_labels("text"),
+        student_labels=student_labels(X.words(c("text"))))
+    return TM.validated_targets(TM.scan_candidates(labelled, _DEFECTS, carry=("old_labels", "latest_labels", "student_labels")))
 
 
 _REPLAY = f"""
