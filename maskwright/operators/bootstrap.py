@@ -175,6 +175,25 @@ def cluster_mean_delta(flags: DataFrame, left: str, right: str, repeats: int = 2
     return summarise(samples, {}, {"delta": F.expr("try_divide(delta, n)")}, by, means=True)
 
 
+def cluster_mean_delta_by(flags: DataFrame, left: str, right: str, kind: str, kinds: Sequence[str], total: str = "all",
+                          repeats: int = 2000, seed: int = 42) -> DataFrame:
+    """``cluster_mean_delta`` per kind and over all rows (kind = ``total``).
+
+    The kinds are known, so a cluster carries one mean and one presence flag per kind and
+    draws its weights once for all of them.
+    """
+    delta = F.col(right) - F.col(left)
+    cases = [F.lit(True), *[F.col(kind) == k for k in kinds]]
+    means = flags.groupBy(F.col("source_id").alias("cluster")).agg(*[
+        F.avg(F.when(case, delta)).alias(f"m{i}") for i, case in enumerate(cases)])
+    totals = means.select("cluster", *[c for i in range(len(cases)) for c in (
+        F.coalesce(F.col(f"m{i}"), F.lit(0.0)).alias(f"d{i}"), F.col(f"m{i}").isNotNull().cast("int").alias(f"n{i}"))])
+    samples = bootstrap_sums(totals, [f"{k}{i}" for i in range(len(cases)) for k in "dn"], repeats, seed)
+    long = samples.select("repeat", F.inline(F.array(*[F.struct(
+        F.lit(name).alias(kind), F.col(f"d{i}").alias("d"), F.col(f"n{i}").alias("n")) for i, name in enumerate((total, *kinds))])))
+    return summarise(long, {}, {"delta": F.expr("try_divide(d, n)")}, [kind], means=True)
+
+
 def evaluate_pairs(scored: DataFrame, repeats: int = 2000, seed: int = 42, by: Sequence[str] = ()) -> DataFrame:
     """Everything the acceptance gates need, from one pass over scored pairs.
 

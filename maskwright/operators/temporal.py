@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 
 from maskwright.functions import labels as L
 from maskwright.functions.text import stable_key, word_offsets_sql, words
-from maskwright.operators.bootstrap import cluster_mean_delta
+from maskwright.operators.bootstrap import cluster_mean_delta_by
 from maskwright.operators.metrics import with_scores
 from maskwright.operators.rules import RULES, named_rules, rule_spans
 from maskwright.operators.sampling import first_n
-from maskwright.session import with_once
+from maskwright.session import cut_lineage, with_once
 
 
 def scan_candidates(docs: DataFrame, defects: Sequence[str], dataset: str = "corpus", carry: Sequence[str] = ()) -> DataFrame:
@@ -78,8 +78,10 @@ def mismatched_words(candidates: DataFrame, stored: str = "words") -> DataFrame:
 def by_defect(targets: DataFrame, repeats: int = 2000, seed: int = 42) -> DataFrame:
     """Per defect and overall (temporal_defect ``all``): detection of each system and the interval of student - old.
 
-    Targets are counted under their defect and once more under ``all``.
+    Targets are counted under their defect and once more under ``all``. Only the flags are
+    read twice; they are checkpointed where a folder is configured.
     """
+    targets = cut_lineage(targets.select("source_id", "temporal_defect", "introduced_in", "old_hit", "student_hit", "latest_hit"))
     flat = targets.select("source_id", "introduced_in", "old_hit", "student_hit", "latest_hit",
                           F.explode(F.array(F.col("temporal_defect"), F.lit("all"))).alias("temporal_defect"))
     per_source = flat.groupBy("temporal_defect", "source_id").agg(
@@ -91,7 +93,7 @@ def by_defect(targets: DataFrame, repeats: int = 2000, seed: int = 42) -> DataFr
         (F.sum("old_hit") / n).alias("past_rule_detection"), (F.sum("student_hit") / n).alias("past_student_detection"),
         (F.sum("latest_hit") / n).alias("latest_rule_detection"),
         ((F.sum("student_hit") - F.sum("old_hit")) / n).alias("student_minus_rule"))
-    ci = cluster_mean_delta(flat, "old_hit", "student_hit", repeats, seed, ["temporal_defect"])
+    ci = cluster_mean_delta_by(targets, "old_hit", "student_hit", "temporal_defect", [r.name for r in RULES], "all", repeats, seed)
     return point.join(ci, "temporal_defect")
 
 
