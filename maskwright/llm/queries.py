@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from maskwright.llm import exact, mixing, sharding
+import public_tokenizers
+
+from maskwright.llm import editprint, exact, html, mixing, packing, secrets, sharding, simhash, toxicity, warc
 from maskwright.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,6 +29,35 @@ def op1_rendezvous_shards(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.shard_documents(read(spark, folder, "documents"))
 
 
+@query("""
+with records as (
+    select page_id, octet_length(encode(coalesce(html, ''))) as payload_bytes, sha256(coalesce(html, '')) as payload_digest from pages),
+named as (select *, min(page_id) over (partition by payload_digest) as original from records)
+select page_id, payload_bytes, payload_digest,
+       case when payload_bytes >= 100 and page_id <> original then 'revisit' else 'response' end as record_type,
+       case when payload_bytes >= 100 and page_id <> original then original end as refers_to
+from named
+""")
+def op2_warc_revisits(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.archived_pages(read(spark, folder, "pages"))
+
+
+@query()
+def op3_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    documents = read(spark, folder, "documents")
+    return toxicity.score_documents(documents, toxicity.train(documents, read(spark, folder, "labels")))
+
+
+@query()
+def op4_html_text(spark: SparkSession, folder: str) -> DataFrame:
+    return html.main_text(read(spark, folder, "pages"))
+
+
+@query()
+def op5_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(read(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 @query("""
 with sized as (
     select doc_id, source, cast(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) as bigint) as size,
@@ -66,6 +97,21 @@ def op6_pareto_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix_table(read(spark, folder, "documents"))
 
 
+@query()
+def op7_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return secrets.scan(read(spark, folder, "documents"))
+
+
+@query()
+def op8_edit_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return editprint.edited_fingerprints(read(spark, folder, "documents"))
+
+
+@query()
+def op9_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.near_duplicates(read(spark, folder, "documents"))
+
+
 @query("""
 with normal as (select doc_id, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', ' ', 'g') as norm from documents)
 select doc_id, min(doc_id) over (partition by norm) as keep_id, count(*) over (partition by norm) as group_size,
