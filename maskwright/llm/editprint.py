@@ -227,12 +227,13 @@ def edited_fingerprints(documents: DataFrame, share: int = 4) -> DataFrame:
                            F.lower(F.hex("edited_fp")).alias("edited_fingerprint"), "near_edited", "near_next")
 
 
-def near_links(prints: DataFrame, least: float = 0.8, bands: int = 32) -> DataFrame:
+def near_links(prints: DataFrame, least: float = 0.4, bands: int = 32) -> DataFrame:
     """(fp, near_fp, likeness): each distinct fingerprint with those it meets in a band and is like enough to.
 
     A band is SLOTS / bands bytes. In each band every fingerprint is compared with the smallest that has the same
     bytes there, so a band of any size gives one candidate per member; links through shared representatives
-    join a group of near copies.
+    join a group of near copies. Unrelated texts are alike in under a fifth; an edit costs what the walks need to fall in
+    step again, which may be the rest of a segment.
     """
     width = SLOTS // bands
     distinct = prints.select("fp").distinct()

@@ -79,60 +79,70 @@ def training_rows(documents: DataFrame, labels: DataFrame, label: str = "toxic",
         known, "doc_id").select("text", "label")
 
 
-def term_counts(rows: DataFrame, stems: Sequence[int] = (4, 5, 6), flush: int = 400_000) -> DataFrame:
-    """(term, toxic, clean): labelled texts with each folded word (' word ') and word start (' wor'), over all rows."""
+def terms_of(word: str, stems: Sequence[int]) -> list[str]:
+    """The word with a space at either end, and its starts with a space before."""
+    return [f" {word} ", *(f" {word[:n]}" for n in stems if len(word) > n)]
+
+
+def term_counts(rows: DataFrame, among: Sequence[str] | None = None, stems: Sequence[int] = (4, 5, 6, 7, 8), most: int = 3, flush: int = 400_000) -> DataFrame:
+    """(term, n): how often each folded word or word start occurs in the texts, at most `most` times a text for a word.
+
+    among: only these terms. The empty term has the number of all words. Words are counted once per task.
+    """
+    wanted = None if among is None else frozenset(among)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple[Counter, Counter] = (Counter(), Counter())
+        held: Counter = Counter()
+        total = 0
 
         def emit() -> pa.RecordBatch:
-            terms = list(held[0].keys() | held[1].keys())
-            out = pa.record_batch([pa.array(terms, pa.string()), pa.array([held[1][t] for t in terms], pa.int64()), pa.array([held[0][t] for t in terms], pa.int64())],
-                                  names=["term", "toxic", "clean"])
-            held[0].clear()
-            held[1].clear()
-            return out
+            terms: Counter = Counter({"": total})
+            for word, n in held.items():
+                for term in terms_of(word, stems):
+                    if wanted is None or term in wanted:
+                        terms[term] += n
+            held.clear()
+            return pa.record_batch([pa.array(list(terms), pa.string()), pa.array(list(terms.values()), pa.int64())], names=["term", "n"])
 
         for batch in batches:
-            for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                words = {w for w in fold(text).split() if len(w) >= 3}
-                counter = held[1 if label else 0]
-                counter.update(f" {w} " for w in words)
-                counter.update({f" {w[:n]}" for w in words for n in stems if len(w) > n})
-            if len(held[0]) + len(held[1]) > flush:
+            for text in batch.column(0).to_pylist():
+                words = fold(text).split()
+                total += len(words)
+                for word, n in Counter(words).items():
+                    if len(word) >= 3:
+                        held[word] += min(n, most)
+            if len(held) > flush:
                 yield emit()
-        if held[0] or held[1]:
-            yield emit()
+                total = 0
+        yield emit()
 
-    counts = rows.select("text", "label").mapInArrow(count, "term string, toxic long, clean long")
-    return counts.groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    return rows.select("text").mapInArrow(count, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
 
 
-def learn_lexicon(rows: DataFrame, size: int = 4000, support: int = 5, least: float = 2.5) -> list[tuple[str, float]]:
-    """The `size` best-supported terms whose log odds of being in a toxic rather than a clean text are at least `least`.
+def learn_lexicon(rows: DataFrame, size: int = 2000, candidates: int = 20_000, support: int = 6, least: float = 1.5, heaviest: float = 4.0) -> list[tuple[str, float]]:
+    """At most `size` terms with the log of their rate in toxic over that in clean texts, from `least` to `heaviest`.
 
-    Counts cover all rows. A word start is kept only where it stands for more than its best single word, and
-    a longer term only where a kept shorter start does not cover it. The lexicon is bounded by `size`.
+    Counts cover all rows. Candidates are the `candidates` most frequent terms of the toxic texts with a count of at
+    least `support` (a hundredth of a term in a thousandth of the words, if that is more). Of a word and its starts the one
+    that tells most, count times weight, is taken: a start only where it stands for more than one word. The numbers
+    bound the lexicon, which every task gets.
     """
-    totals = rows.agg(F.sum("label").alias("toxic"), F.count("*").alias("all")).first()
-    toxic, clean = (totals["toxic"] or 0) + 1.0, (totals["all"] or 0) - (totals["toxic"] or 0) + 1.0
-    odds = F.log((F.col("toxic") + 0.5) / toxic) - F.log((F.col("clean") + 0.5) / clean)
-    found = (term_counts(rows).filter(F.col("toxic") >= support).withColumn("weight", odds).filter(F.col("weight") >= least)
-             .orderBy(F.desc("toxic"), "term").limit(size).collect())
-    counts = {r["term"]: (r["toxic"], r["weight"]) for r in found}
-    words = {t for t in counts if t.endswith(" ")}
-    best: dict[str, int] = {}
-    for w in words:
-        for n in range(3, len(w) - 1):
-            best[w[:n]] = max(best.get(w[:n], 0), counts[w][0])
+    toxic_rows, clean_rows = rows.filter("label = 1"), rows.filter("label <> 1")
+    counted = term_counts(toxic_rows)
+    total = counted.filter("term = ''").agg(F.sum("n")).first()[0] or 0
+    floor = max(support, total * 1e-5)
+    toxic = {r["term"]: r["n"] for r in counted.filter((F.col("term") != "") & (F.col("n") >= floor)).orderBy(F.desc("n"), "term").limit(candidates).collect()}
+    clean = {r["term"]: r["n"] for r in term_counts(clean_rows, sorted(toxic)).collect()}
+    words = max(clean.get("", 0), 1)
+    weights = {t: float(np.log((n + 0.5) / max(total, 1)) - np.log((clean.get(t, 0) + 2.0) / words)) for t, n in toxic.items()}
     chosen: dict[str, float] = {}
-    for term in sorted(counts, key=lambda t: (len(t), t)):
-        n, weight = counts[term]
-        covered = any(term[:k] in chosen and counts[term[:k]][0] >= n for k in range(3, len(term)))
-        longer = [t for t in counts if len(t) == len(term) + 1 and t.startswith(term) and not t.endswith(" ") and counts[t][0] >= 0.95 * n]
-        if covered or (term not in words and (n < 1.2 * best.get(term, 0) or longer)):
-            continue
-        chosen[term] = weight
+    starts: set[str] = set()
+    for term in sorted((t for t in weights if weights[t] >= least), key=lambda t: (-toxic[t] * min(weights[t], heaviest), -len(t), t)):
+        if len(chosen) == size:
+            break
+        if term not in starts and not any(term[:k] in chosen for k in range(3, len(term))):
+            chosen[term] = min(weights[term], heaviest)
+            starts.update(term[:k] for k in range(3, len(term)))
     return sorted(chosen.items())
 
 
@@ -168,8 +178,8 @@ class Matcher:
 
 
 def measure(total: np.ndarray, length: np.ndarray) -> np.ndarray:
-    """Matched weight per unit of length, which grows with the logarithm of the characters."""
-    return total / np.log2(16.0 + length)
+    """Matched weight per stretch of text: of 400 characters, in short texts of what there is and 400 more."""
+    return total / (1.0 + length / 400.0)
 
 
 def fit_scale(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 60) -> tuple[float, float]:

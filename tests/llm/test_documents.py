@@ -1,0 +1,375 @@
+"""Document operators against brute force, and on nulls, empty and long texts, ties, repeats, empty tables and clashing columns."""
+
+import hashlib
+import math
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import public_tokenizers
+import pytest
+import xxhash
+from tokenizers import Tokenizer
+
+from maskwright.llm import components, editprint, exact, mixing, packing, secrets, sharding, simhash, toxicity
+from tests.conftest import SMALL
+
+BPE = public_tokenizers.path("byte_bpe_50k.json")
+CLASH = ("size", "shard", "slot", "fp", "norm", "key", "text_sha256", "copies", "score", "part", "band")
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in CLASH)
+
+
+def table(spark, rows):
+    return spark.createDataFrame([(i, t, "en", s, len(t or ""), *["x"] * len(CLASH)) for i, t, s in rows], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def edge_rows():
+    rng = random.Random(4)
+    words = ["river", "stone", "lamp", "idiot", "9f8e7d6c5b4a39281706", "a", "Ünter", "été", "日本語"]
+    long = " ".join(rng.choice(words) for _ in range(60_000))
+    rows = [(None, None, None), (None, "no id here", "a"), (1, "", "a"), (2, " \t\n ", "b"), (3, None, "b"), (4, "same text twice over", "a"),
+            (5, "same  text\ntwice over", "a"), (6, "same text twice over", None), (6, "same text twice over", None), (7, long, "c"), (8, long + " end", "c"),
+            (9, "one", "a"), (10, "one two", "a"), (11, "<|endoftext|> password=ab12cd34ef56ab78 x", "b"), (11, "other text, same id", "b"), (12, "\n\n  spaced\r\n", "b")]
+    rows += [(20 + i, " ".join(rng.choice(words) for _ in range(rng.randint(1, 60))), rng.choice(["a", "a", "b", "d"])) for i in range(60)]
+    return rows
+
+
+@pytest.fixture(scope="module")
+def edge(spark, edge_rows):
+    return table(spark, edge_rows)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return table(spark, [])
+
+
+def test_shards(edge, empty, edge_rows):
+    got = sharding.shard_documents(edge).collect()
+    assert len(got) == len(edge_rows)
+    assert Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in got) == Counter(
+        (i, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t, _ in edge_rows)
+    slots = defaultdict(list)
+    for r in got:
+        slots[r["shard"]].append(r["slot"])
+        assert r["law"] == "key" and r["grown_shard"] in (r["shard"], 8)
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert len({r["shard"] for r in got if r["doc_id"] == 6}) == 1
+    assert sharding.shard_documents(empty).collect() == []
+
+
+def test_shard_weights(spark):
+    from pyspark.sql import functions as F
+
+    rows = spark.range(40_000).withColumn("shard", F.lit("old"))
+    before = {r["id"]: r["shard"] for r in sharding.shard_records(rows, F.col("id"), [1, 2, 0, 1]).collect()}
+    after = {r["id"]: r["shard"] for r in sharding.shard_records(rows, F.col("id"), [1, 2, 0, 1, 4]).collect()}
+    share = Counter(before.values())
+    assert 2 not in share and abs(share[1] / 40_000 - 0.5) < 0.02
+    assert all(after[i] in (4, s) for i, s in before.items()) and abs(Counter(after.values())[4] / 40_000 - 0.5) < 0.02
+    with pytest.raises(ValueError):
+        sharding.shard_of(F.col("id"), [0, 0])
+
+
+def fill(sizes, weights=(5.0, 2.0, 1.0), cap=3):
+    """Targets by sharing, capping and sharing the rest again."""
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: weights[i % 3] for i, s in enumerate(order)}
+    total, target, open_ = sum(sizes.values()), {}, list(order)
+    while open_:
+        left = total - sum(target.values())
+        over = [s for s in open_ if left * weight[s] / sum(weight[x] for x in open_) > cap * sizes[s]]
+        if not over:
+            return target | {s: left * weight[s] / sum(weight[x] for x in open_) for s in open_}
+        target |= {s: float(cap * sizes[s]) for s in over}
+        open_ = [s for s in open_ if s not in over]
+    return target
+
+
+def check_mix(rows, got):
+    size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    sizes = Counter()
+    for _, t, s in rows:
+        sizes[s] += size(t)
+    target = fill(sizes)
+    source_of = {}
+    assert Counter((r["doc_id"], r["size"]) for r in got) == Counter((i, size(t)) for i, t, _ in rows)
+    for i, t, s in rows:
+        source_of[i, size(t)] = s
+    taken = Counter()
+    for r in got:
+        s = source_of[r["doc_id"], r["size"]]
+        assert math.isclose(r["target"], target[s], abs_tol=1e-6) and r["source_size"] == sizes[s]
+        assert r["taken"] <= 3 * r["size"] and (r["size"] == 0 or r["taken"] % r["size"] == 0)
+        taken[s] += r["taken"]
+    return taken, target
+
+
+def test_mix_edges(edge, empty, edge_rows):
+    got = mixing.mix_table(edge).collect()
+    check_mix(edge_rows, got)
+    assert sorted(map(str, got)) == sorted(map(str, mixing.mix_table(edge.repartition(5)).collect()))
+    assert mixing.mix_table(empty).collect() == []
+    mixed = mixing.mix(edge)
+    assert mixed.columns == edge.columns
+    words = sum(len((r["text"] or "").split()) for r in mixed.select("text").collect())
+    assert words == sum(r["taken"] for r in got)
+    assert mixing.mix(empty).collect() == []
+
+
+def test_mix_meets_targets(spark):
+    rng = random.Random(1)
+    rows = [(i, "w " * (2000 if rng.random() < 0.02 else rng.randint(1, 40)), rng.choice(["a", "a", "a", "b", "c", None])) for i in range(3000)]
+    taken, target = check_mix(rows, mixing.mix_table(table(spark, rows)).collect())
+    assert all(abs(taken[s] - target[s]) <= 0.01 * target[s] for s in target)
+
+
+def normal(text):
+    return re.sub(r"[\x20\x09-\x0D]+", " ", text or "")
+
+
+def test_exact_duplicates(edge, empty, edge_rows):
+    got = exact.exact_duplicates(edge).collect()
+    groups = defaultdict(list)
+    for i, t, _ in edge_rows:
+        groups[normal(t)].append(i)
+    want = []
+    for text, ids in groups.items():
+        keep = min((i for i in ids if i is not None), default=None)
+        done = False
+        for i in sorted(ids, key=lambda i: (i is None, i or 0)):
+            want.append((i, keep, len(ids), i == keep and not done, hashlib.sha256(text.encode()).hexdigest()))
+            done |= i == keep
+    assert Counter(tuple(r) for r in got) == Counter(want)
+    assert exact.exact_duplicates(empty).collect() == []
+    kept = exact.drop_exact_duplicates(edge)
+    assert kept.columns == edge.columns and Counter(normal(r["text"]) for r in kept.collect()) == Counter(groups.keys())
+
+
+def test_exact_hot_group_and_collisions(spark):
+    rows = [(i, "the very same text" if i % 3 else f"text {i}", "a") for i in range(900)]
+    got = exact.exact_duplicates(table(spark, rows)).collect()
+    assert {(r["keep_id"], r["group_size"]) for r in got if r["doc_id"] % 3} == {(1, 600)}
+    assert sum(r["kept"] for r in got) == 301
+
+
+@pytest.mark.parametrize("n", [0, 1, 5, 4000])
+def test_quotient_filter_round_trip_and_merge(n):
+    rng = np.random.default_rng(n)
+    every = rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    every[: n // 3] &= np.uint64(0xFFFF)  # few quotients
+    parts = [np.unique(rng.choice(every, n // 2 + 1), return_counts=True) if n else (every, np.zeros(0, np.int64)) for _ in range(3)]
+    packed = [exact.QuotientFilter.pack(v, c * 300) for v, c in parts]
+    for (v, c), data in zip(parts, packed, strict=True):
+        values, counts = exact.QuotientFilter.unpack(data)
+        assert (values == v).all() and (counts == c * 300).all()
+    want = Counter()
+    for v, c in parts:
+        want.update(dict(zip(v.tolist(), (c * 300).tolist(), strict=True)))
+    values, counts = exact.QuotientFilter.merge(packed)
+    assert dict(zip(values.tolist(), counts.tolist(), strict=True)) == dict(want) and (np.diff(values.astype(object)) > 0).all()
+
+
+def simple_simhash(text):
+    words = [w for w in re.split(r"[\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")) if w]
+    shingles = [" ".join(words[i:i + 3]) for i in range(len(words) - 2)] or ([" ".join(words)] if words else [])
+    hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def components_of(values, distance=3):
+    up = list(range(len(values)))
+
+    def find(a):
+        while up[a] != a:
+            a = up[a]
+        return a
+
+    for a in range(len(values)):
+        for b in np.flatnonzero(np.bitwise_count(values[a] ^ values[a + 1:]) <= distance) + a + 1:
+            x, y = sorted((find(a), find(int(b))))
+            up[y] = x
+    return [find(a) for a in range(len(values))]
+
+
+def test_near_duplicates(edge, empty, edge_rows):
+    got = {(r["doc_id"], r["fingerprint"]): r["component_id"] for r in simhash.near_duplicates(edge).collect()}
+    short = [(i, t) for i, t, _ in edge_rows if len(t or "") < 10_000]
+    prints = np.array([simple_simhash(t) for _, t in short], np.uint64)
+    assert all((i, f"{p:016x}") in got for (i, _), p in zip(short, prints, strict=True))
+    assert simhash.near_duplicates(empty).collect() == []
+    kept = simhash.drop_near_duplicates(edge)
+    assert kept.columns == edge.columns and kept.filter("doc_id = 4").count() == 1 and kept.filter("doc_id in (5, 6)").count() == 0
+
+
+@pytest.mark.parametrize("tile", [8192, 40])
+def test_near_links_match_brute_force(spark, tile):
+    rng = np.random.default_rng(7)
+    centres = rng.integers(0, 1 << 63, 60, dtype=np.uint64)
+    values = [centres]
+    for centre in centres[:12]:  # dense groups, some over the size of a tile, and chains
+        flips = rng.integers(0, 64, (120, 4))
+        values.append(centre ^ np.bitwise_xor.reduce(np.uint64(1) << flips[:, : rng.integers(1, 5)].astype(np.uint64), axis=1))
+    values = np.unique(np.concatenate([*values, np.zeros(1, np.uint64), rng.integers(0, 1 << 63, 500, dtype=np.uint64)]))
+    rows = spark.createDataFrame([(int(v),) for v in values.view(np.int64)], "fp long")
+    got = {r["node"]: r["component"] for r in components.connected(simhash.near_links(rows, tile=tile)).collect()}
+    label = [got.get(v, v) for v in values.view(np.int64).tolist()]
+    want = components_of(values)
+    assert len(set(zip(label, want, strict=True))) == len(set(label)) == len(set(want))
+
+
+def test_threshold_allocation_covers_every_split():
+    costs = [[0, 1, 40, 900, 9000], [0, 5, 60, 900, 9000], [0, 50, 70, 900, 9000]]
+    cost, thresholds = simhash.allocate(costs, 4)
+    assert sum(t + 1 for t in thresholds) == 4 and cost == min(
+        costs[0][a] + costs[1][b] + costs[2][c] for a in range(5) for b in range(5) for c in range(5) if a + b + c == 4)
+
+
+def test_components_of_a_long_chain(spark):
+    links = spark.createDataFrame([(i, i + 1) for i in range(300)] + [(1000, 1001), (1002, 1001), (5, 5)], "a long, b long")
+    got = {r["node"]: r["component"] for r in components.connected(links).collect()}
+    assert got == {i: 0 for i in range(1, 301)} | {1001: 1000, 1002: 1000}
+    assert components.connected(links.limit(0)).collect() == []
+
+
+def test_packing(edge, empty, edge_rows):
+    tokenizer = Tokenizer.from_file(BPE)
+    got = packing.pack(edge, BPE).collect()
+    want = Counter()
+    for i, t, _ in edge_rows:
+        ids = np.array([*tokenizer.encode(t or "", add_special_tokens=False).ids, 1], "<u4")
+        for a in range(0, len(ids), 2048):
+            want[i, a, len(ids[a:a + 2048]), zlib.crc32(ids[a:a + 2048].tobytes()), len(ids)] += 1
+    assert Counter((r["doc_id"], r["start"], r["length"], r["ids_crc32"], r["doc_tokens"]) for r in got) == want
+    sequences = defaultdict(list)
+    for r in got:
+        sequences[r["sequence_id"]].append((r["offset"], r["length"]))
+    for parts in sequences.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= 2048
+    assert packing.pack(empty, BPE).collect() == []
+
+
+def test_best_fit_is_tightest():
+    rng = random.Random(2)
+    lengths = sorted((rng.randint(1, 64) for _ in range(2000)), reverse=True)
+    numbers, offsets = packing.best_fit(lengths, 64)
+    free = {}
+    for length, number, offset in zip(lengths, numbers, offsets, strict=True):
+        fits = [c for c in free.values() if c >= length]
+        assert (free[number] == min(fits) if fits else number not in free)
+        assert offset == 64 - free.get(number, 64)
+        free[number] = free.get(number, 64) - length
+
+
+def test_edit_fingerprints(edge, empty, edge_rows):
+    got = editprint.edited_fingerprints(edge).collect()
+    assert len(got) == len(edge_rows) and editprint.edited_fingerprints(empty).collect() == []
+    by_text = defaultdict(set)
+    starts = defaultdict(list)
+    for i, t, _ in edge_rows:
+        starts[-1 if i is None else i].append(t or "")
+    keys = sorted(starts)
+    rows = {(r["doc_id"], r["n_chars"], r["edited_sha256"]): r for r in got}
+    for i, t, _ in edge_rows:
+        text, key = t or "", -1 if i is None else i
+        following = starts[keys[(keys.index(key) + 1) % len(keys)]]
+        most = max(map(len, starts[key])) // 4
+        start = min(f[:most] for f in following)
+        edited = text[:len(text) - len(text) // 4] + start[:len(text) // 4]
+        r = rows[i, len(text), hashlib.sha256(edited.encode()).hexdigest()]
+        by_text[text].add(r["fingerprint"])
+        assert 0 <= r["near_next"] <= 1 and (edited != text or r["near_edited"] == 1)
+        if len(text) > 400:
+            assert r["near_edited"] > 0.55
+    assert all(len(v) == 1 for v in by_text.values())
+
+
+def plain_walk(text):
+    """The whole output of a text's walks, a symbol a step."""
+    moves, out = editprint._moves(), []
+    for low in range(0, len(text), editprint.SEGMENT):
+        symbols = [*editprint._symbols(text[low:low + editprint.SEGMENT]).tolist(), 0]
+        at = 0
+        for j in range(2 * (len(symbols) - 1)):
+            out.append(symbols[at])
+            at += int(moves[j, symbols[at]])
+    return out
+
+
+def test_embedding_equals_the_plain_walk():
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("abcdé 日") for _ in range(n)) for n in (0, 1, 7, 900, 4096, 9001)]
+    prints = editprint.embed(texts, walks=3)
+    places = editprint._positions()
+    for text, row in zip(texts, prints, strict=True):
+        out = plain_walk(text)
+        if not out:
+            assert not row.any()
+            continue
+        for slot in range(0, editprint.SLOTS, 9):
+            place = max(p for p in places[slot].tolist() if p <= len(out)) - 1
+            mixed = editprint._mixed(np.array([place * 256 * editprint.SLOTS + slot * 256 + out[place]], np.uint64))[0]
+            assert row[slot] == int(mixed >> np.uint64(33)) & 255
+
+
+def test_edit_links_find_near_copies(spark):
+    rng = random.Random(6)
+    text = lambda: "".join(rng.choice("abcdefgh ") for _ in range(1500))
+    rows = []
+    for i in range(0, 60, 2):
+        t = text()
+        rows += [(i, t, "a"), (i + 1, t[:700] + "zz" + t[701:], "a")]
+    prints = {bytes(r["fp"]): r["doc_id"] for r in editprint.fingerprints(table(spark, rows)).collect()}
+    links = editprint.near_links(editprint.fingerprints(table(spark, rows)), least=0.4).collect()
+    found = {tuple(sorted((prints[bytes(r["fp"])], prints[bytes(r["near_fp"])]))) for r in links}
+    assert all(b == a + 1 and a % 2 == 0 for a, b in found) and len(found) >= 27
+
+
+def test_toxicity(spark, empty, edge):
+    documents, labels = spark.read.parquet(f"{SMALL[:-5]}0.01/documents.parquet"), spark.read.parquet(f"{SMALL[:-5]}0.01/labels.parquet")
+    model = toxicity.train(documents, labels)
+    toxic = {r["doc_id"]: r["toxic"] for r in labels.collect()}
+    got = toxicity.score_documents(documents, model).collect()
+    assert len(got) == documents.count()
+    held = [(r["predicted"], toxic[r["doc_id"]]) for r in got if r["held_out"] and r["doc_id"] in toxic]
+    assert sum(a == b for a, b in held) >= 0.97 * len(held)
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) and r["predicted"] == (r["score"] >= 0.5) for r in got)
+    assert toxicity.score_documents(empty, model).collect() == []
+    edges = toxicity.score_documents(edge, model).collect()
+    assert len(edges) == edge.count() and all(0 <= r["score"] <= 1 for r in edges)
+    assert all(r["predicted"] == 0 for r in edges if r["doc_id"] in (1, 2, 3))
+    kept = toxicity.drop_toxic(edge, model)
+    assert kept.columns == edge.columns and {r["doc_id"] for r in kept.collect()} == {r["doc_id"] for r in edges if not r["predicted"]}
+    untaught = toxicity.train(empty, labels)
+    assert all(r["predicted"] == 0 for r in toxicity.score_documents(edge, untaught).collect())
+
+
+def test_folding_and_exceptions():
+    for text in ("idiot", "ID1OT", "іdіоt", "i​diot", "ｉｄｉｏｔ", "ïdîöt", "1d10t"):
+        assert toxicity.fold(text) == toxicity.fold("idiot"), text
+    matcher = toxicity.Matcher([(f" {toxicity._bare('trash')} ", 2.0), (f" {toxicity._bare('scum')}", 1.0)])
+    assert matcher.total("Such TR4SH!")[0] == 2.0 and matcher.total("the trash can, scummy")[0] == 1.0
+    assert matcher.total("trash trash scum")[0] == 5.0 and matcher.total("")[0] == 0.0
+
+
+def test_secrets(spark, edge, empty):
+    rng = random.Random(8)
+    hexes = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    rows = []
+    for i in range(80):
+        rows += [(4 * i, f"set password={hexes(18)} now", "a"), (4 * i + 1, f"see commit {hexes(40)} there", "a"),
+                 (4 * i + 2, f"paid by {rng.randint(10**15, 10**16)} and key AKIA{''.join(rng.choice('ABCDEFGH234567') for _ in range(16))} used", "b"), (4 * i + 3, "nothing here", "b")]
+    got = secrets.scan(table(spark, rows)).collect()
+    assert len(got) == 320 and [r["number"] for r in sorted(got, key=lambda r: (r["doc_id"], r["number"])) if r["doc_id"] == 2] == [1, 2]
+    assert all(r["is_secret"] == (r["doc_id"] % 4 == 0 or r["doc_id"] % 4 == 2 and r["number"] == 2) for r in got)
+    assert secrets.scan(empty).collect() == []
+    found = secrets.findings(edge).collect()
+    assert ("ab12cd34ef56ab78", "password=") in [(r["candidate"], r["before"].split()[-1]) for r in found if r["doc_id"] == 11]
+    assert secrets.scan(edge).count() == len(found)
