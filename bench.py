@@ -3,6 +3,7 @@
 import json
 import os
 import sys
+import tempfile
 import time
 from pathlib import Path
 
@@ -24,6 +25,7 @@ def main() -> None:
         SparkSession.builder.master(f"local[{cpus}]").appName("maskwright-bench")
         .config("spark.sql.shuffle.partitions", cpus).config("spark.driver.memory", "20g")
         .config("spark.sql.session.timeZone", "UTC").config("spark.ui.enabled", "false")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
         .config("spark.ui.showConsoleProgress", "false").getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
     from workloads import QUERIES

@@ -88,17 +88,20 @@ def combine(left: str, right: str, mode: str) -> Column:
 
 
 def confusion(gold: str, pred: str) -> Column:
-    """struct<tp,fp,fn,tn> of two equally long label arrays."""
+    """struct<tp,fp,fn,tn> of two equally long label arrays; anything else is an error, never a lost row."""
     sums = (f"named_struct('tp', {total(f'zip_with({gold}, {pred}, (g, p) -> g * p)')}, 'g', {total(gold)}, "
             f"'p', {total(pred)}, 'n', size({gold}))")
-    return F.expr(let("cs", sums, (
+    counts = let("cs", sums, (
         "named_struct('tp', cast(cs.tp as bigint), 'fp', cast(cs.p - cs.tp as bigint), "
-        "'fn', cast(cs.g - cs.tp as bigint), 'tn', cast(cs.n - cs.g - cs.p + cs.tp as bigint))")))
+        "'fn', cast(cs.g - cs.tp as bigint), 'tn', cast(cs.n - cs.g - cs.p + cs.tp as bigint))"))
+    return F.expr(f"case when size({gold}) = size({pred}) and not exists({pred}, p -> p is null) then {counts} "
+                  f"else raise_error(concat('labels do not fit: ', size({gold}), ' gold, ', coalesce(size({pred}), 'no'), ' predicted')) end")
 
 
 def detected(indices: str, pred: str) -> Column:
-    """A target is detected when it has gold words and all of them are predicted."""
-    return F.expr(f"size({indices}) > 0 and forall({indices}, i -> get({pred}, i) = 1)")
+    """A target is detected when it has gold words and all of them are predicted; a missing prediction is an error."""
+    return F.expr(f"case when {pred} is null then cast(raise_error('no predicted labels for a target') as boolean) "
+                  f"else size({indices}) > 0 and forall({indices}, i -> coalesce(get({pred}, i), 0) = 1) end")
 
 
 def label_error(words: str, labels: str) -> Column:

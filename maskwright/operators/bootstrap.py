@@ -45,7 +45,12 @@ def cluster_totals(rows: DataFrame, cluster: str, values: dict[str, Column], by:
 
 
 def bootstrap_sums(totals: DataFrame, names: Sequence[str], repeats: int, seed: int, by: Sequence[str] = ()) -> DataFrame:
-    """Weighted sums per (by, repeat); repeat -1 holds the unweighted sums.
+    """Weighted sums per (by, repeat); repeat -1 holds the unweighted sums."""
+    return draws(totals, [*by, *names], repeats, seed).groupBy(*by, "repeat").agg(*[F.sum(F.col("_weight") * F.col(n)).alias(n) for n in names])
+
+
+def draws(totals: DataFrame, names: Sequence[str], repeats: int, seed: int) -> DataFrame:
+    """A row per cluster and repeat that draws it: names, repeat, _weight; repeat -1 has every cluster once.
 
     Cluster totals are few bytes but stand for ``repeats`` times the work, so they are
     spread over all cores first (by a hash, so that the exchange is not merged with the
@@ -53,21 +58,20 @@ def bootstrap_sums(totals: DataFrame, names: Sequence[str], repeats: int, seed:
     """
     spark = totals.sparkSession
     tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    spread = totals.select(*by, *names, "cluster").repartition(tasks, F.xxhash64(*by, "cluster"))
+    spread = totals.select(*names, "cluster").repartition(tasks, F.xxhash64("cluster"))
     blocks = -(-repeats // DRAWS)
-    hashed = spread.select(*by, *names, "cluster", F.explode(F.sequence(F.lit(-1), F.lit(blocks - 1))).alias("_block")).select(
-        *by, *names, "_block",
+    hashed = spread.select(*names, "cluster", F.explode(F.sequence(F.lit(-1), F.lit(blocks - 1))).alias("_block")).select(
+        *names, "_block",
         F.sha2(F.concat_ws("::", F.lit(str(seed)), F.col("cluster").cast("string"), F.col("_block").cast("string")), 256).alias("_h"))
-    words = hashed.select(*by, *names, "_block", *[
+    words = hashed.select(*names, "_block", *[
         F.conv(F.substring("_h", 15 * g + 1, 15), 16, 10).cast("bigint").alias(f"_w{g}") for g in range(4)])
     mask = F.lit((1 << BITS) - 1).cast("bigint")
     draws = F.array(*[F.shiftright(F.col(f"_w{g}"), BITS * k).bitwiseAND(mask) for g in range(4) for k in range(3)])
     once = F.array(F.lit(poisson_steps()[0]).cast("bigint"))  # a draw of weight 1
-    drawn = words.select(*by, *names, "_block", F.posexplode(F.when(F.col("_block") < 0, once).otherwise(draws)).alias("_k", "_draw"))
-    weighted = drawn.select(
-        *by, *names, F.when(F.col("_block") < 0, -1).otherwise(F.col("_block") * DRAWS + F.col("_k")).alias("repeat"),
+    drawn = words.select(*names, "_block", F.posexplode(F.when(F.col("_block") < 0, once).otherwise(draws)).alias("_k", "_draw"))
+    return drawn.select(
+        *names, F.when(F.col("_block") < 0, -1).otherwise(F.col("_block") * DRAWS + F.col("_k")).alias("repeat"),
         _weight(F.col("_draw")).alias("_weight")).filter(f"repeat < {repeats} and _weight > 0")
-    return weighted.groupBy(*by, "repeat").agg(*[F.sum(F.col("_weight") * F.col(n)).alias(n) for n in names])
 
 
 def summarise(samples: DataFrame, points: dict[str, Column], intervals: dict[str, Column], by: Sequence[str] = (),
@@ -175,23 +179,22 @@ def cluster_mean_delta(flags: DataFrame, left: str, right: str, repeats: int = 2
     return summarise(samples, {}, {"delta": F.expr("try_divide(delta, n)")}, by, means=True)
 
 
-def cluster_mean_delta_by(flags: DataFrame, left: str, right: str, kind: str, kinds: Sequence[str], total: str = "all",
+def cluster_mean_delta_by(flags: DataFrame, left: str, right: str, kind: str, total: str = "all",
                           repeats: int = 2000, seed: int = 42) -> DataFrame:
     """``cluster_mean_delta`` per kind and over all rows (kind = ``total``).
 
-    The kinds are known, so a cluster carries one mean and one presence flag per kind and
-    draws its weights once for all of them.
+    A cluster carries the means of the kinds it has, draws its weights once for all of
+    them and adds to those only.
     """
     delta = F.col(right) - F.col(left)
-    cases = [F.lit(True), *[F.col(kind) == k for k in kinds]]
-    means = flags.groupBy(F.col("source_id").alias("cluster")).agg(*[
-        F.avg(F.when(case, delta)).alias(f"m{i}") for i, case in enumerate(cases)])
-    totals = means.select("cluster", *[c for i in range(len(cases)) for c in (
-        F.coalesce(F.col(f"m{i}"), F.lit(0.0)).alias(f"d{i}"), F.col(f"m{i}").isNotNull().cast("int").alias(f"n{i}"))])
-    samples = bootstrap_sums(totals, [f"{k}{i}" for i in range(len(cases)) for k in "dn"], repeats, seed)
-    long = samples.select("repeat", F.inline(F.array(*[F.struct(
-        F.lit(name).alias(kind), F.col(f"d{i}").alias("d"), F.col(f"n{i}").alias("n")) for i, name in enumerate((total, *kinds))])))
-    return summarise(long, {}, {"delta": F.expr("try_divide(d, n)")}, [kind], means=True)
+    per_kind = flags.groupBy(F.col("source_id").alias("cluster"), F.col(kind).alias("_kind")).agg(F.sum(delta).alias("_d"), F.count(delta).alias("_n"))
+    means = per_kind.groupBy("cluster").agg(
+        F.collect_list(F.struct(F.col("_kind"), F.try_divide("_d", "_n").alias("d"))).alias("_kinds"), F.try_divide(F.sum("_d"), F.sum("_n")).alias("_all"))
+    parts = means.select("cluster", F.filter(
+        F.concat("_kinds", F.array(F.struct(F.lit(total).alias("_kind"), F.col("_all").alias("d")))), lambda x: x["d"].isNotNull()).alias("_parts"))
+    drawn = draws(parts, ["_parts"], repeats, seed).select("repeat", "_weight", F.inline("_parts").alias(kind, "_m"))
+    samples = drawn.groupBy(kind, "repeat").agg(F.sum(F.col("_weight") * F.col("_m")).alias("d"), F.sum("_weight").alias("n"))
+    return summarise(samples, {}, {"delta": F.expr("try_divide(d, n)")}, [kind], means=True)
 
 
 def evaluate_pairs(scored: DataFrame, repeats: int = 2000, seed: int = 42, by: Sequence[str] = ()) -> DataFrame:

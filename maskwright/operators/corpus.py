@@ -76,7 +76,10 @@ def first_by_text(rows: DataFrame, order: str, text: str = "text") -> DataFrame:
 
 
 def dedupe_across_splits(rows: DataFrame, index: str = "source_index", split: str = "desired_split") -> DataFrame:
-    """Drop texts seen earlier, with train before validation before test."""
+    """Drop texts seen earlier, with train before validation before test; other split names are an error."""
+    known = F.col(split).isin(*SPLITS)
+    rows = rows.withColumn(split, F.when(known, F.col(split)).otherwise(F.raise_error(F.concat(
+        F.lit("unknown split: "), F.coalesce(F.col(split), F.lit("null")))).cast("string")))
     rank = F.array_position(F.array(*[F.lit(s) for s in SPLITS]), F.col(split)).cast("bigint")
     return first_by_text(rows.withColumn("_order", F.shiftleft(rank, 56) + F.col(index)), "_order").drop("_order")
 

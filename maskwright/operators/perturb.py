@@ -20,6 +20,7 @@ from maskwright.functions.arrays import let, sql_string
 from maskwright.functions.lexicons import DOSAGE_UNITS
 from maskwright.functions.predicates import DIGIT
 from maskwright.functions.text import code_point, word_offsets_sql, words
+from maskwright.operators.sampling import cap_rows
 
 
 @dataclass(frozen=True)
@@ -132,11 +133,14 @@ def _pick(source: str, name: str, test: str, made: str) -> str:
     return let(name, f"get(filter({source}, {name} -> {test}), 0)", f"case when {name} is not null then {made} end")
 
 
-def _sites_sql(text: str, labels: str, families: set[str]) -> str:
+def _sites_sql(text: str, labels: str, families: set[str], reach: int) -> str:
     """First eligible site per family, with the whitespace-delimited run around it.
 
-    Rows without a sensitive word have no site and skip the offsets.
+    ``take`` and ``scan`` are the words that a rule over ``reach`` runs can label anew and
+    those it has to see for that. Rows without a sensitive word have no site and skip the
+    offsets.
     """
+    r = reach - 1
     tokens = let("lb", labels, (
         f"transform({word_offsets_sql('txt')}, (w, i) -> named_struct('i', i, 'word', w.word, 'start', w.start, 'end', w.end, 'l', get(lb, i)))"))
     steps = "zip_with(t, slice(t, 2, size(t)), (x, y) -> named_struct('x', x, 'y', y))"
@@ -148,18 +152,26 @@ def _sites_sql(text: str, labels: str, families: set[str]) -> str:
     hi = "coalesce(array_min(filter(br, k -> k > f.last)), size(t)) - 1"
     masked = ("transform(filter(slice(t, r.lo + 1, r.hi - r.lo + 1), w -> w.l = 1), "
               "w -> named_struct('start', w.start, 'end', w.end))")
-    full = let("r", f"named_struct('lo', {lo}, 'hi', {hi})", (
+    first_run, last_run = (f"(size(filter(br, k -> k <= f.{end})) - 1)" for end in ("first", "last"))
+    start = lambda back: f"get(br, greatest({first_run} - {back}, 0))"
+    stop = lambda on: f"coalesce(get(br, {last_run} + {on + 1}), size(t)) - 1"
+    full = let("r", (f"named_struct('lo', {lo}, 'hi', {hi}, 'take_lo', {start(r)}, 'take_hi', {stop(r)}, "
+                     f"'scan_lo', {start(2 * r)}, 'scan_hi', {stop(2 * r)})"), (
         "named_struct(" + ", ".join(f"'{n}', f.{n}" for n in fields)
-        + f", 'lo', r.lo, 'hi', r.hi, 'run_start', get(t, r.lo).start, 'run_end', get(t, r.hi).end, 'masked_spans', {masked})"))
+        + f", 'lo', r.lo, 'hi', r.hi, 'run_start', get(t, r.lo).start, 'run_end', get(t, r.hi).end, 'masked_spans', {masked}, "
+        "'take_lo', r.take_lo, 'take_hi', r.take_hi, 'scan_lo', r.scan_lo, 'scan_hi', r.scan_hi, "
+        "'scan_start', get(t, r.scan_lo).start, 'scan_end', get(t, r.scan_hi).end)"))
     body = let("t", tokens, let("st", steps, let("br", breaks, f"transform({found}, f -> {full})")))
     return f"case when exists({labels}, v -> v = 1) then {let('txt', text, body)} end"
 
 
-def variants(rows: DataFrame, chosen: tuple[Noise, ...], keep: list[str]) -> DataFrame:
+def variants(rows: DataFrame, chosen: tuple[Noise, ...], keep: list[str], reach: int = 1) -> DataFrame:
     """One row per (input row, applicable noise) with the edited text, words and labels.
 
     ``rows`` needs text, words, labels; ``keep`` names the input columns to carry along.
-    Words and labels of the input appear as clean_words and clean_labels.
+    Words and labels of the input appear as clean_words and clean_labels. ``scan`` is what
+    rules over at most ``reach`` whitespace-delimited runs need to label the new text from
+    the labels of the old (see rules.labels_after_edit).
     """
     families = {n.family for n in chosen}
     kinds = ", ".join(
@@ -168,7 +180,7 @@ def variants(rows: DataFrame, chosen: tuple[Noise, ...], keep: list[str]) -> Dat
             for n in chosen if n.family == family) + ")" for family in sorted(families))
     found = rows.select(
         *keep, F.col("text").alias("clean_text"), F.col("words").alias("clean_words"),
-        F.col("labels").alias("clean_labels"), F.expr(f"explode({_sites_sql('text', 'labels', families)}) as site"))
+        F.col("labels").alias("clean_labels"), F.expr(f"explode({_sites_sql('text', 'labels', families, reach)}) as site"))
     edited = found.select("*", F.expr(f"inline(element_at(map({kinds}), site.family))")).select(
         "*",
         F.expr("concat(substring(clean_text, 1, site.cut_start), replacement, substring(clean_text, site.cut_end + 1))").alias("text"),
@@ -194,6 +206,9 @@ def variants(rows: DataFrame, chosen: tuple[Noise, ...], keep: list[str]) -> Dat
         return F.expr(f"concat(slice({before}, 1, site.lo), transform(_run, w -> w.{middle}), "
                       f"slice({before}, site.hi + 2, size({before}) - site.hi - 1))")
 
+    scan = F.expr(
+        "named_struct('text', substring(text, site.scan_start + 1, site.scan_end - site.scan_start + _shift), "
+        "'skip', site.take_lo - site.scan_lo, 'drop', site.scan_hi - site.take_hi, 'lo', site.take_lo, 'hi', site.take_hi)")
     hit = "case when w.label = 1 and w.start < _noisy_end and site.target_start < w.end then i + site.lo end"
     shown = F.when(F.col("site.family") == "inside", code_point(F.col("replacement"))).otherwise(F.col("replacement"))
     return spliced.select(
@@ -203,13 +218,14 @@ def variants(rows: DataFrame, chosen: tuple[Noise, ...], keep: list[str]) -> Dat
         "text", splice("clean_words", "word").alias("words"), splice("clean_labels", "label").alias("labels"),
         F.expr("named_struct('start', site.target_start, 'end', _noisy_end)").alias("noisy_target"),
         F.expr(f"filter(transform(_run, (w, i) -> {hit}), i -> i is not null)").alias("target_words"),
-        F.map_concat(F.create_map(F.lit("kind"), F.col("noise_type"), F.lit("new"), shown), F.col("site.edit")).alias("edit"))
+        F.map_concat(F.create_map(F.lit("kind"), F.col("noise_type"), F.lit("new"), shown), F.col("site.edit")).alias("edit"),
+        scan.alias("scan"))
 
 
-def build_pairs(rows: DataFrame, group: str = "all", dataset: str = "dataset_name") -> DataFrame:
+def build_pairs(rows: DataFrame, group: str = "all", dataset: str = "dataset_name", reach: int = 1) -> DataFrame:
     """All clean/noisy pairs of labelled rows (id, text, words, labels, dataset, teacher_policy)."""
     rows = rows if "teacher_policy" in rows.columns else rows.withColumn("teacher_policy", F.lit(None).cast("string"))
-    made = variants(rows, noises(group), ["id", dataset, "teacher_policy"])
+    made = variants(rows, noises(group), ["id", dataset, "teacher_policy"], reach)
     pair_id = F.concat_ws("::", F.col("id").cast("string"), "noise_type")
     return made.select(
         pair_id.alias("id"), pair_id.alias("pair_id"), F.col("id").cast("string").alias("source_id"),
@@ -222,26 +238,14 @@ def check_words(rows: DataFrame) -> DataFrame:
 
 
 def cap_per_noise(pairs: DataFrame, cap: int, order: str) -> DataFrame:
-    """First ``cap`` pairs per noise type in input order; 0 keeps all.
-
-    The rank filter is applied before the shuffle too (window group limit), so each
-    task sends at most ``cap`` rows per noise type.
-    """
-    if cap == 0:
-        return pairs
-    from pyspark.sql import Window
-
-    window = Window.partitionBy("noise_type").orderBy(order)
-    return pairs.withColumn("_rank", F.row_number().over(window)).filter(F.col("_rank") <= cap).drop("_rank")
+    """First ``cap`` pairs per noise type in input order; 0 keeps all."""
+    return cap_rows(pairs, ["noise_type"], order, cap)
 
 
 def pair_summary(pairs: DataFrame) -> DataFrame:
-    """Pairs and distinct sources per noise type, and over all (noise_type null).
-
-    Counted once per (source, noise) first: a source has one pair per noise type.
-    """
-    return pairs.groupBy("source_id", "noise_type").agg(F.count(F.lit(1)).alias("n")).rollup("noise_type").agg(
-        F.sum("n").alias("pairs"), F.count_distinct("source_id").alias("unique_sources"))
+    """Pairs and distinct sources per noise type, and over all (noise_type null)."""
+    return pairs.select("source_id", "noise_type").rollup("noise_type").agg(
+        F.count(F.lit(1)).alias("pairs"), F.count_distinct("source_id").alias("unique_sources"))
 
 
 def examples(pairs: DataFrame) -> DataFrame:

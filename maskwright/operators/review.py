@@ -76,9 +76,11 @@ def review_progress(rows: DataFrame, dataset: str = "dataset") -> DataFrame:
         F.count_if(F.col("human_labels") != F.col("rule_labels")).alias("changed_from_rule"))
 
 
-def disagreement_examples(rows: DataFrame, per_outcome: int, seed: int, by: Sequence[str] = (), longest: int = 256) -> DataFrame:
-    """Examples with a sensitive word and at most ``longest`` words, sampled per outcome (gold: labels, pred)."""
-    eligible = rows.filter((F.array_max("labels") == 1) & (F.size("words") <= longest))
+def disagreement_examples(rows: DataFrame, per_outcome: int, seed: int, by: Sequence[str] = (), longest: int | None = None) -> DataFrame:
+    """Examples with a sensitive word, of ``longest`` words at most if given, sampled per outcome (gold: labels, pred)."""
+    eligible = rows.filter(F.array_max("labels") == 1)
+    if longest is not None:
+        eligible = eligible.filter(F.size("words") <= longest)
     typed = with_once(eligible, outcome=L.outcome("labels", "pred"))
     return per_outcome_sample(typed, by, per_outcome, seed).select(
         "*", selected_words(F.col("words"), F.col("labels")).alias("rule_selected_words"),

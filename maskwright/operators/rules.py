@@ -29,7 +29,8 @@ class Rule:
     """A pattern, the rule version that introduced it, and a cheap necessary condition.
 
     ``guard`` is a literal substring or, with ``guard_is_pattern``, a pattern that is
-    much cheaper than the rule; texts without it are never scanned by the rule.
+    much cheaper than the rule; texts without it are never scanned by the rule. ``reach``
+    is how many whitespace-delimited runs of characters a match can span.
     """
 
     name: str
@@ -37,6 +38,7 @@ class Rule:
     pattern: str
     guard: str
     guard_is_pattern: bool = True
+    reach: int = 1
 
     def applies(self, text: str) -> str:
         test = "rlike" if self.guard_is_pattern else "contains"
@@ -122,6 +124,23 @@ def rule_labels(text: str, rules: tuple[Rule, ...] = RULES) -> Column:
     return F.expr(rule_labels_sql(text, rules))
 
 
+def labels_after_edit(text: str, base: str, scan: str, rules: tuple[Rule, ...] = RULES) -> Column:
+    """rule_labels(text) of an edited text, given the labels ``base`` of the text before the edit.
+
+    Matches stay within ``reach`` runs, so only the runs around the edit are scanned
+    (``scan`` of perturb.variants, made with the same reach); all other labels stay. U+0085 is a
+    space to the tokenizer but joins runs for one rule: texts that hold it are scanned whole.
+    """
+    near = let("near", rule_labels_sql(f"{scan}.text", rules), (
+        f"concat(slice({base}, 1, {scan}.lo), slice(near, {scan}.skip + 1, size(near) - {scan}.skip - {scan}.drop), "
+        f"slice({base}, {scan}.hi + 2, size({base}) - {scan}.hi - 1))"))
+    return F.expr(f"case when contains({text}, '\u0085') then {rule_labels_sql(text, rules)} else {near} end")
+
+
+def reach(rules: tuple[Rule, ...]) -> int:
+    return max((r.reach for r in rules), default=1)
+
+
 def rule_types(text: str, rules: tuple[Rule, ...] = RULES) -> Column:
     return F.expr(let("rs", rule_spans_sql(text, rules), (
         f"case when size(rs) = 0 then transform({words_sql(text)}, x -> 'O') "

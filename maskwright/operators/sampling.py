@@ -13,43 +13,61 @@ from pyspark.sql import functions as F
 
 from maskwright.functions.arrays import let
 from maskwright.functions.text import stable_key
-
-GROUP_LIMIT = 1000  # Spark trims a row_number() <= n window before its shuffle up to this n
+from maskwright.session import cut_lineage
 
 
 def rank_in_group(rows: DataFrame, groups: Sequence[str], key: str, tie: str, rank: str = "rank",
-                  size: str = "group_size") -> DataFrame:
+                  size: str = "group_size", at_most: int | None = None) -> DataFrame:
     """Exact 1-based rank by (key, tie) and the group size, without gathering a group.
 
-    ``key`` is a hex digest, hence evenly spread: its first three digits cut every
-    group into 4096 even buckets. A rank is the number of rows in lower buckets (from a
-    small count table) plus the rank inside the bucket.
+    ``key`` is a hex digest, hence evenly spread: its first four digits cut every
+    group into 65,536 even buckets. A rank is the number of rows in lower buckets (from a
+    small count table) plus the rank inside the bucket. With ``at_most``, buckets that
+    start beyond that rank are dropped before any row is sorted.
     """
-    bucketed = rows.withColumn("_bucket", F.substring(key, 1, 3))
-    counts = bucketed.groupBy(*groups, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    bucketed = rows.withColumn("_bucket", F.substring(key, 1, 4))
+    offsets = bucket_offsets(bucketed, groups, "_bucket", size)
+    if at_most is not None:
+        offsets = offsets.filter(F.col("_before") < at_most)
+    inside = F.row_number().over(Window.partitionBy(*groups, "_bucket").orderBy(key, tie))
+    ranked = join_offsets(bucketed, offsets, groups, "_bucket").withColumn(rank, F.col("_before") + inside)
+    return (ranked if at_most is None else ranked.filter(F.col(rank) <= at_most)).drop("_bucket", "_before")
+
+
+def bucket_offsets(rows: DataFrame, groups: Sequence[str], bucket: str, size: str) -> DataFrame:
+    """Per group and bucket (as _g0.., _b): rows in lower buckets (_before) and in the group (size)."""
+    counts = rows.groupBy(*groups, bucket).agg(F.count(F.lit(1)).alias("_n"))
     per_group = Window.partitionBy(*groups) if groups else Window.partitionBy(F.lit(1))
-    lower = per_group.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(
-        *[F.col(g).alias(f"_g{i}") for i, g in enumerate(groups)], F.col("_bucket").alias("_b"),
+    lower = per_group.orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    return counts.select(
+        *[F.col(g).alias(f"_g{i}") for i, g in enumerate(groups)], F.col(bucket).alias("_b"),
         F.coalesce(F.sum("_n").over(lower), F.lit(0)).alias("_before"), F.sum("_n").over(per_group).alias(size))
-    same = F.col("_bucket") == F.col("_b")
+
+
+def join_offsets(rows: DataFrame, offsets: DataFrame, groups: Sequence[str], bucket: str) -> DataFrame:
+    same = F.col(bucket) == F.col("_b")
     for i, g in enumerate(groups):
         same = same & F.col(g).eqNullSafe(F.col(f"_g{i}"))
-    inside = F.row_number().over(Window.partitionBy(*groups, "_bucket").orderBy(key, tie))
-    return bucketed.join(offsets, same).withColumn(rank, F.col("_before") + inside).drop(
-        "_bucket", "_b", "_before", *[f"_g{i}" for i in range(len(groups))])
+    return rows.join(offsets, same).drop("_b", *[f"_g{i}" for i in range(len(groups))])
 
 
-def first_n(rows: DataFrame, groups: Sequence[str], key: str, tie: str, n: int, rank: str = "rank") -> DataFrame:
-    """The n first rows per group, with their rank.
+def rank_in_order(rows: DataFrame, groups: Sequence[str], order: Sequence[str], rank: str = "rank", size: str = "group_size") -> DataFrame:
+    """Exact 1-based rank per group in the order of any sortable columns, without gathering a group.
 
-    Up to GROUP_LIMIT every task drops all but its own n first rows before the shuffle;
-    beyond it the bucketed rank takes over.
+    Rows are range partitioned and sorted by the order and checkpointed with their place,
+    so that counts and ranks see the same partitions. A rank is the number of the group's
+    rows in earlier partitions plus the rank inside the partition.
     """
-    if n <= GROUP_LIMIT:
-        window = Window.partitionBy(*groups).orderBy(key, tie) if groups else Window.orderBy(key, tie)
-        return rows.withColumn(rank, F.row_number().over(window)).filter(F.col(rank) <= n)
-    return rank_in_group(rows, groups, key, tie, rank, "_size").filter(F.col(rank) <= n).drop("_size")
+    ranged = cut_lineage(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
+    placed = ranged.withColumn("_part", F.shiftright("_at", 33))
+    inside = F.row_number().over(Window.partitionBy(*groups, "_part").orderBy("_at"))
+    ranked = join_offsets(placed, bucket_offsets(placed, groups, "_part", size), groups, "_part")
+    return ranked.withColumn(rank, F.col("_before") + inside).drop("_at", "_part", "_before")
+
+
+def first_n(rows: DataFrame, groups: Sequence[str], key: str, tie: str, n: int, rank: str = "rank") -> DataFrame:
+    """The n first rows per group, with their rank."""
+    return rank_in_group(rows, groups, key, tie, rank, "_size", at_most=n).drop("_size")
 
 
 def keyed(rows: DataFrame, seed: int | str, id_col: str = "id") -> DataFrame:
@@ -57,9 +75,26 @@ def keyed(rows: DataFrame, seed: int | str, id_col: str = "id") -> DataFrame:
 
 
 def balanced_sample(rows: DataFrame, label: str, size: int, seed: int, id_col: str = "id") -> DataFrame:
-    """Round robin over the sorted label values until ``size`` rows are taken."""
-    ranked = first_n(keyed(rows, seed, id_col), [label], "_key", id_col, size)
-    return ranked.orderBy("rank", label).limit(size).drop("_key", "rank")
+    """Round robin over the sorted label values until ``size`` rows are taken.
+
+    Each label's share follows from the label counts: all take part in the full rounds,
+    the first labels that have more also in the last. Rows are then kept by rank, and the
+    sample never meets in one task; the label counts do.
+    """
+    n, every = F.col("group_size"), Window.partitionBy(F.lit(1))
+    counts = rows.groupBy(label).agg(F.count(F.lit(1)).alias("group_size"))
+    lower = every.orderBy("group_size", label)
+    level = (F.lit(size) - F.coalesce(F.sum(n).over(lower.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))) / F.count(F.lit(1)).over(
+        lower.rowsBetween(0, Window.unboundedFollowing))
+    rounds = counts.withColumn("_level", level).withColumn("_rounds", F.floor(F.max("_level").over(every)))
+    left = rounds.withColumn("_left", F.lit(size) - F.sum(F.least(n, F.col("_rounds"))).over(every))
+    more = (n > F.col("_rounds")).cast("int")
+    turn = F.sum(more).over(every.orderBy(label).rowsBetween(Window.unboundedPreceding, 0))
+    quotas = left.select(F.col(label).alias("_label"), (
+        F.least(n, F.col("_rounds")) + F.when((more == 1) & (turn <= F.col("_left")), 1).otherwise(0)).alias("_quota"))
+    ranked = rank_in_group(keyed(rows, seed, id_col), [label], "_key", id_col, at_most=size)
+    return ranked.join(quotas, F.col(label).eqNullSafe(F.col("_label"))).filter(F.col("rank") <= F.col("_quota")).drop(
+        "_key", "rank", "group_size", "_label", "_quota")
 
 
 def _share(n: Column, fraction: float) -> Column:
@@ -132,33 +167,17 @@ def cap_rows(rows: DataFrame, groups: Sequence[str], order: str, n: int) -> Data
     """First n rows per group in input order; 0 keeps all."""
     if n == 0:
         return rows
-    if n > GROUP_LIMIT:
-        raise ValueError(f"caps above {GROUP_LIMIT} rows need a digest order: use first_n")
-    window = Window.partitionBy(*groups).orderBy(order) if groups else Window.orderBy(order)
-    return rows.withColumn("_r", F.row_number().over(window)).filter(F.col("_r") <= n).drop("_r")
+    return rank_in_order(rows, groups, [order], "_rank", "_size").filter(F.col("_rank") <= n).drop("_rank", "_size")
 
 
 def sample_n(rows: DataFrame, n: int, seed: int, id_col: str = "id") -> DataFrame:
-    """n rows in digest order."""
-    return keyed(rows, seed, id_col).orderBy("_key", id_col).limit(n).drop("_key")
-
+    """The n first rows in digest order."""
+    return first_n(keyed(rows, seed, id_col), [], "_key", id_col, n).drop("_key", "rank")
 
-def number_rows(rows: DataFrame, order: str, slices: int = 200) -> DataFrame:
-    """Global 0-based ``row_index`` by a unique numeric order column, in parallel.
 
-    Cut points come from an approximate quantile sketch (``slices`` numbers), so each
-    slice is of similar size; counts of lower slices give the offsets.
-    """
-    cuts = sorted({float(c) for c in rows.approxQuantile(order, [i / slices for i in range(1, slices)], 0.001)})
-    at = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]).cast("array<double>"), lambda c: c < F.col(order)))
-    sliced = rows.withColumn("_slice", at)
-    counts = sliced.groupBy("_slice").agg(F.count(F.lit(1)).alias("_n"))
-    lower = Window.partitionBy(F.lit(1)).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_slice", F.coalesce(F.sum("_n").over(lower), F.lit(0)).alias("_before"),
-                            F.sum("_n").over(Window.partitionBy(F.lit(1))).alias("total_rows"))
-    inside = F.row_number().over(Window.partitionBy("_slice").orderBy(order))
-    return sliced.join(offsets, "_slice").withColumn(
-        "row_index", F.col("_before") + inside - 1).drop("_slice", "_before")
+def number_rows(rows: DataFrame, order: str) -> DataFrame:
+    """Global 0-based ``row_index`` by a unique order column of any sortable type, and ``total_rows``."""
+    return rank_in_order(rows, [], [order], "row_index", "total_rows").withColumn("row_index", F.col("row_index") - 1)
 
 
 def evenly_spaced(rows: DataFrame, order: str, k: int) -> DataFrame:

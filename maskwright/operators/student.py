@@ -74,10 +74,12 @@ def regroup(scored: DataFrame, threshold: float) -> DataFrame:
 
 
 def predict_text(model: PipelineModel, texts: DataFrame, threshold: float) -> DataFrame:
-    """Words, probabilities and the redacted string of unlabelled texts (id, text)."""
-    rows = texts.withColumn("words", words(F.col("text")))
-    scored = regroup(score_words(model, rows), threshold)
-    return scored.withColumn("redacted", redact(F.col("words"), F.transform("pred", lambda p: F.coalesce(p, F.lit(0)))))
+    """Words, probabilities and the redacted string of unlabelled texts (id, text); texts without words come back too."""
+    rows = texts.select("id", F.coalesce(words(F.col("text")), F.array().cast("array<string>")).alias("words"))
+    scored = regroup(score_words(model, rows.filter(F.size("words") > 0)), threshold)
+    bare = rows.filter(F.size("words") == 0).select(
+        "id", "words", F.array().cast("array<double>").alias("scores"), F.array().cast("array<int>").alias("pred"))
+    return scored.unionByName(bare).withColumn("redacted", redact(F.col("words"), F.transform("pred", lambda p: F.coalesce(p, F.lit(0)))))
 
 
 def teacher_indices(teacher: DataFrame, pattern: str, id_col: str = "id") -> DataFrame:

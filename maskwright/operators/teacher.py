@@ -63,7 +63,7 @@ def validate_responses(requests_: DataFrame, responses: DataFrame) -> tuple[Data
     accepted = judged.filter("error is null").select(
         "id", F.col("p.labels").alias("labels"), F.coalesce("model", F.lit("llm-teacher")).alias("source")).join(
         requests_.select("id", "text", "words", "task_label"), "id").select("id", "text", "words", "labels", "task_label", "source")
-    bad = judged.filter("error is not null").select("id", F.col("line").cast("int").alias("line"), "error")
+    bad = judged.filter("error is not null").select("id", F.col("line").cast("bigint").alias("line"), "error")
     unanswered = requests_.select("id").join(responses.select("id").distinct(), "id", "left_anti").select(
-        "id", F.lit(None).cast("int").alias("line"), F.lit("missing response").alias("error"))
+        "id", F.lit(None).cast("bigint").alias("line"), F.lit("missing response").alias("error"))
     return accepted, bad.unionByName(unanswered)

@@ -39,15 +39,17 @@ def scan_candidates(docs: DataFrame, defects: Sequence[str], dataset: str = "cor
         F.col("_s.hit").alias("target_text"))
 
 
-def cap_candidates(candidates: DataFrame, n: int = 200) -> DataFrame:
+def cap_candidates(candidates: DataFrame, n: int) -> DataFrame:
     """First n candidates per defect in digest order."""
     keyed = candidates.withColumn("_key", stable_key(F.col("id"), F.col("target_text")))
     return first_n(keyed, ["temporal_defect"], "_key", "id", n, "_rank").drop("_key", "_rank")
 
 
-def candidate_counts(candidates: DataFrame, n: int = 200) -> DataFrame:
+def candidate_counts(candidates: DataFrame, n: int | None = None) -> DataFrame:
+    """Candidates per defect, and how many a cap of n leaves (all without one)."""
+    available = F.col("available")
     return candidates.groupBy("temporal_defect").agg(F.count(F.lit(1)).alias("available")).withColumn(
-        "selected", F.least("available", F.lit(n)))
+        "selected", available if n is None else F.least(available, F.lit(n)))
 
 
 def join_systems(candidates: DataFrame, old: DataFrame, latest: DataFrame, student: DataFrame) -> DataFrame:
@@ -79,7 +81,7 @@ def by_defect(targets: DataFrame, repeats: int = 2000, seed: int = 42) -> DataFr
     """Per defect and overall (temporal_defect ``all``): detection of each system and the interval of student - old.
 
     Targets are counted under their defect and once more under ``all``. Only the flags are
-    read twice; they are checkpointed where a folder is configured.
+    read twice; they are checkpointed. Any kind of defect counts, also those of no known rule.
     """
     targets = cut_lineage(targets.select("source_id", "temporal_defect", "introduced_in", "old_hit", "student_hit", "latest_hit"))
     flat = targets.select("source_id", "introduced_in", "old_hit", "student_hit", "latest_hit",
@@ -93,8 +95,8 @@ def by_defect(targets: DataFrame, repeats: int = 2000, seed: int = 42) -> DataFr
         (F.sum("old_hit") / n).alias("past_rule_detection"), (F.sum("student_hit") / n).alias("past_student_detection"),
         (F.sum("latest_hit") / n).alias("latest_rule_detection"),
         ((F.sum("student_hit") - F.sum("old_hit")) / n).alias("student_minus_rule"))
-    ci = cluster_mean_delta_by(targets, "old_hit", "student_hit", "temporal_defect", [r.name for r in RULES], "all", repeats, seed)
-    return point.join(ci, "temporal_defect")
+    ci = cluster_mean_delta_by(targets, "old_hit", "student_hit", "temporal_defect", "all", repeats, seed)
+    return point.join(ci, "temporal_defect", "left")
 
 
 def token_audit(targets: DataFrame) -> DataFrame:

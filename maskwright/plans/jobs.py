@@ -13,10 +13,13 @@ from maskwright.session import with_once
 from maskwright.sources.resume import with_cache
 
 
-def prepare_corpus(raw: DataFrame, dataset: str, text: str, label: str, index: str, split: str | None = None,
-                   longest: int = 1000, exclude: DataFrame | None = None, sizes: dict[str, int] | None = None,
+def prepare_corpus(raw: DataFrame, dataset: str, text: str, label: str, index: str, longest: int,
+                   split: str | None = None, exclude: DataFrame | None = None, sizes: dict[str, int] | None = None,
                    sample: int | None = None, seed: int = 42) -> DataFrame:
-    """Raw rows to cleaned, usable, deduplicated, sampled and split rows with words."""
+    """Raw rows to cleaned, usable, deduplicated, sampled and split rows with words.
+
+    ``longest`` is the length filter of the corpus in characters; longer rows are not usable.
+    """
     rows = corpus.load_rows(raw, dataset, text, label, F.col(index), F.col(split) if split else "train")
     rows = corpus.keep_usable(rows, longest).filter(F.col("task_label").isNotNull())
     if exclude is not None:
@@ -74,8 +77,11 @@ def evaluate_robustness(pairs: DataFrame, student: Callable[[DataFrame], DataFra
 
 
 def replay_rules(docs: DataFrame, defects: Sequence[str], old: str, latest: str, student: Callable[[DataFrame], DataFrame],
-                 per_defect: int | None = 200, repeats: int = 2000, seed: int = 42) -> DataFrame:
-    """Per defect: what rules as of ``old`` and the student detect of what rules as of ``latest`` find."""
+                 per_defect: int | None = None, repeats: int = 2000, seed: int = 42) -> DataFrame:
+    """Per defect: what rules as of ``old`` and the student detect of what rules as of ``latest`` find.
+
+    Every match counts unless the caller caps them with ``per_defect``.
+    """
     labelled = with_once(docs, words=words(F.col("text")), old_labels=rules.rule_labels("text", rules.rules_as_of(old)),
                          latest_labels=rules.rule_labels("text", rules.rules_as_of(latest)))
     predicted = student(labelled.select("id", "words")).select("id", F.col("labels").alias("student_labels"))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,18 +9,15 @@ from pyspark.sql import functions as F
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Run the plan once and checkpoint it, so that later steps start from its rows.
 
-    The folder is the shared one the cluster names in ``spark.checkpoint.dir``, and the
-    copy survives the loss of executors. Where none is named, a local session (tests)
-    gets its own folder and a cluster evaluates the plan again instead.
+    The folder is the one that ``spark.checkpoint.dir`` names, shared by driver and
+    executors, so the copy survives the loss of executors. Fails where none is named.
     """
     spark: SparkSession = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder:
-            if not context.master.startswith("local"):
-                return df
-            folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
 

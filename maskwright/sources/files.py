@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from maskwright import schemas
@@ -25,19 +25,16 @@ def read_records(spark: SparkSession, paths: str | Sequence[str], schema: str, s
     rows = reader.option("mode", "PERMISSIVE").json(paths).withColumn("_file", F.col("_metadata.file_path"))
     if not strict:
         return rows
-    # the check is part of the data, so no extra pass over the files is needed
-    first = rows.columns[0]
-    checked = F.when(F.col("_corrupt").isNull(), F.col(first)).otherwise(
-        F.raise_error(F.concat(F.lit("invalid JSON in "), F.col("_file"), F.lit(": "), F.col("_corrupt"))).cast("string"))
-    return rows.withColumn(first, checked).drop("_corrupt", "_file")
+    # a filter, so that no choice of columns removes the check
+    broken = F.raise_error(F.concat(F.lit("invalid JSON in "), F.col("_file"), F.lit(": "), F.col("_corrupt"))).cast("boolean")
+    return rows.filter(F.when(F.col("_corrupt").isNotNull(), broken).otherwise(True)).drop("_corrupt", "_file")
 
 
 def read_examples(spark: SparkSession, paths: str | Sequence[str], schema: str = schemas.EXAMPLE) -> DataFrame:
     """Labelled examples; reading fails where labels do not fit the words."""
     rows = read_records(spark, paths, schema)
-    checked = F.when(_label_fault().isNull(), F.col("labels")).otherwise(
-        F.raise_error(F.concat(F.col("id"), F.lit(": "), _label_fault())).cast("array<int>"))
-    return rows.withColumn("labels", checked)
+    misfit = F.raise_error(F.concat(F.coalesce("id", F.lit("row without id")), F.lit(": "), _label_fault())).cast("boolean")
+    return rows.filter(F.when(_label_fault().isNotNull(), misfit).otherwise(True))
 
 
 def read_examples_lenient(spark: SparkSession, paths: str | Sequence[str], schema: str = schemas.EXAMPLE) -> tuple[DataFrame, DataFrame]:
@@ -48,13 +45,18 @@ def read_examples_lenient(spark: SparkSession, paths: str | Sequence[str], schem
 
 
 def read_responses(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """Labelling replies with a ``line`` that orders them within and across files.
+    """Labelling replies with a ``line`` that orders them by file name and place in the file.
 
-    The line number is the byte-ordered row number of Spark's own file scan: block
-    start first, then the position inside the block.
+    Spark's row numbers rise inside a block of a file; blocks are ordered by file and start,
+    however they were dealt to tasks. Only the blocks' list is sorted in one task.
     """
-    rows = spark.read.schema(schemas.RESPONSE).json(paths)
-    return rows.withColumn("line", F.monotonically_increasing_id())
+    rows = spark.read.schema(schemas.RESPONSE).json(paths).select(
+        "*", F.col("_metadata.file_path").alias("_f"), F.col("_metadata.file_block_start").alias("_b"), F.monotonically_increasing_id().alias("_m"))
+    blocks = rows.groupBy("_f", "_b").agg(F.min("_m").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(F.lit(1)).orderBy("_f", "_b").rowsBetween(Window.unboundedPreceding, -1)
+    starts = blocks.select("_f", "_b", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    return rows.join(starts, ["_f", "_b"]).withColumn("line", F.col("_before") + F.col("_m") - F.col("_first")).drop(
+        "_f", "_b", "_m", "_first", "_before")
 
 
 def write_jsonl(rows: DataFrame, path: str, mode: str = "error") -> None:
@@ -62,13 +64,6 @@ def write_jsonl(rows: DataFrame, path: str, mode: str = "error") -> None:
     rows.write.mode(mode).option("ignoreNullFields", "false").json(path)
 
 
-def read_many(frames: Sequence[DataFrame]) -> DataFrame:
-    out = frames[0]
-    for df in frames[1:]:
-        out = out.unionByName(df, allowMissingColumns=True)
-    return out
-
-
 def write_splits(rows: DataFrame, path: str, by: Sequence[str] = ("dataset_name", "split"), mode: str = "error") -> None:
     """Partitioned Parquet: readers of one dataset and split only touch its folder.
 

@@ -11,13 +11,12 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def spread(rows: DataFrame, key: str) -> DataFrame:
-    """Give a small input one partition per core before text work, which costs far more than its scan.
+    """Deal rows to tasks by key before text work.
 
-    Inputs that already have enough splits (any large table) pass through without a
-    shuffle. Partitioning by key keeps a retried task's output the same.
+    A file with one row group is one task's however large, and rules cost far more than
+    moving the rows once. Spark sets the number and size of the parts.
     """
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores, key)
+    return rows.repartition(key)
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:

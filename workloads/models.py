@@ -26,7 +26,7 @@ def _labelled(spark, folder):
 def student_scores(spark, folder):
     rows = cut_lineage(_labelled(spark, folder))
     model = ST.fit_student(rows.filter("split = 'train'"), iterations=10)
-    scored = cut_lineage(ST.score_words(model, rows.filter("split <> 'train'"), labels="labels", max_length=256, carry=("split",)))
+    scored = cut_lineage(ST.score_words(model, rows.filter("split <> 'train'"), labels="labels", carry=("split",)))
     points = M.operating_points(M.threshold_sweep(scored.filter("split = 'validation'"), ["model"]), ["model"])
     return M.at_threshold(scored.filter("split = 'test'"), points, ["model"]).select("model", "mode", "threshold", "tokens", "f1", "f2", "recall")
 

@@ -25,8 +25,8 @@ SCORES = ("precision", "recall", "f1", "f2", "gold_mask_rate", "predicted_mask_r
 NAMES = ("Andrew", "Bianca", "Miriam", "Thomas", "Yolanda")
 GOODS = ("Velvet Copper", "Silver Walnut", "crimson basil", "Amber Resin")
 _PHRASES = "|".join(NAMES + GOODS)
-PHRASES = R.Rule("phrases", "1.0", rf"(?<![{X.WORD}])(?:{_PHRASES})(?![{X.WORD}])", "[A-Za-z]")
-DOSES = R.Rule("doses", "1.0", rf"(?<![{X.WORD}])\p{{Nd}}+ (?:mg|kg|units)(?![{X.WORD}])", r"\p{Nd} ")
+PHRASES = R.Rule("phrases", "1.0", rf"(?<![{X.WORD}])(?:{_PHRASES})(?![{X.WORD}])", "[A-Za-z]", reach=2)
+DOSES = R.Rule("doses", "1.0", rf"(?<![{X.WORD}])\p{{Nd}}+ (?:mg|kg|units)(?![{X.WORD}])", r"\p{Nd} ", reach=2)
 SYSTEM = (*R.RULES, PHRASES, DOSES)
 EXTRA = {"phrases": rf"\b(?:{_PHRASES})\b", "doses": r"\b\d+ (?:mg|kg|units)\b"}
 REPEATS = 2000
@@ -44,7 +44,7 @@ def labelled_notes(spark, folder):
 
 
 def notes_pairs(spark, folder, group):
-    return N.build_pairs(labelled_notes(spark, folder), group)
+    return N.build_pairs(labelled_notes(spark, folder), group, reach=R.reach(SYSTEM))
 
 
 _SYSTEM_LABELS = lambda source, key, tok: Q.labelled(source, "1.4", key, tok, EXTRA)
@@ -159,7 +159,7 @@ def _scored_sql(group: str) -> str:
 
 def predicted_pairs(spark, folder, group="all"):
     pairs = notes_pairs(spark, folder, group)
-    return with_once(pairs, rule_noisy_labels=R.rule_labels("text", SYSTEM)).select(
+    return with_once(pairs, rule_noisy_labels=R.labels_after_edit("text", "clean_labels", "scan", SYSTEM)).select(
         "*", student_labels("clean_words").alias("student_clean_labels"), student_labels("words").alias("student_noisy_labels"))
 
 
