@@ -95,8 +95,8 @@ def split_stats(rows: DataFrame, by: Sequence[str], labels: str = "labels", task
                 review: str | None = None) -> DataFrame:
     """Examples, tokens, selected tokens, mask rate, zero-mask examples and label histogram.
 
-    Rolled up over ``by``; the histogram is built from per-label counts, so a group of
-    any size contributes one row per distinct label.
+    Rolled up over ``by``: counts per label first, those rolled up per label, and at last one
+    map entry per label and group.
     """
     masked = F.aggregate(labels, F.lit(0), lambda a, l: a + l)
     flat = rows.select(*by, F.col(task_label).cast("string").alias("_label"), F.size(labels).alias("_n"),
@@ -104,16 +104,17 @@ def split_stats(rows: DataFrame, by: Sequence[str], labels: str = "labels", task
     per_label = flat.groupBy(*by, "_label").agg(
         F.count(F.lit(1)).alias("examples"), F.sum("_n").alias("tokens"), F.sum("_m").alias("selected"),
         F.sum((F.col("_m") == 0).cast("bigint")).alias("zero"), F.sum("_r").alias("review"))
-    totals = per_label.rollup(*by).agg(
-        F.sum("examples").alias("examples"), F.sum("tokens").alias("tokens"),
-        F.sum("selected").alias("selected_tokens"), F.sum("zero").alias("zero_mask_examples"),
-        F.sum("review").alias("needs_review"), F.collect_list(F.struct("_label", "examples")).alias("_h"))
-    merged = F.aggregate("_h", F.create_map().cast("map<string,bigint>"), lambda m, e: F.map_zip_with(
-        m, F.create_map(e["_label"], e["examples"]), lambda k, a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0))))
+    sums = ("examples", "tokens", "selected", "zero", "review")
+    levels = per_label.groupingSets([[*by[:k], "_label"] for k in range(len(by) + 1)], *by, "_label").agg(
+        *[F.sum(n).alias(n) for n in sums], F.grouping_id().alias("_level"))
+    totals = levels.groupBy(*by, "_level").agg(
+        F.sum("examples").alias("examples"), F.sum("tokens").alias("tokens"), F.sum("selected").alias("selected_tokens"),
+        F.sum("zero").alias("zero_mask_examples"), F.sum("review").alias("needs_review"),
+        F.map_from_entries(F.collect_list(F.when(F.col("_label").isNotNull(), F.struct("_label", "examples")))).alias("task_labels"))
     return totals.select(
         *by, "examples", "tokens", "selected_tokens",
         (F.col("selected_tokens") / F.greatest("tokens", F.lit(1))).alias("mask_rate"),
-        "zero_mask_examples", "needs_review", merged.alias("task_labels"))
+        "zero_mask_examples", "needs_review", "task_labels")
 
 
 def mask_statistics(rows: DataFrame, mask: str, by: Sequence[str] = ()) -> DataFrame:

@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from maskwright.functions.text import words
-from maskwright.operators import audit, augment, bootstrap, corpus, leakage, metrics, perturb, robustness, rules, sampling, temporal
+from maskwright.operators import (audit, augment, bootstrap, corpus, leakage, lodo, metrics, perturb, reports, review, robustness, rules,
+                                  sampling, teacher, temporal)
 from maskwright.session import with_once
+from maskwright.sources.files import report_rows
 from maskwright.sources.resume import with_cache
 
 
@@ -35,11 +37,15 @@ def prepare_corpus(raw: DataFrame, dataset: str, text: str, label: str, index: s
 
 
 def merge_and_split(inputs: DataFrame, annotations: DataFrame, seed: int = 42, at_least: int = 1) -> DataFrame:
-    """Merge labels and split; a given desired_split is kept. Raises on id mismatch (two small jobs)."""
+    """Merge labels and split; a given desired_split is kept. Raises on id mismatch and unknown split names (small jobs)."""
     audit.require_same_ids(inputs, annotations)
     merged = audit.merge_labels(inputs, annotations)
     if "desired_split" in inputs.columns:
-        return merged.withColumn("split", F.col("desired_split"))
+        kept, strange = sampling.preserve_split(merged)
+        names = [r["desired_split"] for r in strange.select("desired_split").distinct().limit(5).collect()]
+        if names:
+            raise ValueError(f"unknown desired_split: {names}")
+        return kept
     return sampling.stratified_split(merged, ["task_label"], seed, at_least=at_least)
 
 
@@ -97,3 +103,48 @@ def measure_leakage(rows: DataFrame, attack: Callable[[DataFrame], DataFrame], t
     """Leakage table for teacher (labels) and student (pred) masks with rate-matched random controls."""
     texts = leakage.conditions(rows, trials, seed, None if delete else leakage.MASK_TOKEN)
     return leakage.leakage_table(leakage.leakage_scores(attack(texts)))
+
+
+def label_by_teacher(rows: DataFrame, system_prompt: str, responses: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(requests to send, accepted labels, rejected replies with reasons) of a round with an outside labeller."""
+    asked = teacher.requests(rows.select("id", "text", words(F.col("text")).alias("words"), "task_label"), system_prompt)
+    accepted, rejected = teacher.validate_responses(asked, responses)
+    return asked, accepted, rejected
+
+
+def prepare_review(rows: DataFrame, candidates: DataFrame, methods: Sequence[str], initialize_from: str | None = None) -> DataFrame:
+    """Rows that every method has labelled, as a review table started from one method's labels."""
+    return review.review_table(rows, candidates, methods, True, initialize_from)
+
+
+def report_review(reviewed: DataFrame, rule_reviewed: DataFrame, dataset: str = "dataset") -> tuple[DataFrame, DataFrame]:
+    """(scores of the candidate methods against the human labels, progress of the rule review)."""
+    return metrics.score_methods(reviewed), review.review_progress(rule_reviewed, dataset)
+
+
+def evaluate_lodo(rows: DataFrame, tasks: Sequence[str], fit: Callable[[DataFrame], Callable[[DataFrame], DataFrame]],
+                  task: str = "dataset_name") -> DataFrame:
+    """Token metrics on each task of a model fitted without it, at thresholds of the other tasks' validation rows.
+
+    ``fit`` maps training rows to a scorer of rows to (id, gold, score) tokens. One model is fitted per task;
+    the list of tasks is the caller's.
+    """
+    splits = lodo.lodo_splits(rows, tasks, task)
+    out = None
+    for held in tasks:
+        others = splits.filter(F.col("heldout") == held)
+        score = fit(others.filter("split = 'train'"))
+        name = F.lit(held).alias("heldout")
+        validation = score(others.filter("split = 'validation'")).select(name, "gold", "score")
+        test = score(rows.filter((F.col(task) == held) & (F.col("split") == "test"))).select(name, "gold", "score")
+        points = metrics.operating_points(metrics.threshold_sweep(validation, ["heldout"]), ["heldout"]).select("heldout", "mode", "threshold")
+        part = metrics.at_threshold(test, points, ["heldout"])
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def summarise_matrix(nested: DataFrame, dimension: DataFrame, systems: Sequence[str] = ("student", "rule_or_student", "rule_and_student")) -> tuple[DataFrame, DataFrame]:
+    """(metrics per dataset, system and side over seeds; macro means per group) of nested robustness reports."""
+    long = report_rows(nested, systems).withColumnsRenamed({"system": "model", "side": "mode"})
+    scores = ("precision", "recall", "f1", "f2", "predicted_mask_rate")
+    return reports.seed_repeats(long, scores), reports.macro_within_group(reports.with_metadata(long, dimension), scores)

@@ -312,11 +312,15 @@ def export_chunks(spark, folder):
 
 
 @query("""
-    select count(*) as inputs, count_if(done) as outputs, count_if(not done) as missing, cast(0 as bigint) as unknown, cast(0 as bigint) as repeated
-    from (select doc_id % 5 <> 0 as done from documents)""")
+    with i as (select doc_id as id from documents), d as (select doc_id as id from documents where doc_id % 5 <> 0 union all
+        select -doc_id - 1 from documents where doc_id % 11 = 2 union all select doc_id from documents where doc_id % 35 = 8),
+    k as (select id, count(*) as n from d group by id)
+    select (select count(*) from i) as inputs, (select count(*) from d) as outputs, (select count(*) from i where id not in (select id from d)) as missing,
+           (select count(*) from k where id not in (select id from i)) as unknown, (select count(*) from k where n > 1) as repeated""")
 def reconcile_outputs(spark, folder):
     ids = T.table(spark, folder, "documents").select(c("doc_id").alias("id"))
-    return resume.reconcile(ids, ids.filter("id % 5 <> 0"))
+    done = ids.filter("id % 5 <> 0").unionByName(ids.filter("id % 11 = 2").select((-c("id") - 1).alias("id"))).unionByName(ids.filter("id % 35 = 8"))
+    return resume.reconcile(ids, done)
 
 
 @query("select doc_id as id from documents where doc_id % 5 = 0")

@@ -118,10 +118,14 @@ def squeezed_text(spark, folder):
     return docs.select("id", "cleaned", X.signature(c("cleaned")).alias("signature"), X.stable_key(7, c("id")).alias("key"))
 
 
-@query()
+# the entities that occur in the given pages
+@query(f"""
+    with u as (select page_id, replace(replace(replace(replace(html, '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&amp;', '&') as t from pages),
+    s as (select page_id, trim(trim(regexp_replace(t, '[{Q.SPACE}]+', ' ', 'g'), ' '), '"') as cleaned from u)
+    select page_id, cast(length(cleaned) as bigint) as n_chars, sha256(cleaned) as digest from s""")
 def cleaned_pages(spark, folder):
     pages = T.table(spark, folder, "pages").select("page_id", X.clean_text(c("html")).alias("cleaned"))
-    return pages.select("page_id", F.length("cleaned").alias("n_chars"), F.sha2("cleaned", 256).alias("digest"))
+    return pages.select("page_id", F.length("cleaned").cast("bigint").alias("n_chars"), F.sha2("cleaned", 256).alias("digest"))
 
 
 @query("""
