@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import zlib
+from array import array
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -17,41 +19,56 @@ from maskwright.llm.common import slices, stored
 END = 1
 
 
+#: Fixed value: how the byte-level tokenizer cuts a text before it merges.
+CUT = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+
+def byte_of(char: str) -> int:
+    """The byte that a byte-level vocabulary writes as this character."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    code = ord(char)
+    return code if code in shown else [b for b in range(256) if b not in shown][code - 256]
+
+
 class Encoder:
-    """Token ids of a text as little-endian 32-bit bytes.
+    """Token ids of a text as little-endian 32-bit bytes, as the tokenizer file gives them.
 
     A word and the space before it are encoded alike wherever they stand between single white-space
-    characters, so they are looked up; the tokenizer sees new words and texts with longer runs of white
-    space. At most `limit` words are remembered.
+    characters, so they are looked up. New words and texts with longer runs of white space are merged from
+    the file's vocabulary, whose ids rank the merges; texts with a special token go to the tokenizer itself.
+    At most `limit` words are remembered.
     """
 
-    def __init__(self, path: str, limit: int = 400_000):
-        import re
-
+    def __init__(self, path: str, limit: int = 500_000):
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.run = re.compile(r"\s\s|^\s|\s$")
+        letters = {chr(c): byte_of(chr(c)) for c in [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x144)]}
+        vocabulary = {t: i for t, i in self.tokenizer.get_vocab().items() if t not in self.special}
+        ranks = {bytes(letters[c] for c in t): i for t, i in vocabulary.items()}
+        self.merge = tiktoken.Encoding("file", pat_str=CUT, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self.joins = re.compile(r"\s\s|^\s|\s$|^$")
         self.limit = limit
-        self.known: dict[str, bytes] = {}
+        self.known: dict[str, bytes | None] = {}
 
     def plain(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return array("I", self.merge(text)).tobytes()
 
     def __call__(self, text: str) -> bytes:
-        if not text or self.run.search(text) or any(s in text for s in self.special):
-            return self.plain(text)
+        if any(s in text for s in self.special):
+            return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
         first, *rest = text.split(" ")
         known = self.known
-        new = [w for w in set(rest).difference(known)]
-        if new:
-            if len(known) > self.limit:
-                known.clear()
-                new = list(set(rest))
-            for w, e in zip(new, self.tokenizer.encode_batch_fast([" " + w for w in new], add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, "<u4").tobytes()
-        return self.plain(first) + b"".join(map(known.__getitem__, rest))
+        if len(known) > self.limit:
+            known.clear()
+        for w in set(rest).difference(known):
+            known[w] = None if self.joins.search(w) else self.plain(" " + w)
+        try:
+            return self.plain(first) + b"".join(map(known.__getitem__, rest)) if not self.joins.search(first) else self.plain(text)
+        except TypeError:  # a word next to more white space
+            return self.plain(text)
 
 
 _encoders: dict[str, Encoder] = {}
@@ -73,9 +90,6 @@ def pieces(documents: DataFrame, tokenizer: str, window: int) -> DataFrame:
     end = np.array([END], "<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         encode, part = encoder(tokenizer), TaskContext.get().partitionId()
         for batch in batches:
             rows, starts, lengths, sums, totals = [], [], [], [], []
