@@ -10,9 +10,8 @@ import pyarrow as pa
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from maskwright.llm.common import slices, stored
+from maskwright.llm.common import slices
 
 #: Characters a walk covers before the next one starts; it writes two symbols per character.
 SEGMENT = 4096
@@ -151,89 +150,93 @@ def fingerprints(documents: DataFrame, columns: tuple[str, ...] = ("doc_id",)) -
     return documents.select(*columns, "text").mapInArrow(run, f"{schema}, fp binary")
 
 
-def next_keys(keys: DataFrame, per_slice: int = 20_000, most: int = 4096) -> DataFrame:
-    """(key, n, next) for distinct long keys: the next larger one, for the largest the smallest.
+def cut_by_key(rows: DataFrame, per_slice: int, most: int = 20_000) -> DataFrame:
+    """rows (with a long column key, none null) dealt into slices of the key's order.
 
-    Keys are cut at quantiles into slices of about per_slice (at most `most` slices, whose first keys meet
-    in one task); no task sorts more than a slice.
+    Adds slice, and ahead: the rows of the first key after a slice (after the last the first of all) are in it too,
+    with ahead = true. Slices hold about per_slice rows, but there are at most `most`; their first keys are all that
+    comes to the driver and is broadcast.
     """
-    n = min(most, slices(keys.count(), per_slice, least=16))
-    edges = sorted(set(keys.select(F.col("key").cast("double").alias("at")).approxQuantile("at", [i / n for i in range(1, n)], 0.1 / n)))
+    n = min(most, slices(rows.count(), per_slice, least=16))
+    keys = rows.select("key", F.col("key").cast("double").alias("__at"))
+    edges = sorted(set(keys.approxQuantile("__at", [i / n for i in range(1, n)], max(0.1 / n, 1e-5))))
     cuts = [float("-inf"), *edges, float("inf")]
-    cut = Bucketizer(splits=cuts, inputCol="__at", outputCol="__slice") if len(cuts) > 2 else None
-    sliced = keys.withColumn("__at", F.col("key").cast("double"))
-    sliced = cut.transform(sliced) if cut else sliced.withColumn("__slice", F.lit(0.0))
-    own = sliced.withColumn("next", F.lead("key").over(Window.partitionBy("__slice").orderBy("key")))
-    firsts = sliced.groupBy("__slice").agg(F.min("key").alias("__first"))
-    after = Window.orderBy("__slice")
-    firsts = firsts.select("__slice", F.coalesce(F.lead("__first").over(after), F.min("__first").over(
-        after.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("__after"))
-    return own.join(firsts, "__slice").select("key", "n", F.coalesce("next", "__after").alias("next"))
-
-
-def edited_fingerprints(documents: DataFrame, share: int = 4) -> DataFrame:
+
+    def sliced(frame: DataFrame) -> DataFrame:
+        if len(cuts) == 2:
+            return frame.withColumn("slice", F.lit(0))
+        cut = Bucketizer(splits=cuts, inputCol="__at", outputCol="__slice")
+        return cut.transform(frame.withColumn("__at", F.col("key").cast("double"))).withColumn("slice", F.col("__slice").cast("int")).drop("__at", "__slice")
+
+    firsts = sorted((r["slice"], r["first"]) for r in sliced(keys.drop("__at")).groupBy("slice").agg(F.min("key").alias("first")).collect())
+    moves = [(first, firsts[i - 1][0]) for i, (_, first) in enumerate(firsts)]
+    ahead = rows.sparkSession.createDataFrame(moves, "key long, __before int")
+    both = F.array(F.struct(F.col("slice"), F.lit(False).alias("ahead")), F.struct(F.col("__before").alias("slice"), F.lit(True).alias("ahead")))
+    placed = sliced(rows).join(F.broadcast(ahead), "key", "left")
+    each = F.explode(F.when(F.col("__before").isNull(), F.slice(both, 1, 1)).otherwise(both)).alias("__put")
+    return placed.select(*rows.columns, each).select(*rows.columns, "__put.slice", "__put.ahead")
+
+
+def edited_fingerprints(documents: DataFrame, share: int = 4, per_slice: int = 2_000) -> DataFrame:
     """Fingerprints of each document and of its text with the last quarter replaced by the next document's start.
 
     Returns doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint (hex), near_edited, near_next
     (share of equal bytes). The next document is that with the next larger doc_id, after the last the first;
-    of rows that share an id, the one with the smallest start and the smallest fingerprint stand for it. Rows
-    without an id come first. Null texts count as empty, whose fingerprint is all zeros; no rows give no rows.
+    of rows that share an id, the smallest text stands for it. Rows without an id come first, as one id. Null texts
+    count as empty, whose fingerprint is all zeros; no rows give no rows. Texts move once, to slices of the id's
+    order, and stream through their task from the largest id down, so that the next document is the one before.
     """
     kind = dict(documents.dtypes)["doc_id"]
     texts = documents.select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("key"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    lengths = texts.groupBy("key").agg(F.max(F.char_length("text")).alias("n"))
-    order = stored(next_keys(stored(lengths)))
-    start = F.expr(f"substring(text, 1, n div {share})")
-    starts = (texts.join(order.select(F.col("key").alias("target"), "n", "next"), F.col("key") == F.col("next"))
-              .select("target", start.alias("start")).groupBy("target").agg(F.min("start").alias("start")))
+    names = ["doc_id", "n_chars", "edited_sha256", "fp", "edited_fp", "near_edited", "near_next"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group: tuple | None = None  # (slice, ahead, key) of the last row
+        # the first text of the group at hand and of the one before, each with its fingerprint
+        first: tuple[str, np.ndarray] = ("", np.zeros(SLOTS, np.uint8))
+        follower = first
         for batch in batches:
+            columns = [batch.column(i).to_pylist() for i in (0, 1, 2, 4)]
             at = 0
-            texts, begins = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            while at < len(texts):  # about 4 million characters at a time
+            while at < batch.num_rows:  # about 4 million characters at a time
                 end, size = at, 0
-                while end < len(texts) and (size == 0 or size + len(texts[end]) <= 1 << 22):
-                    size += len(texts[end])
+                while end < batch.num_rows and (size == 0 or size + len(columns[3][end]) <= 1 << 22):
+                    size += len(columns[3][end])
                     end += 1
-                own = texts[at:end]
-                edited = [t[:len(t) - len(t) // share] + b[:len(t) // share] for t, b in zip(own, begins[at:end], strict=True)]
-                both = embed(own + edited)
-                a, b = both[:len(own)], both[len(own):]
-                part = batch.slice(at, end - at)
-                digests = [hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in edited]
-                yield pa.record_batch(
-                    [part.column(0), part.column(1), pa.array([len(t) for t in own], pa.int64()), pa.array(digests), _binary(a), _binary(b),
-                     pa.array(likeness(a, b))], names=["key", "doc_id", "n_chars", "edited_sha256", "fp", "edited_fp", "near_edited"])
+                own = columns[3][at:end]
+                prints = embed(own)
+                kept, edited, next_prints = [], [], []
+                for i, (part, ahead, key, text) in enumerate(zip(*(c[at:end] for c in columns), strict=True)):
+                    if group != (part, ahead, key):
+                        follower, first, group = first, (text, prints[i]), (part, ahead, key)
+                    if not ahead:
+                        kept.append(i)
+                        edited.append(text[:len(text) - len(text) // share] + follower[0][:len(text) // share])
+                        next_prints.append(follower[1])
+                if kept:
+                    after, mine = embed(edited), prints[kept]
+                    yield pa.record_batch(
+                        [batch.column(3).slice(at, end - at).take(pa.array(kept)), pa.array([len(own[i]) for i in kept], pa.int64()),
+                         pa.array([hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in edited]), _binary(mine), _binary(after),
+                         pa.array(likeness(mine, after)), pa.array(likeness(mine, np.array(next_prints)))], names=names)
                 at = end
 
-    joined = texts.join(starts, F.col("key") == F.col("target")).select("key", "doc_id", "text", "start")
-    prints = stored(joined.mapInArrow(
-        run, f"key long, doc_id {kind}, n_chars long, edited_sha256 string, fp binary, edited_fp binary, near_edited double"))
-    following = (prints.groupBy("key").agg(F.min("fp").alias("fp"))
-                 .join(order.select(F.col("key").alias("target"), "next"), F.col("key") == F.col("next"))
-                 .select("target", F.col("fp").alias("next_fp")))
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                near = likeness(_prints(batch.column("fp")), _prints(batch.column("next_fp")))
-                yield batch.drop_columns(["next_fp"]).append_column("near_next", pa.array(near))
-
-    paired = prints.join(following, F.col("key") == F.col("target")).select(*prints.columns, "next_fp")
-    compared = paired.mapInArrow(compare, "key long, " + ", ".join(f"{c} {t}" for c, t in prints.dtypes[1:]) + ", near_next double")
-    return compared.select("doc_id", "n_chars", "edited_sha256", F.lower(F.hex("fp")).alias("fingerprint"),
-                           F.lower(F.hex("edited_fp")).alias("edited_fingerprint"), "near_edited", "near_next")
+    dealt = cut_by_key(texts, per_slice).select("slice", "ahead", "key", "doc_id", "text")
+    ordered = dealt.repartition("slice").sortWithinPartitions("slice", F.desc("ahead"), F.desc("key"), "text")
+    prints = ordered.mapInArrow(
+        run, f"doc_id {kind}, n_chars long, edited_sha256 string, fp binary, edited_fp binary, near_edited double, near_next double")
+    return prints.select("doc_id", "n_chars", "edited_sha256", F.lower(F.hex("fp")).alias("fingerprint"),
+                         F.lower(F.hex("edited_fp")).alias("edited_fingerprint"), "near_edited", "near_next")
 
 
-def near_links(prints: DataFrame, least: float = 0.4, bands: int = 32) -> DataFrame:
+def near_links(prints: DataFrame, least: float = 0.8, bands: int = 32) -> DataFrame:
     """(fp, near_fp, likeness): each distinct fingerprint with those it meets in a band and is like enough to.
 
     A band is SLOTS / bands bytes. In each band every fingerprint is compared with the smallest that has the same
     bytes there, so a band of any size gives one candidate per member; links through shared representatives
-    join a group of near copies. Unrelated texts are alike in under a fifth; an edit costs what the walks need to fall in
-    step again, which may be the rest of a segment.
+    join a group of near copies. Unrelated texts are alike in under a fifth; an edit mostly costs the few
+    characters that the walks need to fall in step again.
     """
     width = SLOTS // bands
     distinct = prints.select("fp").distinct()
