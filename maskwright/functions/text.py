@@ -109,9 +109,26 @@ def clean_text(text: Column) -> Column:
     return squeeze(unescape_html(text))
 
 
+def _foldings() -> tuple[dict[str, str], dict[str, str]]:
+    """Full case folding beyond lower case, worked out from Unicode: (one to one, one to several)."""
+    folded = {c: c.casefold() for c in map(chr, range(0x20000)) if not 0xD800 <= ord(c) < 0xE000 and c.lower() == c and c.casefold() != c}
+    return {c: f for c, f in folded.items() if len(f) == 1}, {c: f for c, f in folded.items() if len(f) > 1}
+
+
+ONE_TO_ONE, ONE_TO_MANY = _foldings()
+
+
 def signature(text: Column) -> Column:
-    """Case-folded text, the key for duplicate detection."""
-    return F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))
+    """Case-folded text, the key for duplicate detection.
+
+    Letters that fold to several are rare beyond the sharp s; only texts that hold one take
+    the longer way.
+    """
+    low = F.replace(F.translate(F.lower(text), "".join(ONE_TO_ONE), "".join(ONE_TO_ONE.values())), F.lit("ß"), F.lit("ss"))
+    full = low
+    for letter, letters in ONE_TO_MANY.items():
+        full = F.replace(full, F.lit(letter), F.lit(letters))
+    return F.when(low.rlike("[" + "".join(ONE_TO_MANY) + "]"), full).otherwise(low)
 
 
 def pair_text(left: Column, right: Column) -> Column:

@@ -2,16 +2,24 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import IDF, HashingTF
+from pyspark.ml.feature import IDF, HashingTF, SQLTransformer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from maskwright.functions.text import redact, words
 from maskwright.operators.leakage import with_original_answer
-from maskwright.operators.metrics import class_weight, operating_points, threshold_sweep
+from maskwright.operators.metrics import class_weight
+
+
+#: Features of a word.
+FEATURES = 8
 
 
 def token_features(rows: DataFrame, labels: str | None = "labels", id_col: str = "id", carry: tuple[str, ...] = ()) -> DataFrame:
@@ -19,15 +27,24 @@ def token_features(rows: DataFrame, labels: str | None = "labels", id_col: str =
 
     The neighbours come from the word array of the same row, so no window is needed.
     """
+    describe = F.expr(f"transform(arrays_zip(words, {_features_sql()}), (w, i) -> named_struct('pos', i, 'word', w.words, 'features', w.`1`))")
+    out = rows.select(id_col, *carry, *([labels] if labels else []), F.explode(describe).alias("t"))
+    label = [F.get(F.col(labels), F.col("t.pos")).cast("double").alias("label")] if labels else []
+    return out.select(id_col, *carry, "t.pos", "t.word", *label, "t.features")
+
+
+def _features_sql() -> str:
+    """The eight features of every word of ``words``: array<array<string>>."""
     at = lambda step: f"coalesce(lower(get(words, i + {step})), '<pad>')"
     shape = r"regexp_replace(regexp_replace(regexp_replace(w, '\\p{Lu}+', 'X'), '[\\p{L}&&[^\\p{Lu}]]+', 'x'), '\\p{Nd}+', '9')"
     parts = {"w=": "lower(w)", "s=": shape, "p=": "left(lower(w), 3)", "e=": "right(lower(w), 3)",
              "-1=": at(-1), "-2=": at(-2), "+1=": at(1), "+2=": at(2)}
     features = ", ".join(f"concat('{name}', {value})" for name, value in parts.items())
-    describe = F.expr(f"transform(words, (w, i) -> named_struct('pos', i, 'word', w, 'features', array({features})))")
-    out = rows.select(id_col, *carry, *([labels] if labels else []), F.explode(describe).alias("t"))
-    label = [F.get(F.col(labels), F.col("t.pos")).cast("double").alias("label")] if labels else []
-    return out.select(id_col, *carry, "t.pos", "t.word", *label, "t.features")
+    return f"transform(words, (w, i) -> array({features}))"
+
+
+def _bucket_sql(feature: str, buckets: int) -> str:
+    return f"cast(pmod(xxhash64({feature}), {buckets}) as int)"
 
 
 def fit_student(train: DataFrame, weight: float | None = None, buckets: int = 1 << 16, iterations: int = 20,
@@ -37,23 +54,12 @@ def fit_student(train: DataFrame, weight: float | None = None, buckets: int = 1
         weight = class_weight(train).first()["class_weight"]
     tokens = token_features(train).withColumn("weight", F.when(F.col("label") == 1, F.lit(float(weight))).otherwise(1.0))
     return Pipeline(stages=[
-        HashingTF(inputCol="features", outputCol="vector", numFeatures=buckets, binary=True),
+        SQLTransformer(statement=f"SELECT *, transform(features, f -> cast({_bucket_sql('f', buckets)} as string)) AS buckets FROM __THIS__"),
+        HashingTF(inputCol="buckets", outputCol="vector", numFeatures=buckets, binary=True),
         LogisticRegression(featuresCol="vector", labelCol="label", weightCol="weight", maxIter=iterations, regParam=regularisation),
     ]).fit(tokens)
 
 
-def choose_student(train: DataFrame, validation: DataFrame, regularisations: tuple[float, ...] = (1e-3, 1e-4)) -> PipelineModel:
-    """The model with the best validation F1 among a few regularisations."""
-    best = None
-    for value in regularisations:
-        model = fit_student(train, regularisation=value)
-        f1 = operating_points(threshold_sweep(score_words(model, validation, labels="labels"), ["model"]), ["model"]).filter(
-            "mode = 'f1_optimized'").first()["f1"]
-        if best is None or f1 > best[0]:
-            best = (f1, model)
-    return best[1]
-
-
 def score_words(model: PipelineModel, rows: DataFrame, labels: str | None = None, max_length: int | None = None,
                 carry: tuple[str, ...] = (), name: str = "linear") -> DataFrame:
     """(id, pos, word, gold, score); words at or after ``max_length`` get a null score."""
@@ -65,21 +71,44 @@ def score_words(model: PipelineModel, rows: DataFrame, labels: str | None = None
                          score.alias("score"), F.lit(name).alias("model"))
 
 
-def regroup(scored: DataFrame, threshold: float) -> DataFrame:
-    """(id, words, scores, pred): a row's scores back in word order. A group is one document."""
-    rows = scored.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("pos", "word", "score"))).alias("t"))
-    return rows.select(
-        "id", F.transform("t", lambda x: x["word"]).alias("words"), F.transform("t", lambda x: x["score"]).alias("scores"),
-        F.transform("t", lambda x: (x["score"] >= threshold).cast("int")).alias("pred"))
+def score_rows(model: PipelineModel, rows: DataFrame) -> DataFrame:
+    """(id, words, scores): the probability of every word, inside the row: words are never exploded or shuffled.
+
+    The model's weights are looked up per bucket; they are 2^16 numbers, so every task gets them.
+    """
+    linear = model.stages[-1]
+    buckets = linear.coefficients.size
+    listed = rows.sparkSession.range(buckets).select("id", F.array(F.col("id").cast("string")).alias("buckets"))
+    places = np.zeros(buckets, np.int64)
+    for r in model.stages[1].transform(listed).select("id", "vector").collect():
+        places[r["id"]] = r["vector"].indices[0]
+    weights, intercept = linear.coefficients.toArray(), float(linear.intercept)
+    kind = dict(rows.dtypes)["id"]
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            per_word = batch.column(2).flatten()
+            at = np.sort(places[per_word.flatten().to_numpy(zero_copy_only=False)].reshape(len(per_word), FEATURES), axis=1)
+            again = np.zeros(at.shape, bool)
+            again[:, 1:] = at[:, 1:] == at[:, :-1]  # a bucket counts once for a word
+            total = np.where(again, 0.0, weights[at]).sum(axis=1) + intercept
+            scores = pa.ListArray.from_arrays(_offsets(batch.column(2)), pa.array(1 / (1 + np.exp(-total))))
+            yield pa.record_batch([batch.column(0), batch.column(1), scores], names=["id", "words", "scores"])
+
+    found = rows.select("id", "words", F.expr(f"transform({_features_sql()}, fs -> transform(fs, f -> {_bucket_sql('f', buckets)}))").alias("at"))
+    return found.mapInArrow(score, f"id {kind}, words array<string>, scores array<double>")
+
+
+def _offsets(lists: pa.ListArray) -> pa.Array:
+    sizes = np.array([0 if n is None else n for n in lists.value_lengths().to_pylist()], np.int64)
+    return pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
 
 
 def predict_text(model: PipelineModel, texts: DataFrame, threshold: float) -> DataFrame:
     """Words, probabilities and the redacted string of unlabelled texts (id, text); texts without words come back too."""
     rows = texts.select("id", F.coalesce(words(F.col("text")), F.array().cast("array<string>")).alias("words"))
-    scored = regroup(score_words(model, rows.filter(F.size("words") > 0)), threshold)
-    bare = rows.filter(F.size("words") == 0).select(
-        "id", "words", F.array().cast("array<double>").alias("scores"), F.array().cast("array<int>").alias("pred"))
-    return scored.unionByName(bare).withColumn("redacted", redact(F.col("words"), F.transform("pred", lambda p: F.coalesce(p, F.lit(0)))))
+    scored = score_rows(model, rows).withColumn("pred", F.transform("scores", lambda x: (x >= threshold).cast("int")))
+    return scored.withColumn("redacted", redact(F.col("words"), F.col("pred")))
 
 
 def teacher_indices(teacher: DataFrame, pattern: str, id_col: str = "id") -> DataFrame:

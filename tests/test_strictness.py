@@ -128,3 +128,13 @@ def test_labels_after_edit_equal_a_full_scan(spark):
         pairs = perturb.build_pairs(labelled, group, reach=rules.reach(SYSTEM))
         both = pairs.select("text", rules.labels_after_edit("text", "clean_labels", "scan", SYSTEM).alias("near"), rules.rule_labels("text", SYSTEM).alias("full"))
         assert both.filter("near <> full").collect() == [] and both.count() > 500
+
+
+def test_scores_inside_rows_equal_scores_of_words(spark):
+    rng = random.Random(2)
+    rows = spark.createDataFrame([(str(i), [rng.choice(["alpha", "Beta9", "x", "12", "it's", "été"]) for _ in range(rng.randint(0, 9))]) for i in range(60)],
+                                 "id string, words array<string>").withColumn("labels", F.transform("words", lambda w: w.rlike("[0-9]").cast("int")))
+    model = student.fit_student(rows.filter("id % 2 = 0"), iterations=4, buckets=64)
+    inside = {(r["id"], i): s for r in student.score_rows(model, rows).collect() for i, s in enumerate(r["scores"])}
+    words = {(r["id"], r["pos"]): r["score"] for r in student.score_words(model, rows).collect()}
+    assert inside.keys() == words.keys() and all(abs(inside[k] - words[k]) < 1e-9 for k in words)

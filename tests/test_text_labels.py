@@ -80,3 +80,11 @@ def test_outcomes(spark):
 def test_clean_text(spark):
     got = one(spark, "text string", ('  "Tom &amp;\n Jerry&#39;s"  ',), t=X.clean_text(F.col("text")), v=X.code_point(F.lit("​")))
     assert got.t == "Tom & Jerry's" and got.v == "U+200B"
+
+
+def test_signature_is_full_case_folding(spark):
+    letters = [chr(i) for i in range(0x20000) if not 0xD800 <= i < 0xE000 and chr(i).casefold() != chr(i)]
+    texts = ["Straße ﬁn ŉ ΟΔΟΣ", *["".join(letters[i:i + 40]) for i in range(0, len(letters), 40)]]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", X.signature(F.col("t")).alias("s")).collect()
+    differing = {c for r in rows for c, d in [(r["t"], r["s"])] if d != c.casefold()}
+    assert not differing

@@ -54,18 +54,18 @@ for _name in PO.POLICIES:
 
 # Concepts are the benchmark's words; a word of even length stands for a sensitive type.
 @query(f"""
-    with con as (select distinct lower(word) as term from ({Q.tokens('select item_id as id, text from benchmark')}) where length(word) >= 6 and length(word) % 2 = 0)
+    with con as (select distinct lower(word) as term from ({Q.tokens('select item_id as id, text from benchmark')}) where length(word) % 2 = 0)
     select lang, count(*) as linked, count(distinct id) as documents from ({Q.tokens(Q.DOCS)}) t join ({Q.DOCS}) d using (id)
     where lower(word) in (select term from con) group by lang""")
 def linked_concepts(spark, folder):
-    terms = T.table(spark, folder, "benchmark").select(F.explode(X.words(c("text"))).alias("w")).filter(F.length("w") >= 6)
+    terms = T.table(spark, folder, "benchmark").select(F.explode(X.words(c("text"))).alias("w"))
     concepts = terms.select(F.lower("w").alias("term"), F.array(F.when(F.length("w") % 2 == 0, "T047").otherwise("T999")).alias("types"))
     spans = T.documents(spark, folder).select("id", "lang", F.explode(X.words(c("text"))).alias("w")).select("id", "lang", F.lower("w").alias("term"))
     per_doc = PO.link_concepts(spans, concepts).groupBy("lang", "id").agg(F.count(F.lit(1)).alias("n"))
     return per_doc.groupBy("lang").agg(F.sum("n").alias("linked"), F.count(F.lit(1)).alias("documents"))
 
 
-_BENCH_TERMS = f"select distinct lower(word) as word from ({Q.tokens('select item_id as id, text from benchmark')}) where length(word) >= 5"
+_BENCH_TERMS = f"select distinct lower(word) as word from ({Q.tokens('select item_id as id, text from benchmark')})"
 _RARE = f"""
     tok as ({Q.tokens(Q.DOCS)}), f as (select lower(word) as word, count(*) as n from tok group by 1),
     rare as (select t.word from ({_BENCH_TERMS}) t left join (select word, log10(n * 1e9 / sum(n) over ()) as zipf from f) z using (word) where coalesce(z.zipf, 0) < 5.2),
@@ -74,7 +74,7 @@ _RARE = f"""
 
 def rare_labelled(spark, folder):
     docs = T.documents(spark, folder)
-    words = T.table(spark, folder, "benchmark").select(F.explode(X.words(c("text"))).alias("w")).filter(F.length("w") >= 5)
+    words = T.table(spark, folder, "benchmark").select(F.explode(X.words(c("text"))).alias("w"))
     rare = D.rare_terms(words.select(F.lower("w").alias("word")), D.word_frequencies(docs), 5.2)
     return D.label_by_dictionary(docs, rare)
 

@@ -76,17 +76,17 @@ def mask_statistics(spark, folder):
 
 
 @query(f"""
-    with {_J}, o as (select id, dataset_name, bool_or(gold = 1 and pred = 0) as missed, bool_or(gold = 0 and pred = 1) as extra, count(*) as n, sum(gold) as g from j group by id, dataset_name),
-    t as (select id, dataset_name, case when n > 30 then 'truncated' when missed and extra then 'missed+overmask' when missed then 'missed' when extra then 'overmask' else 'agreement' end as outcome from o where g > 0)
+    with {_J}, o as (select id, dataset_name, source_index, bool_or(gold = 1 and pred = 0) as missed, bool_or(gold = 0 and pred = 1) as extra, count(*) as n, sum(gold) as g from j group by id, dataset_name, source_index),
+    t as (select id, dataset_name, case when n > 10 + source_index % 30 then 'truncated' when missed and extra then 'missed+overmask' when missed then 'missed' when extra then 'overmask' else 'agreement' end as outcome from o where g > 0)
     select dataset_name, outcome, id from (select *, row_number() over (partition by dataset_name, outcome order by sha256('42::' || id), id) as r from t) where r <= 5""")
 def disagreement_outcomes(spark, folder):
     rows = versions(spark, folder)
-    cut = rows.withColumn("pred", F.expr("transform(pred, (x, i) -> case when i < 30 then x end)"))
+    cut = rows.withColumn("pred", F.expr("transform(pred, (x, i) -> case when i < 10 + cast(id as bigint) % 30 then x end)"))
     return RV.disagreement_examples(cut, 5, 42, ["dataset_name"]).select("dataset_name", "outcome", "id")
 
 
 _SWEEP = f"""
-    s as ({Q.SCORED}), th as (select unnest([{', '.join(f'{t!r}e0' for t in M.THRESHOLDS)}]) as threshold),
+    s as ({Q.SCORED}), th as (select unnest([{', '.join(f'{t!r}e0' for t in Q.THRESHOLDS)}]) as threshold),
     k as (select model, dataset, split, threshold, {Q.confusion('gold', 'cast(score >= threshold as int)')} from s, th group by all)"""
 
 
@@ -134,12 +134,12 @@ _RANDOM = """
 
 @query(f"""
     with {_J}, b as (select id, sum(gold) as budget from j group by id), {_RANDOM.format(src='j')}
-    select id, trial, coalesce(string_agg(pos, ',' order by pos), '') as positions from m group by all""")
+    select b.id, t.trial, coalesce(string_agg(m.pos, ',' order by m.pos), '') as positions from b cross join range(3) t(trial) left join m on m.id = b.id and m.trial = t.trial group by all""")
 def random_masks(spark, folder):
     rows = versions(spark, folder)
     drawn = S.random_masks(rows, total("labels"), 3, 42)
     return drawn.select("id", c("trial").cast("bigint").alias("trial"), F.array_join(F.expr(
-        "filter(transform(mask, (x, i) -> case when x = 1 then cast(i as string) end), i -> i is not null)"), ",").alias("positions")).filter("positions <> ''")
+        "filter(transform(mask, (x, i) -> case when x = 1 then cast(i as string) end), i -> i is not null)"), ",").alias("positions"))
 
 
 # A stand-in attacker that SQL can follow: it answers from the parity of the visible text's length.

@@ -127,13 +127,13 @@ def wins_summary(spark, folder):
     return got.select(*[F.array_join(x, ",").alias(x) for x in ("mean_wins", "strict_wins", "clean_passes")], "pairs", "sources")
 
 
-_SYS = "case model when 'click' then 'rule' when 'error' then 'student' when 'view' then 'or' when 'signup' then 'and' end"
+_SYS = "case model when 'click' then 'rule' when 'error' then 'student' when 'view' then 'or' when 'signup' then 'and' else 'other' end"
 
 
-@query(f"""with {_RUNS}, m as (select dataset, {_SYS} as system, avg(recall) as recall, avg(f2) as f2 from runs where model <> 'purchase' group by all)
+@query(f"""with {_RUNS}, m as (select dataset, {_SYS} as system, avg(recall) as recall, avg(f2) as f2 from runs group by all)
     select dataset, system, round(recall, 9) as recall, round(f2, 9) as f2, round(recall - max(case when system = 'rule' then recall end) over (partition by dataset), 9) as delta_to_rule from m""")
 def combination_table(spark, folder):
-    long = runs(spark, folder).withColumn("system", F.expr(_SYS)).filter("system is not null")
+    long = runs(spark, folder).withColumn("system", F.expr(_SYS))
     return RP.combination_table(long, ["f2"], "recall").select("dataset", "system", *rounded("recall", "f2", "delta_to_rule"))
 
 

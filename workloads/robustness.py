@@ -200,7 +200,7 @@ def _flags(spark, folder, group="all"):
 
 def _draws(clusters: str, repeats: int, seed: int = 42) -> str:
     """(cluster, b, w): Poisson weights of every cluster and repeat."""
-    steps = B.poisson_steps()
+    steps = Q.POISSON
     weight = "case " + " ".join(f"when x < {s} then {k}" for k, s in enumerate(steps)) + f" else {len(steps)} end"
     word = "('0x' || substr(h, 15 * (k // 3) + 1, 15))::ubigint"
     return f"""

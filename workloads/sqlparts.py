@@ -3,7 +3,10 @@ exploded words, independently of how the library computes them."""
 
 from __future__ import annotations
 
-from maskwright.operators.perturb import noises
+import math
+
+import numpy as np
+
 from maskwright.sources import tables as T
 
 WORD = r"\p{L}\p{N}_"
@@ -98,8 +101,25 @@ def confusion(gold: str, pred: str) -> str:
         ("tp", 1, 1), ("fp", 0, 1), ("fn", 1, 0), ("tn", 0, 0)) for g, p in ((gold, pred),))
 
 
+# Fixed values, stated here on their own: the noise types (name, group, family, replacement code points, counts as
+# sensitive), the units of a dosage, the thresholds and the steps of a Poisson(1) weight.
+NOISES = (
+    ("double_space", "seen", "space", (0x20, 0x20), 0), ("curly_apostrophe", "seen", "apostrophe", (0x2019,), 1),
+    ("c1_apostrophe", "seen", "apostrophe", (0x92,), 1), ("dosage_join", "seen", "dosage", (), 1), ("comma_after_number", "seen", "punctuation", (0x2C,), 0),
+    ("triple_space", "unseen", "space", (0x20, 0x20, 0x20), 0), ("nbsp", "unseen", "space", (0xA0,), 0), ("modifier_apostrophe", "unseen", "apostrophe", (0x2BC,), 1),
+    ("dosage_hyphen", "unseen", "dosage", (0x2D,), 1), ("dosage_thin_space", "unseen", "dosage", (0x2009,), 1),
+    ("semicolon_after_number", "unseen", "punctuation", (0x3B,), 0), ("zero_width_inside", "unseen", "inside", (0x200B,), 0),
+    ("zwnj_inside", "future", "inside", (0x200C,), 0), ("word_joiner_inside", "future", "inside", (0x2060,), 0), ("soft_hyphen_inside", "future", "inside", (0xAD,), 0),
+    ("fullwidth_apostrophe", "future", "apostrophe", (0xFF07,), 1), ("dosage_nb_hyphen", "future", "dosage", (0x2011,), 1),
+    ("narrow_nbsp", "future", "space", (0x202F,), 0), ("right_paren_after_number", "future", "punctuation", (0x29,), 0),
+)
+THRESHOLDS = tuple(float(t) for t in np.linspace(0.05, 0.95, 91))
+POISSON = tuple(x for k in range(30) if (x := round(sum(math.exp(-1) / math.factorial(i) for i in range(k + 1)) * 2**20)) < 2**20)
+
+
 def noise_values(group: str) -> str:
+    wanted = ("seen", "unseen") if group == "all" else (group,)
     rows = ", ".join(
-        "('{}', '{}', '{}', {}, {})".format(n.name, n.group, n.family, " || ".join(f"chr({ord(c)})" for c in n.replacement) or "''", n.masked)
-        for n in noises(group))
+        "('{}', '{}', '{}', {}, {})".format(name, kind, family, " || ".join(f"chr({code})" for code in codes) or "''", masked)
+        for name, kind, family, codes, masked in NOISES if kind in wanted)
     return f"(values {rows}) as z(noise_type, noise_group, family, repl, masked)"
