@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,12 +13,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Run the plan once and checkpoint it, so that later steps start from its rows.
 
     The folder is the one that ``spark.checkpoint.dir`` names, shared by driver and
-    executors, so the copy survives the loss of executors. Fails where none is named.
+    executors, so the copy survives the loss of executors. Where none is named, a session
+    that runs in one process gets a folder of its own and a cluster fails.
     """
     spark: SparkSession = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and re.fullmatch(r"local(\[.*\])?", context.master):
+            folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         if not folder:
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         context.setCheckpointDir(folder)
