@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 import tempfile
 import uuid
 from collections.abc import Sequence
@@ -28,7 +29,7 @@ def shared_folder(spark: SparkSession) -> str:
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder and not context.master.startswith("local["):
+        if not folder and not re.fullmatch(r"local(\[.*\])?", context.master):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
     return f"{context.getCheckpointDir()}/{uuid.uuid4().hex}"
@@ -52,6 +53,16 @@ def uniform(*keys: Column) -> Column:
     return (F.shiftrightunsigned(F.xxhash64(*keys), 11).cast("double") + 0.5) / float(1 << 53)
 
 
+def join_small(rows: DataFrame, small: DataFrame, keys: Sequence[str], salt: Column, how: str = "inner", salts: int = 64) -> DataFrame:
+    """rows joined to a table with one row per key, of which some keys hold much of rows.
+
+    Each key is spread over `salts` parts of the join by the hash of `salt`; the small side is repeated for them.
+    """
+    spread = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    salted = rows.withColumn("__salt", F.pmod(F.xxhash64(salt, F.lit(5)), F.lit(salts)).cast("int"))
+    return salted.join(spread, [*keys, "__salt"], how).drop("__salt")
+
+
 def sums_before(rows: DataFrame, group: Sequence[str], bucket: str, order: Sequence[Column], value: str, name: str) -> DataFrame:
     """Add the sum of value over the rows of the same group that come before each row.
 
