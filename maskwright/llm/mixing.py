@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from maskwright.llm.common import WORD, sums_before
+from maskwright.llm.common import WORD, join_small, stored, sums_before
 from maskwright.session import with_once
 
 
@@ -54,14 +54,16 @@ def choose(rows: DataFrame, weights: Sequence[float] = (5, 2, 1), max_copies: in
     (Pareto order sampling) and taken in that order up to the words still due. Documents over
     large_share of their source's target are drawn first among themselves, so that the many small ones
     make up for what the few large ones miss; the miss is then about half a small document. Ranks are
-    found per slice of the order, of about per_slice rows.
+    found per slice of the order, of about per_slice rows, and a source that holds much of all rows is spread
+    over many tasks of each join.
 
     Returns doc_id, source, size, source_size, target, __copies (equal rows), __whole (copies of each)
     and __extra (how many of the equal rows get one more). Null ids are one id; documents without words
-    are taken as they come and count nothing.
+    are taken as they come and count nothing. Texts are read once: ids and sizes are written to the shared folder,
+    as are the plans of the sources and the draws.
     """
-    counted = (rows.select("doc_id", F.coalesce("source", F.lit("")).alias("source"), F.col("source").isNotNull().alias("has_source"), "size")
-               .groupBy("doc_id", "source", "has_source", "size").agg(F.count("*").alias("__copies")))
+    counted = stored(rows.select("doc_id", F.coalesce("source", F.lit("")).alias("source"), F.col("source").isNotNull().alias("has_source"), "size")
+                     .groupBy("doc_id", "source", "has_source", "size").agg(F.count("*").alias("__copies")))
     words = F.col("size") * F.col("__copies")
     sizes = counted.groupBy("source", "has_source").agg(F.sum(words).alias("source_size"), F.count("*").alias("__rows"))
     targets = source_targets(sizes.select("source", "has_source", "source_size"), weights, max_copies).join(
@@ -71,14 +73,14 @@ def choose(rows: DataFrame, weights: Sequence[float] = (5, 2, 1), max_copies: in
         "source", "has_source", "source_size", "target", F.floor("__ratio").cast("long").alias("__whole"),
         (F.col("__ratio") - F.floor("__ratio")).alias("__p"),
         F.greatest(F.lit(1), F.ceil(F.col("__rows") / per_slice)).cast("long").alias("__slices"))
-    plans = plans.withColumn("__due", F.when(F.col("__p") > 0, F.col("target") - F.col("__whole") * F.col("source_size")).otherwise(0.0))
-    drawn = counted.join(plans, ["source", "has_source"])
+    plans = stored(plans.withColumn("__due", F.when(F.col("__p") > 0, F.col("target") - F.col("__whole") * F.col("source_size")).otherwise(0.0)))
+    drawn = join_small(counted, plans, ["source", "has_source"], F.col("doc_id"))
     u, p = F.col("__u"), F.col("__p")
     odds = F.when(p > 0, u / (1 - u) / (p / (1 - p))).otherwise(F.lit(float("inf")))
     drawn = with_once(drawn, __u=draw(seed, F.col("doc_id"), F.col("size")))
-    drawn = with_once(
+    drawn = stored(with_once(
         drawn, __odds=odds, __large=(F.col("size") > large_share * F.col("target")),
-        __slice=F.least(F.floor(u * F.col("__slices")), F.col("__slices") - 1), __words=words)
+        __slice=F.least(F.floor(u * F.col("__slices")), F.col("__slices") - 1), __words=words))
     order = [F.col("__odds"), F.col("doc_id").asc_nulls_last(), F.col("size")]
 
     def take(part: DataFrame, due: Column) -> DataFrame:
@@ -88,9 +90,10 @@ def choose(rows: DataFrame, weights: Sequence[float] = (5, 2, 1), max_copies: in
 
     large, small = drawn.filter("__large"), drawn.filter("not __large")
     expected = large.groupBy("source", "has_source").agg(F.sum(F.col("__words") * p).alias("__expected"))
-    large = take(large.join(expected, ["source", "has_source"]), F.col("__expected")).drop("__expected")
+    large = take(join_small(large, expected, ["source", "has_source"], F.col("doc_id")), F.col("__expected")).drop("__expected")
+    large = stored(large)
     got = large.groupBy("source", "has_source").agg(F.sum(F.col("__extra") * F.col("size")).alias("__got"))
-    small = take(small.join(got, ["source", "has_source"], "left"), F.col("__due") - F.coalesce("__got", F.lit(0))).drop("__got")
+    small = take(join_small(small, got, ["source", "has_source"], F.col("doc_id"), "left"), F.col("__due") - F.coalesce("__got", F.lit(0))).drop("__got")
     return large.unionByName(small).select(
         "doc_id", F.when(F.col("has_source"), F.col("source")).alias("source"), "size", "source_size", "target",
         "__copies", "__whole", "__extra")
