@@ -71,12 +71,16 @@ def _bare(text: str) -> str:
     return " ".join(fold(text).split())
 
 
-def training_rows(documents: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 5) -> DataFrame:
-    """(text, label) of the labelled documents outside the held-out fold."""
+def training_rows(documents: DataFrame, labels: DataFrame, sample: int, label: str = "toxic", folds: int = 5) -> DataFrame:
+    """(text, label) of about `sample` labelled documents outside the held-out fold, drawn by hash; of all if there are fewer.
+
+    The bound holds for the ids that are broadcast and for the texts, so no text is shuffled for its label.
+    """
     fold_ = F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds
-    known = labels.filter(F.col(label).isNotNull()).select("doc_id", F.col(label).cast("int").alias("label")).distinct()
-    return documents.filter(F.col("doc_id").isNotNull() & (fold_ != 0)).select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(
-        known, "doc_id").select("text", "label")
+    known = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (fold_ != 0)).select("doc_id", F.col(label).cast("int").alias("label")).distinct()
+    share = min(1.0, sample / max(known.count(), 1))
+    drawn = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share * (1 << 20))
+    return documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(drawn), "doc_id").select("text", "label")
 
 
 def terms_of(word: str, stems: Sequence[int]) -> list[str]:
@@ -123,7 +127,7 @@ def learn_lexicon(rows: DataFrame, size: int = 2000, candidates: int = 20_000, s
     """At most `size` terms with the log of their rate in toxic over that in clean texts, from `least` to `heaviest`.
 
     Counts cover all rows. Candidates are the `candidates` most frequent terms of the toxic texts with a count of at
-    least `support` (a hundredth of a term in a thousandth of the words, if that is more). Of a word and its starts the one
+    least `support`, or of one in 100,000 words if that is more. Of a word and its starts the one
     that tells most, count times weight, is taken: a start only where it stands for more than one word. The numbers
     bound the lexicon, which every task gets.
     """
@@ -222,17 +226,14 @@ def matched(rows: DataFrame, lexicon: Sequence[tuple[str, float]], keep: Sequenc
     return rows.select(*keep, "text").mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", weight double, length long")
 
 
-def train(documents: DataFrame, labels: DataFrame, sample: int = 50_000) -> Model:
-    """Learn lexicon and curve from the labelled documents outside the held-out fold.
+def train(documents: DataFrame, labels: DataFrame, sample: int = 100_000) -> Model:
+    """Learn lexicon and curve from about `sample` labelled documents outside the held-out fold, or all there are.
 
-    The lexicon counts all of them; the two numbers of the curve are fitted on at most about `sample`, drawn by
-    hash. Without labels of both kinds the model says 0.5 - a little for everything.
+    Without labels of both kinds the model says a little under 0.5 for everything.
     """
-    rows = stored(training_rows(documents, labels))
+    rows = stored(training_rows(documents, labels, sample))
     lexicon = learn_lexicon(rows)
-    total = rows.count()
-    drawn = rows.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < min(1.0, sample / max(total, 1)) * (1 << 20))
-    values = matched(drawn, lexicon, ["label"]).groupBy("label", "weight", "length").agg(F.count("*").alias("n")).collect()
+    values = matched(rows, lexicon, ["label"]).groupBy("label", "weight", "length").agg(F.count("*").alias("n")).collect()
     y = np.array([float(r["label"]) for r in values])
     if not len(y) or y.min() == y.max():
         return Model(lexicon, 1.0, -1.0)
