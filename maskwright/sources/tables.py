@@ -14,9 +14,10 @@ def spread(rows: DataFrame, key: str) -> DataFrame:
     """Deal rows to tasks by key before text work.
 
     A file with one row group is one task's however large, and rules cost far more than
-    moving the rows once. Spark sets the number and size of the parts.
+    moving the rows once. There are spark.sql.shuffle.partitions parts, which are not merged
+    by size: a few bytes of an order stand for much work.
     """
-    return rows.repartition(key)
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
