@@ -183,18 +183,20 @@ def cluster_mean_delta_by(flags: DataFrame, left: str, right: str, kind: str, to
                           repeats: int = 2000, seed: int = 42) -> DataFrame:
     """``cluster_mean_delta`` per kind and over all rows (kind = ``total``).
 
-    A cluster carries the means of the kinds it has, draws its weights once for all of
-    them and adds to those only.
+    The kinds are few and are read first (a small job), so a cluster carries one mean and
+    one presence flag per kind and draws its weights once for all of them.
     """
+    kinds = sorted(r[kind] for r in flags.select(kind).distinct().collect() if r[kind] is not None)
     delta = F.col(right) - F.col(left)
-    per_kind = flags.groupBy(F.col("source_id").alias("cluster"), F.col(kind).alias("_kind")).agg(F.sum(delta).alias("_d"), F.count(delta).alias("_n"))
-    means = per_kind.groupBy("cluster").agg(
-        F.collect_list(F.struct(F.col("_kind"), F.try_divide("_d", "_n").alias("d"))).alias("_kinds"), F.try_divide(F.sum("_d"), F.sum("_n")).alias("_all"))
-    parts = means.select("cluster", F.filter(
-        F.concat("_kinds", F.array(F.struct(F.lit(total).alias("_kind"), F.col("_all").alias("d")))), lambda x: x["d"].isNotNull()).alias("_parts"))
-    drawn = draws(parts, ["_parts"], repeats, seed).select("repeat", "_weight", F.inline("_parts").alias(kind, "_m"))
-    samples = drawn.groupBy(kind, "repeat").agg(F.sum(F.col("_weight") * F.col("_m")).alias("d"), F.sum("_weight").alias("n"))
-    return summarise(samples, {}, {"delta": F.expr("try_divide(d, n)")}, [kind], means=True)
+    cases = [F.lit(True), *[F.col(kind) == k for k in kinds]]
+    means = flags.groupBy(F.col("source_id").alias("cluster")).agg(*[
+        F.avg(F.when(case, delta)).alias(f"m{i}") for i, case in enumerate(cases)])
+    totals = means.select("cluster", *[c for i in range(len(cases)) for c in (
+        F.coalesce(F.col(f"m{i}"), F.lit(0.0)).alias(f"d{i}"), F.col(f"m{i}").isNotNull().cast("int").alias(f"n{i}"))])
+    samples = bootstrap_sums(totals, [f"{k}{i}" for i in range(len(cases)) for k in "dn"], repeats, seed)
+    long = samples.select("repeat", F.inline(F.array(*[F.struct(
+        F.lit(name).alias(kind), F.col(f"d{i}").alias("d"), F.col(f"n{i}").alias("n")) for i, name in enumerate((total, *kinds))])))
+    return summarise(long, {}, {"delta": F.expr("try_divide(d, n)")}, [kind], means=True)
 
 
 def evaluate_pairs(scored: DataFrame, repeats: int = 2000, seed: int = 42, by: Sequence[str] = ()) -> DataFrame:
