@@ -1,11 +1,13 @@
 """The pipeline's stages on planted cases and edge rows, and its registered queries."""
 
+import random
 from collections import defaultdict
 
 import __spark_entry__
 import corpus_pipeline
-from maskwright.llm import exact, simhash, toxicity
+from maskwright.llm import exact, overlap, simhash, toxicity
 from maskwright.llm.common import read, stored
+from maskwright.llm.components import connected
 from tests.conftest import SMALL
 
 
@@ -50,3 +52,62 @@ def test_registration():
     names = list(__spark_entry__.queries())
     assert all(sum(n.startswith(f"op{i}_") for n in names) == 1 for i in range(1, 11)) and "pipeline" in names
     assert set(__spark_entry__.oracle_sql()) <= set(names)
+
+
+def shingle_set(text):
+    words = text.lower().split()
+    return set(zip(*(words[i:] for i in range(5)))) if len(words) >= 5 else {tuple(words)}
+
+
+def share(a, b):
+    return len(a & b) / len(a | b)
+
+
+def test_near_dedup_finds_planted_overlaps(spark):
+    """Pairs planted at an overlap of 0.8 to 0.95, pairs just below, and many that only share a passage."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    passage = " ".join(word() for _ in range(120))
+    rows, near, below = [], [], []
+    for i in range(0, 400, 2):
+        words = [word() for _ in range(300)]
+        other, goal = list(words), rng.uniform(0.7, 0.95)
+        while share(shingle_set(" ".join(words)), shingle_set(" ".join(other))) > goal:
+            other[rng.randrange(300)] = word()
+        overlap = share(shingle_set(" ".join(words)), shingle_set(" ".join(other)))
+        (near if overlap >= 0.8 else below).append(i)
+        rows += [(i, " ".join(words)), (i + 1, " ".join(other))]
+    rows += [(1000 + i, passage + " " + " ".join(word() for _ in range(60))) for i in range(60)]  # overlap of about a half
+    rows += [(2000, "a few words"), (2001, "A few\nwords"), (2002, "a few word"), (3000, "one id, two texts"), (3000, "the other text of that id"),
+             (None, "no id at all here"), (None, "no id  at all here"), (3001, rows[0][1]), (3002, ""), (3003, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.near_dedup(spark, docs, "").collect()
+    ids = [r["doc_id"] for r in kept]
+    assert all(i in ids for i in range(0, 400, 2)) and all(i + 1 in ids for i in below) and all(1000 + i in ids for i in range(60))
+    assert len(near) > 80 and len(below) > 40 and not any(i + 1 in ids for i in near)
+    assert ids.count(2000) == 1 and 2001 not in ids and 2002 in ids and ids.count(3000) == 2 and ids.count(None) == 1 and 3001 not in ids
+    assert 3002 in ids and 3003 not in ids
+
+
+def test_near_dedup_large_buckets(spark):
+    """A group over many tiles, linked in chains, against brute force."""
+    rng = random.Random(13)
+    base = [f"w{i}" for i in range(100)]
+    texts = []
+    for _ in range(150):
+        own = list(rng.choice(texts).split()) if texts else list(base)
+        own[rng.randrange(100)] = f"x{rng.randrange(10**6)}"
+        texts.append(" ".join(own))
+    sets = [shingle_set(t) for t in texts]
+    label = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if share(sets[a], sets[b]) >= 0.8 and label[a] != label[b]:
+                label = [label[b] if x == label[a] else x for x in label]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    keys = {r["node"]: r["doc_id"] for r in docs.select("doc_id", overlap.text_key().alias("node")).collect()}
+    found = {keys[r["node"]]: r["component"] for r in connected(overlap.similar_links(docs, tile=20)).collect()}
+    mine = [found.get(i, f"own {i}") for i in range(len(texts))]
+    for node, i in keys.items():
+        mine[i] = node if i not in found else mine[i]
+    assert len(set(zip(mine, label, strict=True))) == len(set(mine)) == len(set(label))
