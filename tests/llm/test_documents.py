@@ -331,6 +331,37 @@ def test_edit_links_find_near_copies(spark):
     assert len(links) <= 30
 
 
+@pytest.mark.parametrize("tile", [2048, 12])
+def test_edit_links_in_hot_bands_match_brute_force(spark, tile):
+    """Pairs and groups whose bands all hold smaller fingerprints that are alike to none of them."""
+    rng = np.random.default_rng(9)
+    rows = []
+    for _ in range(6):
+        first = rng.integers(1, 256, editprint.SLOTS, dtype=np.uint8)
+        for _ in range(int(rng.integers(1, 9))):
+            other = first.copy()
+            other[rng.choice(editprint.SLOTS, int(rng.integers(6, 34)), replace=False)] ^= 1
+            rows.append(other)
+        rows.append(first)
+        for band in range(32):  # a head for each band
+            head = np.zeros(editprint.SLOTS, np.uint8)
+            head[64:] = rng.integers(0, 256, 64)
+            head[4 * band:4 * band + 4] = first[4 * band:4 * band + 4]
+            rows.append(head)
+    values = np.unique(np.array(rows), axis=0)
+    want = list(range(len(values)))
+    for a in range(len(values)):
+        for b in np.flatnonzero((values[a] == values[a + 1:]).mean(axis=1) >= 0.8) + a + 1:
+            want = [want[a] if x == want[b] else x for x in want]
+    prints = spark.createDataFrame([(v.tobytes(),) for v in values], "fp binary")
+    got, at = list(range(len(values))), {v.tobytes(): i for i, v in enumerate(values)}
+    for r in editprint.near_links(prints, tile=tile).collect():
+        a, b = at[bytes(r["fp"])], at[bytes(r["near_fp"])]
+        assert r["likeness"] == (values[a] == values[b]).mean() >= 0.8
+        got = [got[a] if x == got[b] else x for x in got]
+    assert len(set(want)) < len(want) and len(set(zip(got, want, strict=True))) == len(set(got)) == len(set(want))
+
+
 def test_toxicity(spark, empty, edge):
     documents, labels = spark.read.parquet(f"{SMALL[:-5]}0.01/documents.parquet"), spark.read.parquet(f"{SMALL[:-5]}0.01/labels.parquet")
     model = toxicity.train(documents, labels)
