@@ -12,26 +12,60 @@ from maskwright.llm.common import WHITE, stored
 from maskwright.session import with_once
 
 #: A run of key characters that has a digit, at least 12 long.
-CANDIDATE = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{12,}+={0,2}"
+RUN = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{12,}+={0,2}"
 #: Forms that are secrets wherever they stand, and forms that are not.
 KNOWN_SECRET = r"^(AKIA[0-9A-Z]{16}|ghp_[A-Za-z0-9]{36}|glpat-[A-Za-z0-9_-]{20}|xox[bap]-[A-Za-z0-9-]{10,}|AIza[A-Za-z0-9_-]{35}|sk_live_[A-Za-z0-9]{16,})$"
 KNOWN_HARMLESS = r"^([0-9+/_-]+|[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}|(.)\2+.{0,3}|.*(?i)(example|placeholder|changeme|xxxx|dummy).*)$"
 ASSIGNED = r"(?i)(pass(word|wd)?|pwd|secret|token|api[_-]?key|access[_-]?key|auth|credential|bearer)[a-z_]*[\"']?\s*(=|:|=>|is)\s*[\"']?$"
 NAMED_HARMLESS = r"(?i)(commit|sha1?|sha256|md5|checksum|digest|hash|uuid|guid|order|invoice|isbn|card|phone|rev(ision)?|etag)[a-z_]*[\"']?\s*(=|:|#|\s)\s*[\"']?$"
 
+#: A known secret form inside any text, digit or not.
+KNOWN = f"(?<![A-Za-z0-9]){KNOWN_SECRET.strip('^$')}(?![A-Za-z0-9])"
+#: A name of a secret with the run it stands in, and its value: to the closing quote, or to white space.
+NAME = r"(?i:pass(?:word|wd)?|pwd|secret|token|api[_-]?key|access[_-]?key|auth|credential|bearer)"
+VALUE = r"(?:(?<=\")[^\"\r\n]+(?=\"|$)|(?<=')[^'\r\n]+(?='|$)|[^\s\"']\S*)"
+ASSIGNMENT = rf"((?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]*?{NAME}(?i:[a-z_]*)[\"']?\s*(?i:=>|=|:|is(?![a-z]))\s*[\"']?)({VALUE})"
+CANDIDATE = f"{ASSIGNMENT}|{KNOWN}|{RUN}"
+#: What closes a value without quotes, and its part before a further field.
+CLOSING, FIELD = r"[\"',;)\]}>]+$", r"^([^&;,]+)[&;,].*=.*$"
+
 CLASSES = "ULDS"
 PAIRS = [a + b for a in CLASSES for b in CLASSES]
 
 
+def _inner(whole: Column, at: Column, own: bool = False) -> Column:
+    """(candidate, at) of the runs, known forms and assigned values inside a text that starts at `at`; the text itself only with own."""
+    hits = F.flatten(F.array(*[F.regexp_extract_all(whole, F.lit(p), F.lit(g)) for p, g in ((RUN, 0), (KNOWN, 0), (ASSIGNMENT, 2), (FIELD, 1))]))
+    hits = F.filter(F.array_distinct(hits), lambda x: x != "" if own else (x != whole) & (x != ""))
+    return F.transform(hits, lambda x: F.struct(x.alias("candidate"), (at + F.instr(whole, x) - 1).alias("at")))
+
+
+def _candidates(match: Column, i: Column) -> Column:
+    """(candidate, at, i) of a match: the value of an assignment or the match itself, and what stands inside."""
+    name, raw = F.regexp_extract(match, f"^{ASSIGNMENT}$", 1), F.regexp_extract(match, f"^{ASSIGNMENT}$", 2)
+    trimmed = F.regexp_replace(raw, CLOSING, "")
+    quoted = name.rlike("[\"']$")
+    value = F.when(quoted | (trimmed == ""), raw).otherwise(trimmed)
+    at = F.length(name)
+    whole = lambda c, at: F.array(F.struct(c.alias("candidate"), at.alias("at")))
+    all_ = F.when(raw == "", F.concat(whole(match, F.lit(0)), _inner(match, F.lit(0)))).otherwise(F.concat(_inner(name, F.lit(0), own=True), whole(value, at), _inner(value, at)))
+    return F.transform(all_, lambda x: F.struct(x["candidate"].alias("candidate"), x["at"].alias("at"), i.alias("i")))
+
+
 def findings(documents: DataFrame, context: int = 60, path: str = "source") -> DataFrame:
-    """Candidates of each whole text: (doc_id, path, number, candidate, before, after), number from 1 in text order."""
+    """Candidates of each whole text: (doc_id, path, number, candidate, before, after), number from 1 in text order.
+
+    Runs of key characters, known secret forms and values assigned to names of secrets; what stands inside a longer
+    candidate follows it.
+    """
     text = F.coalesce("text", F.lit(""))
     cut = documents.select("doc_id", F.coalesce(F.col(path).cast("string"), F.lit("")).alias("path"), text.alias("text")).filter(F.col("text").rlike(CANDIDATE))
     parts = with_once(cut, hits=F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0)), gaps=F.split("text", CANDIDATE, -1)).drop("text")
-    each = parts.select("doc_id", "path", "gaps", F.posexplode("hits").alias("at", "candidate"))
+    each = parts.select("doc_id", "path", "gaps", "hits", F.posexplode(F.flatten(F.transform("hits", _candidates))).alias("place", "c"))
+    each = each.select("doc_id", "path", (F.col("place") + 1).alias("number"), "c.candidate", "c.at", F.expr("gaps[c.i]").alias("gap"), F.expr("hits[c.i]").alias("hit"), F.expr("gaps[c.i + 1]").alias("next"))
     return each.select(
-        "doc_id", "path", (F.col("at") + 1).alias("number"), "candidate",
-        F.expr(f"right(gaps[at], {context})").alias("before"), F.expr(f"left(gaps[at + 1], {context})").alias("after"))
+        "doc_id", "path", "number", "candidate", F.expr(f"right(concat(gap, left(hit, at)), {context})").alias("before"),
+        F.expr(f"left(concat(substring(hit, at + length(candidate) + 1), next), {context})").alias("after"))
 
 
 def grams(word: Column, n: int = 4) -> Column:
@@ -80,7 +114,8 @@ def features(found: DataFrame, known: list[str]) -> tuple[DataFrame, list[str]]:
 def label_findings(found: DataFrame) -> DataFrame:
     """found with label 1 (known secret form, or assigned to a name of a secret), 0 (known harmless form or name), null (open)."""
     c, before = F.col("candidate"), F.col("before")
-    secret = c.rlike(KNOWN_SECRET) | (before.rlike(ASSIGNED) & ~c.rlike(KNOWN_HARMLESS))
+    prose = before.rlike("(?i)is\\s*$") & c.rlike(r"^\p{L}+[.,!?]*$")  # 'the secret is out'
+    secret = c.rlike(KNOWN_SECRET) | (before.rlike(ASSIGNED) & ~c.rlike(KNOWN_HARMLESS) & ~prose)
     harmless = c.rlike(KNOWN_HARMLESS) | before.rlike(NAMED_HARMLESS)
     return found.withColumn("label", F.when(secret, 1.0).when(harmless, 0.0))
 
@@ -103,7 +138,7 @@ def scan(documents: DataFrame, labelled: DataFrame | None = None, dictionary_siz
 
     labelled: findings with doc_id, path, number, candidate, before, after, label, as findings() makes them; by default
     those that known forms and assignments label (label_findings). Returns doc_id, number, n_chars, sha256 of the
-    candidate (never itself), masked (its first four characters), score, is_secret. Null texts have no candidates; null
+    candidate (never itself), masked (its first third, at most four characters), score, is_secret. Null texts have no candidates; null
     ids and paths pass through as they are and as empty; equal rows give equal findings. Without labels of both kinds
     the score is null and every candidate counts as a secret.
     """
@@ -119,4 +154,4 @@ def scan(documents: DataFrame, labelled: DataFrame | None = None, dictionary_siz
             "score", vector_to_array("probability")[1])
     return scored.select(
         "doc_id", "number", F.length("candidate").cast("long").alias("n_chars"), F.sha2("candidate", 256).alias("sha256"),
-        F.concat(F.left("candidate", F.lit(4)), F.lit("...")).alias("masked"), "score", F.coalesce(F.col("score") >= 0.5, F.lit(True)).alias("is_secret"))
+        F.concat(F.expr("left(candidate, least(4, cast(length(candidate) / 3 as int)))"), F.lit("...")).alias("masked"), "score", F.coalesce(F.col("score") >= 0.5, F.lit(True)).alias("is_secret"))

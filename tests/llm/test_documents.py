@@ -389,6 +389,22 @@ def test_folding_and_exceptions():
     assert matcher.total("trash trash scum")[0] == 5.0 and matcher.total("")[0] == 0.0
 
 
+def test_secret_candidates_of_any_form(spark):
+    akia, run = "AKIA" + "QWERTYUIOPASDFGH", "0a1b2c3d4e5f60718293"
+    cases = [(f"key {akia} used", [akia]), ("password = Tr0ub4dor&3 x", ["Tr0ub4dor&3"]), ("pwd: hi! x", ["hi!"]), ('secret="two words here" y', ["two words here"]),
+             ("service1_password=hunter", ["service1_password=", "hunter"]), ("token=a.b@c$d;", ["a.b@c$d"]), ("token=short&password=other", ["short", "other"]),
+             (f"see {run}, {run}", [run, run]), (f"token={run}, x", [run]), (f"v1-{akia}", [akia]), ("api_key => 'k'", ["k"]), ("no findings here", [])]
+    rows = [(i, t, "a") for i, (t, _) in enumerate(cases)] + [(99, "token=" + "a!" * 50_000, "a")]
+    got = defaultdict(list)
+    for r in secrets.findings(table(spark, rows)).collect():
+        got[r["doc_id"]].append(r["candidate"])
+        text = rows[r["doc_id"]][1] if r["doc_id"] < 99 else rows[-1][1]
+        assert r["before"] + r["candidate"] + r["after"] in text
+    assert all(not Counter(want) - Counter(got[i]) for i, (_, want) in enumerate(cases)), [got[i] for i in range(12)]
+    assert got[99] == ["a!" * 50_000] and not got[11]
+    assert all(r["masked"][:-3] != cases[r["doc_id"]][1][0] for r in secrets.scan(table(spark, rows[:11])).collect())
+
+
 def test_secrets(spark, edge, empty):
     rng = random.Random(8)
     hexes = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
