@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from maskwright.llm.common import stored
 from maskwright.llm.components import connected
+from maskwright.llm.overlap import first_of_groups, text_key
 
 BITS = 64
 
@@ -292,7 +293,8 @@ def near_duplicates(documents: DataFrame, distance: int = 3, words: int = 3) ->
     return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(documents: DataFrame, **options) -> DataFrame:
-    """Of each group the document with the smallest doc_id, with all its columns; rows without an id stay."""
-    lost = near_duplicates(documents, **options).filter("doc_id <> component_id").select("doc_id").distinct()
-    return documents.join(lost, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in documents.columns])
+def drop_near_duplicates(documents: DataFrame, distance: int = 3, words: int = 3) -> DataFrame:
+    """Of each group one document with all its columns: the smallest doc_id (null ids last), of equal rows one."""
+    texts = documents.select(text_key().alias("doc_id"), "text")
+    named = near_duplicates(texts, distance, words).select(F.col("doc_id").alias("node"), F.col("component_id").alias("root"))
+    return first_of_groups(documents, named.distinct())

@@ -205,6 +205,13 @@ def test_near_duplicates(edge, empty, edge_rows):
     assert kept.columns == edge.columns and kept.filter("doc_id = 4").count() == 1 and kept.filter("doc_id in (5, 6)").count() == 0
 
 
+def test_one_row_of_each_near_group_stays(spark):
+    a, b = "first text of some words that repeats", "second one with quite other words in it"
+    rows = [(1, a, "a"), (5, a, "a"), (5, b, "a"), (None, "no id here at all", "a"), (None, "no id here at all", "a"), (7, "the same id", "a"), (7, "the same id", "a")]
+    kept = simhash.drop_near_duplicates(table(spark, rows)).collect()
+    assert Counter((r["doc_id"], r["text"]) for r in kept) == Counter([(1, a), (5, b), (None, "no id here at all"), (7, "the same id")])
+
+
 @pytest.mark.parametrize("tile", [8192, 40])
 def test_near_links_match_brute_force(spark, tile):
     rng = np.random.default_rng(7)
