@@ -23,6 +23,8 @@ WALLS = frozenset("table ul ol dl select body html div section article main asid
 CLOSE_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
 ATTRIBUTE = re.compile(r"""(class|id|role|data-y)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
+#: Attributes that end in a slash of their own, not in one of a bare value.
+SELF_CLOSED = re.compile(r"""(?<!=)(?:^|[\s"']|(?:^|\s)[^\s"'=>]+)/$""")
 PART = re.compile(r"[a-z]+")
 MARK = re.compile(r"[.!?;:,]")
 
@@ -114,6 +116,8 @@ class Page:
                 end = re.compile(r"</head\s*>|<body[\s>]", re.I).search(html, at)
                 at = (end.start() if end and html[end.start() + 1] != "/" else end.end()) if end else at
                 continue
+            if name in ("svg", "math") and SELF_CLOSED.search(match[3] if match[2] else match[6] or ""):
+                continue
             if name in HIDDEN:
                 end = re.compile(rf"</{name}\s*>", re.I).search(html, at)
                 if end or name in ("script", "style"):

@@ -75,6 +75,13 @@ def test_main_text_cases(spark, pages):
     assert html.main_text(pages.limit(0)).collect() == []
 
 
+def test_self_closed_icons_hide_nothing():
+    text = lambda h: " ".join(html.Page(h).blocks)
+    assert text('<p>One</p><svg class="i"/><p>two</p><svg><text>no</text></svg><p>three</p>').split() == ["One", "two", "three"]
+    assert text("<p>One</p><math/><p>two</p><svg hidden/><p>three</p><svg /><p>four</p></svg></math>").split() == ["One", "two", "three", "four"]
+    assert text("<p>One</p><svg class=i/><text>no</text></svg><p>two</p>").split() == ["One", "two"]
+
+
 def test_labelled_layouts_are_recovered():
     rng = random.Random(1)
     model = html.fit([html.Page(p) for p in html.layouts([], 300, rng)])
