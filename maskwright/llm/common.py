@@ -76,3 +76,15 @@ def sums_before(rows: DataFrame, group: Sequence[str], bucket: str, order: Seque
     inside = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     return (rows.join(totals, keys)
             .withColumn(name, F.col("__base") + F.coalesce(F.sum(value).over(inside), F.lit(0))).drop("__base"))
+
+
+def repeat_rows(rows: DataFrame, copies: str, name: str, block: int = 10_000) -> DataFrame:
+    """Each row `copies` times, with the number of the copy, from 0, in `name`; the column `copies` goes.
+
+    Numbers are made in two steps, blocks and the numbers inside one, so no array is longer than `block` or
+    copies / block.
+    """
+    last = (F.col(copies).cast("long") - 1)
+    blocks = rows.withColumn("__block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(last / block).cast("long"))))
+    inside = F.sequence(F.col("__block") * block, F.least(last, F.col("__block") * block + (block - 1)))
+    return blocks.withColumn(name, F.explode(inside)).drop("__block", copies)

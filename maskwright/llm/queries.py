@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from maskwright.llm import editprint, exact, html, mixing, packing, secrets, sharding, simhash, toxicity, warc
+from maskwright.llm import editprint, exact, fim, html, merkle, mixing, packing, secrets, sharding, simhash, substrings, toxicity, warc
 from maskwright.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -120,3 +120,98 @@ from normal
 """)
 def op10_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact.exact_duplicates(read(spark, folder, "documents"))
+
+
+#: CRC-32 of the decimal doc_id, bit by bit over its digits.
+CRC = """
+(select xor(4294967295, list_reduce(list_prepend(4294967295::bigint, [ascii(d)::bigint for d in string_split(cast(doc_id as varchar), '')]),
+  lambda c, b: list_reduce(list_prepend(xor(c, b), [0::bigint, 0, 0, 0, 0, 0, 0, 0]),
+    lambda x, z: xor(x >> 1, 3988292384 * (x & 1)))))
+"""
+
+
+def _field(value: str) -> str:
+    return f"coalesce(cast(strlen({value}) as varchar) || ':' || {value}, '-')"
+
+
+def _leaf(n_chars: str) -> str:
+    fields = ("cast(doc_id as varchar)", "source", "lang", f"cast({n_chars} as varchar)", "text")
+    return "sha256(" + " || ".join(_field(f) for f in fields) + ")"
+
+
+@query(f"""
+with recursive base as (
+    select doc_id, coalesce('=' || lang, '-') as grp, {_leaf('n_chars')} as leaf,
+           {_leaf(f"(n_chars + case when {CRC.strip()}) % 7 = 0 then 1 else 0 end)")} as bent from documents),
+leaves as (
+    select *, row_number() over (partition by grp order by doc_id) - 1 as at, count(*) over (partition by grp) as size from base),
+nodes as (
+    select grp, 0 as lvl, at, size, leaf as node from leaves
+    union all
+    select grp, lvl + 1, at // 2, (size + 1) // 2, sha256(string_agg(node, '' order by at)) from nodes where size > 1 group by grp, lvl, at // 2, size),
+subroots as (
+    select grp, node, row_number() over (order by grp) - 1 as at, count(*) over () as size from nodes where size = 1),
+tops as (
+    select 0 as lvl, at, size, node from subroots
+    union all
+    select lvl + 1, at // 2, (size + 1) // 2, sha256(string_agg(node, '' order by at)) from tops where size > 1 group by lvl, at // 2, size),
+walk as (
+    select doc_id, grp, at, 0 as lvl, size, bent as node, '' as proof from leaves
+    union all
+    select w.doc_id, w.grp, w.at // 2, w.lvl + 1, (w.size + 1) // 2,
+           case when n.node is null then sha256(w.node) when w.at % 2 = 1 then sha256(n.node || w.node) else sha256(w.node || n.node) end,
+           w.proof || coalesce(n.node, '')
+    from walk w left join nodes n on n.grp = w.grp and n.lvl = w.lvl and n.at = xor(w.at, 1) where w.size > 1),
+climb as (
+    select w.doc_id, s.at, 0 as lvl, s.size, w.node, w.proof, s.node as subroot from walk w join subroots s on s.grp = w.grp where w.size = 1
+    union all
+    select w.doc_id, w.at // 2, w.lvl + 1, (w.size + 1) // 2,
+           case when n.node is null then sha256(w.node) when w.at % 2 = 1 then sha256(n.node || w.node) else sha256(w.node || n.node) end,
+           w.proof || coalesce(n.node, ''), w.subroot
+    from climb w left join tops n on n.lvl = w.lvl and n.at = xor(w.at, 1) where w.size > 1)
+select c.doc_id, l.leaf, c.subroot, r.node as root, sha256(c.proof) as proof_sha256, c.node as folded_root, c.node = r.node as verified
+from climb c join leaves l on l.doc_id = c.doc_id cross join (select node from tops where size = 1) r where c.size = 1
+""")
+def op11_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    return merkle.verified_documents(read(spark, folder, "documents"))
+
+
+@query("""
+with cut as (
+    select doc_id, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[^\\n]*\\n|[^\\n]+') as units,
+           sha256('7:' || coalesce(cast(doc_id as varchar), '-')) as h from documents),
+drawn as (
+    select *, len(units)::bigint as n, [cast('0x' || substr(h, 8 * i + 1, 8) as bigint) for i in range(4)] as d from cut),
+placed as (
+    select *, least(d[1] % (n + 1), d[2] % (n + 1)) as a, greatest(d[1] % (n + 1), d[2] % (n + 1)) as b,
+           case when text = '' or contains(text, '<P>') or contains(text, '<S>') or contains(text, '<M>') or d[3] % 100 >= 100 then 'plain'
+                when d[4] % 100 < 50 then 'spm' else 'psm' end as form from drawn),
+parts as (
+    select *, array_to_string(units[1:a], '') as prefix, array_to_string(units[a + 1:b], '') as middle, array_to_string(units[b + 1:n], '') as suffix from placed)
+select doc_id, n, form, case when form <> 'plain' then length(prefix) end as prefix_chars, case when form <> 'plain' then length(middle) end as middle_chars,
+       sha256(case form when 'psm' then '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                        when 'spm' then '<S>' || suffix || '<P>' || prefix || '<M>' || middle else text end) as output_sha256,
+       sha256(text) as restored_sha256
+from parts
+""")
+def op12_fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
+    return fim.cut_documents(read(spark, folder, "documents"))
+
+
+@query("""
+with texts as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as words from documents),
+places as (select doc_id, words, unnest(range(1, len(words) - 18)) as start from texts where len(words) >= 20),
+windows as (
+    select doc_id, start, row_number() over (partition by array_to_string(words[start:start + 19], ' ') order by doc_id, start) > 1 as later from places),
+each_word as (
+    select t.doc_id, t.pos, t.word,
+           max(case when w.later then t.pos end) over (partition by t.doc_id order by t.pos rows between 19 preceding and current row) is not null as gone
+    from (select doc_id, unnest(words) as word, unnest(range(1, len(words) + 1)) as pos from texts) t
+    left join windows w on w.doc_id = t.doc_id and w.start = t.pos),
+kept as (
+    select doc_id, count(*) filter (where gone) as n_removed, string_agg(word, ' ' order by pos) filter (where not gone) as kept from each_word group by doc_id)
+select t.doc_id, len(t.words)::bigint as n_words, coalesce(k.n_removed, 0)::bigint as n_removed, sha256(coalesce(k.kept, '')) as kept_sha256
+from texts t left join kept k on k.doc_id = t.doc_id
+""")
+def op13_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return substrings.deduplicated_documents(read(spark, folder, "documents"))
