@@ -144,31 +144,31 @@ with recursive base as (
     select doc_id, coalesce('=' || lang, '-') as grp, {_leaf('n_chars')} as leaf,
            {_leaf(f"(n_chars + case when {CRC.strip()}) % 7 = 0 then 1 else 0 end)")} as bent from documents),
 leaves as (
-    select *, row_number() over (partition by grp order by doc_id) - 1 as at, count(*) over (partition by grp) as size from base),
+    select *, row_number() over (partition by grp order by doc_id) - 1 as place, count(*) over (partition by grp) as size from base),
 nodes as (
-    select grp, 0 as lvl, at, size, leaf as node from leaves
+    select grp, 0 as lvl, place, size, leaf as node from leaves
     union all
-    select grp, lvl + 1, at // 2, (size + 1) // 2, sha256(string_agg(node, '' order by at)) from nodes where size > 1 group by grp, lvl, at // 2, size),
+    select grp, lvl + 1, place // 2, (size + 1) // 2, sha256(string_agg(node, '' order by place)) from nodes where size > 1 group by grp, lvl, place // 2, size),
 subroots as (
-    select grp, node, row_number() over (order by grp) - 1 as at, count(*) over () as size from nodes where size = 1),
+    select grp, node, row_number() over (order by grp) - 1 as place, count(*) over () as size from nodes where size = 1),
 tops as (
-    select 0 as lvl, at, size, node from subroots
+    select 0 as lvl, place, size, node from subroots
     union all
-    select lvl + 1, at // 2, (size + 1) // 2, sha256(string_agg(node, '' order by at)) from tops where size > 1 group by lvl, at // 2, size),
+    select lvl + 1, place // 2, (size + 1) // 2, sha256(string_agg(node, '' order by place)) from tops where size > 1 group by lvl, place // 2, size),
 walk as (
-    select doc_id, grp, at, 0 as lvl, size, bent as node, '' as proof from leaves
+    select doc_id, grp, place, 0 as lvl, size, bent as node, '' as proof from leaves
     union all
-    select w.doc_id, w.grp, w.at // 2, w.lvl + 1, (w.size + 1) // 2,
-           case when n.node is null then sha256(w.node) when w.at % 2 = 1 then sha256(n.node || w.node) else sha256(w.node || n.node) end,
+    select w.doc_id, w.grp, w.place // 2, w.lvl + 1, (w.size + 1) // 2,
+           case when n.node is null then sha256(w.node) when w.place % 2 = 1 then sha256(n.node || w.node) else sha256(w.node || n.node) end,
            w.proof || coalesce(n.node, '')
-    from walk w left join nodes n on n.grp = w.grp and n.lvl = w.lvl and n.at = xor(w.at, 1) where w.size > 1),
+    from walk w left join nodes n on n.grp = w.grp and n.lvl = w.lvl and n.place = xor(w.place, 1) where w.size > 1),
 climb as (
-    select w.doc_id, s.at, 0 as lvl, s.size, w.node, w.proof, s.node as subroot from walk w join subroots s on s.grp = w.grp where w.size = 1
+    select w.doc_id, s.place, 0 as lvl, s.size, w.node, w.proof, s.node as subroot from walk w join subroots s on s.grp = w.grp where w.size = 1
     union all
-    select w.doc_id, w.at // 2, w.lvl + 1, (w.size + 1) // 2,
-           case when n.node is null then sha256(w.node) when w.at % 2 = 1 then sha256(n.node || w.node) else sha256(w.node || n.node) end,
+    select w.doc_id, w.place // 2, w.lvl + 1, (w.size + 1) // 2,
+           case when n.node is null then sha256(w.node) when w.place % 2 = 1 then sha256(n.node || w.node) else sha256(w.node || n.node) end,
            w.proof || coalesce(n.node, ''), w.subroot
-    from climb w left join tops n on n.lvl = w.lvl and n.at = xor(w.at, 1) where w.size > 1)
+    from climb w left join tops n on n.lvl = w.lvl and n.place = xor(w.place, 1) where w.size > 1)
 select c.doc_id, l.leaf, c.subroot, r.node as root, sha256(c.proof) as proof_sha256, c.node as folded_root, c.node = r.node as verified
 from climb c join leaves l on l.doc_id = c.doc_id cross join (select node from tops where size = 1) r where c.size = 1
 """)
@@ -200,9 +200,10 @@ def op12_fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("""
 with texts as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as words from documents),
-places as (select doc_id, words, unnest(range(1, len(words) - 18)) as start from texts where len(words) >= 20),
-windows as (
-    select doc_id, start, row_number() over (partition by array_to_string(words[start:start + 19], ' ') order by doc_id, start) > 1 as later from places),
+places as (
+    select doc_id, unnest(range(1, len(words) - 18)) as start, unnest(list_transform(range(1, len(words) - 18), lambda i: array_to_string(words[i:i + 19], ' '))) as run
+    from texts where len(words) >= 20),
+windows as (select doc_id, start, row_number() over (partition by run order by doc_id, start) > 1 as later from places),
 each_word as (
     select t.doc_id, t.pos, t.word,
            max(case when w.later then t.pos end) over (partition by t.doc_id order by t.pos rows between 19 preceding and current row) is not null as gone
