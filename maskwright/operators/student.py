@@ -1,36 +1,20 @@
-"""A linear student (word scorer) and a linear attacker (sentence classifier) on Spark ML."""
+"""A linear student (word scorer) and a linear attacker (sentence classifier) over hashed features."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Sequence
 
-import numpy as np
-import pyarrow as pa
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import IDF, HashingTF, SQLTransformer
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from maskwright.functions.text import redact, words
+from maskwright.operators import linear
 from maskwright.operators.leakage import with_original_answer
+from maskwright.operators.linear import LinearModel
 from maskwright.operators.metrics import class_weight
+from maskwright.session import cut_lineage
 
-
-#: Features of a word.
-FEATURES = 8
-
-
-def token_features(rows: DataFrame, labels: str | None = "labels", id_col: str = "id", carry: tuple[str, ...] = ()) -> DataFrame:
-    """(id, pos, word, label, features ARRAY): word, shape (X, x, 9), affixes and two words on each side.
-
-    The neighbours come from the word array of the same row, so no window is needed.
-    """
-    describe = F.expr(f"transform(arrays_zip(words, {_features_sql()}), (w, i) -> named_struct('pos', i, 'word', w.words, 'features', w.`1`))")
-    out = rows.select(id_col, *carry, *([labels] if labels else []), F.explode(describe).alias("t"))
-    label = [F.get(F.col(labels), F.col("t.pos")).cast("double").alias("label")] if labels else []
-    return out.select(id_col, *carry, "t.pos", "t.word", *label, "t.features")
+BUCKETS = 1 << 16
 
 
 def _features_sql() -> str:
@@ -43,68 +27,49 @@ def _features_sql() -> str:
     return f"transform(words, (w, i) -> array({features}))"
 
 
-def _bucket_sql(feature: str, buckets: int) -> str:
-    return f"cast(pmod(xxhash64({feature}), {buckets}) as int)"
+def _places_sql(buckets: int) -> str:
+    """The distinct buckets of every word's features."""
+    return f"transform({_features_sql()}, fs -> array_distinct(transform(fs, f -> {linear.bucket_sql('f', buckets)})))"
+
 
+def student_examples(rows: DataFrame, buckets: int = BUCKETS, labels: str = "labels", id_col: str = "id") -> DataFrame:
+    """(id, labels, places) of rows with words: features are word, shape (X, x, 9), affixes and two words on each side.
 
-def fit_student(train: DataFrame, weight: float | None = None, buckets: int = 1 << 16, iterations: int = 20,
-                regularisation: float = 1e-4) -> PipelineModel:
-    """Class-weighted logistic regression over hashed word features. Runs training jobs."""
+    The neighbours come from the word array of the same row, so no window is needed.
+    """
+    return rows.select(F.col(id_col).alias("id"), F.col(labels).alias("labels"), F.expr(_places_sql(buckets)).alias("places"))
+
+
+def fit_student(train: DataFrame, validation: DataFrame | None = None, weight: float | None = None, buckets: int = BUCKETS,
+                iterations: int = 3, batches: int = 2, rate: float = 0.05) -> LinearModel:
+    """The epoch with the best F1 on validation rows (default: the training rows) of `iterations` epochs.
+
+    Words are weighted by class (`class_weight`) unless a weight is given. Runs training jobs.
+    """
     if weight is None:
-        weight = class_weight(train).first()["class_weight"]
-    tokens = token_features(train).withColumn("weight", F.when(F.col("label") == 1, F.lit(float(weight))).otherwise(1.0))
-    return Pipeline(stages=[
-        SQLTransformer(statement=f"SELECT *, transform(features, f -> cast({_bucket_sql('f', buckets)} as string)) AS buckets FROM __THIS__"),
-        HashingTF(inputCol="buckets", outputCol="vector", numFeatures=buckets, binary=True),
-        LogisticRegression(featuresCol="vector", labelCol="label", weightCol="weight", maxIter=iterations, regParam=regularisation),
-    ]).fit(tokens)
+        weight = float(class_weight(train).first()["class_weight"] or 1.0)
+    examples = student_examples(train, buckets)
+    return linear.train(examples, examples if validation is None else student_examples(validation, buckets), buckets, iterations, batches, weight, rate)
 
 
-def score_words(model: PipelineModel, rows: DataFrame, labels: str | None = None, max_length: int | None = None,
+def score_rows(model: LinearModel, rows: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
+    """(id, carried columns, words, scores): the probability of every word, inside the row: words are never exploded or shuffled."""
+    placed = rows.select("id", *carry, "words", F.expr(_places_sql(model.buckets)).alias("places"))
+    return linear.score(model, placed, ["id", *carry, "words"])
+
+
+def score_words(model: LinearModel, rows: DataFrame, labels: str | None = None, max_length: int | None = None,
                 carry: tuple[str, ...] = (), name: str = "linear") -> DataFrame:
     """(id, pos, word, gold, score); words at or after ``max_length`` get a null score."""
-    scored = model.transform(token_features(rows, labels, carry=carry))
-    score = vector_to_array("probability")[1]
-    if max_length is not None:
-        score = F.when(F.col("pos") < max_length, score)
-    return scored.select("id", *carry, "pos", "word", *([F.col("label").cast("int").alias("gold")] if labels else []),
+    gold = [labels] if labels else []
+    scored = score_rows(model, rows, (*carry, *gold))
+    zipped = scored.select("id", *carry, *gold, F.posexplode(F.arrays_zip("words", "scores")).alias("pos", "t"))
+    score = F.col("t.scores") if max_length is None else F.when(F.col("pos") < max_length, F.col("t.scores"))
+    return zipped.select("id", *carry, "pos", F.col("t.words").alias("word"), *[F.get(F.col(g), F.col("pos")).cast("int").alias("gold") for g in gold],
                          score.alias("score"), F.lit(name).alias("model"))
 
 
-def score_rows(model: PipelineModel, rows: DataFrame) -> DataFrame:
-    """(id, words, scores): the probability of every word, inside the row: words are never exploded or shuffled.
-
-    The model's weights are looked up per bucket; they are 2^16 numbers, so every task gets them.
-    """
-    linear = model.stages[-1]
-    buckets = linear.coefficients.size
-    listed = rows.sparkSession.range(buckets).select("id", F.array(F.col("id").cast("string")).alias("buckets"))
-    places = np.zeros(buckets, np.int64)
-    for r in model.stages[1].transform(listed).select("id", "vector").collect():
-        places[r["id"]] = r["vector"].indices[0]
-    weights, intercept = linear.coefficients.toArray(), float(linear.intercept)
-    kind = dict(rows.dtypes)["id"]
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            per_word = batch.column(2).flatten()
-            at = np.sort(places[per_word.flatten().to_numpy(zero_copy_only=False)].reshape(len(per_word), FEATURES), axis=1)
-            again = np.zeros(at.shape, bool)
-            again[:, 1:] = at[:, 1:] == at[:, :-1]  # a bucket counts once for a word
-            total = np.where(again, 0.0, weights[at]).sum(axis=1) + intercept
-            scores = pa.ListArray.from_arrays(_offsets(batch.column(2)), pa.array(1 / (1 + np.exp(-total))))
-            yield pa.record_batch([batch.column(0), batch.column(1), scores], names=["id", "words", "scores"])
-
-    found = rows.select("id", "words", F.expr(f"transform({_features_sql()}, fs -> transform(fs, f -> {_bucket_sql('f', buckets)}))").alias("at"))
-    return found.mapInArrow(score, f"id {kind}, words array<string>, scores array<double>")
-
-
-def _offsets(lists: pa.ListArray) -> pa.Array:
-    sizes = np.array([0 if n is None else n for n in lists.value_lengths().to_pylist()], np.int64)
-    return pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
-
-
-def predict_text(model: PipelineModel, texts: DataFrame, threshold: float) -> DataFrame:
+def predict_text(model: LinearModel, texts: DataFrame, threshold: float) -> DataFrame:
     """Words, probabilities and the redacted string of unlabelled texts (id, text); texts without words come back too."""
     rows = texts.select("id", F.coalesce(words(F.col("text")), F.array().cast("array<string>")).alias("words"))
     scored = score_rows(model, rows).withColumn("pred", F.transform("scores", lambda x: (x >= threshold).cast("int")))
@@ -122,24 +87,26 @@ def attacker_rows(corpus: DataFrame, teacher: DataFrame, index: str = "source_in
     return corpus.join(teacher.select(F.col("source_index").alias(index)).distinct(), index, "left_anti")
 
 
-def _lowered(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("_terms", F.transform(words(F.col("text")), F.lower))
+def attacker_examples(texts: DataFrame, buckets: int = BUCKETS, label: str = "task_label", carry: Sequence[str] = ()) -> DataFrame:
+    """(carried columns, labels, places) of texts: one example of all lower-case words' buckets, 1 where the label is not 0."""
+    terms = F.transform(F.coalesce(words(F.col("text")), F.array().cast("array<string>")), F.lower)
+    placed = texts.select(*carry, F.array((F.col(label).cast("int") != 0).cast("int")).alias("labels"), terms.alias("_terms"))
+    return placed.select(*carry, "labels", F.array(F.expr(f"transform(_terms, t -> {linear.bucket_sql('t', buckets)})")).alias("places"))
 
 
-def fit_attacker(rows: DataFrame, label: str = "task_label", buckets: int = 1 << 16, iterations: int = 20) -> PipelineModel:
-    """TF-IDF logistic regression on whole texts. Runs training jobs."""
-    return Pipeline(stages=[
-        HashingTF(inputCol="_terms", outputCol="_tf", numFeatures=buckets),
-        IDF(inputCol="_tf", outputCol="_tfidf"),
-        LogisticRegression(featuresCol="_tfidf", labelCol="_y", maxIter=iterations, regParam=1e-3),
-    ]).fit(_lowered(rows).withColumn("_y", F.col(label).cast("double")))
+def fit_attacker(rows: DataFrame, validation: DataFrame | None = None, label: str = "task_label", buckets: int = BUCKETS,
+                 iterations: int = 3, batches: int = 2, rate: float = 1.0) -> LinearModel:
+    """Logistic regression on the mean of a text's words, weighted by inverse document frequency. Runs training jobs."""
+    examples = attacker_examples(rows, buckets, label, ["id"])
+    held = examples if validation is None else attacker_examples(validation, buckets, label, ["id"])
+    scale = cut_lineage(linear.inverse_document_frequencies(examples))
+    return linear.train(examples, held, buckets, iterations, batches, 1.0, rate, scale=scale, mean=True)
 
 
-def attack(model: PipelineModel, texts: DataFrame, label: str = "task_label") -> DataFrame:
+def attack(model: LinearModel, texts: DataFrame, label: str = "task_label") -> DataFrame:
     """Attacker answers for every condition: gold, predicted, p_gold and its answer on the original."""
     keys = [c for c in ("id", "condition", "trial") if c in texts.columns]
-    answers = model.transform(_lowered(texts)).select(
-        *keys, F.col(label).cast("int").alias("gold"), F.col("prediction").cast("int").alias("predicted"),
-        vector_to_array("probability").alias("_p")).withColumn(
-        "p_gold", F.element_at("_p", F.col("gold") + 1)).drop("_p")
+    scored = linear.score(model, attacker_examples(texts, model.buckets, label, keys), [*keys, "labels"])
+    gold, p = F.col("labels")[0], F.col("scores")[0]
+    answers = scored.select(*keys, gold.alias("gold"), (p >= 0.5).cast("int").alias("predicted"), F.when(gold == 1, p).otherwise(1 - p).alias("p_gold"))
     return with_original_answer(answers)

@@ -6,12 +6,12 @@ a stream; a checkpointed file sink takes the place of a resume flag.
 
 from __future__ import annotations
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from maskwright.functions.text import redact, selected_words, words
 from maskwright.operators.rules import rule_labels, rules_as_of
+from maskwright.operators.linear import LinearModel
 from maskwright.operators.student import score_words
 
 
@@ -31,7 +31,7 @@ def redact_stream(docs: DataFrame, version: str = "1.4", replacement: str | None
         redact(F.col("words"), F.col("labels"), replacement).alias("redacted"))
 
 
-def score_stream(model: PipelineModel, docs: DataFrame) -> DataFrame:
+def score_stream(model: LinearModel, docs: DataFrame) -> DataFrame:
     """Stateless: one row per word with the student's probability."""
     return score_words(model, docs.withColumn("words", words(F.col("text"))))
 

@@ -146,8 +146,8 @@ def random_masks(spark, folder):
 _ANSWER = "length(text) % 3"
 
 
-@query(f"""
-    with {_J}, b as (select id, sum(gold) as budget from j group by id), {_RANDOM.format(src='j')},
+# j (id, pos, word, gold, pred) -> txt (id, condition, trial, text)
+_CONDITIONS = f"""b as (select id, sum(gold) as budget from j group by id), {_RANDOM.format(src='j')},
     b2 as (select id, sum(pred) as budget from j group by id), m2 as (select o.id, o.trial, o.pos from o join b2 using (id) where o.k <= b2.budget),
     cond as (
         select id, 'original' as condition, 0 as trial, pos, word as w from j union all
@@ -155,11 +155,10 @@ _ANSWER = "length(text) % 3"
         select id, 'student', 0, pos, case when pred = 1 then '[MASK]' else word end from j union all
         select j.id, 'random_teacher_budget', t.trial, j.pos, case when m.pos is not null then '[MASK]' else word end from j cross join range(3) t(trial) left join m on m.id = j.id and m.trial = t.trial and m.pos = j.pos union all
         select j.id, 'random_student_budget', t.trial, j.pos, case when m2.pos is not null then '[MASK]' else word end from j cross join range(3) t(trial) left join m2 on m2.id = j.id and m2.trial = t.trial and m2.pos = j.pos),
-    txt as (select id, condition, trial, {Q.render("string_agg(w, ' ' order by pos)")} as text from cond group by all),
-    ans as (select txt.id, condition, trial, case task_label when 'F' then 0 when 'O' then 1 else 2 end as gold, {_ANSWER.replace('text', 'txt.text')} as predicted, length(txt.text) as n
-            from txt join ({Q.NOTES}) q on q.id = txt.id),
-    org as (select id, predicted as original_predicted from ans where condition = 'original'),
-    a as (select *, 1.0 / (1 + n % 7) as p_gold from ans join org using (id)),
+    txt as (select id, condition, trial, {Q.render("string_agg(w, ' ' order by pos)")} as text from cond group by all)"""
+# ans (id, condition, trial, gold, predicted, p_gold) -> the leakage table
+_LEAKAGE = f"""org as (select id, predicted as original_predicted from ans where condition = 'original'),
+    a as (select * from ans join org using (id)),
     base as (select condition, trial, avg(cast(gold = predicted as int)) as accuracy, avg(p_gold) as mean_gold_label_probability, count_if(gold = original_predicted) as oc,
              sum(cast(gold = predicted and original_predicted = gold as int))::double / count_if(gold = original_predicted) as accuracy_on_originally_correct,
              avg(cast(predicted <> original_predicted as int)) as prediction_change_rate from a group by all),
@@ -168,7 +167,14 @@ _ANSWER = "length(text) % 3"
     sc as (select * from base join (select condition, trial, avg(f1)::double as macro_f1 from cls group by all) using (condition, trial))
     select condition, count(*) as trials, {', '.join(f'round(avg({f}), 9) as {f}_mean, round(stddev_pop({f}), 9) as {f}_std' for f in LK.LEAKAGE_FIELDS)},
            round((select avg(accuracy) from sc where condition = 'original') - avg(accuracy), 9) as accuracy_drop
-    from sc group by condition""")
+    from sc group by condition"""
+
+
+@query(f"""
+    with {_J}, {_CONDITIONS},
+    ans as (select txt.id, condition, trial, case task_label when 'F' then 0 when 'O' then 1 else 2 end as gold, {_ANSWER.replace('text', 'txt.text')} as predicted, 1.0 / (1 + length(txt.text) % 7) as p_gold
+            from txt join ({Q.NOTES}) q on q.id = txt.id),
+    {_LEAKAGE}""")
 def leakage_table(spark, folder):
     rows = versions(spark, folder)
     texts = LK.conditions(rows, 3, 42)
