@@ -8,15 +8,21 @@ combined inside each task; only (groups x repeats) rows are shuffled.
 
 from __future__ import annotations
 
+import functools
+import hashlib
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-
+from pyspark.sql.types import IntegralType
 
 DRAWS = 12  # 20-bit draws taken from one SHA-256
 BITS = 20
+CLUSTERS = 512  # clusters whose weights are made at a time
+GROUPS = 256  # groups whose sums a task holds
 
 
 def poisson_steps() -> tuple[int, ...]:
@@ -31,12 +37,29 @@ def poisson_steps() -> tuple[int, ...]:
         k += 1
 
 
-def _weight(draw: Column) -> Column:
-    steps = poisson_steps()
-    weight = F.when(draw < steps[0], 0)
-    for k, step in enumerate(steps[1:], start=1):
-        weight = weight.when(draw < step, k)
-    return weight.otherwise(len(steps))
+def _weights(seed: int, clusters: Sequence[str | None], repeats: int) -> np.ndarray:
+    """Weights of clusters (rows) in each repeat (columns).
+
+    SHA-256 of seed, cluster and number of a block of DRAWS repeats gives that block's draws: its first 60
+    hexadecimal digits are four numbers of three draws each, the last digits first.
+    """
+    blocks = -(-repeats // DRAWS)
+    tails = [str(b).encode() for b in range(blocks)]
+    digests = []
+    for cluster in clusters:
+        start = f"{seed}::{'' if cluster is None else f'{cluster}::'}".encode()
+        digests += [hashlib.sha256(start + t).digest() for t in tails]
+    parts = np.frombuffer(b"".join(digests), np.uint8).reshape(-1, 32)[:, :30].reshape(-1, DRAWS // 2, 5).astype(np.int32)
+    even = parts[..., 0] << 12 | parts[..., 1] << 4 | parts[..., 2] >> 4
+    odd = (parts[..., 2] & 15) << 16 | parts[..., 3] << 8 | parts[..., 4]
+    drawn = np.stack([even, odd], axis=-1).reshape(-1, 4, 3)[:, :, ::-1].reshape(len(clusters), blocks * DRAWS)
+    return _reached()[drawn[:, :repeats]]
+
+
+@functools.cache
+def _reached() -> np.ndarray:
+    """How many of the steps each of the 2**BITS draws reaches."""
+    return np.searchsorted(np.array(poisson_steps()), np.arange(1 << BITS), "right").astype(np.float32)
 
 
 def cluster_totals(rows: DataFrame, cluster: str, values: dict[str, Column], by: Sequence[str] = ()) -> DataFrame:
@@ -45,33 +68,53 @@ def cluster_totals(rows: DataFrame, cluster: str, values: dict[str, Column], by:
 
 
 def bootstrap_sums(totals: DataFrame, names: Sequence[str], repeats: int, seed: int, by: Sequence[str] = ()) -> DataFrame:
-    """Weighted sums per (by, repeat); repeat -1 holds the unweighted sums."""
-    return draws(totals, [*by, *names], repeats, seed).groupBy(*by, "repeat").agg(*[F.sum(F.col("_weight") * F.col(n)).alias(n) for n in names])
-
+    """Weighted sums per (by, repeat); repeat -1 holds the unweighted sums.
 
-def draws(totals: DataFrame, names: Sequence[str], repeats: int, seed: int) -> DataFrame:
-    """A row per cluster and repeat that draws it: names, repeat, _weight; repeat -1 has every cluster once.
-
-    Cluster totals are few bytes but stand for ``repeats`` times the work, so they are
-    spread over all cores first (by a hash, so that the exchange is not merged with the
-    aggregate's own); a size-based coalesce would put them into one task.
+    Each task multiplies the weights of a block of clusters with their totals and adds the products up, so
+    draws never become rows: what a task emits is one row for each of its groups and repeats. Cluster totals are few
+    bytes but stand for ``repeats`` times the work, so they are spread over all cores first (by a hash, so that the
+    exchange is not merged with the aggregate's own); a size-based coalesce would put them into one task.
     """
     spark = totals.sparkSession
     tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    spread = totals.select(*names, "cluster").repartition(tasks, F.xxhash64("cluster"))
-    blocks = -(-repeats // DRAWS)
-    hashed = spread.select(*names, "cluster", F.explode(F.sequence(F.lit(-1), F.lit(blocks - 1))).alias("_block")).select(
-        *names, "_block",
-        F.sha2(F.concat_ws("::", F.lit(str(seed)), F.col("cluster").cast("string"), F.col("_block").cast("string")), 256).alias("_h"))
-    words = hashed.select(*names, "_block", *[
-        F.conv(F.substring("_h", 15 * g + 1, 15), 16, 10).cast("bigint").alias(f"_w{g}") for g in range(4)])
-    mask = F.lit((1 << BITS) - 1).cast("bigint")
-    draws = F.array(*[F.shiftright(F.col(f"_w{g}"), BITS * k).bitwiseAND(mask) for g in range(4) for k in range(3)])
-    once = F.array(F.lit(poisson_steps()[0]).cast("bigint"))  # a draw of weight 1
-    drawn = words.select(*names, "_block", F.posexplode(F.when(F.col("_block") < 0, once).otherwise(draws)).alias("_k", "_draw"))
-    return drawn.select(
-        *names, F.when(F.col("_block") < 0, -1).otherwise(F.col("_block") * DRAWS + F.col("_k")).alias("repeat"),
-        _weight(F.col("_draw")).alias("_weight")).filter(f"repeat < {repeats} and _weight > 0")
+    spread = totals.select(*by, F.col("cluster").cast("string").alias("cluster"), *names).repartition(tasks, F.xxhash64("cluster"))
+    keys, kinds = len(by), totals.select(*by, *names).schema
+
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, np.ndarray] = {}
+
+        def emit() -> Iterator[pa.RecordBatch]:
+            for key, sums in held.items():
+                at = [pa.array([k] * len(sums), arrow[i]) for i, k in enumerate(key)]
+                yield pa.record_batch([*at, pa.array(np.arange(-1, repeats, dtype=np.int32)), *[pa.array(np.ascontiguousarray(sums[:, i])) for i in range(len(names))]],
+                                      names=[*by, "repeat", *names])
+            held.clear()
+
+        arrow = []
+        for batch in batches:
+            arrow = [batch.column(i).type for i in range(keys)]
+            groups: dict[tuple, list[int]] = {}
+            for i, key in enumerate(zip(*(batch.column(k).to_pylist() for k in range(keys)), strict=True) if keys else [()] * batch.num_rows):
+                groups.setdefault(key, []).append(i)
+            values = np.stack([batch.column(keys + 1 + i).cast(pa.float64()).fill_null(0).to_numpy(zero_copy_only=False) for i in range(len(names))], axis=1)
+            clusters = batch.column(keys).to_pylist()
+            for start in range(0, batch.num_rows, CLUSTERS):
+                stop = min(start + CLUSTERS, batch.num_rows)
+                weights = _weights(seed, clusters[start:stop], repeats)
+                for key, members in groups.items():
+                    at = np.array(members)[np.searchsorted(members, start):np.searchsorted(members, stop)]
+                    if len(at):
+                        sums = held.setdefault(key, np.zeros((repeats + 1, len(names))))
+                        sums[0] += values[at].sum(axis=0)
+                        sums[1:] += weights[at - start].T.astype(np.float64) @ values[at]
+                if len(held) > GROUPS:
+                    yield from emit()
+        yield from emit()
+
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in kinds.fields[:keys]]
+    parts = spread.mapInArrow(multiply, ", ".join([*fields, "repeat int", *[f"`{n}` double" for n in names]]))
+    whole = {f.name for f in kinds.fields if isinstance(f.dataType, IntegralType)}
+    return parts.groupBy(*by, "repeat").agg(*[(F.round(F.sum(n)).cast("bigint") if n in whole else F.sum(n)).alias(n) for n in names])
 
 
 def summarise(samples: DataFrame, points: dict[str, Column], intervals: dict[str, Column], by: Sequence[str] = (),
