@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from maskwright.llm.common import stored, sums_before
 from maskwright.session import with_once
 
-SPAN = 1 << 16
+BITS = 12
+SPAN = 1 << BITS
 WORDS = SPAN // 64
 #: Rows without an id stand in a container of their own, before all others.
 NO_ID = -(1 << 63)
@@ -32,10 +33,10 @@ def leaf_digest(**columns: Column) -> Column:
 
 
 class RankBitmap:
-    """Multiset of 16-bit numbers: an array of those that occur or a bitmap with a popcount directory, and a table of repeats.
+    """Multiset of 12-bit numbers: an array of those that occur or a bitmap with a popcount directory, and a table of repeats.
 
-    rank(x) is the number of elements below x. With at most 4,096 different numbers they are kept as an
-    array, else as 1,024 words with the number of bits set before each.
+    rank(x) is the number of elements below x. With at most 256 different numbers they are kept as an
+    array, else as 64 words with the number of bits set before each.
     """
 
     HEAD = np.dtype([("kind", "<u4"), ("distinct", "<u4"), ("repeated", "<u4")])
@@ -101,7 +102,7 @@ class RankBitmap:
 
 
 def id_bitmaps(ids: DataFrame, flush: int = 1_000_000) -> DataFrame:
-    """(grp, chunk, bits, base): bitmaps of the ids of each group by their upper 48 bits, and the leaves before each.
+    """(grp, chunk, bits, base): bitmaps of the ids of each group by their upper 52 bits, and the leaves before each.
 
     Each task builds bitmaps of its own rows (at most `flush` at a time); those of one group and chunk are
     merged, so a group that holds most rows is cut by ids and a repeated id is one count. The bases are
@@ -361,7 +362,7 @@ def manifest(documents: DataFrame, altered: Column | None = None, bits: int = 12
     """
     key = F.coalesce(F.concat(F.lit("="), "lang"), F.lit("-"))
     number = F.col("doc_id").cast("long")
-    ids = {"grp": key, "chunk": F.coalesce(F.shiftright(number, 16), F.lit(NO_ID)),
+    ids = {"grp": key, "chunk": F.coalesce(F.shiftright(number, BITS), F.lit(NO_ID)),
            "low": F.coalesce(number.bitwiseAND(F.lit(SPAN - 1).cast("long")).cast("int"), F.lit(0))}
     bitmaps = id_bitmaps(documents.select(*[c.alias(n) for n, c in ids.items()]))
     bent = leaf_digest() if altered is None else leaf_digest(n_chars=altered)
