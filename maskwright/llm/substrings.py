@@ -289,7 +289,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                               names=["doc_id", "n_words", "spans", "kept", "copies"])
 
 
-def drop_repeated_substrings(documents: DataFrame, window: int = 20, per_range: int = 2_000_000, flush: int = 2_000_000) -> DataFrame:
+def drop_repeated_substrings(documents: DataFrame, window: int = 20, per_range: int = 1_000_000, flush: int = 1_000_000) -> DataFrame:
     """Remove the words that lie in a window of `window` words which also starts earlier.
 
     Earlier: in a document of smaller doc_id (an integer; null ids first), or in the same one, further ahead. Rows that
