@@ -45,9 +45,13 @@ TAGS = {t: i for i, group in enumerate((
     "article main", "section", "div", "p", "h1 h2", "h3 h4 h5 h6", "li dd dt", "ul ol dl", "table tr tbody thead", "td th", "blockquote pre", "figure figcaption",
     "nav menu", "header", "footer", "aside", "form fieldset", "button select option label input legend", "html body", "noscript dialog")) for t in group.split()}
 N_TAGS = len(set(TAGS.values())) + 1
-N_FEATURES = N_TAGS + len(HINTS) + 10
-#: Kinds of child that have transition potentials of their own.
-N_KINDS = 4
+#: Elements that make a region without any hint; all but the last are boilerplate.
+REGIONS = tuple(frozenset(r.split()) for r in ("nav menu", "header", "footer", "aside", "form fieldset", "article main"))
+N_REGION = len(HINTS) + len(REGIONS)
+N_BOILER = N_REGION - 2
+N_FEATURES = N_TAGS + len(HINTS) + 10 + N_REGION + N_BOILER
+#: Kinds of child that have transition potentials of their own: four, outside and inside boilerplate.
+N_KINDS = 8
 
 
 class Page:
@@ -203,12 +207,35 @@ class Forest:
                  whole / total, np.minimum(self.depth, 20) / 10, start / total, (own == 0).astype(float), np.ones(n)]
         for i, column in enumerate(extra):
             x[:, N_TAGS + len(HINTS) + i] = column
+        region, boilerplate = self._regions(pages, x[:, N_TAGS:N_TAGS + len(HINTS)])
+        x[:, N_FEATURES - N_REGION - N_BOILER:N_FEATURES - N_BOILER] = region
+        x[:, N_FEATURES - N_BOILER:] = boilerplate
         self.x = x
         hint = x[:, N_TAGS:N_TAGS + len(HINTS)]
         boiler = (hint[:, :8].sum(1) > 0) | np.isin(tags, [TAGS[t] for t in ("nav", "header", "footer", "aside", "form", "button", "noscript")])
         text = np.isin(tags, [TAGS[t] for t in ("p", "h1", "h3", "li", "blockquote", "figure", "td")])
         box = np.isin(tags, [TAGS[t] for t in ("article", "section")]) | (hint[:, 8] > 0)
-        self.kind = np.where(boiler, 0, np.where(box, 1, np.where(text, 2, 3)))
+        self.kind = np.where(boiler, 0, np.where(box, 1, np.where(text, 2, 3))) + 4 * boilerplate.any(1)
+
+    def _regions(self, pages: Sequence[Page], hints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(what the nearest hinted or region element above each node is, what kinds of boilerplate lie anywhere above it).
+
+        A bare element so hands on what it stands in, however deep; html and body say nothing.
+        """
+        own = np.zeros((self.n, N_REGION), np.float32)
+        own[:, :len(HINTS)] = hints
+        names = [t for p in pages for t in p.tag]
+        for i, tags in enumerate(REGIONS):
+            own[:, len(HINTS) + i] = [t in tags for t in names]
+        own[[t in ("html", "body") for t in names]] = 0
+        bad = np.delete(own, [len(HINTS) - 1, N_REGION - 1], axis=1)
+        some = own.any(1)
+        nearest, above = np.zeros_like(own), np.zeros((self.n, N_BOILER), np.float32)
+        for level in self.levels[1:]:
+            up = self.parent[level]
+            nearest[level] = np.where(some[up][:, None], own[up], nearest[up])
+            above[level] = np.maximum(above[up], bad[up])
+        return nearest, above
 
     def labels(self, pages: Sequence[Page]) -> np.ndarray:
         """1 for content: a node's own label or its parent's; a node whose children differ takes what most of its text has."""
@@ -332,12 +359,18 @@ def layouts(texts: Sequence[str], count: int, rng: random.Random) -> list[str]:
         extra = rng.choice(["", "", " box", " block", " wrap-1", "-inner", "-area"])
         return f'{rng.choice(["class", "class", "id"])}="{name(kind)}{extra}"'
 
+    def bare(body: str) -> str:
+        for _ in range(rng.choice([0, 0, 0, 1, 1, 2, 3])):
+            body = rng.choice(["<div>{}</div>", "<div>{}</div>", "<section>{}</section>", "<div class=row><div>{}</div></div>", "<ul><li>{}</li></ul>"]).format(body)
+        return body
+
     def drop(tag: str, attribute: str, body: str) -> str:
+        body = bare(body) if tag not in ("p", "span", "ul", "ol") else body
         return f'<{tag} data-y="0" {attribute}>{body}</{tag}>'
 
     def comments() -> str:
         item = rng.choice(["li", "div", "article", "section"])
-        rows = "".join(f'<{item} {hint("comment") if rng.random() < 0.7 else ""}><b>{words(1, 2)}</b> <p>{prose(1, 3)}</p></{item}>' for _ in range(rng.randint(1, 5)))
+        rows = "".join(f'<{item} {hint("comment") if rng.random() < 0.7 else ""}><b>{words(1, 2)}</b> {bare(f"<p>{prose(1, 3)}</p>")}</{item}>' for _ in range(rng.randint(1, 5)))
         return drop(rng.choice(["section", "div", "ol"]), hint("comment"), rng.choice(["<h2>Comments</h2>", "<h3>3 replies</h3>", ""]) + rows)
 
     def region(kind: str) -> str:
@@ -388,7 +421,10 @@ def layouts(texts: Sequence[str], count: int, rng: random.Random) -> list[str]:
             parts.append(comments())
         if rng.random() < 0.1:
             parts.append(region("foot"))
-        return "".join(parts)
+        if rng.random() < 0.3:
+            at = rng.randint(0, len(parts))
+            parts[at:] = [f"<{tag}>{''.join(parts[at:])}</{tag}>" for tag in [rng.choice(["div", "div", "section"])]]
+        return bare("".join(parts)) if rng.random() < 0.4 else "".join(parts)
 
     pages = []
     for _ in range(count):
@@ -400,19 +436,22 @@ def layouts(texts: Sequence[str], count: int, rng: random.Random) -> list[str]:
         before = "".join(region(k) for k in rng.sample(["menu", "head", "notice", "advert", "side", "form", "share"], rng.randint(0, 4)))
         after = "".join(region(k) for k in rng.sample(["foot", "foot", "comments", "side", "advert", "notice", "form", "share", "menu"], rng.randint(0, 4)))
         for _ in range(rng.randint(0, 2)):
-            body = f'<{rng.choice(["div", "div", "main", "section"])} {rng.choice(["", "class=wrapper", "class=container", "id=page", "class=row"])}>' + (region("side") if rng.random() < 0.2 else "") + body + "</div>"
+            body = f'<{rng.choice(["div", "div", "main", "section"])} {rng.choice(["", "class=wrapper", "class=container", "id=page", "class=row", f'class="layout with-{name(rng.choice(list(HINTS)))}"'])}>' + (region("side") if rng.random() < 0.2 else "") + body + "</div>"
         pages.append(f'<html><body>{before}{body}{after}</body></html>')
     return pages
 
 
-def train(pages: DataFrame, sample: int = 150, made_up: int = 450, seed: int = 5) -> Model:
+def train(pages: DataFrame, sample: int = 150, made_up: int = 450, seed: int = 5, longest: int = 200_000) -> Model:
     """Learn from at most `sample` pages, drawn by hash of their ids, and `made_up` pages in other layouts.
 
-    A drawn page with exactly one article element is labelled by it; the made-up ones take their sentences from the
+    Pages of more than `longest` characters are not drawn; of an id with several pages up to four are, by hash. Null ids
+    and htmls are not drawn, and without any page the made-up ones alone are used. A drawn page with exactly one article element is labelled by it; the made-up ones take their sentences from the
     drawn pages' text, so that words say nothing about a region.
     """
-    ids = [r["page_id"] for r in pages.select("page_id").filter("page_id is not null").distinct().orderBy(F.xxhash64("page_id"), "page_id").limit(sample).collect()]
-    htmls = sorted({r["html"] for r in pages.filter(F.col("page_id").isin(ids)).filter("html is not null").select(F.substring("html", 1, 200_000).alias("html")).distinct().limit(4 * sample).collect()}) if ids else []
+    fitting = pages.filter("page_id is not null and html is not null").filter(F.length("html") <= longest).select("page_id", "html")
+    ids = [r["page_id"] for r in fitting.select("page_id").distinct().orderBy(F.xxhash64("page_id"), "page_id").limit(sample).collect()]
+    drawn = fitting.filter(F.col("page_id").isin(ids)).select("html").distinct().orderBy(F.xxhash64("html"), "html").limit(4 * sample)
+    htmls = sorted(r["html"] for r in drawn.collect()) if ids else []
     labelled = [h for h in map(label_by_article, htmls) if h]
     texts = [b for h in htmls for b in Page(h).blocks]
     rng = random.Random(seed)
