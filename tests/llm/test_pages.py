@@ -75,6 +75,66 @@ def test_main_text_cases(spark, pages):
     assert html.main_text(pages.limit(0)).collect() == []
 
 
+A, B, C = ("The harbour was quiet when the first boats came back, and few people had come to see them.",
+           "Nobody in the village could say, later, who had lit the lamp above the gate; it had simply been on.",
+           "By noon the market was full. Bread, fish and cheap cloth lay on every table, and the rain held off.")
+X, Y, Z = "I liked this a lot, thank you.", "Read more about our plans here.", "We may store data on your device."
+#: Page layouts that no generator made: what is to stay is in capital letters' places, the rest goes.
+FOREIGN = {
+    "blog": f"""<body class="single"><div id="page"><header id="masthead"><div class="site-branding"><p class="site-title">My Blog</p></div></header>
+        <div id="content"><div id="primary"><main id="main"><article id="post-1"><header class="entry-header"><h1>Old boats</h1></header><div class="entry-content"><p>{A}</p><p>{B}</p></div></article>
+        <div id="comments"><h2>2 thoughts</h2><ol class="comment-list"><li><article class="comment-body"><div><div><p>{X}</p></div></div></article></li></ol></div></main></div></div>
+        <aside id="secondary"><section class="widget"><div><ul><li><a href=/a>Older post</a></li></ul></div></section></aside><footer id="colophon"><div><div>{Y}</div></div></footer></div></body>""",
+    "news": f"""<body><div class="skip"><a href=#m>Skip</a></div><div class="topbar"><div><ul><li><a href=/1>World</a></li><li><a href=/2>Sport</a></li></ul></div></div>
+        <div class="layout"><div class="story"><h1>Old boats</h1><div><p>{A}</p><div class="ad-slot"><div><div>{Y}</div></div></div><p>{B}</p></div><p>{C}</p></div><div class="related"><h3>Related</h3><div><p>{Y}</p></div></div></div>
+        <section class="newsletter"><div><p>{Z}</p><form><input></form></div></section><footer><p>{Y}</p></footer></body>""",
+    "docs": f"""<body><nav class="toc"><div><div><a href=#a>Part one</a> <a href=#b>Part two</a></div></div></nav><main><section><h1>Old boats</h1><section><h2>Harbour</h2><p>{A}</p></section>
+        <section><div><p>{B}</p><pre>lamp --on</pre></div></section></section></main><div class="feedback"><div><span>{X}</span></div></div><footer><div><ul><li>{Y}</li></ul></div></footer></body>""",
+    "forum": f"""<body><div role="banner"><div><p>{Y}</p></div></div><div role="main"><div class="post"><div><div><p>{A}</p><p>{C}</p></div></div></div><div class="replies"><div class="reply"><div><p>{X}</p></div></div>
+        <div class="reply"><div><p>{X}</p></div></div></div></div><div role="contentinfo"><div><div><p>{Z}</p></div></div></div></body>""",
+    "table": f"""<body><table><tr><td class="menu"><div><a href=/1>One</a><br><a href=/2>Two</a></div></td><td class="maintext"><h1>Old boats</h1><p>{A}<p>{B}<p>{C}</td><td class="sidebar"><div><p>{Y}</p></div></td></tr></table>
+        <div class="cookie-consent"><div><div><p>{Z}</p><button>OK</button></div></div></div></body>""",
+    "plain": f"<body><h1>Old boats</h1><p>{A}</p><p>{B}</p><p>{C}</p><footer><div>{Y}</div></footer></body>",
+    "app": f"""<body><div id="root"><div class="modal overlay"><div><p>{Z}</p></div></div><div class="app"><nav><div><ul><li><a href=/x>Home</a></li></ul></div></nav><article><div><div><div><h1>Old boats</h1>
+        <div><p>{A}</p></div><div><p>{C}</p></div></div></div></div><div class="share-buttons"><div><a href=/f>Post it</a></div></div></article><div class="recommended"><div><div><p>{Y}</p></div></div></div></div></div></body>""",
+}
+
+
+def test_layouts_that_the_generator_did_not_make(spark, pages):
+    """Precision and recall of blocks over hand-written layouts, fitted on given pages and on next to none."""
+    from maskwright.llm.common import read
+    from tests.conftest import SMALL
+
+    keep = {"Old boats", "Harbour", "lamp --on", A, B, C}
+    for model in (html.train(read(spark, SMALL, "pages")), html.train(pages)):
+        right = kept = wanted = 0
+        for name, page in FOREIGN.items():
+            blocks = html.Page(page).blocks
+            out = html.extract([page], model)[0]
+            found = [b for b in blocks if b in out]
+            right += sum(b in keep for b in found)
+            kept += len(found)
+            wanted += sum(b in keep for b in blocks)
+        print("precision", right / kept, "recall", right / wanted)
+        assert right / kept >= 0.9 and right / wanted >= 0.95, name
+
+
+@pytest.mark.parametrize("region", ['section class="comments"', 'div class="comments"', "aside", "footer", "nav", 'div class="cookie-notice"'])
+def test_bare_elements_inside_a_region_are_of_it(spark, region):
+    from maskwright.llm.common import read
+    from tests.conftest import SMALL
+
+    given = read(spark, SMALL, "pages")
+    model = html.train(given)
+    htmls = [r["html"] for r in given.collect() if r["html"] and r["html"].count("</article>") == 1]
+    end = region.split(" ")[0]
+    for depth in (1, 2, 3):
+        planted = f"</article><{region}>{'<div>' * depth}<p>Qzx liked this, thanks.</p>{'</div>' * depth}</{end}>"
+        out = html.extract([h.replace("</article>", planted) for h in htmls], model)
+        assert len(out) > 20 and not any("Qzx" in t for t in out)
+        assert out == html.extract(htmls, model)
+
+
 def test_self_closed_icons_hide_nothing():
     text = lambda h: " ".join(html.Page(h).blocks)
     assert text('<p>One</p><svg class="i"/><p>two</p><svg><text>no</text></svg><p>three</p>').split() == ["One", "two", "three"]
