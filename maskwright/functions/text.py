@@ -118,17 +118,35 @@ def _foldings() -> tuple[dict[str, str], dict[str, str]]:
 ONE_TO_ONE, ONE_TO_MANY = _foldings()
 
 
+def _special() -> str:
+    """A character class of what lower case and a replaced sharp s do not fold; low letters are ruled out by one range test."""
+    folds = set(ONE_TO_ONE) | set(ONE_TO_MANY) - {"ß"}
+    codes = sorted({ord(c) for c in map(chr, range(0x20000)) if not 0xD800 <= ord(c) < 0xE000 and folds & {c, *c.lower()}})
+    runs: list[list[int]] = []
+    for code in codes:
+        if runs and code == runs[-1][1] + 1:
+            runs[-1][1] = code
+        else:
+            runs.append([code, code])
+    listed = lambda pairs: "".join(f"\\x{{{low:x}}}-\\x{{{high:x}}}" for low, high in pairs)
+    low = [r for r in runs if r[1] < 0x100]
+    return f"[{listed(low)}\\x{{100}}-\\x{{{codes[-1]:x}}}&&[{listed(runs)}]]"
+
+
+SPECIAL = _special()
+
+
 def signature(text: Column) -> Column:
     """Case-folded text, the key for duplicate detection.
 
-    Letters that fold to several are rare beyond the sharp s; only texts that hold one take
-    the longer way.
+    Letters that fold beyond lower case are rare, the sharp s aside; the raw text is searched for them once, and only
+    texts that hold one take the longer way.
     """
-    low = F.replace(F.translate(F.lower(text), "".join(ONE_TO_ONE), "".join(ONE_TO_ONE.values())), F.lit("ß"), F.lit("ss"))
-    full = low
+    plain = F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))
+    full = F.translate(plain, "".join(ONE_TO_ONE), "".join(ONE_TO_ONE.values()))
     for letter, letters in ONE_TO_MANY.items():
         full = F.replace(full, F.lit(letter), F.lit(letters))
-    return F.when(low.rlike("[" + "".join(ONE_TO_MANY) + "]"), full).otherwise(low)
+    return F.when(text.rlike(SPECIAL), full).otherwise(plain)
 
 
 def pair_text(left: Column, right: Column) -> Column:
