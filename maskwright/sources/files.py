@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from maskwright import schemas
 from maskwright.functions import labels as L
+from maskwright.sources.lines import strict_records
 
 
 def _label_fault() -> Column:
@@ -18,16 +19,13 @@ def _label_fault() -> Column:
 def read_records(spark: SparkSession, paths: str | Sequence[str], schema: str, strict: bool = True) -> DataFrame:
     """JSON lines with a fixed schema; blank lines are skipped.
 
-    Strict reading fails on a broken line and names its file. Otherwise broken lines
+    Strict reading fails on a broken line and names its file and number. Otherwise broken lines
     come back with the raw text in ``_corrupt`` and the file in ``_file``.
     """
+    if strict:
+        return strict_records(spark, paths, schema).drop("file", "line")
     reader = spark.read.schema(f"{schema}, _corrupt STRING").option("columnNameOfCorruptRecord", "_corrupt")
-    rows = reader.option("mode", "PERMISSIVE").json(paths).withColumn("_file", F.col("_metadata.file_path"))
-    if not strict:
-        return rows
-    # a filter, so that no choice of columns removes the check
-    broken = F.raise_error(F.concat(F.lit("invalid JSON in "), F.col("_file"), F.lit(": "), F.col("_corrupt"))).cast("boolean")
-    return rows.filter(F.when(F.col("_corrupt").isNotNull(), broken).otherwise(True)).drop("_corrupt", "_file")
+    return reader.option("mode", "PERMISSIVE").json(paths).withColumn("_file", F.col("_metadata.file_path"))
 
 
 def read_examples(spark: SparkSession, paths: str | Sequence[str], schema: str = schemas.EXAMPLE) -> DataFrame:

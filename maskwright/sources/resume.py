@@ -8,6 +8,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from maskwright.sources.publish import publish
+
 
 def _read_or_none(spark: SparkSession, path: str) -> DataFrame | None:
     try:
@@ -25,11 +27,10 @@ def is_complete(spark: SparkSession, path: str, expected: int) -> bool:
 
 
 def write_once(rows: DataFrame, path: str, expected: int) -> bool:
-    """Write unless a complete output exists. A job that dies half way commits nothing."""
+    """Write unless a complete output exists. A job that dies half way leaves an older output whole (``publish``)."""
     if is_complete(rows.sparkSession, path, expected):
         return False
-    rows.write.mode("overwrite").parquet(path)
-    return True
+    return publish(rows, path, expected, force=True)
 
 
 def pending(inputs: DataFrame, done: DataFrame, key: str = "id") -> DataFrame:

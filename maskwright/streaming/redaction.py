@@ -41,6 +41,29 @@ def dedupe_stream(docs: DataFrame, time: str, delay: str = "1 hour", key: str =
     return docs.withWatermark(time, delay).dropDuplicatesWithinWatermark([key])
 
 
+def write_batches(out: DataFrame, path: str, checkpoint: str):
+    """Run everything that is available into Parquet folders, one a micro-batch, and return the finished query.
+
+    A batch that is run again after a failure replaces its own folder, so the sink holds each row once.
+    """
+    def put(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{path}/batch={batch:09d}")
+
+    query = out.writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(put).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return query
+
+
+def read_batches(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of all batches that write_batches has put under path."""
+    return spark.read.option("basePath", path).parquet(f"{path}/batch=*").drop("batch")
+
+
+def late_rows(query) -> int:
+    """Rows that the watermark has dropped from the state operators of a finished query."""
+    return sum(int(s.get("numRowsDroppedByWatermark", 0)) for p in query.recentProgress for s in p["stateOperators"])
+
+
 def write_stream(out: DataFrame, path: str, checkpoint: str, kind: str = "parquet"):
     """Append to files, run everything that is available, and return the finished query."""
     query = out.writeStream.format(kind).outputMode("append").option("path", path).option(
