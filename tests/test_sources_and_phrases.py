@@ -3,12 +3,11 @@
 import json
 import random
 
-
 import pytest
 from pyspark.sql import functions as F
 
 from maskwright.operators import phrases
-from maskwright.sources import lines, publish
+from maskwright.sources import lines, publish, report_files, resume
 
 
 @pytest.fixture
@@ -102,3 +101,42 @@ def test_phrases_match_longest_from_the_left(spark):
         with pytest.raises(Exception, match="no words or too many"):
             phrases.label_by_phrases(tokens, spark.createDataFrame([(wrong,)], "term string")).collect()
 
+
+def test_interrupted_annotation_is_taken_up(spark, tmp_path):
+    path = str(tmp_path / "out")
+    inputs = spark.range(1000).select(F.format_string("k%04d", "id").alias("id"))
+    label = lambda df: df.withColumn("n", F.length("id"))
+    failing = lambda df: label(df.filter(F.when(F.col("id") == "k0555", F.raise_error(F.lit("killed")).cast("boolean")).otherwise(True)))
+    with pytest.raises(Exception, match="killed"):
+        resume.annotate_in_order(inputs.repartition(7), path, failing, per_unit=100, units_per_job=2)
+    files = lambda: {p.relative_to(tmp_path): p.stat().st_mtime_ns for p in tmp_path.rglob("*.parquet")}
+    first = files()
+    assert {p.parts[1] for p in first} == {"unit=0", "unit=1", "unit=2", "unit=3"}
+    assert resume.annotate_in_order(inputs, path, label, per_unit=100, units_per_job=4) == 6
+    assert first.items() <= files().items() and resume.annotate_in_order(inputs, path, label, per_unit=100) == 0
+    for unit in range(10):
+        assert [r["id"] for r in spark.read.parquet(f"{path}/unit={unit}").collect()] == [f"k{i:04d}" for i in range(100 * unit, 100 * unit + 100)]
+    with pytest.raises(ValueError, match="past the end"):
+        resume.annotate_in_order(inputs.filter("id < 'k0500'"), path, label, per_unit=100)
+
+
+def test_reports_of_any_depth(spark, tmp_path):
+    report = {"student": {"clean": {"f2": 1, "note": "x"}, "noisy": {"f2": 0.5}}, "rule_v9": {"noisy": {"f2": 0.25}}, "runs": [{"seed": 3, "a": {"b": {"c": [1.5, None, True]}}}, {}],
+              "absolute": {"drop": 0.1, "drop_ci95": [0.05, 0.2]}, "acceptance": {"gate": {"pass": True, "limit": 1}}, "none": None}
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "drug_seed42.json").write_text(json.dumps(report, indent=1))
+    leaves = report_files.report_leaves(spark, str(tmp_path / "in"))
+    got = {".".join(r["path"]): (r["number"], r["flag"], r["text"]) for r in leaves.collect()}
+    assert got["runs.0.a.b.c.0"] == (1.5, None, None) and got["runs.0.a.b.c.2"] == (None, True, None) and got["student.clean.note"] == (None, None, "x")
+    assert "none" not in got and "runs.0.a.b.c.1" not in got and {(r["dataset"], r["seed"]) for r in leaves.collect()} == {("drug", 42)}
+    assert {(r["system"], r["side"], r["value"]) for r in report_files.report_metrics(leaves).collect()} == {("student", "clean", 1.0), ("student", "noisy", 0.5), ("rule_v9", "noisy", 0.25)}
+    assert [tuple(r)[2:] for r in report_files.report_intervals(leaves).collect()] == [("absolute", "drop", 0.1, 0.05, 0.2)]
+    assert [tuple(r)[2:] for r in report_files.report_gates(leaves).collect()] == [("gate", True)]
+    with pytest.raises(Exception, match="deeper than 4"):
+        report_files.report_leaves(spark, str(tmp_path / "in"), depth=4).collect()
+    for name, text, fault in (("x_seed1.json", "{broken", "no JSON"), ("other.json", "{}", "name of a report")):
+        folder = tmp_path / name.split(".")[0]
+        folder.mkdir()
+        (folder / name).write_text(text)
+        with pytest.raises(Exception, match=fault):
+            report_files.report_leaves(spark, str(folder)).collect()

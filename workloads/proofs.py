@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from maskwright.functions import labels as L
@@ -17,8 +19,9 @@ from maskwright.operators import rules as R
 from maskwright.operators import sampling as S
 from maskwright.operators import student as ST
 from maskwright.operators import temporal as TM
-from maskwright.session import with_once
+from maskwright.session import checkpoint_folder, with_once
 from maskwright.sources import files, resume
+from maskwright.sources import report_files as RF
 from maskwright.sources import tables as T
 from workloads import robustness as WR
 from workloads import sqlparts as Q
@@ -233,3 +236,36 @@ def leakage_examples(spark, folder):
     got = LK.leakage_examples(texts, answers)
     return got.select("id", *[c(f"{name}_{what}").cast(kind).alias(f"{name}_{what}") for name in ("original", "teacher", "student")
                               for what, kind in (("text", "string"), ("prediction", "bigint"))])
+
+
+def _reports(spark, folder):
+    """A JSON file per dataset and seed, written from the runs: two systems, an interval and a gate."""
+    path = f"{checkpoint_folder(spark)}/reports-{uuid.uuid4().hex}"
+    one = runs(spark, folder).filter("model in ('view', 'click')")
+    fields = ("precision", "recall", "f2")
+    side = lambda model, mode: F.max(F.when((c("model") == model) & (c("mode") == mode), F.struct(*fields)))
+    system = lambda model: F.struct(*[side(model, mode).alias(name) for name, mode in _SIDES])
+    recall = F.max(F.when((c("model") == "view") & (c("mode") == "budget_matched"), c("recall")))
+    nested = one.groupBy("dataset", "seed").agg(system("view").alias("student"), system("click").alias("rule_v1_4"), recall.alias("r"))
+    about = F.struct(c("r").alias("recall"), F.array(c("r") - 0.125, c("r") + 0.125).alias("recall_ci95"))
+    text = F.to_json(F.struct("student", "rule_v1_4", about.alias("absolute"), F.struct(F.struct((c("r") >= 0.5).alias("pass"), F.lit(0.5).alias("limit")).alias("recall_gate")).alias("acceptance")))
+    nested.select("dataset", "seed", text.alias("value")).write.partitionBy("dataset", "seed").text(path)
+    return RF.report_leaves(spark, f"{path}/dataset=*/seed=*/*.txt", r"dataset=([^/]+)/seed=(\d+)/")
+
+
+_REPORTS = f"{_RUNS}, one as (select * from runs where model in ('view', 'click')), r as (select dataset, seed, recall from one where model = 'view' and mode = 'budget_matched')"
+
+
+@query(f"with {_REPORTS} " + " union all ".join(
+    f"select dataset, seed, case model when 'view' then 'student' else 'rule_v1_4' end as system, '{side}' as side, '{metric}' as metric, round({metric}, 9) as value from one where mode = '{mode}'"
+    for side, mode in _SIDES for metric in ("precision", "recall", "f2")))
+def report_file_metrics(spark, folder):
+    return RF.report_metrics(_reports(spark, folder)).withColumn("value", F.round("value", 9))
+
+
+@query(f"""with {_REPORTS} select r.dataset, r.seed, 'absolute' as section, 'recall' as name, round(recall, 9) as value, round(recall - 0.125, 9) as low, round(recall + 0.125, 9) as high,
+    recall >= 0.5 as passed from r""")
+def report_file_intervals(spark, folder):
+    leaves = _reports(spark, folder)
+    rows = RF.report_intervals(leaves).join(RF.report_gates(leaves).drop("gate"), ["dataset", "seed"])
+    return rows.select("dataset", "seed", "section", "name", *rounded("value", "low", "high"), "passed")

@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 
 from maskwright.functions import text as X
 from maskwright.operators import phrases as PH
+from maskwright.operators import rules as R
 from maskwright.session import checkpoint_folder
 from maskwright.sources import lines as LI
 from maskwright.sources import publish as PU
+from maskwright.sources import resume as RE
 from maskwright.sources import tables as T
 from maskwright.streaming import redaction as SR
 from workloads import sqlparts as Q
@@ -116,3 +118,26 @@ def phrase_labels(spark, folder):
     return rows.filter(F.size("words") > 0).select(
         "id", F.size("words").cast("bigint").alias("words"), F.size("spans").cast("bigint").alias("spans"), F.expr("aggregate(labels, 0L, (a, x) -> a + x)").alias("masked"),
         sums("cast(s.start + 1 as bigint) * (s.stop - s.start)").alias("position_check"))
+
+
+@query(f"""with tok as ({Q.tokens(Q.NOTES)}), lab as ({Q.labelled(Q.NOTES, tok='tok')}), r as (select id, row_number() over (order by id) - 1 as i from ({Q.NOTES}))
+    select r.id, i // greatest(1, (select count(*) from r) // 7) as unit, sum(label)::bigint as masked from lab join r using (id) group by all""")
+def resumed_annotation(spark, folder):
+    """Notes annotated in units of key order, by a run that is stopped in its second job and one that takes up the rest."""
+    path = _folder(spark, "annotated")
+    notes = T.order_notes(spark, folder).select("id", "text")
+    per_unit = max(1, notes.count() // 7)
+    last = notes.agg(F.max("id")).first()[0]
+    label = lambda df: df.select("id", F.expr("cast(aggregate(labels, 0, (a, x) -> a + x) as bigint)").alias("masked")) if "labels" in df.columns else label(df.withColumn("labels", R.rule_labels("text")))
+    stopped = lambda df: label(df.filter(F.when(c("id") == last, F.raise_error(F.lit("stopped on purpose")).cast("boolean")).otherwise(True)))
+    try:
+        RE.annotate_in_order(notes, path, stopped, "id", per_unit, 3)
+    except Exception as error:
+        if "stopped on purpose" not in str(error):
+            raise
+    kept = spark.read.parquet(path).select("unit").distinct().count()
+    written = RE.annotate_in_order(notes, path, label, "id", per_unit, 3)
+    total = spark.read.parquet(path).select("unit").distinct().count()
+    if not 0 < kept == total - written:
+        raise ValueError(f"{kept} units kept, {written} written, {total} in all")
+    return spark.read.parquet(path).select("id", c("unit").cast("bigint").alias("unit"), "masked")
