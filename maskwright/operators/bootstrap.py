@@ -85,8 +85,9 @@ def bootstrap_sums(totals: DataFrame, names: Sequence[str], repeats: int, seed:
 
         def emit() -> Iterator[pa.RecordBatch]:
             for key, sums in held.items():
-                at = [pa.array([k] * len(sums), arrow[i]) for i, k in enumerate(key)]
-                yield pa.record_batch([*at, pa.array(np.arange(-1, repeats, dtype=np.int32)), *[pa.array(np.ascontiguousarray(sums[:, i])) for i in range(len(names))]],
+                some = np.flatnonzero(sums[:, -1])  # a repeat that draws none of the group's clusters has no row
+                at = [pa.array([k] * len(some), arrow[i]) for i, k in enumerate(key)]
+                yield pa.record_batch([*at, pa.array((some - 1).astype(np.int32)), *[pa.array(sums[some, i]) for i in range(len(names))]],
                                       names=[*by, "repeat", *names])
             held.clear()
 
@@ -96,7 +97,8 @@ def bootstrap_sums(totals: DataFrame, names: Sequence[str], repeats: int, seed:
             groups: dict[tuple, list[int]] = {}
             for i, key in enumerate(zip(*(batch.column(k).to_pylist() for k in range(keys)), strict=True) if keys else [()] * batch.num_rows):
                 groups.setdefault(key, []).append(i)
-            values = np.stack([batch.column(keys + 1 + i).cast(pa.float64()).fill_null(0).to_numpy(zero_copy_only=False) for i in range(len(names))], axis=1)
+            values = np.stack([batch.column(keys + 1 + i).cast(pa.float64()).fill_null(0).to_numpy(zero_copy_only=False) for i in range(len(names))]
+                              + [np.ones(batch.num_rows)], axis=1)
             clusters = batch.column(keys).to_pylist()
             for start in range(0, batch.num_rows, CLUSTERS):
                 stop = min(start + CLUSTERS, batch.num_rows)
@@ -104,7 +106,7 @@ def bootstrap_sums(totals: DataFrame, names: Sequence[str], repeats: int, seed:
                 for key, members in groups.items():
                     at = np.array(members)[np.searchsorted(members, start):np.searchsorted(members, stop)]
                     if len(at):
-                        sums = held.setdefault(key, np.zeros((repeats + 1, len(names))))
+                        sums = held.setdefault(key, np.zeros((repeats + 1, len(names) + 1)))
                         sums[0] += values[at].sum(axis=0)
                         sums[1:] += weights[at - start].T.astype(np.float64) @ values[at]
                 if len(held) > GROUPS:
