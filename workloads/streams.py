@@ -9,12 +9,14 @@ from pyspark.sql import functions as F
 from maskwright.functions import text as X
 from maskwright.operators import phrases as PH
 from maskwright.operators import rules as R
+from maskwright.plans import jobs as J
 from maskwright.session import checkpoint_folder
 from maskwright.sources import lines as LI
 from maskwright.sources import publish as PU
 from maskwright.sources import resume as RE
 from maskwright.sources import tables as T
 from maskwright.streaming import redaction as SR
+from workloads import metrics as WM
 from workloads import sqlparts as Q
 from workloads.registry import query
 
@@ -141,3 +143,22 @@ def resumed_annotation(spark, folder):
     if not 0 < kept == total - written:
         raise ValueError(f"{kept} units kept, {written} written, {total} in all")
     return spark.read.parquet(path).select("id", c("unit").cast("bigint").alias("unit"), "masked")
+
+
+_TASKS = ("d0", "d1", "d2", "d3")
+
+
+@query(f"""with s as ({Q.SCORED}), th as (select unnest([{', '.join(f'{t!r}e0' for t in Q.THRESHOLDS)}]) as threshold),
+    d as (select dataset, split, threshold, {Q.confusion('gold', 'cast(score >= threshold as int)')} from s, th where dataset in {_TASKS} group by all),
+    v as (select h.t as heldout, threshold, sum(tp) as tp, sum(fp) as fp, sum(fn) as fn, sum(tn) as tn from d join (select unnest({list(_TASKS)}) as t) h on h.t <> d.dataset where split = 'validation' group by all),
+    w as (select *, coalesce(2.0 * tp / nullif(2 * tp + fp + fn, 0), 0)::double as f1x, coalesce(5.0 * tp / nullif(5 * tp + 4 * fn + fp, 0), 0)::double as f2x,
+          -abs((tp + fp)::double / (tp + fp + fn + tn) - (tp + fn)::double / (tp + fp + fn + tn)) as bx from v),
+    l as (select heldout, threshold, 'f1_optimized' as mode, f1x as goal from w union all select heldout, threshold, 'f2_optimized', f2x from w union all select heldout, threshold, 'budget_matched', bx from w),
+    p as (select heldout, mode, threshold from (select *, row_number() over (partition by heldout, mode order by goal desc, threshold) as r from l) where r = 1),
+    t as (select p.heldout, p.mode, p.threshold, tp, fp, fn, tn from p join d on d.dataset = p.heldout and d.threshold = p.threshold where d.split = 'test')
+    select heldout, mode, threshold, {Q.scores()}, round((tp + tn)::double / (tp + fp + fn + tn), 9) as accuracy from t""")
+def lodo_evaluation(spark, folder):
+    """The whole leave-one-domain-out job, with a scorer that hands on the events' scores."""
+    rows = T.scored_tokens(spark, folder).withColumn("id", F.lit("e"))
+    got = J.evaluate_lodo(rows, _TASKS, lambda train: lambda part: part.select("id", "gold", "score"), "dataset")
+    return got.select("heldout", "mode", "threshold", "tokens", *WM.rounded(*WM.SCORES, "accuracy"))
