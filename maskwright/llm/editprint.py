@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+from array import array
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -13,10 +15,16 @@ from pyspark.sql import functions as F
 
 from maskwright.llm.common import slices
 
-#: Characters a walk covers before the next one starts; it writes two symbols per character.
-SEGMENT = 4096
-STEPS = 2 * SEGMENT
+#: Steps after which the table of moves comes round again.
+PERIOD = 1 << 14
 SLOTS = 128
+#: Walks over a text, each with its share of the slots: one that does not fall in step again after an edit costs its share only.
+WALKS = 4
+#: Characters of each text walked between two looks at the sampled places.
+BLOCK = 1024
+#: A symbol holds a walk for stretches of 2 ** k steps, 1 in 2 ** k of its stretches for each of these k: while the walk ahead is
+#: held, the one behind may come up, and from there on they are one.
+HOLDS = range(2, 9)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -28,92 +36,153 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 
 def _moves() -> np.ndarray:
-    """Whether the walk moves on at each step under each symbol; under 0, the end of a segment, it stays."""
-    bits = (_mixed(np.arange(STEPS * 256, dtype=np.uint64) + np.uint64(1)) >> np.uint64(40)) & np.uint64(1)
-    moves = bits.astype(np.uint8).reshape(STEPS, 256)
-    moves[:, 0] = 0
+    """[symbol, step of the period]: whether a walk moves on to the next character."""
+    bits = _mixed(np.arange(PERIOD * 256, dtype=np.uint64) + np.uint64(1)) >> np.uint64(40)
+    moves = (bits & np.uint64(1)).astype(bool).reshape(256, PERIOD)
+    for k in HOLDS:
+        held = _mixed(np.arange(256 * PERIOD >> k, dtype=np.uint64) + np.uint64((k << 40) + 1)) >> np.uint64(40)
+        moves &= ~np.repeat((held % np.uint64(1 << k) == 0).reshape(256, PERIOD >> k), 1 << k, axis=1)
     return moves
 
 
+def _stays() -> np.ndarray:
+    """[symbol, step of the period]: the steps a walk spends on a symbol that it comes to at that step."""
+    moves = _moves()
+    stays = np.ones((256, PERIOD), np.uint16)
+    for _ in range(2):  # the second round carries waits over the end of the period
+        for step in range(PERIOD - 1, -1, -1):
+            stays[:, step] = np.where(moves[:, step], 1, stays[:, (step + 1) % PERIOD] + 1)
+    return stays
+
+
 def _positions(longest: int = 1 << 42) -> np.ndarray:
-    """Per slot, ascending: the sampled place of an output of N symbols is the last entry up to N.
+    """Per slot, ascending: the sampled place of an output of N symbols is the last entry below N.
 
     Each place is as likely as any other, and outputs of lengths N < M share a slot's place with
     probability N / M: entries are the record positions of independent draws.
     """
     rows = []
     for slot in range(SLOTS):
-        at, row, turn = 1, [1], 0
+        at, row, turn = 1, [0], 0
         while at < longest:
             turn += 1
             u = (int(_mixed(np.array([slot * 1000 + turn + 77_000_001], np.uint64))[0] >> np.uint64(11)) + 0.5) / (1 << 53)
             at = int(at / u) + 1
-            row.append(at)
+            row.append(at - 1)
         rows.append(row)
     wide = max(map(len, rows))
     return np.array([r + [1 << 62] * (wide - len(r)) for r in rows], np.int64)
 
 
-_tables: dict[str, np.ndarray] = {}
+_tables: dict[str, object] = {}
 
 
-def _table(name: str, make) -> np.ndarray:
+def _table(name: str, make):
     if name not in _tables:
         _tables[name] = make()
     return _tables[name]
 
 
 def _symbols(text: str) -> np.ndarray:
-    """1 to 255 for each code point."""
+    """0 to 255 for each code point."""
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
-    return ((codes * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)) % np.uint64(255)).astype(np.uint8) + np.uint8(1)
+    return (codes * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype(np.uint8)
+
 
+class Walks(NamedTuple):
+    """Where the walks over each text stand: steps made [text, walk], and the last sampled place passed and its symbol [text, slot]."""
 
-def _walk(flat: np.ndarray, starts: np.ndarray, steps: np.ndarray) -> np.ndarray:
-    """Symbols that walks from `starts` write: [step, walk]. steps must not rise."""
-    moves = _table("moves", _moves)
-    out = np.zeros((int(steps[0]), len(starts)), np.uint8)
-    at = starts.copy()
-    ends = np.searchsorted(-steps, -np.arange(int(steps[0])), "left")  # walks with more steps than j
-    for j, n in enumerate(ends.tolist()):
-        symbol = flat[at[:n]]
-        out[j, :n] = symbol
-        at[:n] += moves[j][symbol]
-    return out
+    steps: np.ndarray
+    places: np.ndarray
+    symbols: np.ndarray
 
+    @staticmethod
+    def begin(texts: int) -> Walks:
+        return Walks(np.zeros((texts, WALKS), np.int64), np.full((texts, SLOTS), -1, np.int64), np.zeros((texts, SLOTS), np.uint8))
 
-def embed(texts: list[str], walks: int = 2048) -> np.ndarray:
-    """Fingerprints, one row of SLOTS bytes per text; zeros for the empty text.
+    def prints(self) -> np.ndarray:
+        """SLOTS bytes a text, each hashed from slot, place and the symbol there; zeros if nothing was walked."""
+        slot = np.arange(SLOTS, dtype=np.uint64)
+        mixed = _mixed((self.places.astype(np.uint64) * np.uint64(SLOTS) + slot) * np.uint64(256) + self.symbols.astype(np.uint64))
+        return np.where(self.places < 0, np.uint8(0), (mixed >> np.uint64(33)).astype(np.uint8))
 
-    Walks over all segments of the texts go in step; every slot samples one place of the whole output.
+
+def _ends(symbols: np.ndarray, lengths: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """[character, text, walk]: the step at which each walk leaves each character of a block.
+
+    symbols is [character, text], texts from the longest to the shortest; at the steps before, changed to those after.
+    """
+    stays = _table("stays", _stays)
+    ends = np.full((len(symbols), *at.shape), 1 << 62, np.int64)
+    if len(lengths) > 6:
+        flat, rows = stays.reshape(-1), symbols.astype(np.int64) * PERIOD
+        for i, n in enumerate(np.searchsorted(-lengths, -np.arange(1, len(symbols) + 1), "right").tolist()):
+            walks = at[:n]
+            walks += flat[(walks & (PERIOD - 1)) + rows[i, :n, None]]
+            ends[i, :n] = walks
+    else:  # few texts: a plain loop is faster than short arrays
+        bytes_of = _table("rows", lambda: [array("H", row.tobytes()) for row in stays])
+        for t, n in enumerate(lengths.tolist()):
+            rows = [bytes_of[s] for s in symbols[:n, t].tolist()]
+            for w in range(WALKS):
+                j = int(at[t, w])
+                ends[:n, t, w] = [j := j + row[j & (PERIOD - 1)] for row in rows]
+                at[t, w] = j
+    return ends
+
+
+def walk_on(texts: list[str], start: Walks) -> Walks:
+    """The walks carried on from `start` over the whole of one more piece of each text.
+
+    At each step a walk writes the symbol it stands on, and a bit hashed from step and symbol says whether it
+    moves on: after an edit, two walks that meet again at one step and character write the same from there on.
+    Walks over all texts go in step, block by block; what they write is looked at where a slot samples it.
     """
-    n = np.array([len(t) for t in texts], np.int64)
-    places = _table("positions", _positions)
-    which = (places[None] <= 2 * n[:, None, None]).sum(2) - 1
-    place = np.where(n[:, None] > 0, places[np.arange(SLOTS)[None], np.maximum(which, 0)], 0) - 1
-    doc, slot = np.nonzero(place >= 0)
-    segment, step = np.divmod(place[doc, slot], STEPS)
-    needed, inverse = np.unique(doc * (1 << 40) + segment, return_inverse=True)
-    steps = np.zeros(len(needed), np.int64)
-    np.maximum.at(steps, inverse, step + 1)
-    order = np.argsort(-steps, kind="stable")
-    rank = np.empty(len(order), np.int64)
-    rank[order] = np.arange(len(order))
-    symbol = np.zeros(len(doc), np.uint8)
-    for low in range(0, len(order), walks):
-        chosen = order[low:low + walks]
-        owners, parts = needed[chosen] >> 40, needed[chosen] & ((1 << 40) - 1)
-        rows = []
-        for d, s in zip(owners.tolist(), parts.tolist(), strict=True):
-            rows += [_symbols(texts[d][s * SEGMENT:(s + 1) * SEGMENT]), np.zeros(1, np.uint8)]
-        starts = np.concatenate([[0], np.cumsum([len(a) + 1 for a in rows[::2]])[:-1]]).astype(np.int64)
-        out = _walk(np.concatenate(rows), starts, steps[chosen])
-        mine = np.flatnonzero((rank[inverse] >= low) & (rank[inverse] < low + walks))
-        symbol[mine] = out[step[mine], rank[inverse[mine]] - low]
-    prints = np.zeros((len(texts), SLOTS), np.uint8)
-    mixed = _mixed(place[doc, slot].astype(np.uint64) * np.uint64(256 * SLOTS) + slot.astype(np.uint64) * np.uint64(256) + symbol.astype(np.uint64))
-    prints[doc, slot] = (mixed >> np.uint64(33)).astype(np.uint8)
-    return prints
+    positions, phase = _table("positions", _positions), np.arange(WALKS) * PERIOD // WALKS  # each walk reads the moves from its own place
+    walk_of = np.arange(SLOTS) * WALKS // SLOTS
+    order = np.argsort([-len(t) for t in texts], kind="stable")
+    lengths = np.array([len(texts[i]) for i in order], np.int64)
+    symbols = [_symbols(texts[i]) for i in order]
+    steps, places, found = start.steps[order], start.places[order], start.symbols[order]
+    for low in range(0, int(lengths[0]) if len(texts) else 0, BLOCK):
+        n = int(np.searchsorted(-lengths, -low, "left"))
+        sizes = np.minimum(lengths[:n] - low, BLOCK)
+        block = np.zeros((int(sizes[0]), n), np.uint8)
+        for t in range(n):
+            block[:sizes[t], t] = symbols[t][low:low + BLOCK]
+        before, at = steps[:n].copy(), steps[:n] + phase
+        ends = _ends(block, sizes, at)
+        steps[:n] = at - phase
+        which = (positions[None] < steps[:n, walk_of, None]).sum(2) - 1
+        last = positions[np.arange(SLOTS)[None], which]
+        text, slot = np.nonzero(last >= before[:, walk_of])
+        place, walk = last[text, slot], walk_of[slot]
+        first, beyond = np.zeros(len(text), np.int64), sizes[text]
+        while (first < beyond).any():  # the first character that its walk leaves after the place
+            middle = np.minimum((first + beyond) // 2, sizes[text] - 1)
+            left = ends[middle, text, walk] <= place + phase[walk]
+            first, beyond = np.where(left & (first < beyond), middle + 1, first), np.where(left, beyond, np.minimum(middle, beyond))
+        places[text, slot], found[text, slot] = place, block[first, text]
+    back = np.argsort(order, kind="stable")
+    return Walks(steps[back], places[back], found[back])
+
+
+def parts_of(texts: list[str], most: int = 1 << 22) -> Iterator[tuple[int, int]]:
+    """Runs (from, to) of texts of about `most` characters, or of one longer text."""
+    at = 0
+    while at < len(texts):
+        end, size = at, 0
+        while end < len(texts) and (size == 0 or size + len(texts[end]) <= most):
+            size += len(texts[end])
+            end += 1
+        yield at, end
+        at = end
+
+
+def embed(texts: list[str]) -> np.ndarray:
+    """Fingerprints of whole texts, one row of SLOTS bytes per text; zeros for the empty text."""
+    none = np.zeros((0, SLOTS), np.uint8)
+    return np.concatenate([none, *(walk_on(texts[a:b], Walks.begin(b - a)).prints() for a, b in parts_of(texts))])
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -135,16 +204,8 @@ def fingerprints(documents: DataFrame, columns: tuple[str, ...] = ("doc_id",)) -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = 0
             texts = [t or "" for t in batch.column(batch.num_columns - 1).to_pylist()]
-            while at < len(texts):  # about 4 million characters at a time
-                end, size = at, 0
-                while end < len(texts) and (size == 0 or size + len(texts[end]) <= 1 << 22):
-                    size += len(texts[end])
-                    end += 1
-                part = batch.slice(at, end - at)
-                yield pa.record_batch([*part.columns[:-1], _binary(embed(texts[at:end]))], names=[*columns, "fp"])
-                at = end
+            yield pa.record_batch([*batch.columns[:-1], _binary(embed(texts))], names=[*columns, "fp"])
 
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in columns)
     return documents.select(*columns, "text").mapInArrow(run, f"{schema}, fp binary")
@@ -185,6 +246,7 @@ def edited_fingerprints(documents: DataFrame, share: int = 4, per_slice: int = 2
     of rows that share an id, the smallest text stands for it. Rows without an id come first, as one id. Null texts
     count as empty, whose fingerprint is all zeros; no rows give no rows. Texts move once, to slices of the id's
     order, and stream through their task from the largest id down, so that the next document is the one before.
+    The edited text's walks start where the document's own stand after the part that both share.
     """
     kind = dict(documents.dtypes)["doc_id"]
     texts = documents.select(
@@ -198,29 +260,25 @@ def edited_fingerprints(documents: DataFrame, share: int = 4, per_slice: int = 2
         follower = first
         for batch in batches:
             columns = [batch.column(i).to_pylist() for i in (0, 1, 2, 4)]
-            at = 0
-            while at < batch.num_rows:  # about 4 million characters at a time
-                end, size = at, 0
-                while end < batch.num_rows and (size == 0 or size + len(columns[3][end]) <= 1 << 22):
-                    size += len(columns[3][end])
-                    end += 1
-                own = columns[3][at:end]
-                prints = embed(own)
-                kept, edited, next_prints = [], [], []
-                for i, (part, ahead, key, text) in enumerate(zip(*(c[at:end] for c in columns), strict=True)):
+            for low, high in parts_of(columns[3]):
+                own = columns[3][low:high]
+                cuts = [len(t) - len(t) // share for t in own]
+                shared = walk_on([t[:cut] for t, cut in zip(own, cuts, strict=True)], Walks.begin(len(own)))
+                prints = walk_on([t[cut:] for t, cut in zip(own, cuts, strict=True)], shared).prints()
+                kept, ends, next_prints = [], [], []
+                for i, (part, ahead, key, text) in enumerate(zip(*(c[low:high] for c in columns), strict=True)):
                     if group != (part, ahead, key):
                         follower, first, group = first, (text, prints[i]), (part, ahead, key)
                     if not ahead:
                         kept.append(i)
-                        edited.append(text[:len(text) - len(text) // share] + follower[0][:len(text) // share])
+                        ends.append(follower[0][:len(text) - cuts[i]])
                         next_prints.append(follower[1])
                 if kept:
-                    after, mine = embed(edited), prints[kept]
+                    mine, after = prints[kept], walk_on(ends, Walks(*(state[kept] for state in shared))).prints()
+                    hashes = [hashlib.sha256((own[i][:cuts[i]] + end).encode("utf-8", "surrogatepass")).hexdigest() for i, end in zip(kept, ends, strict=True)]
                     yield pa.record_batch(
-                        [batch.column(3).slice(at, end - at).take(pa.array(kept)), pa.array([len(own[i]) for i in kept], pa.int64()),
-                         pa.array([hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in edited]), _binary(mine), _binary(after),
-                         pa.array(likeness(mine, after)), pa.array(likeness(mine, np.array(next_prints)))], names=names)
-                at = end
+                        [batch.column(3).slice(low, high - low).take(pa.array(kept)), pa.array([len(own[i]) for i in kept], pa.int64()), pa.array(hashes),
+                         _binary(mine), _binary(after), pa.array(likeness(mine, after)), pa.array(likeness(mine, np.array(next_prints)))], names=names)
 
     dealt = cut_by_key(texts, per_slice).select("slice", "ahead", "key", "doc_id", "text")
     ordered = dealt.repartition("slice").sortWithinPartitions("slice", F.desc("ahead"), F.desc("key"), "text")

@@ -296,34 +296,52 @@ def test_edit_fingerprints(edge, empty, edge_rows):
     assert all(len(v) == 1 for v in by_text.values())
 
 
-def plain_walk(text):
-    """The whole output of a text's walks, a symbol a step."""
-    moves, out = editprint._moves(), []
-    for low in range(0, len(text), editprint.SEGMENT):
-        symbols = [*editprint._symbols(text[low:low + editprint.SEGMENT]).tolist(), 0]
-        at = 0
-        for j in range(2 * (len(symbols) - 1)):
-            out.append(symbols[at])
-            at += int(moves[j, symbols[at]])
+def plain_walk(text, walk):
+    """The whole output of one walk over a text, a symbol a step."""
+    moves, symbols, out = editprint._moves(), editprint._symbols(text).tolist(), []
+    at = 0
+    while at < len(symbols):
+        step = len(out) + walk * editprint.PERIOD // editprint.WALKS
+        out.append(symbols[at])
+        at += int(moves[symbols[at], step % editprint.PERIOD])
     return out
 
 
-def test_embedding_equals_the_plain_walk():
+@pytest.mark.parametrize("copies", [1, 5])
+def test_embedding_equals_the_plain_walk(copies):
+    """Few texts take the plain loop, many the arrays; walks carried on give what walks over the whole give."""
     rng = random.Random(3)
-    texts = ["".join(rng.choice("abcdé 日") for _ in range(n)) for n in (0, 1, 7, 900, 4096, 9001)]
-    prints = editprint.embed(texts, walks=3)
+    texts = ["".join(rng.choice("abcdé 日") for _ in range(n)) for n in (0, 1, 7, 900, 1024, 3001)] * copies
+    prints = editprint.embed(texts)
+    head = editprint.walk_on([t[:len(t) // 3] for t in texts], editprint.Walks.begin(len(texts)))
+    assert (editprint.walk_on([t[len(t) // 3:] for t in texts], head).prints() == prints).all()
     places = editprint._positions()
-    for text, row in zip(texts, prints, strict=True):
-        out = plain_walk(text)
-        if not out:
+    for text, row in list(zip(texts, prints, strict=True))[:6]:
+        if not text:
             assert not row.any()
             continue
+        outs = [plain_walk(text, w) for w in range(editprint.WALKS)]
         for slot in range(0, editprint.SLOTS, 9):
-            place = max(p for p in places[slot].tolist() if p <= len(out)) - 1
-            mixed = editprint._mixed(np.array([place * 256 * editprint.SLOTS + slot * 256 + out[place]], np.uint64))[0]
+            out = outs[slot * editprint.WALKS // editprint.SLOTS]
+            place = max(p for p in places[slot].tolist() if p < len(out))
+            mixed = editprint._mixed(np.array([(place * editprint.SLOTS + slot) * 256 + out[place]], np.uint64))[0]
             assert row[slot] == int(mixed >> np.uint64(33)) & 255
 
 
+def test_long_texts_are_read_whole():
+    """Likeness outlives text put in front, and changes in any part of a long text reach the fingerprint."""
+    rng = random.Random(5)
+    signs = "abcdefghijklmnopqrstuvwxyz "
+    texts = ["".join(rng.choices(signs, k=60_000)) for _ in range(10)]
+    likeness = editprint.likeness(editprint.embed(texts), editprint.embed(["".join(rng.choices(signs, k=20)) + t for t in texts]))
+    assert likeness.mean() > 0.8 and likeness.min() > 0.5
+    text, a = texts[0], editprint.embed(texts[:1])[0]
+    changed = [text[:i] + text[i:i + 12_000][::-1] + text[i + 12_000:] for i in range(0, 60_000, 12_000)]
+    assert all((row != a).any() for row in editprint.embed(changed))
+    # every character is written by every walk: the steps of a walk end with the last character
+    assert (editprint.walk_on([text], editprint.Walks.begin(1)).steps >= len(text)).all()
+
+
 def test_edit_links_find_near_copies(spark):
     rng = random.Random(6)
     text = lambda: "".join(rng.choice("abcdefgh ") for _ in range(1500))
