@@ -74,23 +74,36 @@ levels as (
               / sum(w) over (order by most / w, source nulls last rows between current row and unbounded following) as level
     from weighted),
 targets as (select source, source_size, least(most, w * max(level) over ()) as target from levels),
-plans as (select *, case when source_size > 0 then target / source_size else 0.0 end as ratio from targets),
+ratios as (select *, case when source_size > 0 then target / source_size else 0.0 end as ratio from targets),
+plans as (
+    select *, floor(ratio) as whole, case when ratio > floor(ratio) then target - floor(ratio) * source_size else 0.0 end as due from ratios),
+classes as (
+    select s.source, length(bin(s.size)) - 1 as k, sum(s.size) as words, sqrt((1::bigint << (length(bin(s.size)) - 1))::double) as weight
+    from sized s where s.size > 0 group by all),
+class_levels as (
+    select c.*, p.due, (p.due - coalesce(sum(c.words) over (partition by c.source order by c.k desc rows between unbounded preceding and 1 preceding), 0))
+              / sum(c.weight * c.words) over (partition by c.source order by c.k desc rows between current row and unbounded following) as level
+    from classes c join plans p on c.source is not distinct from p.source),
+chances as (select *, least(1.0, max(level) over (partition by source) * weight) as p from class_levels),
+opened as (
+    select source, k, case when p >= 1 then 0.0 else p end as p, case when p >= 1 then 1 else 0 end as certain,
+           due - sum(case when p >= 1 then words else 0 end) over (partition by source) as due from chances),
 drawn as (
-    select d.doc_id, d.source, d.size, p.source_size, p.target, floor(p.ratio) as whole, p.ratio - floor(p.ratio) as p, d.u,
-           d.size > 0.005 * p.target as large
-    from sized d join plans p on d.source is not distinct from p.source),
+    select d.doc_id, d.source, d.size, p.source_size, p.target, floor(p.ratio) + coalesce(o.certain, 0) as whole, coalesce(o.p, 0.0) as p, d.u,
+           d.size > 0.005 * p.target as large, coalesce(o.p, 0.0) > 0 as open, coalesce(o.due, 0.0) as due
+    from sized d join plans p on d.source is not distinct from p.source
+    left join opened o on d.source is not distinct from o.source and d.size > 0 and length(bin(d.size)) - 1 = o.k),
 ranked as (
-    select *, case when p > 0 then u / (1 - u) / (p / (1 - p)) else 'inf'::double end as odds from drawn),
+    select *, case when open then u / (1 - u) / (p / (1 - p)) else 'inf'::double end as odds from drawn),
 summed as (
-    select *, coalesce(sum(size) over (partition by source, large order by odds, doc_id, size rows between unbounded preceding and 1 preceding), 0) as before,
+    select *, coalesce(sum(size) over (partition by source, large, open order by odds, doc_id, size rows between unbounded preceding and 1 preceding), 0) as before,
            sum(case when large then size * p else 0 end) over (partition by source) as large_due from ranked),
 first_step as (
-    select *, case when large and size > 0 and floor((large_due - before) / size + 0.5) >= 1 then 1 else 0 end as extra_large from summed),
+    select *, case when open and large and floor((large_due - before) / size + 0.5) >= 1 then 1 else 0 end as extra_large from summed),
 second_step as (
-    select *, (case when p > 0 then target - whole * source_size else 0 end)
-              - sum(extra_large * size) over (partition by source) as small_due from first_step)
+    select *, due - sum(extra_large * size) over (partition by source) as small_due from first_step)
 select doc_id, size, source_size, target,
-       cast((whole + case when large then extra_large when size > 0 and floor((small_due - before) / size + 0.5) >= 1 then 1 else 0 end) * size as bigint) as taken
+       cast((whole + case when not open then 0 when large then extra_large when floor((small_due - before) / size + 0.5) >= 1 then 1 else 0 end) * size as bigint) as taken
 from second_step
 """)
 def op6_pareto_mix(spark: SparkSession, folder: str) -> DataFrame:

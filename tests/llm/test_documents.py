@@ -127,6 +127,20 @@ def test_mix_meets_targets(spark):
     assert all(abs(taken[s] - target[s]) <= 0.01 * target[s] for s in target)
 
 
+def test_mix_inclusion_frequencies(spark):
+    """Documents of a class are each other's repeats: the share taken once more is the class's inclusion probability."""
+    rows = [(i, "w " * 2 ** (i % 6), "a" if i % 4 else "b") for i in range(12_000)]
+    hits, seen = Counter(), Counter()
+    for seed in (1, 2):
+        for r in mixing.choose(table(spark, rows).selectExpr("doc_id", "source", "cast(size(split(text, ' ')) - 1 as bigint) as size"), seed=seed).collect():
+            hits[r["source"], r["size"], r["__p"]] += r["__extra"]
+            seen[r["source"], r["size"], r["__p"]] += 1
+    chances = {key[2] for key in seen}
+    assert len(seen) == 9 and len([p for p in chances if 0 < p < 1]) >= 4
+    for (source, size, p), n in seen.items():
+        assert abs(hits[source, size, p] / n - p) < 4 * math.sqrt(p * (1 - p) / n) + 0.003, (source, size, p)
+
+
 def normal(text):
     return re.sub(r"[\x20\x09-\x0D]+", " ", text or "")
 
