@@ -132,3 +132,24 @@ def test_near_dedup_large_buckets(spark):
     for node, i in keys.items():
         mine[i] = node if i not in found else mine[i]
     assert len(set(zip(mine, label, strict=True))) == len(set(mine)) == len(set(label))
+
+
+def test_near_dedup_rest_of_a_bucket(spark):
+    """One bucket of a large group, a smaller one and texts of their own: tiles find the groups, the rest meets every tile."""
+    rng = random.Random(14)
+    words = [f"w{i}" for i in range(200)]
+    edits = [0] * 90 + [45] * 60  # few changed words, and so many that a text is near to few others
+    texts = [" ".join(w if k not in set(rng.sample(range(200), 1 + e // 8)) else f"x{rng.randrange(10**6)}" for k, w in enumerate(words)) for e in edits]
+    sets = [shingle_set(t) for t in texts]
+    label = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if share(sets[a], sets[b]) >= 0.8 and label[a] != label[b]:
+                label = [label[b] if x == label[a] else x for x in label]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    keys = {r["node"]: r["doc_id"] for r in docs.select("doc_id", overlap.text_key().alias("node")).collect()}
+    found = {keys[r["node"]]: r["component"] for r in connected(overlap.similar_links(docs, tile=10)).collect()}
+    mine = [found.get(i, node) for node, i in sorted(keys.items(), key=lambda x: x[1])]
+    assert len(set(zip(mine, label, strict=True))) == len(set(mine)) == len(set(label))
+    hashes = [overlap.shingles(t) for t in texts[:40]]
+    assert overlap.forest(hashes, 0.8, [0] * 40) == [] and len(overlap.forest(hashes, 0.8, [i % 2 for i in range(40)])) <= 1
