@@ -139,7 +139,10 @@ def test_near_dedup_rest_of_a_bucket(spark):
     rng = random.Random(14)
     words = [f"w{i}" for i in range(200)]
     edits = [0] * 90 + [45] * 60  # few changed words, and so many that a text is near to few others
-    texts = [" ".join(w if k not in set(rng.sample(range(200), 1 + e // 8)) else f"x{rng.randrange(10**6)}" for k, w in enumerate(words)) for e in edits]
+    texts = []
+    for e in edits:
+        changed = set(rng.sample(range(200), 1 + e // 8))
+        texts.append(" ".join(f"x{rng.randrange(10**6)}" if k in changed else w for k, w in enumerate(words)))
     sets = [shingle_set(t) for t in texts]
     label = list(range(len(texts)))
     for a in range(len(texts)):
