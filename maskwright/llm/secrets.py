@@ -13,8 +13,24 @@ from maskwright.session import with_once
 
 #: A run of key characters that has a digit, at least 12 long.
 RUN = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{12,}+={0,2}"
-#: Forms that are secrets wherever they stand, and forms that are not.
-KNOWN_SECRET = r"^(AKIA[0-9A-Z]{16}|ghp_[A-Za-z0-9]{36}|glpat-[A-Za-z0-9_-]{20}|xox[bap]-[A-Za-z0-9-]{10,}|AIza[A-Za-z0-9_-]{35}|sk_live_[A-Za-z0-9]{16,})$"
+#: Public forms of vendors' keys, which are secrets wherever they stand, and forms that are not.
+KNOWN_SECRET = "^(" + "|".join([
+    r"(?:AKIA|ASIA)[0-9A-Z]{16}",
+    r"gh[opsru]_[A-Za-z0-9]{36}",
+    r"github_pat_[A-Za-z0-9_]{22,}",
+    r"glpat-[A-Za-z0-9_-]{20}",
+    r"xox[abprs]-[A-Za-z0-9-]{10,}",
+    r"AIza[A-Za-z0-9_-]{35}",
+    r"ya29\.[A-Za-z0-9_-]{20,}",
+    r"[rs]k_live_[A-Za-z0-9]{16,}",
+    r"SG\.[A-Za-z0-9_-]{22}\.[A-Za-z0-9_-]{43}",
+    r"npm_[A-Za-z0-9]{36}",
+    r"pypi-[A-Za-z0-9_-]{50,}",
+    r"hf_[A-Za-z0-9]{34}",
+    r"dop_v1_[0-9a-f]{64}",
+    r"shpat_[0-9a-f]{32}",
+    r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{16,}",
+]) + ")$"
 KNOWN_HARMLESS = r"^([0-9+/_-]+|[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}|(.)\2+.{0,3}|.*(?i)(example|placeholder|changeme|xxxx|dummy).*)$"
 ASSIGNED = r"(?i)(pass(word|wd)?|pwd|secret|token|api[_-]?key|access[_-]?key|auth|credential|bearer)[a-z_]*[\"']?\s*(=|:|=>|is)\s*[\"']?$"
 NAMED_HARMLESS = r"(?i)(commit|sha1?|sha256|md5|checksum|digest|hash|uuid|guid|order|invoice|isbn|card|phone|rev(ision)?|etag)[a-z_]*[\"']?\s*(=|:|#|\s)\s*[\"']?$"
@@ -31,6 +47,8 @@ CLOSING, FIELD = r"[\"',;)\]}>]+$", r"^([^&;,]+)[&;,].*=.*$"
 
 CLASSES = "ULDS"
 PAIRS = [a + b for a in CLASSES for b in CLASSES]
+#: Features of the words before a candidate, by which rules label it.
+CUES = ["assigned", "named_harmless", "glued", "quoted", *(f"last_{i}" for i in range(8))]
 
 
 def _inner(whole: Column, at: Column, own: bool = False) -> Column:
@@ -56,11 +74,13 @@ def findings(documents: DataFrame, context: int = 60, path: str = "source") -> D
     """Candidates of each whole text: (doc_id, path, number, candidate, before, after), number from 1 in text order.
 
     Runs of key characters, known secret forms and values assigned to names of secrets; what stands inside a longer
-    candidate follows it.
+    candidate follows it, and what repeats inside one counts once. The whole text is searched once, and cut only where
+    something was found.
     """
     text = F.coalesce("text", F.lit(""))
-    cut = documents.select("doc_id", F.coalesce(F.col(path).cast("string"), F.lit("")).alias("path"), text.alias("text")).filter(F.col("text").rlike(CANDIDATE))
-    parts = with_once(cut, hits=F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0)), gaps=F.split("text", CANDIDATE, -1)).drop("text")
+    texts = documents.select("doc_id", F.coalesce(F.col(path).cast("string"), F.lit("")).alias("path"), text.alias("text"))
+    parts = with_once(texts, hits=F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0))).filter("size(hits) > 0")
+    parts = parts.withColumn("gaps", F.split("text", CANDIDATE, -1)).drop("text")
     each = parts.select("doc_id", "path", "gaps", "hits", F.posexplode(F.flatten(F.transform("hits", _candidates))).alias("place", "c"))
     each = each.select("doc_id", "path", (F.col("place") + 1).alias("number"), "c.candidate", "c.at", F.expr("gaps[c.i]").alias("gap"), F.expr("hits[c.i]").alias("hit"), F.expr("gaps[c.i + 1]").alias("next"))
     return each.select(
@@ -76,10 +96,10 @@ def grams(word: Column, n: int = 4) -> Column:
 
 
 def dictionary(documents: DataFrame, size: int = 2000) -> list[str]:
-    """The `size` commonest 4-letter runs at word starts over all texts: a bounded model of ordinary words."""
-    words = documents.select(F.explode(F.array_distinct(F.split(F.lower(F.coalesce("text", F.lit(""))), WHITE))).alias("word"))
-    starts = words.select(F.regexp_extract("word", r"^\p{L}{4}", 0).alias("gram")).filter("gram <> ''")
-    return [r["gram"] for r in starts.groupBy("gram").count().orderBy(F.desc("count"), "gram").limit(size).collect()]
+    """The `size` 4-letter runs that start words in most texts, over all texts: a bounded model of ordinary words."""
+    starts = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"(?<![^\x20\x09-\x0D])\p{L}{4}"), F.lit(0))
+    counted = documents.select(F.explode(F.array_distinct(starts)).alias("gram")).groupBy("gram").count()
+    return [r["gram"] for r in counted.orderBy(F.desc("count"), "gram").limit(size).collect()]
 
 
 def features(found: DataFrame, known: list[str]) -> tuple[DataFrame, list[str]]:
@@ -112,12 +132,24 @@ def features(found: DataFrame, known: list[str]) -> tuple[DataFrame, list[str]]:
 
 
 def label_findings(found: DataFrame) -> DataFrame:
-    """found with label 1 (known secret form, or assigned to a name of a secret), 0 (known harmless form or name), null (open)."""
+    """found with label 1 (known secret form, or assigned to a name of a secret), 0 (known harmless form or name), null (open).
+
+    by_context: the words before gave the label and not the candidate's own form.
+    """
     c, before = F.col("candidate"), F.col("before")
     prose = before.rlike("(?i)is\\s*$") & c.rlike(r"^\p{L}+[.,!?]*$")  # 'the secret is out'
-    secret = c.rlike(KNOWN_SECRET) | (before.rlike(ASSIGNED) & ~c.rlike(KNOWN_HARMLESS) & ~prose)
-    harmless = c.rlike(KNOWN_HARMLESS) | before.rlike(NAMED_HARMLESS)
-    return found.withColumn("label", F.when(secret, 1.0).when(harmless, 0.0))
+    form, plain = c.rlike(KNOWN_SECRET), c.rlike(KNOWN_HARMLESS)
+    label = F.when(form | (before.rlike(ASSIGNED) & ~plain & ~prose), 1.0).when(plain | before.rlike(NAMED_HARMLESS), 0.0)
+    return found.withColumns({"label": label, "by_context": label.isNotNull() & ~form & ~plain})
+
+
+def without_cues(labelled: DataFrame) -> DataFrame:
+    """labelled with the CUES of those rows blanked whose label comes from them: the forest learns such labels from all the rest.
+
+    So the words before a candidate are learned from findings whose form gives the label, and forms from those whose
+    neighbours give it.
+    """
+    return labelled.withColumns({c: F.when(F.col("by_context"), 0.0).otherwise(F.col(c)) for c in CUES})
 
 
 def train(labelled: DataFrame, names: list[str], trees: int = 24, depth: int = 8, sample: int = 40_000, seed: int = 3) -> RandomForestClassificationModel | None:
@@ -127,7 +159,7 @@ def train(labelled: DataFrame, names: list[str], trees: int = 24, depth: int = 8
     if len(sizes) < 2:
         return None
     share = min(1.0, sample / sum(sizes.values()))
-    drawn = known.filter(F.pmod(F.xxhash64("doc_id", "number", "candidate"), F.lit(1 << 20)) < share * (1 << 20))
+    drawn = known.filter(F.pmod(F.xxhash64("doc_id", "number", "sha256"), F.lit(1 << 20)) < share * (1 << 20))
     weight = F.lit(sum(sizes.values()) / 2.0) / F.when(F.col("label") == 1.0, F.lit(float(sizes[1.0]))).otherwise(F.lit(float(sizes[0.0])))
     rows = VectorAssembler(inputCols=names, outputCol="features").transform(drawn.withColumn("weight", weight)).select("features", "label", "weight")
     return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, weightCol="weight", maxMemoryInMB=128).fit(rows)
@@ -137,21 +169,22 @@ def scan(documents: DataFrame, labelled: DataFrame | None = None, dictionary_siz
     """Every candidate of every whole text with the forest's score.
 
     labelled: findings with doc_id, path, number, candidate, before, after, label, as findings() makes them; by default
-    those that known forms and assignments label (label_findings). Returns doc_id, number, n_chars, sha256 of the
-    candidate (never itself), masked (its first third, at most four characters), score, is_secret. Null texts have no candidates; null
+    those that known forms and the words before label (label_findings), the latter without_cues. Returns doc_id, number,
+    n_chars, sha256 of the candidate, masked (its first third, at most four characters), score, is_secret. A candidate
+    itself is neither returned nor written anywhere. Null texts have no candidates; null
     ids and paths pass through as they are and as empty; equal rows give equal findings. Without labels of both kinds
     the score is null and every candidate counts as a secret.
     """
     known = dictionary(documents, dictionary_size)
-    found, names = features(findings(documents), known)
-    found = stored(found)
-    taught = label_findings(found) if labelled is None else features(labelled, known)[0]
+    sha256 = F.sha2("candidate", 256).alias("sha256")
+    masked = F.concat(F.expr("left(candidate, least(4, cast(length(candidate) / 3 as int)))"), F.lit("...")).alias("masked")
+    found, names = features(label_findings(findings(documents)), known)
+    found = stored(found.select("doc_id", "number", F.length("candidate").cast("long").alias("n_chars"), sha256, masked, "label", "by_context", *names))
+    taught = without_cues(found) if labelled is None else features(labelled, known)[0].withColumn("sha256", sha256)
     model = train(taught, names)
     if model is None:
         scored = found.withColumn("score", F.lit(None).cast("double"))
     else:
         scored = model.transform(VectorAssembler(inputCols=names, outputCol="features").transform(found)).withColumn(
             "score", vector_to_array("probability")[1])
-    return scored.select(
-        "doc_id", "number", F.length("candidate").cast("long").alias("n_chars"), F.sha2("candidate", 256).alias("sha256"),
-        F.concat(F.expr("left(candidate, least(4, cast(length(candidate) / 3 as int)))"), F.lit("...")).alias("masked"), "score", F.coalesce(F.col("score") >= 0.5, F.lit(True)).alias("is_secret"))
+    return scored.select("doc_id", "number", "n_chars", "sha256", "masked", "score", F.coalesce(F.col("score") >= 0.5, F.lit(True)).alias("is_secret"))
