@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from maskwright.llm import exact, mixing, overlap, packing, toxicity
+from maskwright.llm import exact, mixing, packing, simhash, toxicity
 from maskwright.llm.common import read, stored
 
 #: Learned scores, hashed fingerprints and tokens have no SQL counterpart.
@@ -25,8 +25,8 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by five-word shingles that overlap by 0.8 or more (SimHash's 3 bits miss most of these)."""
-    return overlap.drop_similar(docs)
+    """One document of each group linked by overlaps of 0.8 or more: those that SimHash finds within 3 bits, checked, and those beyond its reach."""
+    return simhash.drop_near_copies(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

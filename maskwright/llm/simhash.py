@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from maskwright.llm.common import stored
 from maskwright.llm.components import connected
-from maskwright.llm.overlap import first_of_groups, text_key
+from maskwright.llm.overlap import first_of_groups, overlap, shingles, similar_links, text_key
 
 BITS = 64
 
@@ -298,3 +298,38 @@ def drop_near_duplicates(documents: DataFrame, distance: int = 3, words: int = 3
     texts = documents.select(text_key().alias("doc_id"), "text")
     named = near_duplicates(texts, distance, words).select(F.col("doc_id").alias("node"), F.col("component_id").alias("root"))
     return first_of_groups(documents, named.distinct())
+
+
+def checked_links(documents: DataFrame, distance: int = 3, words: int = 3, least: float = 0.8) -> DataFrame:
+    """Links (a, b) between text keys whose fingerprints are within `distance` bits and whose five-word shingles overlap by `least` or more.
+
+    Texts of one fingerprint meet its smallest text key, linked fingerprints meet by theirs; each pair is compared exactly.
+    """
+    texts = stored(documents.select(text_key().alias("node"), "text").dropDuplicates(["node"]))
+    prints = stored(fingerprints(texts.select(F.col("node").alias("doc_id"), "text"), words))
+    distinct = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    name = lambda side: distinct.select(F.col("fp").alias(side), F.col("first").alias(f"{side}_node"))
+    across = near_links(distinct, distance).join(name("a"), "a").join(name("b"), "b").select("a_node", "b_node")
+    within = prints.join(distinct, "fp").filter("doc_id <> first").select(F.col("first").alias("a_node"), F.col("doc_id").alias("b_node"))
+    text = lambda side: texts.select(F.col("node").alias(f"{side}_node"), F.col("text").alias(f"{side}_text"))
+    pairs = stored(across.unionByName(within)).join(text("a").hint("merge"), "a_node").join(text("b").hint("merge"), "b_node")
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b, one, two = (c.to_pylist() for c in batch.columns)
+            near = [i for i in range(len(a)) if overlap(shingles(one[i]), shingles(two[i])) >= least]
+            yield pa.record_batch([pa.array([side[i] for i in near], pa.binary()) for side in (a, b)], names=["a", "b"])
+
+    return pairs.select("a_node", "b_node", "a_text", "b_text").mapInArrow(check, "a binary, b binary")
+
+
+def drop_near_copies(documents: DataFrame, distance: int = 3, words: int = 3, least: float = 0.8) -> DataFrame:
+    """One document of each group linked by an overlap of `least` or more between their five-word shingles; the smallest doc_id stays.
+
+    SimHash gives the first links, each checked on the whole texts. An overlap of 0.8 moves most fingerprints by more than
+    3 bits; the links that those bits cannot reach are added, and groups are formed over both.
+    """
+    found = stored(checked_links(documents, distance, words, least).unionByName(similar_links(documents, least)))
+    nodes = documents.select(text_key().alias("node")).distinct()
+    groups = nodes.join(connected(found.distinct()), "node", "left").select("node", F.coalesce("component", "node").alias("root"))
+    return first_of_groups(documents, groups)
