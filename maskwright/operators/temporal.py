@@ -53,10 +53,14 @@ def candidate_counts(candidates: DataFrame, n: int | None = None) -> DataFrame:
 
 
 def join_systems(candidates: DataFrame, old: DataFrame, latest: DataFrame, student: DataFrame) -> DataFrame:
-    """Attach the labels of three systems (id, labels) by candidate id."""
+    """Attach the labels of three systems (id, labels) by candidate id.
+
+    Each side holds one row per candidate and many come out of one document, which size
+    estimates do not see: a merge join is asked for, as a broadcast would pass through the driver.
+    """
     out = candidates
     for name, df in (("old", old), ("latest", latest), ("student", student)):
-        out = out.join(df.select("id", F.col("labels").alias(f"{name}_labels")), "id")
+        out = out.join(df.select("id", F.col("labels").alias(f"{name}_labels")).hint("merge"), "id")
     return out
 
 
