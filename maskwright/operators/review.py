@@ -52,7 +52,8 @@ def review_table(inputs: DataFrame, candidates: DataFrame, methods: Sequence[str
         "id", "method", "labels", F.coalesce(types, ZERO_TYPES("labels")).alias("types")).groupBy("id").agg(
         F.array_sort(F.collect_list(F.struct("method", "labels", "types"))).alias("_c"),
         F.count_distinct("labels").alias("_distinct"))
-    joined = inputs.join(grouped, "id", "left")
+    # as many rows as documents, with their labels: never through the driver, whatever the size estimate
+    joined = inputs.join(grouped.hint("merge"), "id", "left")
     entries = F.transform("_c", lambda c: F.struct(c["method"], F.struct(
         c["labels"].alias("labels"), c["types"].alias("types"),
         selected_words(F.col("words"), c["labels"]).alias("selected_words"))))
