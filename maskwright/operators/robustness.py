@@ -15,7 +15,7 @@ COUNTS = ("tp", "fp", "fn", "tn")
 
 def attach_predictions(pairs: DataFrame, predictions: DataFrame, column: str, key: str = "pair_id") -> DataFrame:
     """Add predicted labels (key, labels) of one system; a missing prediction stays null."""
-    return pairs.join(predictions.select(key, F.col("labels").alias(column)), key, "left")
+    return pairs.join(predictions.select(key, F.col("labels").alias(column)).hint("merge"), key, "left")
 
 
 def reuse_source_predictions(pairs: DataFrame, predictions: DataFrame, column: str) -> DataFrame:
@@ -23,13 +23,16 @@ def reuse_source_predictions(pairs: DataFrame, predictions: DataFrame, column: s
 
     ``predictions`` has one row per source_id, so the join cannot multiply pairs.
     """
-    return pairs.join(predictions.select("source_id", F.col("labels").alias(column)), "source_id", "left")
+    return pairs.join(predictions.select("source_id", F.col("labels").alias(column)).hint("merge"), "source_id", "left")
 
 
 def sources_to_predict(pairs: DataFrame) -> DataFrame:
-    """The clean text of each source once."""
-    firsts = pairs.groupBy("source_id").agg(F.min("pair_id").alias("pair_id"))
-    return pairs.join(firsts.select("pair_id"), "pair_id", "left_semi").select("source_id", "clean_text", "clean_words")
+    """The clean text of each source once.
+
+    All pairs of a source carry the same clean text. A source's pairs are reduced to one
+    where they are made, so that texts move once a source and not once a pair.
+    """
+    return pairs.select("source_id", "clean_text", "clean_words").dropDuplicates(["source_id"])
 
 
 def score_pairs(pairs: DataFrame, systems: dict[str, tuple[str, str]], carry: Sequence[str] = ()) -> DataFrame:
