@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from hashlib import md5
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
+from maskwright.functions import marks
 from maskwright.functions.text import redact, words
 from maskwright.operators import linear
 from maskwright.operators.leakage import with_original_answer
@@ -17,19 +22,56 @@ from maskwright.session import cut_lineage
 BUCKETS = 1 << 16
 
 
-def _features_sql() -> str:
-    """The eight features of every word of ``words``: array<array<string>>."""
-    at = lambda step: f"coalesce(lower(get(words, i + {step})), '<pad>')"
-    shape = r"regexp_replace(regexp_replace(regexp_replace(w, '\\p{Lu}+', 'X'), '[\\p{L}&&[^\\p{Lu}]]+', 'x'), '\\p{Nd}+', '9')"
-    parts = {"w=": "lower(w)", "s=": shape, "p=": "left(lower(w), 3)", "e=": "right(lower(w), 3)",
-             "-1=": at(-1), "-2=": at(-2), "+1=": at(1), "+2=": at(2)}
-    features = ", ".join(f"concat('{name}', {value})" for name, value in parts.items())
-    return f"transform(words, (w, i) -> array({features}))"
+PAD = "<pad>"
+#: A word's shape: X, x and 9 for runs of capitals, other letters and digits.
+_SHAPE = ((r"\p{Lu}+", "X"), (r"[\p{L}&&[^\p{Lu}]]+", "x"), (r"\p{Nd}+", "9"))
 
 
-def _places_sql(buckets: int) -> str:
-    """The distinct buckets of every word's features."""
-    return f"transform({_features_sql()}, fs -> array_distinct(transform(fs, f -> {linear.bucket_sql('f', buckets)})))"
+def _shape(word: Column) -> Column:
+    for pattern, sign in _SHAPE:
+        word = F.regexp_replace(word, pattern, sign)
+    return word
+
+
+def _place_lists(low: pa.Array, shapes: pa.Array, buckets: int) -> pa.Array:
+    """The distinct buckets of the eight features of every word: word, shape, affixes, two words on each side."""
+    lengths = low.value_lengths().fill_null(0).to_numpy()
+    words, forms = low.flatten().dictionary_encode(), shapes.flatten().dictionary_encode()
+    known, kinds = words.dictionary.to_pylist(), forms.dictionary.to_pylist()
+
+    def hashed(name: str, values: list[str]) -> np.ndarray:  # as linear.bucket_sql; few words differ, so each is hashed once
+        return np.array([int(md5((name + v).encode()).hexdigest()[:7], 16) % buckets for v in values], np.int32)
+
+    at, end = words.indices.to_numpy(), np.repeat(np.cumsum(lengths), lengths)
+    place = np.arange(len(at))
+    start = end - np.repeat(lengths, lengths)
+
+    def neighbour(step: int) -> np.ndarray:
+        table = hashed(f"{step:+d}=", [*known, PAD])
+        there = place + step
+        inside = (there >= start) & (there < end)
+        return table[np.where(inside, at[np.where(inside, there, 0)], len(known))] if len(at) else np.zeros(0, np.int32)
+
+    columns = np.stack([
+        hashed("w=", known)[at], hashed("s=", kinds)[forms.indices.to_numpy()], hashed("p=", [v[:3] for v in known])[at],
+        hashed("e=", [v[-3:] for v in known])[at], *[neighbour(step) for step in (-1, -2, 1, 2)]], axis=1)
+    fresh = np.ones(columns.shape, bool)
+    for j in range(1, columns.shape[1]):
+        fresh[:, j] = (columns[:, :j] != columns[:, j:j + 1]).all(axis=1)
+    inner = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(fresh.sum(axis=1))]).astype(np.int32)), pa.array(columns[fresh]))
+    return marks.lists(np.concatenate([[0], np.cumsum(lengths)]), inner, low)
+
+
+def _places(buckets: int) -> Column:
+    """The distinct buckets of the features of every word of ``words``.
+
+    Words are lowered and shaped by Spark; a task hashes each different word of a batch once.
+    """
+    @F.arrow_udf(ArrayType(ArrayType(IntegerType())))
+    def places(low: pa.Array, shapes: pa.Array) -> pa.Array:
+        return marks.in_parts(lambda *columns: _place_lists(*columns, buckets), low, shapes)
+
+    return places(F.transform("words", F.lower), F.transform("words", _shape))
 
 
 def student_examples(rows: DataFrame, buckets: int = BUCKETS, labels: str = "labels", id_col: str = "id") -> DataFrame:
@@ -37,7 +79,7 @@ def student_examples(rows: DataFrame, buckets: int = BUCKETS, labels: str = "lab
 
     The neighbours come from the word array of the same row, so no window is needed.
     """
-    return rows.select(F.col(id_col).alias("id"), F.col(labels).alias("labels"), F.expr(_places_sql(buckets)).alias("places"))
+    return rows.select(F.col(id_col).alias("id"), F.col(labels).alias("labels"), _places(buckets).alias("places"))
 
 
 def fit_student(train: DataFrame, validation: DataFrame | None = None, weight: float | None = None, buckets: int = BUCKETS,
@@ -54,7 +96,7 @@ def fit_student(train: DataFrame, validation: DataFrame | None = None, weight: f
 
 def score_rows(model: LinearModel, rows: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
     """(id, carried columns, words, scores): the probability of every word, inside the row: words are never exploded or shuffled."""
-    placed = rows.select("id", *carry, "words", F.expr(_places_sql(model.buckets)).alias("places"))
+    placed = rows.select("id", *carry, "words", _places(model.buckets).alias("places"))
     return linear.score(model, placed, ["id", *carry, "words"])
 
 
