@@ -50,8 +50,9 @@ def type_words_sql(offsets: str, spans: str) -> str:
 
 def target_words_sql(offsets: str, gold: str, start: str, end: str) -> str:
     """Indices of the gold words that overlap a target."""
-    marked = (f"transform({offsets}, (w, i) -> case when get(go, i) = 1 and w.start < {end} and {start} < w.end then i end)")
-    return let("go", gold, f"filter({marked}, i -> i is not null)")
+    near = f"get(go, i) = 1 and get(wo, i).start < {end} and {start} < get(wo, i).end"
+    return let("go", gold, let("wo", offsets, (
+        f"case when size(wo) > 0 then filter(sequence(0, size(wo) - 1), i -> {near}) else cast(array() as array<int>) end")))
 
 
 def labels_to_spans(labels: str) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from maskwright.functions import labels as L
-from maskwright.functions.text import stable_key, word_offsets_sql, words
+from maskwright.functions.text import stable_key, word_offsets, words
 from maskwright.operators.bootstrap import cluster_mean_delta_by
 from maskwright.operators.metrics import with_scores
 from maskwright.operators.rules import RULES, named_rules, rule_spans
@@ -26,8 +26,9 @@ def scan_candidates(docs: DataFrame, defects: Sequence[str], dataset: str = "cor
     versions = F.create_map(*[F.lit(x) for r in RULES for x in (r.name, r.introduced_in)])
     optional = {"task_label": None, "source": dataset, "source_split": "test"}
     extra = [F.col(c) if c in docs.columns else F.lit(v).cast("string").alias(c) for c, v in optional.items()]
-    per_rule = F.array(*[rule_spans("text", (r,)) for r in rules])
-    found = docs.select(
+    names = F.array(*[F.lit(r.name) for r in rules])
+    per_rule = F.transform(names, lambda n: F.filter("_all", lambda s: s["type"] == n))
+    found = with_once(docs, _all=rule_spans("text", rules)).select(
         F.col("id").cast("string").alias("source_id"), "text", *extra, *carry, F.explode(per_rule).alias("_spans")
     ).select("*", F.posexplode("_spans").alias("occurrence", "_s"))
     return found.select(
@@ -64,13 +65,14 @@ def join_systems(candidates: DataFrame, old: DataFrame, latest: DataFrame, stude
     return out
 
 
-def validated_targets(candidates: DataFrame) -> DataFrame:
+def validated_targets(candidates: DataFrame, offsets: str | None = None) -> DataFrame:
     """Candidates whose target holds a word of the latest rule, with detection flags.
 
-    Needs old_labels, latest_labels and student_labels.
+    Needs old_labels, latest_labels and student_labels. ``offsets`` names a column of word offsets, where the
+    candidates of a document carry it.
     """
-    indexed = with_once(candidates, _at=L.target_words(
-        word_offsets_sql("text"), "latest_labels", "target.start", "target.end"))
+    known = with_once(candidates, _words=word_offsets("text")) if offsets is None else candidates.withColumnRenamed(offsets, "_words")
+    indexed = with_once(known, _at=L.target_words("_words", "latest_labels", "target.start", "target.end")).drop("_words")
     hit = lambda c: L.detected("_at", c).cast("int")
     return indexed.filter(F.size("_at") > 0).select(
         "*", hit("old_labels").alias("old_hit"), hit("student_labels").alias("student_hit"),
