@@ -59,7 +59,7 @@ def _weights(seed: int, clusters: Sequence[str | None], repeats: int) -> np.ndar
 @functools.cache
 def _reached() -> np.ndarray:
     """How many of the steps each of the 2**BITS draws reaches."""
-    return np.searchsorted(np.array(poisson_steps()), np.arange(1 << BITS), "right").astype(np.float32)
+    return np.searchsorted(np.array(poisson_steps()), np.arange(1 << BITS), "right").astype(np.uint8)
 
 
 def cluster_totals(rows: DataFrame, cluster: str, values: dict[str, Column], by: Sequence[str] = ()) -> DataFrame:
